@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row.
+
+    An expression named inside a lambda is evaluated for every element; binding it to a lambda variable of
+    a one-element array avoids that.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -22,8 +31,7 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    n = norm(v) + F.lit(EPS)
-    return F.transform(as_double(v), lambda x: x / n)
+    return let(norm(v) + F.lit(EPS), lambda n: F.transform(as_double(v), lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

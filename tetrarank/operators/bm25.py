@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tetrarank.constants import BM25_B, BM25_K1
 from tetrarank.functions import text as tx
 from tetrarank.operators.blocks import top_k_scores
+from tetrarank.operators.scale import checkpoint_dir
 
 TERM_CHUNK = 512
 
@@ -31,6 +32,13 @@ class BM25Index:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
+    def materialized(self) -> BM25Index:
+        """Postings and statistics stored in the checkpoint folder, so that the searches that follow share
+        one pass over the texts."""
+        checkpoint_dir(self.postings.sparkSession)
+        postings = self.postings.checkpoint()
+        return BM25Index(postings, document_frequencies(postings), self.stats.checkpoint())
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> BM25Index:
         return BM25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
@@ -47,9 +55,12 @@ def build_index(docs: DataFrame, doc_id: str, tokens: Column) -> BM25Index:
                 .select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
                 .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
                 .select("doc_id", "term", "tf", "dl"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return BM25Index(postings, terms, stats)
+    return BM25Index(postings, document_frequencies(postings), stats)
+
+
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:

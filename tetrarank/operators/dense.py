@@ -72,9 +72,9 @@ def probe(queries: DataFrame, items: DataFrame, *, query_id: str = "query_id", v
     if sample_share is not None:
         from tetrarank.functions.numeric import hash_uniform
         base = items.where(hash_uniform(F.col(item_id), seed="probe") < sample_share)
-    centre = mean_vector(base, vector).scalar()
-    return queries.select(F.col(query_id).alias("query_id"), vx.norm(F.col(vector)).alias("query_norm"),
-                          vx.cosine(F.col(vector), centre).alias("cosine_to_mean"))
+    centred = queries.withColumn("__centre", mean_vector(base, vector).scalar())
+    return centred.select(F.col(query_id).alias("query_id"), vx.norm(F.col(vector)).alias("query_norm"),
+                          vx.cosine(F.col(vector), F.col("__centre")).alias("cosine_to_mean"))
 
 
 def check_dimensions(items: DataFrame, vector: str = "vector") -> DataFrame:

@@ -87,7 +87,8 @@ def evidence_shapes(prefix: str) -> list[Column]:
     v = F.array(*[F.col(f"{prefix}_{c}").cast("double") for c in DZ_COLUMNS])
     magnitudes = F.transform(v, lambda x: F.abs(x))
     l1 = vx.total(magnitudes)
-    share = F.transform(magnitudes, lambda x: F.greatest(x / F.greatest(l1, F.lit(1e-9)), F.lit(1e-12)))
+    share = vx.let(F.greatest(l1, F.lit(1e-9)), lambda s: F.transform(
+        magnitudes, lambda x: F.greatest(x / s, F.lit(1e-12))))
     return [
         l1.alias(f"{prefix}_l1_abs"),
         F.sqrt(vx.dot(v, v) + F.lit(1e-12)).alias(f"{prefix}_l2"),

@@ -138,10 +138,11 @@ def temperature_grid(df: DataFrame, logits: str, label: Column, low: float = 0.7
     rows = df.select(vx.as_double(F.col(logits)).alias("z"), label.cast("int").alias("l"),
                      F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("t"))
                                          for i, t in enumerate(grid)])).alias("g"))
-    scaled = F.transform(F.col("z"), lambda x: x / F.col("g.t"))
-    top = F.array_max(scaled)
-    total = vx.total(F.transform(scaled, lambda x: F.exp(x - top)))
-    probability = F.exp(F.element_at(scaled, F.col("l") + 1) - top) / total
+    def probability_of_label(scaled: Column) -> Column:
+        return vx.let(F.array_max(scaled), lambda top: F.exp(F.element_at(scaled, F.col("l") + 1) - top)
+                      / vx.total(F.transform(scaled, lambda x: F.exp(x - top))))
+
+    probability = vx.let(F.transform(F.col("z"), lambda x: x / F.col("g.t")), probability_of_label)
     return rows.select("g.step", F.col("g.t").alias("temperature"), (-F.ln(probability + eps)).alias("nll")).groupBy(
         "step", "temperature").agg(F.avg("nll").alias("nll"))
 

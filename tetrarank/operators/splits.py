@@ -90,9 +90,10 @@ def entropy_bins(df: DataFrame, value: str, n_bins: int = 5, out: str = "entropy
     from tetrarank.operators.scale import exact_quantiles
     probs = {f"__e{i}": i / n_bins for i in range(n_bins + 1)}
     edges = exact_quantiles(df, [], value, probs).select(F.array_distinct(F.array(*probs)).alias("e")).scalar()
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    return df.withColumn(out, F.when(F.size(edges) <= 2, 0).otherwise(
-        F.size(F.filter(inner, lambda e: F.col(value) > e))))
+    marked = df.withColumn("__edges", edges)
+    inner = F.slice("__edges", 2, F.greatest(F.size("__edges") - 2, F.lit(0)))
+    above = F.size(F.filter(inner, lambda e: F.col(value) > e))
+    return marked.withColumn(out, F.when(F.size("__edges") <= 2, 0).otherwise(above)).drop("__edges")
 
 
 def fold_of_categories(df: DataFrame, category: str, n_folds: int) -> DataFrame:
