@@ -22,10 +22,12 @@ from tetrarank.operators.blocks import list_matrix, top_k_scores
 def windows(tokens: Column, size: int, stride: int) -> Column:
     """Overlapping token windows that cover the whole text; the last one ends with the text."""
     step = max(1, size - stride)
-    n = F.size(tokens)
-    count = F.greatest(F.ceil((n - size) / F.lit(float(step))) + 1, F.lit(1)).cast("int")
-    starts = F.sequence(F.lit(0), count - 1)
-    return F.transform(starts, lambda i: F.slice(tokens, (i * step + 1).cast("int"), size))
+
+    def cut(t: Column) -> Column:
+        count = F.greatest(F.ceil((F.size(t) - size) / F.lit(float(step))) + 1, F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(t, (i * step + 1).cast("int"), size))
+
+    return vx.let(tokens, cut)
 
 
 def embed_hashed(texts: DataFrame, key: str, text: str, dim: int = 64, window: int = 512, overlap: int = 64,

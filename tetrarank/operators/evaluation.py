@@ -180,9 +180,12 @@ def prompt_design(pairs: DataFrame, categories: list[str], flags: list[str], lev
         aggregates += [F.avg(x).alias(f"{d}_mean"), F.stddev_pop(x).alias(f"{d}_std"),
                        F.avg((x > 0).cast("double")).alias(f"{d}_pos_frac")]
     out = pairs.groupBy("prompt_id").agg(*aggregates)
-    for d in DZ_COLUMNS:
-        out = out.join(exact_quantiles(pairs, ["prompt_id"], d, {f"{d}_q10": 0.1, f"{d}_q50": 0.5, f"{d}_q90": 0.9}),
-                       "prompt_id")
+    entries = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).cast("double").alias("x")) for d in DZ_COLUMNS]))
+    values = pairs.select("prompt_id", entries.alias("e")).select("prompt_id", "e.*")
+    quantiles = exact_quantiles(values, ["prompt_id", "d"], "x", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    wide = quantiles.groupBy("prompt_id").agg(*[F.max(F.when(F.col("d") == d, F.col(q))).alias(f"{d}_{q}")
+                                                for d in DZ_COLUMNS for q in ("q10", "q50", "q90")])
+    out = out.join(wide, "prompt_id")
     ordered = F.array(*[F.struct(F.col(f"difficulty_frac_{lvl}").alias("s"), F.lit(-i).alias("i"), F.lit(lvl).alias("l"))
                         for i, lvl in enumerate(shares)])
     return out.withColumn("difficulty_primary", F.array_max(ordered)["l"])

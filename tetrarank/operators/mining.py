@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.functions import numeric as nx
 from tetrarank.operators.items import score_pools
-from tetrarank.operators.scale import top_k
+from tetrarank.operators.scale import checkpoint_dir, top_k
 
 LEVELS = ["easy", "medium", "hard"]
 PER_LEVEL = 3
@@ -27,8 +27,10 @@ def candidate_pairs(scored: DataFrame, *, by: str = "prompt_id", item_id: str =
     0.2. Partners outside the gap follow those inside it. Every prompt yields at most 432 rows whatever
     the size of its list, and pools are never paired exhaustively: only nine anchors meet a pool.
     """
-    pools = score_pools(scored, by, score, item_id)
-    keyed = pools.select(by, F.col(item_id).alias("item"), F.col(score).alias("s"), "pool")
+    checkpoint_dir(scored.sparkSession)
+    pools = score_pools(scored.select(by, item_id, score), by, score, item_id)
+    # Anchors and partners both read the pools, so the ranking behind them is done once and stored.
+    keyed = pools.select(by, F.col(item_id).alias("item"), F.col(score).alias("s"), "pool").checkpoint()
     roles = F.explode(F.array(
         F.struct(F.lit("easy").alias("level"), F.lit("top").alias("anchor_pool"), F.lit("low").alias("partner_pool")),
         F.struct(F.lit("medium").alias("level"), F.lit("mid").alias("anchor_pool"), F.lit("mid").alias("partner_pool")),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS
 from tetrarank.functions import numeric as nx
 from tetrarank.functions.text import normalized_category
-from tetrarank.operators.scale import hash_rank, with_group_stats
+from tetrarank.operators.scale import exact_quantiles, fits_in, hash_rank, value_rank, with_group_stats
 
 
 def assign_groups(groups: DataFrame, key: list[str], strata: list[str], train: float = 0.70, val: float = 0.15,
@@ -87,7 +88,6 @@ def shuffle_positions(df: DataFrame, key: list[str], probability: float = 0.5, s
 
 def entropy_bins(df: DataFrame, value: str, n_bins: int = 5, out: str = "entropy_bin") -> DataFrame:
     """Quantile bins, right-closed, repeated edges merged; a single distinct value is bin 0."""
-    from tetrarank.operators.scale import exact_quantiles
     probs = {f"__e{i}": i / n_bins for i in range(n_bins + 1)}
     edges = exact_quantiles(df, [], value, probs).select(F.array_distinct(F.array(*probs)).alias("e")).scalar()
     marked = df.withColumn("__edges", edges)
@@ -96,26 +96,34 @@ def entropy_bins(df: DataFrame, value: str, n_bins: int = 5, out: str = "entropy
     return marked.withColumn(out, F.when(F.size("__edges") <= 2, 0).otherwise(above)).drop("__edges")
 
 
+GREEDY_CATEGORIES = 10_000
+
+
 def fold_of_categories(df: DataFrame, category: str, n_folds: int) -> DataFrame:
     """Fold per category: categories by descending size, each to the fold with the fewest rows so far.
 
-    The table of categories is the only thing ordered here; it holds one row per category.
+    Up to 10,000 categories are walked one by one (one row each); more than that are dealt to the folds
+    back and forth in size order, which needs no walk and balances as well when categories are many.
     """
-    sizes = (df.groupBy(F.coalesce(category, F.lit("unknown")).alias("__category"))
-             .agg(F.count(F.lit(1)).alias("n")))
-
-    def assign(rows):
-        load = [0] * n_folds
-        folds = []
-        rows = rows.sort_values(["n", "__category"], ascending=[False, True], kind="stable")
-        for n in rows["n"]:
-            smallest = min(range(n_folds), key=lambda f: (load[f], f))
-            load[smallest] += int(n)
-            folds.append(smallest)
-        return rows.assign(fold=folds)[["__category", "fold"]]
-
-    folds = sizes.groupBy(F.lit(1)).applyInPandas(assign, "__category string, fold long")
-    return df.join(folds, F.coalesce(F.col(category), F.lit("unknown")) == F.col("__category")).drop("__category")
+    named = df.withColumn("__category", F.coalesce(F.col(category), F.lit("unknown")))
+    sizes = named.groupBy("__category").agg(F.count(F.lit(1)).alias("n"))
+    if fits_in(sizes, GREEDY_CATEGORIES):
+        def assign(rows: pd.DataFrame) -> pd.DataFrame:
+            load = [0] * n_folds
+            folds = []
+            rows = rows.sort_values(["n", "__category"], ascending=[False, True])
+            for n in rows["n"]:
+                smallest = load.index(min(load))
+                load[smallest] += int(n)
+                folds.append(smallest)
+            return rows.assign(fold=folds)[["__category", "fold"]]
+
+        folds = sizes.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(assign, "__category string, fold long")
+    else:
+        ranked = value_rank(sizes, [], "n", ["__category"], "__rank", resolution=1.0)
+        place = F.pmod(F.col("__rank") - 1, F.lit(2 * n_folds))
+        folds = ranked.select("__category", F.least(place, 2 * n_folds - 1 - place).cast("long").alias("fold"))
+    return named.join(folds, "__category").drop("__category")
 
 
 def fold_by_rank(df: DataFrame, key: list[str], strata: list[str], n_folds: int, seed: str = "42") -> DataFrame:

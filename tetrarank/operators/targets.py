@@ -44,7 +44,7 @@ def prompt_logits(pairs: DataFrame, strength: float, steps: int = 8) -> DataFram
 
     Every Newton step is one pass of partial sums over the pairs, so the pairs of one prompt never have to
     meet in one task; only the small per-prompt systems are solved in Arrow batches. The coefficient table
-    is checkpointed after each step, which keeps the plan flat.
+    is checkpointed after each step, which keeps the plan flat; so are the pairs, which every step reads.
     """
     spark = pairs.sparkSession
     checkpoint_dir(spark)
@@ -52,7 +52,7 @@ def prompt_logits(pairs: DataFrame, strength: float, steps: int = 8) -> DataFram
     sums = pairs.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     usable = sums.where((F.col("pos") > 0) & (F.col("pos") < F.col("n")))
     coefficients = usable.select("prompt_id", "n", "pos", *[F.lit(0.0).alias(f"c{i}") for i in range(n)]).checkpoint()
-    base = pairs.select("prompt_id", "y", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(DZ_COLUMNS)])
+    base = pairs.select("prompt_id", "y", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(DZ_COLUMNS)]).checkpoint()
 
     @F.pandas_udf(", ".join(f"s{i} double" for i in range(n)))
     def newton(rows: pd.DataFrame) -> pd.DataFrame:

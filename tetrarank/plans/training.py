@@ -74,12 +74,13 @@ def fit_weight_heads(design: DataFrame, features: list[str], targets: list[str],
     """One boosted regression per expert on the log of its target weight."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     data = assembler.transform(design.select(
-        *features, *[F.ln(F.greatest(F.col(t), F.lit(1e-6))).alias(f"log_{t}") for t in targets]))
+        *features, *[F.ln(F.greatest(F.col(t), F.lit(1e-6))).alias(f"log_{t}") for t in targets])).persist()
     heads = {}
     for expert, t in zip(EXPERTS, targets):
         booster = GBTRegressor(labelCol=f"log_{t}", featuresCol="features", predictionCol=f"head_{expert}", maxIter=trees,
                                maxDepth=depth, stepSize=rate, seed=seed)
         heads[expert] = PipelineModel(stages=[assembler, booster.fit(data)])
+    data.unpersist()
     return heads
 
 

@@ -1,8 +1,8 @@
 """Registered queries: each runs an operator over whole tables, most with an equivalent SQL text."""
 
-from tetrarank.workloads import retrieval
+from tetrarank.workloads import preference, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, preference]
 
 
 def all_queries():

@@ -68,7 +68,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("l_discount") - F.lit(0.05)) * F.lit(20.0)).alias("dz_alpha"),
         ((F.col("l_quantity") - F.lit(25.0)) / F.lit(25.0)).alias("dz_beta"),
         ((F.col("l_tax") - F.lit(0.04)) * F.lit(25.0)).alias("dz_gamma"),
-        ((F.col("l_extendedprice") - F.lit(40000.0)) / F.lit(40000.0)).alias("dz_delta"),
+        ((F.col("l_extendedprice") - F.lit(40000.0)) / F.lit(37123.0)).alias("dz_delta"),
         F.col("l_returnflag").alias("category"),
         F.when(F.col("l_linenumber") % 3 == 0, "easy").when(F.col("l_linenumber") % 3 == 1, "medium")
         .otherwise("hard").alias("difficulty"))
@@ -84,7 +84,7 @@ FROM (SELECT l_orderkey AS prompt_id,
         concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT) AS pair_id,
         l_partkey AS "movieA", l_suppkey AS "movieB",
         (l_discount - 0.05::DOUBLE) * 20.0::DOUBLE AS dz_alpha, (l_quantity - 25.0::DOUBLE) / 25.0::DOUBLE AS dz_beta,
-        (l_tax - 0.04::DOUBLE) * 25.0::DOUBLE AS dz_gamma, (l_extendedprice - 40000.0::DOUBLE) / 40000.0::DOUBLE AS dz_delta,
+        (l_tax - 0.04::DOUBLE) * 25.0::DOUBLE AS dz_gamma, (l_extendedprice - 40000.0::DOUBLE) / 37123.0::DOUBLE AS dz_delta,
         l_returnflag AS category,
         CASE l_linenumber % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty
       FROM lineitem) base"""
@@ -140,14 +140,14 @@ def ranking(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy(F.col("o_custkey").alias("prompt_id"), F.col("l_partkey").alias("item_id")).agg(
         F.least(F.sum("l_quantity") / F.lit(50.0), F.lit(1.0)).alias("gt_score"),
         (F.max("l_discount") * F.lit(10.0)).alias("score_alpha"),
-        (F.max("l_extendedprice") / F.lit(100000.0)).alias("score_beta"),
+        (F.max("l_extendedprice") / F.lit(99991.0)).alias("score_beta"),
         (F.max("l_tax") * F.lit(12.5)).alias("score_gamma"),
         (F.min("l_quantity") / F.lit(50.0)).alias("score_delta"))
 
 
 RANKING = """
 SELECT o_custkey AS prompt_id, l_partkey AS item_id, least(sum(l_quantity) / 50.0::DOUBLE, 1.0::DOUBLE) AS gt_score,
-       max(l_discount) * 10.0::DOUBLE AS score_alpha, max(l_extendedprice) / 100000.0::DOUBLE AS score_beta,
+       max(l_discount) * 10.0::DOUBLE AS score_alpha, max(l_extendedprice) / 99991.0::DOUBLE AS score_beta,
        max(l_tax) * 12.5::DOUBLE AS score_gamma, min(l_quantity) / 50.0::DOUBLE AS score_delta
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"""
 
