@@ -1,8 +1,8 @@
 """Registered queries: each runs an operator over whole tables, most with an equivalent SQL text."""
 
-from tetrarank.workloads import preference, retrieval
+from tetrarank.workloads import evaluation, preference, retrieval
 
-MODULES = [retrieval, preference]
+MODULES = [retrieval, preference, evaluation]
 
 
 def all_queries():
