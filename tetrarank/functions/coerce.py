@@ -67,10 +67,12 @@ def emotion_from_spec(spec: Column) -> Column:
     listed = F.transform(F.split(text, ","), lambda t: F.struct(
         F.initcap(F.trim(F.split_part(t, F.lit("="), F.lit(1)))).alias("k"),
         F.trim(F.split_part(t, F.lit("="), F.lit(2))).try_cast("double").alias("v")))
-    explicit = F.array(*[
-        F.aggregate(listed, F.lit(0.0),
-                    lambda acc, kv, e=e: F.when((kv["k"] == e) & kv["v"].isNotNull(), kv["v"]).otherwise(acc))
-        for e in EMOTIONS])
+
+    def last_value(emotion: str) -> Column:
+        return F.aggregate(listed, F.lit(0.0), lambda acc, kv: F.when(
+            (kv["k"] == emotion) & kv["v"].isNotNull(), kv["v"]).otherwise(acc))
+
+    explicit = F.array(*[last_value(e) for e in EMOTIONS])
     from_map = F.transform_keys(F.from_json(text, "map<string,string>"), lambda k, _: F.initcap(F.trim(k)))
     mapped = F.array(*[F.coalesce(F.try_element_at(from_map, F.lit(e)).try_cast("double"), F.lit(0.0))
                        for e in EMOTIONS])
@@ -108,8 +110,8 @@ def dominant_emotion(scores: Column) -> Column:
 
 def genre_emotions(genres: Column, mapping: dict[str, list[str]], prior: float) -> Column:
     """Emotion distribution of a genre list: prior plus one per emotion a genre stands for."""
-    raw = []
-    for emotion in EMOTIONS:
-        names = F.array(*[F.lit(g) for g, emos in mapping.items() if emotion in emos])
-        raw.append(F.size(F.filter(genres, lambda g, names=names: F.array_contains(names, g))) + F.lit(prior))
-    return simplex(F.array(*raw))
+    def weight(emotion: str) -> Column:
+        names = [g for g, emotions in mapping.items() if emotion in emotions]
+        return F.size(F.filter(genres, lambda g: g.isin(names))) + F.lit(prior)
+
+    return simplex(F.array(*[weight(e) for e in EMOTIONS]))

@@ -13,10 +13,10 @@ WHITE = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 NOT_WHITE = WHITE.replace("[", "[^", 1)
 
 # Patterns of encyclopedia markup removed from item text.
-CITATION_LINE = r"(?md)^\s*\^.*$"
-CITATION_ERROR = r"(?id)Cite error:.*"
+CITATION_LINE = rf"(?md)^{WHITE}*\^[^\n]*$"
+CITATION_ERROR = r"(?i)Cite error:[^\n]*"
 REFERENCE_MARK = r"\[[0-9]+\]"
-TEMPLATE = r"(?d)\{\{.*?\}\}"
+TEMPLATE = r"\{\{[^\n]*?\}\}"
 SENTENCE_BREAK = r"""(?<=[.!?])\s+(?=[A-Z0-9"'])"""
 SHORT_PARAGRAPH_WORDS = 60
 

@@ -149,7 +149,9 @@ def block_pairs(df: DataFrame, by: list[str], row_id: str, fn: Callable, schema:
     keyed = df.select(*by, row_id, *[c for c in carry if c not in by and c != row_id])
     with_blocks = keyed.join(counts, by).withColumn("__block", F.pmod(F.xxhash64(row_id), F.col("__nb")))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nb") - 1))
-    left = with_blocks.withColumn("__b", others).withColumnRenamed("__block", "__a")
-    right = with_blocks.withColumn("__a", others).withColumnRenamed("__block", "__b")
+    # Fresh column ids on both sides: cogrouping a frame with itself is ambiguous otherwise.
+    names = keyed.columns
+    left = with_blocks.select(*[F.col(c).alias(c) for c in names], F.col("__block").alias("__a"), others.alias("__b"))
+    right = with_blocks.select(*[F.col(c).alias(c) for c in names], others.alias("__a"), F.col("__block").alias("__b"))
     cell = [*by, "__a", "__b"]
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(fn, schema)

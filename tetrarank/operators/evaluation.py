@@ -242,8 +242,11 @@ def expert_disagreements(df: DataFrame, columns: list[str] | None = None) -> Dat
     """Rows whose expert signs differ, with counts of positive, negative and zero signs."""
     columns = columns or DZ_COLUMNS
     signs = F.array(*[F.signum(c).cast("int") for c in columns])
-    rows = df.withColumns({f"num_{n}": F.size(F.filter(signs, lambda s, v=v: s == v))
-                           for n, v in (("positive", 1), ("negative", -1), ("zero", 0))})
+
+    def count_of(value: int) -> Column:
+        return F.size(F.filter(signs, lambda s: s == value))
+
+    rows = df.withColumns({"num_positive": count_of(1), "num_negative": count_of(-1), "num_zero": count_of(0)})
     return rows.where(F.size(F.array_distinct(signs)) > 1)
 
 

@@ -1,8 +1,8 @@
 """Registered queries: each runs an operator over whole tables, most with an equivalent SQL text."""
 
-from tetrarank.workloads import evaluation, preference, retrieval
+from tetrarank.workloads import evaluation, preference, retrieval, texts
 
-MODULES = [retrieval, preference, evaluation]
+MODULES = [retrieval, preference, evaluation, texts]
 
 
 def all_queries():
