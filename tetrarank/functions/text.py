@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tetrarank.constants import EMOTION_LEXICON, EMOTIONS, PROMPT_STOPWORDS
+from tetrarank.functions.vectors import let
 
 # Unicode white space, written out because regex engines disagree on what \s covers.
 WHITE = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -31,7 +32,7 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White space runs become one blank, ends are trimmed."""
-    return strip(F.regexp_replace(or_empty(text), f"{WHITE}+", " "))
+    return F.trim(F.regexp_replace(or_empty(text), f"{WHITE}+", " "))
 
 
 def word_count(text: Column) -> Column:
@@ -101,9 +102,8 @@ def first_text(*texts: Column) -> Column:
 
 def shorten(text: Column, limit: int) -> Column:
     """Squeeze and cut to `limit` characters, the last three of them dots."""
-    squeezed = squeeze(text)
-    return F.when(F.length(squeezed) > limit,
-                  F.concat(F.substring(squeezed, 1, limit - 3), F.lit("..."))).otherwise(squeezed)
+    return let(squeeze(text), lambda t: F.when(
+        F.length(t) > limit, F.concat(F.substring(t, 1, limit - 3), F.lit("..."))).otherwise(t))
 
 
 def candidate_line(item_id: Column, title: Column, year: Column, rating: Column, plot: Column) -> Column:
@@ -120,12 +120,11 @@ def candidate_line(item_id: Column, title: Column, year: Column, rating: Column,
 def slug(text: Column) -> Column:
     out = F.regexp_replace(F.lower(strip(or_empty(text))), "[^a-z0-9]+", "_")
     out = F.regexp_replace(out, "^_+|_+$", "")
-    return F.when(out == "", F.lit("unknown")).otherwise(out)
+    return F.coalesce(F.nullif(out, F.lit("")), F.lit("unknown"))
 
 
 def normalized_category(text: Column) -> Column:
-    out = F.lower(strip(or_empty(text)))
-    return F.when(out == "", F.lit("unknown")).otherwise(out)
+    return F.coalesce(F.nullif(F.lower(strip(or_empty(text))), F.lit("")), F.lit("unknown"))
 
 
 def sanitized_reason(text: Column, limit: int = 140) -> Column:
@@ -144,10 +143,10 @@ def rounded_token_estimate(text: Column) -> Column:
 
 def combined_chunk_text(overview: Column, plot: Column) -> Column:
     """`Overview:` and `Plot:` sections of the cleaned texts; empty sections left out."""
-    ov, pl = clean_text(overview), clean_text(plot)
-    return F.concat_ws("\n\n",
-                       F.when(ov != "", F.concat(F.lit("Overview:\n"), ov)),
-                       F.when(pl != "", F.concat(F.lit("Plot:\n"), pl)))
+    def section(name: str, body: Column) -> Column:
+        return let(clean_text(body), lambda t: F.when(t != "", F.concat(F.lit(f"{name}:\n"), t)))
+
+    return F.concat_ws("\n\n", section("Overview", overview), section("Plot", plot))
 
 
 def length_bucket(n_words: Column) -> Column:
@@ -176,14 +175,18 @@ def genre_mentions(text: Column, genres: list[str]) -> Column:
 
 def lexicon_vector(text: Column) -> Column:
     """Per emotion, how many of its keywords occur in the text; array of eight doubles."""
-    low = F.lower(or_empty(text))
-    counts = []
-    for emotion in EMOTIONS:
-        hits = F.lit(0)
-        for word in EMOTION_LEXICON[emotion]:
-            hits = hits + low.rlike(f"(^|[^a-z]){word}([^a-z]|$)").cast("int")
-        counts.append(hits.cast("double"))
-    return F.array(*counts)
+    def hits(low: Column, runs: Column, words: list[str]) -> Column:
+        # A plain word stands alone exactly when it is a whole run of letters; hyphenated ones need a search.
+        plain = F.array(*[F.lit(w) for w in words if "-" not in w])
+        found = F.size(F.array_intersect(plain, runs))
+        for w in words:
+            if "-" in w:
+                found = found + (low.contains(w) & low.rlike(f"(^|[^a-z]){w}([^a-z]|$)")).cast("int")
+        return found.cast("double")
+
+    return let(F.lower(or_empty(text)), lambda low: let(
+        F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))),
+        lambda runs: F.array(*[hits(low, runs, EMOTION_LEXICON[e]) for e in EMOTIONS])))
 
 
 def rationale(genres: Column, year: Column, emotion: Column, target_genres: Column, max_words: int = 25) -> Column:

@@ -79,10 +79,12 @@ def build_chunks(items: DataFrame, item_id: str = "movieId", overview: str = "ov
                  min_words: int = 0) -> DataFrame:
     """One chunk per item from its cleaned overview and plot; items without text or words are left out."""
     carried = [c for c in items.columns if c not in (overview, plot)]
-    chunks = (items.select(*carried, tx.combined_chunk_text(F.col(overview), F.col(plot)).alias("text"))
-              .where(F.col("text") != "")
-              .select("*", F.col(item_id).cast("string").alias("chunkId"), tx.word_count(F.col("text")).alias("n_words"),
-                      F.length("text").alias("n_chars"), tx.rounded_token_estimate(F.col("text")).alias("n_tokens")))
+    combined = tx.combined_chunk_text(F.col(overview), F.col(plot))
+    # Generating the text keeps it one value per row; as a plain column every use would clean it again.
+    texts = items.select(*carried, F.explode(F.filter(F.array(combined), lambda t: t != "")).alias("text"))
+    chunks = texts.select(
+        "*", F.col(item_id).cast("string").alias("chunkId"), tx.word_count(F.col("text")).alias("n_words"),
+        F.length("text").alias("n_chars"), tx.rounded_token_estimate(F.col("text")).alias("n_tokens"))
     return chunks.where(F.col("n_words") >= min_words) if min_words > 0 else chunks
 
 

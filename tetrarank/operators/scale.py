@@ -114,24 +114,38 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
                     resolution: float = 256.0) -> DataFrame:
     """Exact linear-interpolated quantiles per group without holding a group in memory.
 
-    Equal values are counted first, then the two neighbours of each target position are read off the
-    running counts.
+    A first pass counts rows per value bucket and finds the buckets that hold the wanted positions; a
+    second pass counts the distinct values of those buckets only and reads the positions off them.
     """
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__value"))
-               .agg(F.count(F.lit(1)).alias("__n")))
-    cumulative = running_totals(counted, by, [F.col("__value")], value_bucket(F.col("__value"), resolution),
-                                {"__upto": F.col("__n")})
-    sized = with_group_stats(cumulative, by, [F.sum("__n").alias("__size")])
-    aggregates, results = [], []
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__value"))
+    rows = rows.withColumn("__bucket", value_bucket(F.col("__value"), resolution))
+    ordered = W.partitionBy(*by).orderBy("__bucket")
+    sizes = rows.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
+        *by, "__bucket", "__n", F.sum("__n").over(ordered).alias("__upto"), F.sum("__n").over(W.partitionBy(*by)).alias("__size"))
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), edge((F.col("__size") - 1) * F.lit(float(p))).alias("pos"))
+        for name, p in probs.items() for side, edge in (("low", F.floor), ("high", F.ceil))]))
+    before = F.col("__upto") - F.col("__n")
+    targets = sizes.select(
+        *[F.col(c).alias(f"__t_{c}") for c in [*by, "__bucket"]], "__size", before.alias("__before"), "__upto", wanted.alias("__w")).where(
+        (F.col("__w.pos") >= F.col("__before")) & (F.col("__w.pos") < F.col("__upto"))).select(
+        *[f"__t_{c}" for c in [*by, "__bucket"]], "__size", "__before", "__w.*")
+    keys = [*by, "__bucket"]
+    asked = rows.join(targets.select(*[f"__t_{c}" for c in keys]), _same("__t_", keys), "left_semi")
+    counted = asked.groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__c"))
+    inside = counted.withColumn("__in", F.sum("__c").over(W.partitionBy(*keys).orderBy("__value")))
+    last = F.col("__before") + F.col("__in")
+    found = inside.join(targets, _same("__t_", keys)).where((F.col("pos") < last) & (F.col("pos") >= last - F.col("__c")))
+
+    def side_value(name: str, side: str) -> Column:
+        return F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("__value")))
+
+    out = []
     for name, p in probs.items():
-        position = (F.col("__size") - 1) * F.lit(float(p))
-        low, high = F.floor(position), F.ceil(position)
-        aggregates += [F.min(F.when(F.col("__upto") > low, F.col("__value"))).alias(f"__l_{name}"),
-                       F.min(F.when(F.col("__upto") > high, F.col("__value"))).alias(f"__h_{name}"),
-                       F.first(position - low).alias(f"__f_{name}")]
-        results.append((F.col(f"__l_{name}") + (F.col(f"__h_{name}") - F.col(f"__l_{name}"))
-                        * F.col(f"__f_{name}")).alias(name))
-    return sized.groupBy(*by).agg(*aggregates).select(*by, *results)
+        position = (F.max("__size") - 1) * F.lit(float(p))
+        low, high = side_value(name, "low"), side_value(name, "high")
+        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
+    return found.groupBy(*by).agg(*out)
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, rank: str, resolution: float = 256.0) -> DataFrame:
