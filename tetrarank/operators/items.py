@@ -80,12 +80,14 @@ def build_chunks(items: DataFrame, item_id: str = "movieId", overview: str = "ov
     """One chunk per item from its cleaned overview and plot; items without text or words are left out."""
     carried = [c for c in items.columns if c not in (overview, plot)]
     combined = tx.combined_chunk_text(F.col(overview), F.col(plot))
-    # Generating the text keeps it one value per row; as a plain column every use would clean it again.
-    texts = items.select(*carried, F.explode(F.filter(F.array(combined), lambda t: t != "")).alias("text"))
-    chunks = texts.select(
-        "*", F.col(item_id).cast("string").alias("chunkId"), tx.word_count(F.col("text")).alias("n_words"),
-        F.length("text").alias("n_chars"), tx.rounded_token_estimate(F.col("text")).alias("n_tokens"))
-    return chunks.where(F.col("n_words") >= min_words) if min_words > 0 else chunks
+    # Generating text and word count keeps them one value per row; as plain columns every use would
+    # clean the text again. Cleaned text holds no white space but blanks and line breaks.
+    made = F.transform(F.array(combined), lambda t: F.struct(
+        t.alias("text"), F.regexp_count(t, F.lit("[^ \n]+")).alias("n_words")))
+    kept = F.filter(made, lambda s: (s["text"] != "") & (s["n_words"] >= min_words))
+    return (items.select(*carried, F.explode(kept).alias("__c")).select(*carried, "__c.*")
+            .select("*", F.col(item_id).cast("string").alias("chunkId"), F.length("text").alias("n_chars"),
+                    tx.rounded_token_estimate(F.col("text")).alias("n_tokens")))
 
 
 def chunk_summary(chunks: DataFrame, n_words: str = "n_words") -> DataFrame:

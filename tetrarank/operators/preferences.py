@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS, EXPERTS, NO_SIGNAL_TOLERANCE
-from tetrarank.functions import distributions as dx
-from tetrarank.functions import vectors as vx
 from tetrarank.operators.scale import with_group_stats
 
 
@@ -82,32 +80,39 @@ def prefixed_differences(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({c: F.lit(0.0) for c in wanted if c not in df.columns})
 
 
+def _sum(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
 def evidence_shapes(prefix: str) -> list[Column]:
-    """Shape statistics of one difference vector: norms, extremes, sums, entropy, concentration."""
-    v = F.array(*[F.col(f"{prefix}_{c}").cast("double") for c in DZ_COLUMNS])
-    magnitudes = F.transform(v, lambda x: F.abs(x))
-    l1 = vx.total(magnitudes)
-    share = vx.let(F.greatest(l1, F.lit(1e-9)), lambda s: F.transform(
-        magnitudes, lambda x: F.greatest(x / s, F.lit(1e-12))))
+    """Shape statistics of one difference vector: norms, extremes, sums, entropy, concentration.
+
+    Written on the four columns rather than on an array, so they stay inside generated code.
+    """
+    v = [F.col(f"{prefix}_{c}").cast("double") for c in DZ_COLUMNS]
+    magnitudes = [F.abs(x) for x in v]
+    l1, largest = _sum(magnitudes), F.greatest(*magnitudes)
+    divisor = F.greatest(l1, F.lit(1e-9))
+    shares = [F.greatest(m / divisor, F.lit(1e-12)) for m in magnitudes]
     return [
         l1.alias(f"{prefix}_l1_abs"),
-        F.sqrt(vx.dot(v, v) + F.lit(1e-12)).alias(f"{prefix}_l2"),
-        F.array_max(magnitudes).alias(f"{prefix}_max_abs"),
-        dx.argmax(magnitudes).alias(f"{prefix}_argmax_abs"),
-        vx.total(F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))).alias(f"{prefix}_pos_sum"),
-        vx.total(F.transform(v, lambda x: F.greatest(-x, F.lit(0.0)))).alias(f"{prefix}_neg_sum"),
-        dx.entropy(share, floor=1e-12).alias(f"{prefix}_entropy"),
-        (F.array_max(magnitudes) / F.greatest(l1, F.lit(1e-9))).alias(f"{prefix}_concentration"),
+        F.sqrt(_sum([x * x for x in v]) + F.lit(1e-12)).alias(f"{prefix}_l2"),
+        largest.alias(f"{prefix}_max_abs"),
+        F.coalesce(*[F.when(m == largest, F.lit(i)) for i, m in enumerate(magnitudes)]).alias(f"{prefix}_argmax_abs"),
+        _sum([F.greatest(x, F.lit(0.0)) for x in v]).alias(f"{prefix}_pos_sum"),
+        _sum([F.greatest(-x, F.lit(0.0)) for x in v]).alias(f"{prefix}_neg_sum"),
+        (-_sum([s * F.ln(s) for s in shares])).alias(f"{prefix}_entropy"),
+        (largest / divisor).alias(f"{prefix}_concentration"),
     ]
 
 
 def cross_family(left: str = "attn", right: str = "sum") -> list[Column]:
     """Dot, cosine and per-expert deltas between two families of differences."""
-    a = F.array(*[F.col(f"{left}_{c}").cast("double") for c in DZ_COLUMNS])
-    b = F.array(*[F.col(f"{right}_{c}").cast("double") for c in DZ_COLUMNS])
-    product = vx.dot(a, b)
-    lengths = F.sqrt(vx.dot(a, a) + F.lit(1e-12)) * F.sqrt(vx.dot(b, b) + F.lit(1e-12))
-    deltas = [(F.col(f"{left}_dz_{e}") - F.col(f"{right}_dz_{e}")).alias(f"delta_dz_{e}") for e in EXPERTS]
+    a = [F.col(f"{left}_{c}").cast("double") for c in DZ_COLUMNS]
+    b = [F.col(f"{right}_{c}").cast("double") for c in DZ_COLUMNS]
+    product = _sum([x * y for x, y in zip(a, b)])
+    lengths = F.sqrt(_sum([x * x for x in a]) + F.lit(1e-12)) * F.sqrt(_sum([x * x for x in b]) + F.lit(1e-12))
+    deltas = [(x - y).alias(f"delta_dz_{e}") for x, y, e in zip(a, b, EXPERTS)]
     return [product.alias(f"sim_{left}_{right}_dot"), (product / lengths).alias(f"sim_{left}_{right}_cos"), *deltas]
 
 

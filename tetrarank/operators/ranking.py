@@ -11,7 +11,7 @@ from tetrarank.constants import EXPERTS
 from tetrarank.functions import numeric as nx
 from tetrarank.functions.numeric import value_bucket
 from tetrarank.operators.blocks import block_pairs
-from tetrarank.operators.scale import running_totals, top_k, with_group_stats
+from tetrarank.operators.scale import checkpoint_dir, running_totals, top_k, with_group_stats
 
 DECIMALS = 9
 
@@ -48,7 +48,9 @@ def list_metrics(rows: DataFrame, k: int = 10, threshold: float = 0.9, by: list[
     with the best relevant row, so long lists are aggregated, not sorted.
     """
     by = by or ["method", "prompt_id"]
-    rows = rows.withColumn("__s", F.round("score", DECIMALS))
+    # Four passes read these rows; they are stored once instead of being derived four times.
+    checkpoint_dir(rows.sparkSession)
+    rows = rows.select(*by, item, relevance, F.round("score", DECIMALS).alias("__s")).checkpoint()
     predicted = top_k(rows, by, [F.desc("__s"), F.col(item)], k, rank="__r").groupBy(*by).agg(
         F.sum(_discounted(F.col(relevance), F.col("__r"))).alias("__dcg"),
         F.sum((F.col(relevance) >= threshold).cast("long")).alias("__hits"))

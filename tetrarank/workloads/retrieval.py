@@ -227,7 +227,8 @@ def emotion_columns(spark, sf):
 
 def corpus(spark, sf):
     chunk_map = v.chunks(spark, sf).select("chunk_id", F.col("movie_id").alias("item_id"))
-    chunk_vectors = v.vectors(spark, sf).select(F.col("item_id").alias("chunk_id"), "vector")
+    chunk_vectors = v.vectors(spark, sf).select(F.col("item_id").alias("chunk_id"), "vector").join(
+        chunk_map, "chunk_id", "left_semi")
     movies = v.emotions(spark, sf).select(F.floor(F.col("item_id") / 4).alias("item_id"), "emo")
     return hybrid.Corpus(chunk_map, chunk_vectors, _index(spark, sf).materialized(), v.label_centres(spark, sf), v.vectors(spark, sf),
                          _id_map(spark, sf), emotion.merge_duplicates(movies, "item_id", "mean", None))
@@ -239,7 +240,7 @@ beta_hits AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (
 unit_queries AS (SELECT query_id, user_id, list_transform(vector, lambda x: x / (sqrt(list_sum(list_transform(vector, lambda y: y * y))) + 1e-12::DOUBLE)) AS qv FROM queries),
 alpha_hits AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk
   FROM (SELECT query_id, x.item_id AS doc_id, {r('list_sum(list_transform(range(1, 65), lambda i: qv[i] * x.u[i]))')} AS score
-        FROM unit_queries, unit_vectors x) a) b WHERE rk <= 20),
+        FROM unit_queries, unit_vectors x WHERE x.item_id IN (SELECT chunk_id FROM chunks)) a) b WHERE rk <= 20),
 cf AS (SELECT c.user_id, x.item_id, list_sum(list_transform(range(1, 65), lambda i: c.vector[i] * x.u[i]))
    / (sqrt(list_sum(list_transform(c.vector, lambda y: y * y))) + 1e-12::DOUBLE) AS score FROM label_centres c, unit_vectors x),
 prior AS (SELECT user_id, item_id // 4 AS item_id, max(score) AS score FROM (
