@@ -102,3 +102,12 @@ def test_block_no_hits_and_empty(spark):
     nothing = blocks.top_k_scores(q, rows, lambda a, b: np.full((a.num_rows, b.num_rows), -np.inf), 3, query_id="q", item_id="id")
     assert nothing.count() == 0
     assert blocks.top_k_scores(q.limit(0), rows, dot_scorer(), 3, query_id="q", item_id="id").count() == 0
+
+
+def test_buckets_follow_the_order_and_keep_nulls(spark):
+    values = [None, float("-inf"), -1e300, -5e6, -70.0, -0.1, 0.0, 1e-9, 0.1, 64.0, 64.1, 1e5, 1e6, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    buckets = [r["b"] for r in df.select("id", scale.value_bucket(F.col("v")).alias("b")).orderBy("id").collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 10
+    ranks = scale.value_rank(df.withColumn("g", F.lit(1)), ["g"], "v", ["id"], "rank").orderBy("id").collect()
+    assert [r["rank"] for r in ranks] == list(range(16, 0, -1))

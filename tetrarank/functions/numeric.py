@@ -64,8 +64,15 @@ def hash_bucket(hashed: Column, hex_digits: int = 3) -> Column:
 
 
 def value_bucket(value: Column, resolution: float = 256.0) -> Column:
-    """Ascending integer bucket of a number; the far ends share the last bucket on either side."""
-    return F.floor(clip(value * F.lit(resolution), -32768.0, 32767.0)).cast("int")
+    """Ascending integer bucket of a number: even steps near zero, logarithmic ones far from it, so no
+    range of values ends up in one bucket. Null comes first and NaN last, as in a sort."""
+    scaled = value * F.lit(float(resolution))
+    size = F.abs(scaled)
+    even = 16384.0
+    step = F.when(size <= even, size).otherwise(F.lit(even) + F.log2(size / even) * 256.0)
+    bucket = F.when(F.isnan(value) | (size == float("inf")), F.when(value < 0, -(2 ** 29)).otherwise(2 ** 29)).otherwise(
+        F.floor(F.when(scaled < 0, -step).otherwise(step)).cast("int"))
+    return F.coalesce(bucket, F.lit(-(2 ** 30)))
 
 
 def group_setting(spec: str, group: Column, default: float) -> Column:

@@ -4,7 +4,7 @@ A block of queries and a block of items are scored as one numpy matrix and only
 query leave the task, so the full query-item matrix is never written, shuffled or collected.
 
 Two physical paths give the same rows:
-* a query side under a checked row bound is broadcast and items stream past it in Arrow batches;
+* a query side under checked row and byte bounds is broadcast and items stream past it in Arrow batches;
 * a larger query side is laid out with the items on a grid of (query block, item block) cells whose
   sizes are set from counts, one task per cell.
 """
@@ -27,6 +27,7 @@ Scorer = Callable[[pa.Table, pa.Table], np.ndarray]
 
 DECIMALS = 6
 CELL_SCORES = 4_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def list_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -84,7 +85,7 @@ def _score_batches(queries: pa.Table, batches: Iterator[pa.Table], scorer: Score
 
 
 def top_k_scores(queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, *, query_id: str, item_id: str,
-                 score: str = "score", keep: Callable | None = None, broadcast_rows: int = 20_000,
+                 score: str = "score", keep: Callable | None = None, broadcast_rows: int = 5_000,
                  block_rows: int = 20_000) -> DataFrame:
     """k best items per query: columns query_id, item_id, score (rounded to 6 places).
 
@@ -104,7 +105,7 @@ def top_k_scores(queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, *
                         names=arrow_schema.names).cast(arrow_schema)
 
     head = queries.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows <= broadcast_rows:
+    if head.num_rows <= broadcast_rows and head.nbytes <= BROADCAST_BYTES:
         shared = queries.sparkSession.sparkContext.broadcast(head)
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +114,7 @@ def top_k_scores(queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, *
 
         return top_k(items.mapInArrow(stream, schema), [query_id], order, k)
 
+    block_rows = max(1, min(block_rows, BROADCAST_BYTES * head.num_rows // max(1, head.nbytes)))
     q_blocks = math.ceil(queries.count() / block_rows)
     i_blocks = max(1, math.ceil(items.count() / block_rows))
     q_cells = (queries.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)))

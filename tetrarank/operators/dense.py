@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tetrarank.functions import vectors as vx
+from tetrarank.functions.numeric import hash_uniform
 from tetrarank.operators.blocks import list_matrix, top_k_scores
+from tetrarank.operators.scale import top_k
 
 
 def _scorer(metric: str):
@@ -28,7 +30,7 @@ def _scorer(metric: str):
 
 def search(queries: DataFrame, items: DataFrame, k: int, *, metric: str = "cosine", query_id: str = "query_id",
            item_id: str = "item_id", vector: str = "vector", allowed: DataFrame | None = None,
-           filter_mode: str = "pre", oversample: int = 4, broadcast_rows: int = 20_000) -> DataFrame:
+           filter_mode: str = "pre", oversample: int = 4, broadcast_rows: int = 5_000) -> DataFrame:
     """k best items per query: query_id, item_id, score.
 
     `ip` scores the unit query against items as stored, `cosine` against unit items, `l2` returns the
@@ -49,7 +51,6 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, metric: str = "cosin
     hits = top_k_scores(q, x, _scorer(metric), first, query_id="query_id", item_id="item_id",
                         broadcast_rows=broadcast_rows)
     if allowed is not None and filter_mode == "post":
-        from tetrarank.operators.scale import top_k
         hits = top_k(hits.join(ids, "item_id", "left_semi"), ["query_id"], [F.desc("score"), F.col("item_id")], k)
     if metric == "l2":
         hits = hits.withColumn("score", F.abs("score"))
@@ -70,7 +71,6 @@ def probe(queries: DataFrame, items: DataFrame, *, query_id: str = "query_id", v
     """
     base = items
     if sample_share is not None:
-        from tetrarank.functions.numeric import hash_uniform
         base = items.where(hash_uniform(F.col(item_id), seed="probe") < sample_share)
     centred = queries.withColumn("__centre", mean_vector(base, vector).scalar())
     return centred.select(F.col(query_id).alias("query_id"), vx.norm(F.col(vector)).alias("query_norm"),

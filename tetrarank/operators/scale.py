@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from tetrarank.functions.numeric import hash_bucket, hash_text, value_bucket
 
-BROADCAST_ROWS = 100_000
 
-
-def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/checkpoints") -> None:
-    """Use the shared checkpoint folder named by the cluster; set one only where none is named."""
+def checkpoint_dir(spark: SparkSession, local_fallback: str = "/tmp/checkpoints") -> None:
+    """Use the shared checkpoint folder named by the cluster. Only a local session may go without one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", fallback))
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or local_fallback)
 
 
 def fits_in(df: DataFrame, rows: int) -> bool:
@@ -30,11 +32,6 @@ def fits_in(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; larger frames are left to a shuffled, skew-split join."""
-    return F.broadcast(df) if fits_in(df, rows) else df
-
-
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark limits each group to k rows before the shuffle as well as after."""
     name = rank or "__rank"

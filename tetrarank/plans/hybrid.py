@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.constants import EXPERTS
 from tetrarank.operators import bm25, collaborative, dense, emotion, scoring
+from tetrarank.operators.scale import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,9 @@ def expert_table(corpus: Corpus, queries: DataFrame, k: int, *, how: str = "sum"
         frames["__prior"] = prior(corpus, queries, prior_k)
     joined = scoring.outer_union(frames, ["query_id", "item_id"])
     found = {e: F.col(e) if e in frames else F.lit(0.0) for e in ("alpha", "beta")}
-    base = joined.select("query_id", "item_id", *[c.alias(f"score_{e}") for e, c in found.items()])
+    # The candidate lists feed gamma, the join and both passes of the z-scores: stored, they are retrieved once.
+    checkpoint_dir(queries.sparkSession)
+    base = joined.select("query_id", "item_id", *[c.alias(f"score_{e}") for e, c in found.items()]).checkpoint()
     gamma = candidate_prior(corpus, base, queries).withColumnRenamed("score", "score_gamma")
     with_gamma = base.join(gamma, ["query_id", "item_id"], "left").withColumn(
         "score_gamma", F.coalesce("score_gamma", F.lit(0.0)))
