@@ -82,3 +82,11 @@ def per_batch(schema: pa.Schema, work: Callable[[pa.RecordBatch], dict]) -> Call
 def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
     """Number of buckets: at least four per shuffle partition, and no more than `each` rows in one on average."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now rather than when the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tetrarank.llm import exact_dedup, fingerprints, language_id, minhash, mixing, packing, quality, toxicity, warc
+from tetrarank.llm import exact_dedup, fingerprints, language_id, minhash, mixing, packing, quality, suffix_dedup, toxicity, warc
 from tetrarank.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048).drop("row")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), 400).drop("spans")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -51,7 +55,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mixing, op2_warc_round_trip, op3_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_toxicity, op8_language_id, op9_quality,
+    op1_source_mixing, op2_warc_round_trip, op3_best_fit_packing, op4_suffix_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_toxicity, op8_language_id, op9_quality,
     op10_document_fingerprints)}
 
 #: Lowers A-Z and nothing else.
