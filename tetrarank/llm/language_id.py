@@ -82,7 +82,7 @@ class Languages:
         self.size = len(self.alphabet) + 1
         tables = [automaton([self.alphabet[c] for c in samples[n]], self.size) for n in self.names]
         self.bits = np.array([np.log2(max(2, len(samples[n]))) for n in self.names])
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]])
+        starts = np.cumsum([0, *[len(t) for t in tables]], dtype=np.int64)[:-1]
         moved = [np.where(t >= 0, t + s, ~(~t + s)) for t, s in zip(tables, starts, strict=True)]
         self.table = (np.concatenate(moved) if moved else np.empty((0, self.size))).astype(np.int32).ravel()
         self.roots = starts.astype(np.int64)
