@@ -104,8 +104,9 @@ def test_item_filters(spark):
     assert ids() == {1, 2, 3, 4} and ids(language="en") == {1, 3} and ids(year_gte=1990) == {1, 3}
     assert ids(year_lte=2000, adult=False) == {1} and ids(kind="x") == {1, 2, 3, 4}
     ratings = spark.createDataFrame([(7, 1, 5), (8, 2, 1)], "user_id long, item_id long, rating int")
-    rated = {r["movieId"]: r["user_rating"] for r in items.with_history(rows, ratings, 7, "movieId").collect()}
-    assert rated == {1: 5, 2: None, 3: None, 4: None}
+    asked = rows.select("movieId", F.explode(F.array(F.lit(7), F.lit(8))).alias("user_id"))
+    rated = {(r["user_id"], r["movieId"]): r["user_rating"] for r in items.with_history(asked, ratings, "movieId").collect()}
+    assert len(rated) == 8 and {k: n for k, n in rated.items() if n is not None} == {(7, 1): 5, (8, 2): 1}
     done = spark.createDataFrame([("1",)] * 3 + [("2",)], "prompt_id string")
     want = spark.createDataFrame([("1",), ("2",), ("3",)], "prompt_id string")
     assert {(r["prompt_id"], r["n_results"]) for r in items.incomplete_prompts(want, done, 2).collect()} == {("2", 1), ("3", 0)}

@@ -58,7 +58,7 @@ def hash_uniform(*parts, seed: str = "42") -> Column:
     return F.conv(F.substring(hash_text(*parts, seed=seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def hash_bucket(hashed: Column, hex_digits: int = 3) -> Column:
+def hash_bucket(hashed: Column, hex_digits: int = 4) -> Column:
     """Leading hex digits as an integer; ascends with the hash text."""
     return F.conv(F.substring(hashed, 1, hex_digits), 16, 10).cast("int")
 

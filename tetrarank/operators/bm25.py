@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,36 +13,58 @@ from pyspark.sql import functions as F
 
 from tetrarank.constants import BM25_B, BM25_K1
 from tetrarank.functions import text as tx
+from tetrarank.operators import items
 from tetrarank.operators.blocks import top_k_scores
-from tetrarank.operators.scale import checkpoint_dir
+from tetrarank.operators.scale import checkpoint_dir, top_k
 
-TERM_CHUNK = 512
+PAIRS = 4_000_000
 
 
 @dataclass(frozen=True)
 class BM25Index:
-    """postings(doc_id, term, tf, dl), terms(term, df), stats(n_docs, avgdl): three tables, nothing else."""
+    """docs(doc_id, dl, terms, tfs), terms(term, df), stats(n_docs, avgdl): three tables, nothing else.
 
-    postings: DataFrame
+    A document's distinct words and their counts lie in its own row, so neither building nor searching shuffles postings.
+    """
+
+    docs: DataFrame
     terms: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf, dl: a row per distinct word of a document."""
+        pairs = self.docs.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        return pairs.select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl")
+
     def write(self, path: str, partitions: int | None = None) -> None:
-        postings = self.postings.repartition(partitions, "doc_id") if partitions else self.postings
-        postings.write.mode("overwrite").parquet(f"{path}/postings")
+        docs = self.docs.repartition(partitions, "doc_id") if partitions else self.docs
+        docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     def materialized(self) -> BM25Index:
-        """Postings and statistics stored in the checkpoint folder, so that the searches that follow share
-        one pass over the texts."""
-        checkpoint_dir(self.postings.sparkSession)
-        postings = self.postings.checkpoint()
-        return BM25Index(postings, document_frequencies(postings), self.stats.checkpoint())
+        """Documents stored in the checkpoint folder, so that the searches that follow share one pass over the texts."""
+        checkpoint_dir(self.docs.sparkSession)
+        return index_of(self.docs.checkpoint())
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> BM25Index:
-        return BM25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
+        return BM25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "terms", "stats")])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tokens) to (doc_id, dl, terms, tfs), counted within each row for a whole batch at once."""
+    for batch in batches:
+        tokens = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        codes = tokens.flatten().dictionary_encode()
+        width = max(1, len(codes.dictionary))
+        pairs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) * width).astype(np.int32)
+        terms = pa.ListArray.from_arrays(pa.array(offsets), codes.dictionary.take(pa.array(pairs % width)))
+        tfs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), terms, tfs], names=["doc_id", "dl", "terms", "tfs"])
 
 
 def build_index(docs: DataFrame, doc_id: str, tokens: Column) -> BM25Index:
@@ -49,18 +72,16 @@ def build_index(docs: DataFrame, doc_id: str, tokens: Column) -> BM25Index:
 
     A document without tokens counts with length one, so it still weighs on the average length.
     """
-    tokenized = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("tokens"))
-    lengths = tokenized.select("doc_id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"))
-    postings = (tokenized
-                .select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-                .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-                .select("doc_id", "term", "tf", "dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return BM25Index(postings, document_frequencies(postings), stats)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    counted = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).mapInArrow(
+        _count_words, f"doc_id {kind}, dl bigint, terms array<string>, tfs array<bigint>")
+    return index_of(counted)
 
 
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def index_of(docs: DataFrame) -> BM25Index:
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest("dl", F.lit(1))).alias("avgdl"))
+    df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return BM25Index(docs, df, stats)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -94,7 +115,10 @@ def _ragged(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _score_matrix(queries: pa.Table, docs: pa.Table) -> np.ndarray:
-    """Sum over shared terms of query weight times document gain; -inf where no term is shared."""
+    """Sum over shared terms of query weight times document gain; -inf where no term is shared.
+
+    A sparse product: the documents' entries are sorted by term, and each query term meets just those of its own.
+    """
     words, q_row = _ragged(queries.column("terms"))
     weights, _ = _ragged(queries.column("weights"))
     doc_words, d_row = _ragged(docs.column("terms"))
@@ -102,48 +126,61 @@ def _score_matrix(queries: pa.Table, docs: pa.Table) -> np.ndarray:
     vocabulary = pc.unique(words)
     q_term = pc.index_in(words, vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
     d_term = pc.fill_null(pc.index_in(doc_words, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    w, g = weights.to_numpy(zero_copy_only=False), gains.to_numpy(zero_copy_only=False)
-    scores = np.zeros((queries.num_rows, docs.num_rows))
-    shared = np.zeros((queries.num_rows, docs.num_rows), np.float32)
-    for start in range(0, len(vocabulary), TERM_CHUNK):
-        size = min(TERM_CHUNK, len(vocabulary) - start)
-        in_q = (q_term >= start) & (q_term < start + size)
-        in_d = (d_term >= start) & (d_term < start + size)
-        left = np.zeros((queries.num_rows, size))
-        left[q_row[in_q], q_term[in_q] - start] = w[in_q]
-        has_left = np.zeros((queries.num_rows, size), np.float32)
-        has_left[q_row[in_q], q_term[in_q] - start] = 1
-        right = np.zeros((size, docs.num_rows))
-        right[d_term[in_d] - start, d_row[in_d]] = g[in_d]
-        scores += left @ right
-        shared += has_left @ (right > 0).astype(np.float32)
-    return np.where(shared > 0, scores, -np.inf)
+    known = np.flatnonzero(d_term >= 0)
+    known = known[np.argsort(d_term[known], kind="stable")]
+    gain, row = gains.to_numpy(zero_copy_only=False)[known], d_row[known]
+    bounds = np.searchsorted(d_term[known], np.arange(len(vocabulary) + 1))
+    weight = weights.to_numpy(zero_copy_only=False)
+    width = docs.num_rows
+    scores, shared = np.zeros(queries.num_rows * width), np.zeros(queries.num_rows * width, bool)
+    sizes = (bounds[1:] - bounds[:-1])[q_term]
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(q_term):  # a bounded number of products at a time
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+        n = sizes[first:last]
+        at = np.repeat(bounds[q_term[first:last]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(q_row[first:last], n) * width + row[at]
+        scores += np.bincount(cell, weights=np.repeat(weight[first:last], n) * gain[at], minlength=len(scores))
+        shared[cell] = True
+        first = last
+    return np.where(shared, scores, -np.inf).reshape(queries.num_rows, width)
 
 
 def search(index: BM25Index, queries: DataFrame, k: int, *, query_id: str = "query_id", text: str = "text",
            k1: float = BM25_K1, b: float = BM25_B, negative: str = "keep", doc_filter: DataFrame | None = None,
+           filters: DataFrame | None = None, meta: DataFrame | None = None, filter_mode: str = "pre", oversample: int = 5,
            broadcast_rows: int = 5_000) -> DataFrame:
     """k best documents per query: query_id, doc_id, score.
 
-    Postings are cut down to the words of the queries before they are grouped per document, and the
-    scores of a block of documents are one matrix product, so a frequent word adds a column to a matrix
-    rather than a row per (query, document) pair to a shuffle. `doc_filter` holds allowed doc_ids.
+    Scores of a block of documents are one sparse product with the block of queries, so a frequent word adds no row
+    per (query, document) pair to a shuffle. `doc_filter` holds allowed doc_ids for all queries; `filters` has a row
+    of conditions per query (see `items.FILTERS`), met by the columns of `meta` (doc_id, ...). With filter_mode="post" both
+    apply after a cut at k * oversample, and fewer than k may remain.
     """
     asked = query_terms(queries, query_id, text)
     weighted = asked.join(term_weights(index, negative), "term").withColumn("weight", F.col("idf") * F.col("qtf"))
     packed = weighted.groupBy("query_id").agg(
         F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    vocabulary = asked.select("term").distinct()
-    postings = index.postings.join(vocabulary, "term", "left_semi")
-    if doc_filter is not None:
-        postings = postings.join(doc_filter.select("doc_id"), "doc_id", "left_semi")
     avgdl = index.stats.select("avgdl").scalar()
-    gain = (F.col("tf") * F.lit(k1 + 1.0)
-            / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)))
-    documents = (postings.withColumn("gain", gain).groupBy("doc_id")
-                 .agg(F.collect_list("term").alias("terms"), F.collect_list("gain").alias("gains")))
-    return top_k_scores(packed, documents, _score_matrix, k, query_id="query_id", item_id="doc_id",
-                        broadcast_rows=broadcast_rows)
+    gains = F.transform("tfs", lambda tf: tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("__avgdl"))))
+    documents = index.docs.where(F.size("terms") > 0).withColumn("__avgdl", avgdl).select("doc_id", "terms", gains.alias("gains"))
+    allowed = None if doc_filter is None else doc_filter.select("doc_id").distinct()
+    post = filter_mode == "post"
+    first, keep = (k * max(1, oversample) if post else k), None
+    if not post:
+        if allowed is not None:
+            documents = documents.join(allowed, "doc_id", "left_semi")
+        if filters is not None:
+            packed, documents, keep = items.with_filters(packed, documents, filters, meta, "query_id", "doc_id")
+    hits = top_k_scores(packed, documents, _score_matrix, first, query_id="query_id", item_id="doc_id", keep=keep, broadcast_rows=broadcast_rows)
+    if post:
+        if allowed is not None:
+            hits = hits.join(allowed, "doc_id", "left_semi")
+        if filters is not None:
+            hits = items.passing(hits, filters, meta, "query_id", "doc_id")
+        hits = top_k(hits, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    return hits.select("query_id", "doc_id", "score")
 
 
 def index_report(index: BM25Index, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:

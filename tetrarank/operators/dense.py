@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.functions import vectors as vx
 from tetrarank.functions.numeric import hash_uniform
+from tetrarank.operators import items as item_tables
 from tetrarank.operators.blocks import list_matrix, top_k_scores
 from tetrarank.operators.scale import top_k
 
@@ -29,29 +30,36 @@ def _scorer(metric: str):
 
 
 def search(queries: DataFrame, items: DataFrame, k: int, *, metric: str = "cosine", query_id: str = "query_id",
-           item_id: str = "item_id", vector: str = "vector", allowed: DataFrame | None = None,
-           filter_mode: str = "pre", oversample: int = 4, broadcast_rows: int = 5_000) -> DataFrame:
-    """k best items per query: query_id, item_id, score.
+           item_id: str = "item_id", vector: str = "vector", allowed: DataFrame | None = None, filters: DataFrame | None = None,
+           meta: DataFrame | None = None, filter_mode: str = "pre", oversample: int = 5, broadcast_rows: int = 5_000) -> DataFrame:
+    """k best items per query: query_id, item_id, score. Rows without a vector are left out.
 
     `ip` scores the unit query against items as stored, `cosine` against unit items, `l2` returns the
-    squared distance, smallest first. `allowed` (item_id) restricts the items before the cut, or with
-    filter_mode="post" after a cut at k * oversample, in which case fewer than k may remain.
+    squared distance, smallest first. `allowed` (item_id) restricts the items of all queries; `filters` has a row of conditions
+    per query (see `items.FILTERS`), met by the columns of `meta`. Both apply before the cut, or with filter_mode="post"
+    after a cut at k * oversample, in which case fewer than k may remain.
     """
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
-    x = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("vector"))
-    first = k
-    if allowed is not None:
-        ids = allowed.select(F.col(item_id).alias("item_id"))
-        if filter_mode == "pre":
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector")).where("vector is not null")
+    x = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("vector")).where("vector is not null")
+    ids = None if allowed is None else allowed.select(F.col(item_id).alias("item_id"))
+    about = None if meta is None else meta.withColumnRenamed(item_id, "item_id")
+    asked = None if filters is None else filters.withColumnRenamed(query_id, "query_id")
+    post = filter_mode == "post"
+    first, keep = (k * max(1, oversample) if post else k), None
+    if not post:
+        if ids is not None:
             x = x.join(ids, "item_id", "left_semi")
-        else:
-            first = max(k, k * max(1, oversample))
-    hits = top_k_scores(q, x, _scorer(metric), first, query_id="query_id", item_id="item_id",
-                        broadcast_rows=broadcast_rows)
-    if allowed is not None and filter_mode == "post":
-        hits = top_k(hits.join(ids, "item_id", "left_semi"), ["query_id"], [F.desc("score"), F.col("item_id")], k)
+        if asked is not None:
+            q, x, keep = item_tables.with_filters(q, x, asked, about, "query_id", "item_id")
+    hits = top_k_scores(q, x, _scorer(metric), first, query_id="query_id", item_id="item_id", keep=keep, broadcast_rows=broadcast_rows)
+    if post:
+        if ids is not None:
+            hits = hits.join(ids, "item_id", "left_semi")
+        if asked is not None:
+            hits = item_tables.passing(hits, asked, about, "query_id", "item_id")
+        hits = top_k(hits, ["query_id"], [F.desc("score"), F.col("item_id")], k)
     if metric == "l2":
         hits = hits.withColumn("score", F.abs("score"))
     return hits.select("query_id", "item_id", "score")

@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,20 +34,40 @@ def embed_hashed(texts: DataFrame, key: str, text: str, dim: int = 64, window: i
                  name: str = "embedding") -> DataFrame:
     """Hashed term counts per window, averaged over the windows of a text and scaled to unit length.
 
-    Each window is its own row, so one long text is spread over tasks; averaging is a partial aggregate
-    over vectors. Texts without tokens get a zero vector.
+    A word's place is its md5 modulo `dim`. The mean over windows counts each word once per window that
+    covers it, so no window is built: words are weighted by position and added up by place, with
+    partial sums on the way. Texts without tokens get a zero vector.
     """
-    pieces = texts.select(key, F.explode(windows(tx.tokens(F.col(text)), window, overlap)).alias("__tokens"))
-    counted = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim).transform(pieces)
-    vectors = counted.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("__tf"))).alias("__v"))
-    return vectors.select(key, vx.l2_normalize(F.col("__v")).cast("array<float>").alias(name),
-                          F.lit(f"hashing-tf-{dim}").alias(f"{name}_model"), F.lit(dim).alias(f"{name}_dim"))
+    step = max(1, window - overlap)
+    size, place = F.col("__n"), F.col("__at")
+    count = F.greatest(F.ceil((size - window) / F.lit(float(step))) + 1, F.lit(1))
+    covering = F.least(count - 1, F.floor(place / step)) - F.greatest(F.ceil((place - window + 1) / F.lit(float(step))), F.lit(0)) + 1
+    listed = texts.select(key, tx.tokens(F.col(text)).alias("__t")).select(key, F.size("__t").alias("__n"), F.posexplode_outer("__t").alias("__at", "__w"))
+    slot = F.pmod(F.conv(F.substring(F.md5("__w"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sums = listed.groupBy(key, slot.alias("__d")).agg(F.sum(covering / count).alias("__v"))
+    packed = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("__d").isNotNull(), F.struct("__d", "__v")))).alias("__m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("__m", d), F.lit(0.0)))
+    return packed.select(key, vx.l2_normalize(dense).cast("array<float>").alias(name),
+                         F.lit(f"hashing-md5-{dim}").alias(f"{name}_model"), F.lit(dim).alias(f"{name}_dim"))
 
 
 def embed_with(texts: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int,
-               model: str, name: str = "embedding", normalize: bool = True) -> DataFrame:
-    """Embeddings from any encoder: `load()` runs once per task and returns encode(list of texts)."""
+               model: str, name: str = "embedding", normalize: bool = True, window: int = 0, overlap: int = 0) -> DataFrame:
+    """Embeddings from any encoder: `load()` runs once per task and returns encode(list of texts).
+
+    With `window`, texts are cut into overlapping windows of that many white-space words, each is encoded, and
+    a text gets the mean of its windows' vectors, scaled to unit length if `normalize`.
+    """
     key_type = texts.schema[key].dataType.simpleString()
+    if window:
+        words = F.split(tx.strip(tx.or_empty(F.col(text))), r"\s+")
+        cut = texts.select(key, F.posexplode(windows(words, window, overlap)).alias("__window", "__words"))
+        parts = embed_with(cut.select(F.struct(key, "__window").alias("__part"), F.array_join("__words", " ").alias(text)),
+                           "__part", text, load, dim, model, name, normalize)
+        mean = vector_to_array(Summarizer.mean(array_to_vector(vx.as_double(F.col(name)))))
+        out = parts.groupBy(F.col(f"__part.{key}").alias(key)).agg(mean.alias(name))
+        vector = vx.l2_normalize(F.col(name)) if normalize else F.col(name)
+        return out.select(key, vector.cast("array<float>").alias(name), F.lit(model).alias(f"{name}_model"), F.lit(dim).alias(f"{name}_dim"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = load()
@@ -94,32 +114,48 @@ def proxy_scores(rows: DataFrame) -> DataFrame:
     return scored.withColumn("combined", combined)
 
 
-def _membership(table: pa.Table, column: str, vocabulary: dict) -> np.ndarray:
-    out = np.zeros((table.num_rows, len(vocabulary) + 1))
-    for r, values in enumerate(table.column(column).to_pylist()):
-        for v in set(values or []):
-            out[r, vocabulary.get(v, len(vocabulary))] += 1 if v in vocabulary else 0
-    return out[:, :-1]
+def _codes(table: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values per row of a list column, flattened, with their rows."""
+    array = table.column(column).combine_chunks()
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks) if array.num_chunks else pa.array([], array.type)
+    rows = np.repeat(np.arange(len(array)), pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False))
+    flat = array.flatten()
+    if not len(flat):
+        return flat, rows
+    codes = flat.dictionary_encode()
+    pairs = np.unique(rows * len(codes.dictionary) + codes.indices.to_numpy(zero_copy_only=False))
+    return codes.dictionary.take(pa.array(pairs % len(codes.dictionary))), pairs // len(codes.dictionary)
 
 
-def _set_sizes(table: pa.Table, column: str) -> np.ndarray:
-    return np.array([len(set(v or [])) for v in table.column(column).to_pylist()], dtype=np.float64)
+def _matrix(values: pa.Array, rows: np.ndarray, vocabulary: pa.Array, n: int) -> np.ndarray:
+    out = np.zeros((n, max(1, len(vocabulary))), np.float32)
+    at = pc.fill_null(pc.index_in(values, vocabulary), -1).to_numpy(zero_copy_only=False)
+    out[rows[at >= 0], at[at >= 0]] = 1.0
+    return out
 
 
 def _proxy_matrix(prompts: pa.Table, items: pa.Table) -> np.ndarray:
     """Combined proxy score of a block of prompts against a block of items, as set-overlap matrix products."""
+    sets = {(t, c): _codes(table, c) for t, table, names in (
+        ("p", prompts, ("target_genres", "negative_genres", "prompt_tokens", "liked_genres", "disliked_genres")),
+        ("i", items, ("genres", "title_tokens"))) for c in names}
+    count = {"p": prompts.num_rows, "i": items.num_rows}
+
+    def size(side: str, column: str) -> np.ndarray:
+        return np.bincount(sets[side, column][1], minlength=count[side]).astype(np.float64)
+
     def overlap(p_column: str, i_column: str) -> np.ndarray:
-        values = sorted({v for row in prompts.column(p_column).to_pylist() for v in (row or [])})
-        vocabulary = {v: n for n, v in enumerate(values)}
-        return _membership(prompts, p_column, vocabulary) @ _membership(items, i_column, vocabulary).T
+        vocabulary = pc.unique(sets["p", p_column][0])
+        return (_matrix(*sets["p", p_column], vocabulary, count["p"]) @ _matrix(*sets["i", i_column], vocabulary, count["i"]).T).astype(np.float64)
 
     def similarity(p_column: str, i_column: str) -> np.ndarray:
         both = overlap(p_column, i_column)
-        sizes = _set_sizes(prompts, p_column)[:, None]
-        union = sizes + _set_sizes(items, i_column)[None, :] - both
+        sizes = size("p", p_column)[:, None]
+        union = sizes + size("i", i_column)[None, :] - both
         return np.where((sizes > 0) & (union > 0), both / np.maximum(union, 1.0), 0.0)
 
-    wanted, unwanted = _set_sizes(prompts, "target_genres"), _set_sizes(prompts, "negative_genres")
+    wanted, unwanted = size("p", "target_genres"), size("p", "negative_genres")
     plot = np.where(wanted[:, None] > 0, overlap("target_genres", "genres") / np.maximum(wanted, 1.0)[:, None], 0.5)
     plot = plot - np.where(unwanted[:, None] > 0,
                            0.5 * overlap("negative_genres", "genres") / np.maximum(unwanted, 1.0)[:, None], 0.0)

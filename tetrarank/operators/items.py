@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,77 @@ def metadata_filter(columns: list[str], *, language=None, year_gte: int | None =
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
+#: Columns of a table of filters, one row per query; null means no condition.
+FILTERS = {"f_language": "array<string>", "f_year_gte": "int", "f_year_lte": "int", "f_adult": "boolean", "f_kind": "array<string>"}
+_META = {"original_language": "string", "release_date": "string", "adult": "boolean", "type": "string"}
+
+
+def _conditions(filters: DataFrame, query_id: str) -> DataFrame:
+    """One row per query with all columns of FILTERS; those that are absent are null."""
+    return filters.select(F.col(query_id).alias("__q"), *[
+        (F.col(c) if c in filters.columns else F.lit(None)).cast(t).alias(c) for c, t in FILTERS.items()])
+
+
+def _described(meta: DataFrame, item_id: str) -> DataFrame:
+    """What conditions look at, one row per item; a condition on a column that `meta` lacks passes."""
+    year = F.year(F.col("release_date").cast("string").try_cast("date")) if "release_date" in meta.columns else F.lit(None)
+    columns = [F.col(c).cast(t) if c in meta.columns else F.lit(None).cast(t) for c, t in _META.items() if c != "release_date"]
+    rows = meta.select(F.col(item_id).alias("__i"), year.cast("int").alias("m_year"), *[c.alias(n) for c, n in zip(columns, ("m_language", "m_adult", "m_kind"))])
+    return first_row(rows, ["__i"], [F.col("m_year"), F.col("m_language"), F.col("m_kind")])
+
+
+def _checked(meta: DataFrame) -> dict[str, bool]:
+    return {"language": "original_language" in meta.columns, "year": "release_date" in meta.columns, "adult": "adult" in meta.columns,
+            "kind": "type" in meta.columns}
+
+
+def passing(hits: DataFrame, filters: DataFrame, meta: DataFrame, query_id: str, item_id: str) -> DataFrame:
+    """Hits whose item meets the conditions of their query; queries without a row of conditions keep all their hits."""
+    has, c = _checked(meta), F.col
+    joined = hits.join(_conditions(filters, query_id), c(query_id) == c("__q"), "left").join(_described(meta, item_id), c(item_id) == c("__i"), "left")
+    terms = {"language": c("f_language").isNull() | F.array_contains("f_language", c("m_language")),
+             "year": (c("f_year_gte").isNull() | (c("m_year") >= c("f_year_gte"))) & (c("f_year_lte").isNull() | (c("m_year") <= c("f_year_lte"))),
+             "adult": c("f_adult").isNull() | (c("m_adult") == c("f_adult")), "kind": c("f_kind").isNull() | F.array_contains("f_kind", c("m_kind"))}
+    return joined.where(reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for n, t in terms.items() if has[n]], F.lit(True))).select(*hits.columns)
+
+
+def with_filters(queries: DataFrame, items: DataFrame, filters: DataFrame, meta: DataFrame, query_id: str, item_id: str):
+    """(queries, items, keep) for a block search that drops pairs before the cut, each query by its own conditions."""
+    has = _checked(meta)
+    asked = queries.join(_conditions(filters, query_id), F.col(query_id) == F.col("__q"), "left").drop("__q")
+    described = items.join(_described(meta, item_id), F.col(item_id) == F.col("__i"), "left").drop("__i")
+
+    def keep(q: pa.Table, i: pa.Table) -> np.ndarray:
+        out = np.ones((q.num_rows, i.num_rows), bool)
+
+        def column(t: pa.Table, name: str) -> list:
+            return t.column(name).to_pylist()
+
+        for name, listed, found in (("language", "f_language", "m_language"), ("kind", "f_kind", "m_kind")):
+            if has[name]:
+                code = {x: k for k, x in enumerate(sorted({x for x in column(i, found) if x is not None}))}
+                own = np.array([code.get(x, len(code)) for x in column(i, found)])
+                for row, allowed in enumerate(column(q, listed)):
+                    if allowed is not None:
+                        wanted = np.zeros(len(code) + 1, bool)
+                        wanted[[code[x] for x in allowed if x in code]] = True
+                        out[row] &= wanted[own]
+        if has["year"]:
+            year = np.array([np.nan if y is None else y for y in column(i, "m_year")], np.float64)
+            for bound, better in (("f_year_gte", np.greater_equal), ("f_year_lte", np.less_equal)):
+                for row, y in enumerate(column(q, bound)):
+                    if y is not None:
+                        out[row] &= better(year, y)
+        if has["adult"]:
+            adult = np.array([-1 if x is None else int(x) for x in column(i, "m_adult")])
+            for row, x in enumerate(column(q, "f_adult")):
+                if x is not None:
+                    out[row] &= adult == int(x)
+        return out
+
+    return asked, described, keep
+
+
 def filter_items(items: DataFrame, **conditions) -> DataFrame:
     return items.where(metadata_filter(items.columns, **conditions))
 
@@ -115,11 +188,11 @@ def pending_rows(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.trim(F.coalesce(F.col(column), F.lit(""))) == "")
 
 
-def with_history(items: DataFrame, ratings: DataFrame, user: int, item_id: str = "item_id") -> DataFrame:
-    """Items with one user's rating, null where not rated."""
-    mine = (ratings.where(F.col("user_id") == user)
-            .groupBy(F.col("item_id").alias("__item")).agg(F.max("rating").alias("user_rating")))
-    return items.join(mine, F.col(item_id) == F.col("__item"), "left").drop("__item")
+def with_history(candidates: DataFrame, ratings: DataFrame, item_id: str = "item_id", user_id: str = "user_id") -> DataFrame:
+    """Candidates of many users with each user's own rating of the item, null where not rated."""
+    best = ratings.groupBy(F.col("user_id").alias("__user"), F.col("item_id").alias("__item")).agg(F.max("rating").alias("user_rating"))
+    same = (F.col(user_id) == F.col("__user")) & (F.col(item_id) == F.col("__item"))
+    return candidates.join(best, same, "left").drop("__user", "__item")
 
 
 def incomplete_prompts(prompts: DataFrame, results: DataFrame, minimum: int, key: str = "prompt_id") -> DataFrame:
@@ -137,11 +210,11 @@ def best_k_lists(rows: DataFrame, k: int, by: str = "prompt_id", score: str = "s
 
 def score_pools(scored: DataFrame, by: str, score: str, item_id: str, floor: int = 50, share: int = 10,
                 resolution: float = 256.0) -> DataFrame:
-    """Adds rank, n and pool (top, low or mid): the best and the worst max(floor, n / share) items of each
-    prompt and the rest. Where the pools overlap an item counts as top."""
+    """Adds rank, n and is_top, is_low, is_mid: the best and the worst max(floor, n / share) items of each
+    prompt and those between. In a short list an item can be in the top and in the low pool."""
     from tetrarank.operators.scale import value_rank, with_group_stats
     ranked = value_rank(scored, [by], score, [item_id], "rank", resolution)
     sized = with_group_stats(ranked, [by], [F.count(F.lit(1)).alias("n")])
     size = F.greatest(F.lit(floor), F.floor(F.col("n") / share))
-    return sized.withColumn("pool", F.when(F.col("rank") <= size, "top")
-                            .when(F.col("rank") > F.col("n") - size, "low").otherwise("mid"))
+    return sized.withColumns({"is_top": F.col("rank") <= size, "is_low": F.col("rank") > F.col("n") - size,
+                              "is_mid": (F.col("rank") > size) & (F.col("rank") <= F.col("n") - size)})

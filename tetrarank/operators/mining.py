@@ -13,49 +13,54 @@ from tetrarank.operators.scale import checkpoint_dir, top_k
 LEVELS = ["easy", "medium", "hard"]
 PER_LEVEL = 3
 MAX_USES = 3
-# Nine pairs use items 18 times, so at most six items are used up and eight partners are taken:
-# 9 anchors and 16 partners per anchor always leave a free choice if the pools hold one.
-ANCHORS = PER_LEVEL + 2 * PER_LEVEL * len(LEVELS) // MAX_USES
-PARTNERS = 16
 
 
-def candidate_pairs(scored: DataFrame, *, by: str = "prompt_id", item_id: str = "item_id", score: str = "score",
-                    seed: str = "42") -> DataFrame:
-    """Anchors and partners per prompt and level, each in md5 order and cut to a fixed number.
+def needed(per_level: int, max_uses: int) -> tuple[int, int]:
+    """(anchors, partners per anchor) that leave a free choice whenever the list holds one.
+
+    All pairs of a prompt use up at most `spent` items. An anchor can also have met `max_uses` - 1 partners before.
+    """
+    spent = 2 * per_level * len(LEVELS) // max_uses
+    return per_level + spent, spent + max_uses
+
+
+def candidate_pairs(scored: DataFrame, *, by: str = "prompt_id", item_id: str = "item_id", score: str = "score", seed: str = "42",
+                    per_level: int = PER_LEVEL, max_uses: int = MAX_USES) -> DataFrame:
+    """Anchors and partners per prompt and level, each in md5 order and cut to what a choice can need.
 
     easy: top against low; medium: middle pool with a gap in (0.2, 0.5); hard: top pool with a gap under
-    0.2. Partners outside the gap follow those inside it. Every prompt yields at most 432 rows whatever
-    the size of its list, and pools are never paired exhaustively: only nine anchors meet a pool.
+    0.2. Pools of short lists overlap. Partners outside the gap follow those inside it, and items outside the pool
+    follow those inside it, so a pool that is too small is made up from the whole list. Pools are never paired
+    exhaustively: only a fixed number of anchors meets a list.
     """
     checkpoint_dir(scored.sparkSession)
+    n_anchors, n_partners = needed(per_level, max_uses)
     pools = score_pools(scored.select(by, item_id, score), by, score, item_id)
     # Anchors and partners both read the pools, so the ranking behind them is done once and stored.
-    keyed = pools.select(by, F.col(item_id).alias("item"), F.col(score).alias("s"), "pool").checkpoint()
+    keyed = pools.select(by, F.col(item_id).alias("item"), F.col(score).alias("s"), "is_top", "is_low", "is_mid").checkpoint()
     roles = F.explode(F.array(
-        F.struct(F.lit("easy").alias("level"), F.lit("top").alias("anchor_pool"), F.lit("low").alias("partner_pool")),
-        F.struct(F.lit("medium").alias("level"), F.lit("mid").alias("anchor_pool"), F.lit("mid").alias("partner_pool")),
-        F.struct(F.lit("hard").alias("level"), F.lit("top").alias("anchor_pool"), F.lit("top").alias("partner_pool"))))
-    roled = keyed.select("*", roles.alias("role"))
+        F.struct(F.lit("easy").alias("level"), F.col("is_top").alias("anchors"), F.col("is_low").alias("partners")),
+        F.struct(F.lit("medium").alias("level"), F.col("is_mid").alias("anchors"), F.col("is_mid").alias("partners")),
+        F.struct(F.lit("hard").alias("level"), F.col("is_top").alias("anchors"), F.col("is_top").alias("partners"))))
+    roled = keyed.select(by, "item", "s", roles.alias("role"))
     hashed = nx.hash_text(F.col(by), F.col("item"), F.col("role.level"), seed=seed)
-    anchors = (roled.where(F.col("pool") == F.col("role.anchor_pool"))
-               .select(by, F.col("role.level").alias("level"), F.col("item").alias("anchor"),
-                       F.col("s").alias("anchor_score"), hashed.alias("h")))
-    anchors = top_k(anchors, [by, "level"], [F.col("h"), F.col("anchor")], ANCHORS, rank="anchor_no").drop("h")
-    partners = (roled.where(F.col("pool") == F.col("role.partner_pool"))
-                .select(by, F.col("role.level").alias("level"), F.col("item").alias("partner"),
-                        F.col("s").alias("partner_score")))
+    anchors = roled.select(by, F.col("role.level").alias("level"), F.col("item").alias("anchor"), F.col("s").alias("anchor_score"),
+                           F.col("role.anchors").alias("own"), hashed.alias("h"))
+    anchors = top_k(anchors, [by, "level"], [F.desc("own"), F.col("h"), F.col("anchor")], n_anchors, rank="anchor_no").drop("h", "own")
+    partners = roled.select(by, F.col("role.level").alias("level"), F.col("item").alias("partner"), F.col("s").alias("partner_score"),
+                            F.col("role.partners").alias("own"))
     gap = F.abs(F.col("anchor_score") - F.col("partner_score"))
-    in_band = (F.when(F.col("level") == "medium", (gap > 0.2) & (gap < 0.5))
-               .when(F.col("level") == "hard", gap < 0.2).otherwise(F.lit(True)))
+    in_band = F.col("own") & (F.when(F.col("level") == "medium", (gap > 0.2) & (gap < 0.5))
+                              .when(F.col("level") == "hard", gap < 0.2).otherwise(F.lit(True)))
     met = (partners.join(anchors, [by, "level"]).where(F.col("anchor") != F.col("partner"))
            .withColumn("in_band", in_band)
            .withColumn("h", nx.hash_text(F.col(by), F.col("anchor"), F.col("partner"), seed=seed)))
-    return top_k(met, [by, "level", "anchor_no"], [F.desc("in_band"), F.col("h"), F.col("partner")], PARTNERS,
-                 rank="partner_no").drop("h")
+    return top_k(met, [by, "level", "anchor_no"], [F.desc("in_band"), F.desc("own"), F.col("h"), F.col("partner")], n_partners,
+                 rank="partner_no").drop("h", "own")
 
 
-def _choose(rows: pd.DataFrame, by: str) -> pd.DataFrame:
-    """Walk anchors and partners in order; an item is used at most three times, a pair once."""
+def _choose(rows: pd.DataFrame, by: str, per_level: int, max_uses: int) -> pd.DataFrame:
+    """Walk anchors and partners in order; an item is used at most `max_uses` times, a pair once."""
     uses: dict = {}
     taken: set = set()
     out = []
@@ -63,11 +68,11 @@ def _choose(rows: pd.DataFrame, by: str) -> pd.DataFrame:
         made = 0
         of_level = rows[rows["level"] == level].sort_values(["anchor_no", "partner_no"])
         for _, options in of_level.groupby("anchor_no", sort=True):
-            if made == PER_LEVEL:
+            if made == per_level:
                 break
             for r in options.itertuples(index=False):
                 pair = frozenset((r.anchor, r.partner))
-                if uses.get(r.anchor, 0) < MAX_USES and uses.get(r.partner, 0) < MAX_USES and pair not in taken:
+                if uses.get(r.anchor, 0) < max_uses and uses.get(r.partner, 0) < max_uses and pair not in taken:
                     made += 1
                     taken.add(pair)
                     uses[r.anchor] = uses.get(r.anchor, 0) + 1
@@ -78,12 +83,12 @@ def _choose(rows: pd.DataFrame, by: str) -> pd.DataFrame:
 
 
 def mine_pairs(scored: DataFrame, *, by: str = "prompt_id", item_id: str = "item_id", score: str = "score",
-               seed: str = "42") -> DataFrame:
-    """Up to nine judged pairs per prompt: three easy, three medium, three hard."""
-    candidates = candidate_pairs(scored, by=by, item_id=item_id, score=score, seed=seed)
+               seed: str = "42", per_level: int = PER_LEVEL, max_uses: int = MAX_USES) -> DataFrame:
+    """Judged pairs of each prompt, up to `per_level` easy, medium and hard ones."""
+    candidates = candidate_pairs(scored, by=by, item_id=item_id, score=score, seed=seed, per_level=per_level, max_uses=max_uses)
     key, item = scored.schema[by].dataType.simpleString(), scored.schema[item_id].dataType.simpleString()
     chosen = candidates.groupBy(by).applyInPandas(
-        lambda rows: _choose(rows, by),
+        lambda rows: _choose(rows, by, per_level, max_uses),
         f"{by} {key}, difficulty string, pair_no long, movieA {item}, movieB {item}, score_a double, score_b double")
     gap = F.col("score_a") - F.col("score_b")
     return chosen.select(

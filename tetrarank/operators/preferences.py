@@ -110,13 +110,17 @@ def cross_family(left: str = "attn", right: str = "sum") -> list[Column]:
     return [product.alias(f"sim_{left}_{right}_dot"), (product / lengths).alias(f"sim_{left}_{right}_cos"), *deltas]
 
 
-def canonical_family(df: DataFrame, prefer: str = "attn", fallback: str = "sum") -> list[Column]:
-    """dz_* taken from the preferred family, or from the other one when the preferred is zero everywhere."""
-    mass = reduce(lambda a, b: a + b, [F.abs(f"{prefer}_{c}") for c in DZ_COLUMNS])
-    signal = df.agg((F.coalesce(F.sum(mass), F.lit(0.0)) > 0).alias("x")).scalar()
+def canonical_family(signal: Column, prefer: str = "attn", fallback: str = "sum") -> list[Column]:
+    """dz_* taken from the preferred family, or from the other one when the preferred has no signal anywhere."""
     return [F.when(signal, F.col(f"{prefer}_{c}")).otherwise(F.col(f"{fallback}_{c}")).alias(c) for c in DZ_COLUMNS]
 
 
+def has_signal(family: DataFrame, prefix: str) -> Column:
+    """Whether any difference of a family is not zero, taken from its own table before any join."""
+    mass = reduce(lambda a, b: a + b, [F.abs(f"{prefix}_{c}") for c in DZ_COLUMNS])
+    return family.agg((F.coalesce(F.sum(mass), F.lit(0.0)) > 0).alias("x")).scalar()
+
+
 def combined_features(sums: DataFrame, attns: DataFrame, canonical: str = "attn", check: bool = True) -> DataFrame:
     """Both feature families side by side with canonical dz_*, similarities, shapes and interactions."""
     left, right = prefixed_differences(sums, "sum"), prefixed_differences(attns, "attn")
@@ -125,7 +129,8 @@ def combined_features(sums: DataFrame, attns: DataFrame, canonical: str = "attn"
                          *[c for c in right.columns if c not in left.columns and not c.startswith("attn_")])
     merged = join_one_to_one(left, right, keys, check)
     other = "sum" if canonical == "attn" else "attn"
-    merged = merged.select("*", *canonical_family(merged, canonical, other))
+    signal = has_signal(right if canonical == "attn" else left, canonical)
+    merged = merged.select("*", *canonical_family(signal, canonical, other))
     return merged.select(
         "*", *cross_family(), *evidence_shapes("attn"), *evidence_shapes("sum"),
         (F.col("dz_alpha") * F.col("dz_delta")).alias("dz_axd"),

@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tetrarank.constants import EXPERTS
 from tetrarank.functions import numeric as nx
-from tetrarank.functions.numeric import value_bucket
 from tetrarank.operators.blocks import block_pairs
-from tetrarank.operators.scale import checkpoint_dir, running_totals, top_k, with_group_stats
+from tetrarank.operators.scale import ranked_totals, top_k, with_list_stats
 
 DECIMALS = 9
 
@@ -44,31 +44,26 @@ def list_metrics(rows: DataFrame, k: int = 10, threshold: float = 0.9, by: list[
                  relevance: str = "gt_score", item: str = "item_id") -> DataFrame:
     """nDCG@k (gain 2^rel - 1), reciprocal rank of the first relevant item, share of relevant items in the top k.
 
-    Only the k best rows of a list are ever ranked; the first relevant position is counted by comparing
-    with the best relevant row, so long lists are aggregated, not sorted.
+    Lists are bounded by retrieval: both orders and the sums need the one shuffle that brings a list together.
     """
     by = by or ["method", "prompt_id"]
-    # Four passes read these rows; they are stored once instead of being derived four times.
-    checkpoint_dir(rows.sparkSession)
-    rows = rows.select(*by, item, relevance, F.round("score", DECIMALS).alias("__s")).checkpoint()
-    predicted = top_k(rows, by, [F.desc("__s"), F.col(item)], k, rank="__r").groupBy(*by).agg(
-        F.sum(_discounted(F.col(relevance), F.col("__r"))).alias("__dcg"),
-        F.sum((F.col(relevance) >= threshold).cast("long")).alias("__hits"))
-    ideal = top_k(rows, by, [F.desc(relevance), F.col(item)], k, rank="__r").groupBy(*by).agg(
-        F.sum(_discounted(F.col(relevance), F.col("__r"))).alias("__idcg"))
+    lists = W.partitionBy(*by)
+    ranked = rows.select(*by, item, relevance, F.round("score", DECIMALS).alias("__s")).select(
+        *by, relevance, F.row_number().over(lists.orderBy(F.desc("__s"), item)).alias("__p"),
+        F.row_number().over(lists.orderBy(F.desc(relevance), item)).alias("__g"))
     relevant = F.col(relevance) >= threshold
-    firsts = rows.groupBy(*by).agg(
-        F.sum(relevant.cast("long")).alias("__total"),
-        F.min(F.when(relevant, F.struct((-F.col("__s")).alias("s"), F.col(item).alias("i")))).alias("__first"),
-        F.count(F.lit(1)).alias("n_items"))
-    placed = rows.join(firsts.select(*by, "__first"), by)
-    ahead = (F.struct((-F.col("__s")).alias("s"), F.col(item).alias("i")) < F.col("__first")).cast("long")
-    positions = placed.groupBy(*by).agg(F.sum(F.coalesce(ahead, F.lit(0))).alias("__ahead"))
-    out = predicted.join(ideal, by).join(firsts, by).join(positions, by)
-    return out.select(
+
+    def gained(rank: str) -> Column:
+        return F.sum(F.when(F.col(rank) <= k, _discounted(F.col(relevance), F.col(rank))))
+
+    sums = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_items"), gained("__p").alias("__dcg"), gained("__g").alias("__idcg"),
+        F.min(F.when(relevant, F.col("__p"))).alias("__first"), F.sum(relevant.cast("long")).alias("__total"),
+        F.sum((relevant & (F.col("__p") <= k)).cast("long")).alias("__hits"))
+    return sums.select(
         *by, "n_items",
         F.when(F.col("__idcg") == 0, 0.0).otherwise(F.col("__dcg") / F.col("__idcg")).alias("ndcg"),
-        F.when(F.col("__first").isNull(), 0.0).otherwise(1.0 / (F.col("__ahead") + 1)).alias("mrr"),
+        F.when(F.col("__first").isNull(), 0.0).otherwise(1.0 / F.col("__first")).alias("mrr"),
         F.when(F.col("__total") == 0, 0.0).otherwise(F.col("__hits") / F.col("__total")).alias("hit"))
 
 
@@ -91,10 +86,9 @@ def random_baseline(metrics: DataFrame) -> DataFrame:
 def listmle(rows: DataFrame, by: list[str], score: str = "score", relevance: str = "gt_score",
             item: str = "item_id", eps: float = 1e-10) -> DataFrame:
     """Negative log-likelihood of the ground-truth order: minus the sum of s_i - log of the tail sums."""
-    shifted = with_group_stats(rows, by, [F.max(score).alias("__top")]).withColumn(
+    shifted = with_list_stats(rows, by, {"__top": F.max(score)}).withColumn(
         "__d", F.col(score) - F.col("__top"))
-    tails = running_totals(shifted, by, [F.desc(relevance), F.col(item)], -value_bucket(F.col(relevance)),
-                           {"__tail": F.exp("__d")}, reverse=True)
+    tails = ranked_totals(shifted, by, relevance, [item], {"__tail": F.exp("__d")}, reverse=True)
     return tails.groupBy(*by).agg((-F.sum(F.col("__d") - F.ln(F.col("__tail") + eps))).alias("listmle"))
 
 
@@ -102,10 +96,10 @@ def listnet(rows: DataFrame, by: list[str], score: str = "score", relevance: str
             temperature: float = 1.0) -> DataFrame:
     """Cross-entropy between the top-one distributions of ground truth and prediction."""
     t = F.lit(float(temperature))
-    tops = with_group_stats(rows, by, [F.max(score).alias("__ms"), F.max(relevance).alias("__mg")])
+    tops = with_list_stats(rows, by, {"__ms": F.max(score), "__mg": F.max(relevance)})
     exps = tops.withColumns({"__es": F.exp((F.col(score) - F.col("__ms")) / t),
                              "__eg": F.exp((F.col(relevance) - F.col("__mg")) / t)})
-    sums = with_group_stats(exps, by, [F.sum("__es").alias("__zs"), F.sum("__eg").alias("__zg")])
+    sums = with_list_stats(exps, by, {"__zs": F.sum("__es"), "__zg": F.sum("__eg")})
     term = F.col("__eg") / F.col("__zg") * F.ln(F.col("__es") / F.col("__zs") + 1e-10)
     return sums.groupBy(*by).agg((-F.sum(term)).alias("listnet"))
 
@@ -147,15 +141,14 @@ def approx_ndcg(rows: DataFrame, by: list[str], score: str = "score", relevance:
     parts = block_pairs(rows.withColumn(relevance, F.col(relevance).cast("double")), by, item, cell, schema,
                         block_rows=block_rows, carry=[score, relevance])
     ranks = parts.groupBy(*by, item).agg(F.max(relevance).alias(relevance), F.sum("soft").alias("__soft"))
-    sized = with_group_stats(ranks, by, [F.count(F.lit(1)).alias("__n")])
+    sized = with_list_stats(ranks, by, {"__n": F.count(F.lit(1))})
     discount = 1.0 / F.log2(F.col("__n") + 2.0 - F.col("__soft"))
     credited = sized.withColumn("__gain", F.col(relevance) * discount)
     if k is not None:
         credited = top_k(credited, by, [F.round("__soft", 9), F.col(item)], k)
     predicted = credited.groupBy(*by).agg(F.sum("__gain").alias("__dcg"))
     ranked = (top_k(rows, by, [F.desc(relevance), F.col(item)], k, rank="__r") if k is not None else
-              running_totals(rows, by, [F.desc(relevance), F.col(item)], -value_bucket(F.col(relevance)),
-                             {"__r": F.lit(1)}))
+              ranked_totals(rows, by, relevance, [item], {"__r": F.lit(1)}))
     ideal = ranked.groupBy(*by).agg(F.sum(F.col(relevance) / F.log2(F.col("__r") + 1.0)).alias("__idcg"))
     return predicted.join(ideal, by).select(
         *by, (1.0 - F.col("__dcg") / (F.col("__idcg") + 1e-10)).alias("approx_ndcg"))
@@ -164,8 +157,8 @@ def approx_ndcg(rows: DataFrame, by: list[str], score: str = "score", relevance:
 def grouped_softmax(rows: DataFrame, by: list[str], columns: dict[str, str], temperature: float = 1.0) -> DataFrame:
     """Softmax over the rows of each group, for several columns in two aggregations."""
     t = F.lit(float(temperature))
-    tops = with_group_stats(rows, by, [F.max(c).alias(f"__m{i}") for i, c in enumerate(columns)])
+    tops = with_list_stats(rows, by, {f"__m{i}": F.max(c) for i, c in enumerate(columns)})
     exps = tops.withColumns({f"__e{i}": F.exp((F.col(c) - F.col(f"__m{i}")) / t) for i, c in enumerate(columns)})
-    sums = with_group_stats(exps, by, [F.sum(f"__e{i}").alias(f"__z{i}") for i in range(len(columns))])
+    sums = with_list_stats(exps, by, {f"__z{i}": F.sum(f"__e{i}") for i in range(len(columns))})
     out = sums.withColumns({o: F.col(f"__e{i}") / F.col(f"__z{i}") for i, o in enumerate(columns.values())})
     return out.drop(*[f"__{p}{i}" for i in range(len(columns)) for p in "mez"])

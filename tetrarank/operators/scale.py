@@ -7,29 +7,34 @@ sorted together. No step collects a whole group in one task or on the driver.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tetrarank.functions.numeric import hash_bucket, hash_text, value_bucket
 
 
-def checkpoint_dir(spark: SparkSession, local_fallback: str = "/tmp/checkpoints") -> None:
-    """Use the shared checkpoint folder named by the cluster. Only a local session may go without one."""
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared checkpoint folder named by the cluster in `spark.checkpoint.dir`.
+
+    Only a session on one machine (local[...]) may go without one; it gets a folder of its own, deleted when it ends.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or local_fallback)
-
-
-def fits_in(df: DataFrame, rows: int) -> bool:
-    """True when the frame has at most `rows` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
+    if named is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tetrarank-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -46,6 +51,18 @@ def first_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return picked.select(*by, *[F.col("__row")[c].alias(c) for c in rest])
 
 
+def tie_bucket(df: DataFrame, column: str) -> Column:
+    """Ascending bucket of a tie-break column: of its value if numeric, else of its first bytes."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        return value_bucket(F.col(column).cast("double"), 1.0)
+    return F.coalesce(_left_aligned(F.col(column).cast("string").cast("binary"), 6), F.lit(-1).cast("long"))
+
+
+def _left_aligned(data: Column, size: int) -> Column:
+    """The first bytes as one number that ascends with the text, shorter texts filled with zero bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(data, 1, size)), 2 * size, "0"), 16, 10).cast("long")
+
+
 def running_totals(df: DataFrame, by: list[str], order: list[Column], bucket: Column,
                    totals: dict[str, Column], reverse: bool = False) -> DataFrame:
     """Inclusive running sums of `totals` per key in the given order.
@@ -54,26 +71,41 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], bucket: Co
     the end of its group.
     """
     names = list(totals)
-    work = df.withColumn("__bucket", bucket)
-    for n in names:
-        work = work.withColumn(f"__v_{n}", totals[n])
+    work = df.withColumn("__bucket", bucket).withColumns({f"__v_{n}": totals[n] for n in names})
     per_bucket = work.groupBy(*by, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
     frame = W.partitionBy(*by).orderBy(F.desc("__bucket") if reverse else F.asc("__bucket"))
     before = frame.rowsBetween(W.unboundedPreceding, -1)
+    keys = [*by, "__bucket"]
     offsets = per_bucket.select(
-        *[F.col(c).alias(f"__k_{c}") for c in by], F.col("__bucket").alias("__kb"),
+        *[F.col(c).alias(f"__k_{c}") for c in keys],
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names])
-    same_key = reduce(lambda a, b: a & b,
-                      [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by] + [F.col("__bucket") == F.col("__kb")])
-    inner = W.partitionBy(*by, "__bucket").orderBy(*order)
+    inner = W.partitionBy(*keys).orderBy(*order)
     span = (inner.rowsBetween(W.currentRow, W.unboundedFollowing) if reverse
             else inner.rowsBetween(W.unboundedPreceding, W.currentRow))
     for n in names:
         work = work.withColumn(f"__r_{n}", F.sum(f"__v_{n}").over(span))
-    return work.join(offsets, same_key).select(
+    return work.join(offsets, _same("__k_", keys)).select(
         *df.columns, *[(F.col(f"__r_{n}") + F.col(f"__o_{n}")).alias(n) for n in names])
 
 
+def ranked_totals(df: DataFrame, by: list[str], value: str, ties: list[str], totals: dict[str, Column],
+                  reverse: bool = False, resolution: float = 256.0) -> DataFrame:
+    """Inclusive running sums per key by descending value, ties by the given columns ascending.
+
+    Equal values are one row while sums run over values, and run among themselves in buckets of the first tie
+    column; so neither a spread-out nor a constant column, nor one value that most rows share, is sorted in one task.
+    """
+    names = list(totals)
+    work = df.withColumn("__value", F.col(value).cast("double")).withColumns({f"__t_{n}": totals[n] for n in names})
+    sums = work.groupBy(*by, "__value").agg(*[F.sum(f"__t_{n}").alias(f"__t_{n}") for n in names])
+    over = running_totals(sums, by, [F.desc("__value")], -value_bucket(F.col("__value"), resolution),
+                          {f"__x_{n}": F.col(f"__t_{n}") for n in names}, reverse)
+    keys = [*by, "__value"]
+    apart = over.select(*[F.col(c).alias(f"__u_{c}") for c in keys], *[(F.col(f"__x_{n}") - F.col(f"__t_{n}")).alias(f"__y_{n}") for n in names])
+    inside = running_totals(work, keys, [F.col(c) for c in ties], tie_bucket(df, ties[0]), {f"__i_{n}": F.col(f"__t_{n}") for n in names}, reverse)
+    return inside.join(apart, _same("__u_", keys)).select(*df.columns, *[(F.col(f"__i_{n}") + F.col(f"__y_{n}")).alias(n) for n in names])
+
+
 def hash_rank(df: DataFrame, by: list[str], key: list[str], rank: str, seed: str = "42") -> DataFrame:
     """1-based position of each row within its group, in md5 order of the key columns."""
     hashed = hash_text(*[F.col(c) for c in key], seed=seed)
@@ -86,10 +118,7 @@ def hash_rank(df: DataFrame, by: list[str], key: list[str], rank: str, seed: str
 def value_rank(df: DataFrame, by: list[str], value: str, ties: list[str], rank: str,
                resolution: float = 256.0) -> DataFrame:
     """1-based position by descending value, ties by the given columns ascending."""
-    order = [F.desc("__value"), *[F.col(c) for c in ties]]
-    work = df.withColumn("__value", F.col(value).cast("double"))
-    out = running_totals(work, by, order, -value_bucket(F.col("__value"), resolution), {rank: F.lit(1)})
-    return out.drop("__value")
+    return ranked_totals(df, by, value, ties, {rank: F.lit(1)}, resolution=resolution)
 
 
 def _same(left: str, by: list[str]) -> Column:
@@ -97,7 +126,10 @@ def _same(left: str, by: list[str]) -> Column:
 
 
 def with_group_stats(df: DataFrame, by: list[str], stats: list[Column]) -> DataFrame:
-    """Attach per-group aggregates by aggregate-and-join, which splits hot groups where a window cannot."""
+    """Attach per-group aggregates by aggregate-and-join, which splits hot groups where a window cannot.
+
+    The input is read twice; for candidate lists, whose size retrieval bounds, use `with_list_stats`.
+    """
     if not by:
         one = df.agg(*stats)
         return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
@@ -107,6 +139,14 @@ def with_group_stats(df: DataFrame, by: list[str], stats: list[Column]) -> DataF
     return df.join(renamed, _same("__g_", by)).drop(*[f"__g_{c}" for c in by])
 
 
+def with_list_stats(df: DataFrame, by: list[str], stats: dict[str, Column]) -> DataFrame:
+    """Attach per-list aggregates with one window: one shuffle, and none where the rows already lie by list."""
+    if not by:
+        return with_group_stats(df, by, [c.alias(n) for n, c in stats.items()])
+    lists = W.partitionBy(*by)
+    return df.select("*", *[c.over(lists).alias(n) for n, c in stats.items()])
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
                     resolution: float = 256.0) -> DataFrame:
     """Exact linear-interpolated quantiles per group without holding a group in memory.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.constants import EXPERTS
 from tetrarank.functions import numeric as nx
-from tetrarank.operators.scale import top_k, with_group_stats
+from tetrarank.operators.scale import top_k, with_list_stats
 
 
 def pool(hits: DataFrame, by: list[str], score: str = "score", how: str = "sum", *, temperature: float = 1.0,
@@ -20,7 +20,7 @@ def pool(hits: DataFrame, by: list[str], score: str = "score", how: str = "sum",
     if how != "attn":
         raise ValueError(f"unknown pooling {how!r}")
     tau = max(tau_min, float(temperature))
-    shifted = with_group_stats(hits, by, [F.max(score).alias("__top")])
+    shifted = with_list_stats(hits, by, {"__top": F.max(score)})
     weight = F.exp(F.greatest((F.col(score) - F.col("__top")) / F.lit(tau), F.lit(-clip)))
     return (shifted.withColumn("__w", weight).groupBy(*by)
             .agg((F.sum(F.col("__w") * F.col(score)) / F.sum("__w")).alias(score)))
@@ -33,10 +33,10 @@ def zscores(df: DataFrame, by: list[str], columns: dict[str, str], mode: str = "
     `clip_sample`: sample std, clipped to +-3, single rows and std <= 1e-12 give 0.
     """
     spread = F.stddev_samp if mode == "clip_sample" else F.stddev_pop
-    stats = []
+    stats = {}
     for i, c in enumerate(columns):
-        stats += [F.avg(c).alias(f"__mu{i}"), spread(c).alias(f"__sd{i}")]
-    joined = with_group_stats(df, by, stats)
+        stats |= {f"__mu{i}": F.avg(c), f"__sd{i}": spread(c)}
+    joined = with_list_stats(df, by, stats)
     for i, (c, out) in enumerate(columns.items()):
         centred, sd = F.col(c) - F.col(f"__mu{i}"), F.col(f"__sd{i}")
         if mode == "pop":

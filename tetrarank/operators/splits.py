@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS
 from tetrarank.functions import numeric as nx
 from tetrarank.functions.text import normalized_category
-from tetrarank.operators.scale import exact_quantiles, fits_in, hash_rank, value_rank, with_group_stats
+from tetrarank.operators.scale import exact_quantiles, hash_rank, value_rank, with_group_stats
 
 
 def assign_groups(groups: DataFrame, key: list[str], strata: list[str], train: float = 0.70, val: float = 0.15,
@@ -96,33 +96,17 @@ def entropy_bins(df: DataFrame, value: str, n_bins: int = 5, out: str = "entropy
     return marked.withColumn(out, F.when(F.size("__edges") <= 2, 0).otherwise(above)).drop("__edges")
 
 
-GREEDY_CATEGORIES = 10_000
-
-
 def fold_of_categories(df: DataFrame, category: str, n_folds: int) -> DataFrame:
-    """Fold per category: categories by descending size, each to the fold with the fewest rows so far.
+    """Fold per category: categories by descending size are dealt to the folds back and forth.
 
-    Up to 10,000 categories are walked one by one (one row each); more than that are dealt to the folds
-    back and forth in size order, which needs no walk and balances as well when categories are many.
+    One rule for any number of categories, and no walk over them in one task: a category's fold follows from its
+    place in the order of sizes (ties by name).
     """
     named = df.withColumn("__category", F.coalesce(F.col(category), F.lit("unknown")))
     sizes = named.groupBy("__category").agg(F.count(F.lit(1)).alias("n"))
-    if fits_in(sizes, GREEDY_CATEGORIES):
-        def assign(rows: pd.DataFrame) -> pd.DataFrame:
-            load = [0] * n_folds
-            folds = []
-            rows = rows.sort_values(["n", "__category"], ascending=[False, True])
-            for n in rows["n"]:
-                smallest = load.index(min(load))
-                load[smallest] += int(n)
-                folds.append(smallest)
-            return rows.assign(fold=folds)[["__category", "fold"]]
-
-        folds = sizes.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(assign, "__category string, fold long")
-    else:
-        ranked = value_rank(sizes, [], "n", ["__category"], "__rank", resolution=1.0)
-        place = F.pmod(F.col("__rank") - 1, F.lit(2 * n_folds))
-        folds = ranked.select("__category", F.least(place, 2 * n_folds - 1 - place).cast("long").alias("fold"))
+    ranked = value_rank(sizes, [], "n", ["__category"], "__rank", resolution=1.0)
+    place = F.pmod(F.col("__rank") - 1, F.lit(2 * n_folds))
+    folds = ranked.select("__category", F.least(place, 2 * n_folds - 1 - place).cast("long").alias("fold"))
     return named.join(folds, "__category").drop("__category")
 
 
@@ -178,20 +162,36 @@ def prompt_batch_size(prompts: DataFrame, text: str, key: str, most: int = 5) ->
         F.avg(token_estimate(F.col(text))).alias("tokens"), F.count(F.lit(1)).alias("n")).first()
     if not sample["n"]:
         return 0
-    if sample["tokens"] < 80:
-        return most
-    return max(2, most - 1) if sample["tokens"] < 100 else max(1, most - 2)
-
-
-def fit_levels(df: DataFrame, columns: list[str], limit: int = 1000) -> dict[str, list[str]]:
-    """Sorted category levels per column, `unknown` first. A column with more than `limit` levels is an error."""
-    levels = {}
-    for c in columns:
-        found = (df.select(normalized_category(F.col(c)).alias("v")).distinct().where("v <> 'unknown'")
-                 .limit(limit + 1).collect())
-        if len(found) > limit:
-            raise ValueError(f"{c} has more than {limit} levels")
-        levels[c] = ["unknown", *sorted(r["v"] for r in found)]
+    size = most if sample["tokens"] < 80 else max(2, most - 1) if sample["tokens"] < 100 else max(1, most - 2)
+    return prompts.limit(size).count()  # no more than there are prompts
+
+
+def level_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, level, place: the distinct levels of each column, `unknown` first, then in order of their text."""
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), normalized_category(F.col(c)).alias("level")) for c in columns]))
+    found = df.select(entries.alias("e")).select("e.*").distinct()
+    always = df.sparkSession.createDataFrame([(c, "unknown") for c in columns], "column string, level string")
+    every = found.where("level <> 'unknown'").unionByName(always).withColumn("known", (F.col("level") != "unknown").cast("int"))
+    return every.select("column", "level", (F.row_number().over(W.partitionBy("column").orderBy("known", "level")) - 1).alias("place"))
+
+
+def one_hot_entries(df: DataFrame, levels: DataFrame, columns: list[str], key: str = "prompt_id") -> DataFrame:
+    """key, column, level, place: the one flag that is set per row and column; levels not in the table are `unknown`.
+
+    The long form of the design for any number of levels; `one_hot` makes a column per level.
+    """
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), normalized_category(F.col(c)).alias("seen")) for c in columns]))
+    rows = df.select(key, entries.alias("e")).select(key, "e.*")
+    known = levels.select(F.col("column").alias("__c"), F.col("level").alias("__l"), "place")
+    joined = rows.join(known, (F.col("column") == F.col("__c")) & (F.col("seen") == F.col("__l")), "left")
+    return joined.select(key, "column", F.coalesce("__l", F.lit("unknown")).alias("level"), F.coalesce("place", F.lit(0)).alias("place"))
+
+
+def fit_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Sorted category levels per column, `unknown` first: the column names of the wide design."""
+    levels: dict[str, list[str]] = {c: [] for c in columns}
+    for r in level_table(df, columns).orderBy("column", "place").toLocalIterator():
+        levels[r["column"]].append(r["level"])
     return levels
 
 

@@ -31,18 +31,20 @@ class Corpus:
 
 
 def retrieve(corpus: Corpus, queries: DataFrame, k: int, *, how: str = "sum", use_dense: bool = True,
-             temperature: float = 1.0, allowed_chunks: DataFrame | None = None) -> dict[str, DataFrame]:
+             temperature: float = 1.0, allowed_chunks: DataFrame | None = None, **rules) -> dict[str, DataFrame]:
     """Item scores of the text experts: alpha (dense) and beta (BM25), each from its k best chunks per query.
 
-    queries: query_id, text, vector.
+    queries: query_id, text, vector. `rules` are filters (a row of conditions per query), meta (chunk_id and the columns that
+    conditions look at), filter_mode and oversample, as both searches take them.
     """
+    text_rules = {**rules, "meta": rules["meta"].withColumnRenamed("chunk_id", "doc_id")} if rules.get("meta") is not None else rules
     hits = {}
     if use_dense:
         found = dense.search(queries, corpus.chunk_vectors, k, item_id="chunk_id",
-                             allowed=allowed_chunks).withColumnRenamed("item_id", "chunk_id")
+                             allowed=allowed_chunks, **rules).withColumnRenamed("item_id", "chunk_id")
         hits["alpha"] = found
     docs = allowed_chunks.withColumnRenamed("chunk_id", "doc_id") if allowed_chunks is not None else None
-    hits["beta"] = bm25.search(corpus.index, queries, k, doc_filter=docs).withColumnRenamed("doc_id", "chunk_id")
+    hits["beta"] = bm25.search(corpus.index, queries, k, doc_filter=docs, **text_rules).withColumnRenamed("doc_id", "chunk_id")
     return {name: scoring.pool(found.join(corpus.chunk_map, "chunk_id"), ["query_id", "item_id"], how=how,
                                temperature=temperature) for name, found in hits.items()}
 
@@ -65,14 +67,14 @@ def candidate_prior(corpus: Corpus, candidates: DataFrame, queries: DataFrame) -
 
 def expert_table(corpus: Corpus, queries: DataFrame, k: int, *, how: str = "sum", prior_k: int = 0,
                  use_dense: bool = True, zmode: str = "pop", temperature: float = 1.0,
-                 allowed_chunks: DataFrame | None = None) -> DataFrame:
+                 allowed_chunks: DataFrame | None = None, **rules) -> DataFrame:
     """query_id, item_id, score_* and z_* for the union of the experts' candidates.
 
     Candidates are the dense and BM25 items and, with prior_k, the best items of the query's user.
     gamma and delta are computed for exactly these candidates.
     """
     text_scores = retrieve(corpus, queries, k, how=how, use_dense=use_dense, temperature=temperature,
-                           allowed_chunks=allowed_chunks)
+                           allowed_chunks=allowed_chunks, **rules)
     frames = dict(text_scores)
     if prior_k:
         frames["__prior"] = prior(corpus, queries, prior_k)
@@ -91,11 +93,11 @@ def expert_table(corpus: Corpus, queries: DataFrame, k: int, *, how: str = "sum"
 
 def hybrid_rerank(corpus: Corpus, queries: DataFrame, weights: dict[str, float], k: int, top_m: int, *,
                   how: str = "sum", prior_k: int = 50, meta: DataFrame | None = None,
-                  allowed_chunks: DataFrame | None = None) -> DataFrame:
+                  allowed_chunks: DataFrame | None = None, **rules) -> DataFrame:
     """Final top_m items per query with contributions of each expert. A zero alpha skips the dense branch."""
     w = scoring.normalize_weights(weights)
     table = expert_table(corpus, queries, k, how=how, prior_k=prior_k, use_dense=w.get("alpha", 0.0) > 0.0,
-                         zmode="clip_sample", allowed_chunks=allowed_chunks)
+                         zmode="clip_sample", allowed_chunks=allowed_chunks, **rules)
     return scoring.final_top(scoring.fuse(table, w), top_m, meta=meta)
 
 

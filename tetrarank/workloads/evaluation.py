@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS, EMOTIONS, EXPERTS
@@ -343,9 +344,9 @@ SELECT prompt_id, {r('listmle', 5)} AS listmle, {r('listnet', 5)} AS listnet, {r
 
 def expert_score_table(spark, sf):
     """Ground truth rank, z-scores and softmax probabilities of every list entry."""
-    scale.checkpoint_dir(spark)
-    rows = scale.value_rank(v.ranking(spark, sf).checkpoint(), ["prompt_id"], "gt_score", ["item_id"], "rank").checkpoint()
-    z = scoring.zscores(rows, ["prompt_id"], {f"score_{e}": f"z_{e}" for e in EXPERTS}, "pop_strict").checkpoint()
+    order = Window.partitionBy("prompt_id").orderBy(F.desc("gt_score"), "item_id")
+    rows = v.ranking(spark, sf).withColumn("rank", F.row_number().over(order))
+    z = scoring.zscores(rows, ["prompt_id"], {f"score_{e}": f"z_{e}" for e in EXPERTS}, "pop_strict")
     out = ranking.grouped_softmax(z, ["prompt_id"], {f"z_{e}": f"prob_{e}" for e in EXPERTS})
     names = [f"{p}_{e}" for p in ("z", "prob") for e in EXPERTS]
     return rounded(out.select("prompt_id", "item_id", (F.col("rank") - 1).alias("rank"), *names), *names)

@@ -50,8 +50,8 @@ def pairs_with_signal(spark, sf):
 def judged_pairs(spark, sf):
     """Order lines with their label (inner) and order attributes (left)."""
     p = v.pairs(spark, sf)
-    judgments = p.where("difficulty <> 'hard'").select("prompt_id", "pair_id", "y")
-    prompts = v.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(
+    judgments = p.select("prompt_id", "pair_id", "y")
+    prompts = v.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("prompt_id"), F.col("o_orderpriority").alias("priority"))
     return preferences.judged_pairs(p.select("prompt_id", "pair_id", "movieA", "movieB"), judgments, prompts)
 
@@ -202,12 +202,17 @@ _DESIGN = with_ctes("pairs") + f"""SELECT prompt_id, arg_min(lower(category), pa
 
 
 def category_flags(spark, sf):
-    """One-hot design columns of documents."""
+    """All flags of the one-hot design of documents: rows and characters per flag, wide and long form agreeing."""
     d = v.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    levels = splits.fit_levels(d, ["lang", "source"])
-    wide = splits.one_hot(d, levels, ["n_chars", "absent"], key="doc_id")
-    return wide.groupBy("X_lang__en", "X_lang__unknown", "X_source__src3").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("X_n_chars").alias("n_chars"), F.sum("X_absent").alias("absent"))
+    table = splits.level_table(d, ["lang", "source"])
+    long = splits.one_hot_entries(d, table, ["lang", "source"], "doc_id").groupBy("column", "level", "place").agg(F.count(F.lit(1)).alias("n"))
+    wide = splits.one_hot(d, splits.fit_levels(d, ["lang", "source"]), ["n_chars", "absent"], key="doc_id")
+    flags = [c for c in wide.columns if "__" in c]
+    sums = wide.agg(*[F.struct(F.sum(c).cast("long").alias("flagged"), F.coalesce(F.sum(F.col(c) * F.col("X_n_chars")), F.lit(0.0)).cast("long").alias("n_chars"),
+                               F.sum("X_absent").alias("absent")).alias(c) for c in flags])
+    each = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("flag"), F.col(c).alias("s")) for c in flags])).alias("e")).select("e.flag", "e.s.*")
+    return each.join(long.withColumn("flag", F.concat(F.lit("X_"), "column", F.lit("__"), "level")), "flag", "left").select(
+        "flag", "flagged", "n_chars", "absent", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def entropy_bins(spark, sf):
@@ -389,7 +394,7 @@ _GROUPED = with_ctes("pairs") + f", {_SPLIT}"
 ORACLES = {
     "difference_features": _DIFFERENCES,
     "pairs_with_signal": with_ctes("pairs") + "SELECT category, difficulty, count(*) AS n FROM pairs WHERE greatest(abs(dz_alpha), abs(dz_beta), abs(dz_gamma), abs(dz_delta)) > 0.25 GROUP BY 1, 2",
-    "judged_pairs": with_ctes("pairs") + """SELECT prompt_id, pair_id, "movieA", "movieB", y, o.o_orderpriority AS priority FROM pairs LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o_orderkey = prompt_id WHERE difficulty <> 'hard'""",
+    "judged_pairs": with_ctes("pairs") + """SELECT prompt_id, pair_id, "movieA", "movieB", y, o.o_orderpriority AS priority FROM pairs LEFT JOIN orders o ON o_orderkey = prompt_id""",
     "combined_features": _COMBINED, "derived_signals": _DERIVED, "standardized_features": _STANDARD,
     "grouped_split": _GROUPED + "SELECT pair_id, prompt_id, split FROM pairs JOIN split_of USING (prompt_id)",
     "ungrouped_split": f"""SELECT 'conversations' AS source, split, count(*) AS n FROM conversations JOIN ({_plain_split_sql('conversations', 'conv_id', 0.8, 0.2)}) s USING (conv_id) GROUP BY 2
@@ -399,8 +404,12 @@ ORACLES = {
     "split_integrity": _GROUPED + "SELECT split, count(DISTINCT prompt_id) AS prompts, count(*) AS pairs, 0 AS leaks FROM pairs JOIN split_of USING (prompt_id) GROUP BY 1",
     "balanced_positions": _BALANCED, "balanced_easy_positions": _BALANCED_EASY, "shuffled_positions": _SHUFFLED,
     "prompt_design": _DESIGN,
-    "category_flags": """SELECT (lang = 'en')::INT::DOUBLE AS "X_lang__en", (lang IS NULL)::INT::DOUBLE AS "X_lang__unknown", (source = 'src3')::INT::DOUBLE AS "X_source__src3", count(*) AS n, sum(n_chars)::DOUBLE AS n_chars, 0.0::DOUBLE AS absent FROM documents GROUP BY 1, 2, 3""",
+    "category_flags": "SELECT flag, count(doc_id) AS flagged, coalesce(sum(n_chars), 0)::BIGINT AS n_chars, 0.0::DOUBLE AS absent, count(doc_id) AS n FROM (" + " UNION ALL ".join(
+        f"SELECT 'X_{c}__' || l AS flag, doc_id, n_chars FROM (SELECT DISTINCT coalesce(lower({c}), 'unknown') AS l FROM documents UNION SELECT 'unknown') x LEFT JOIN documents ON coalesce(lower({c}), 'unknown') = l"
+        for c in ("lang", "source")) + ") a GROUP BY 1",
     "entropy_bins": _BINS,
+    "category_folds": """SELECT fold, sum(n)::BIGINT AS n, count(*) AS sources FROM (SELECT n, least((rk - 1) % 10, 9 - (rk - 1) % 10) AS fold FROM (
+      SELECT coalesce(source, 'unknown') AS s, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(source, 'unknown')) AS rk FROM documents GROUP BY 1) a) b GROUP BY 1""",
     "ranked_folds": with_ctes("pairs") + f"SELECT prompt_id, category, (row_number() OVER (PARTITION BY category ORDER BY {hashed('prompt_id')}, prompt_id) - 1) % 5 AS fold FROM (SELECT DISTINCT prompt_id, category FROM pairs) a",
     "mixture_targets": _MIXT, "pair_item_features": _ITEMF,
     "nested_pair_batches": with_ctes("pairs") + """SELECT batch, n_pairs, count(*) AS rows FROM (SELECT prompt_id, (rn - 1) // 4 AS batch, count(*) AS n_pairs FROM (SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id) AS rn FROM pairs) a GROUP BY 1, 2) b GROUP BY 1, 2""",

@@ -154,8 +154,17 @@ def unit_vectors(spark, sf):
 
 
 def hashed_embeddings(spark, sf):
+    """Every entry that is not zero of the hashed embeddings of documents."""
     rows = embed.embed_hashed(v.table(spark, sf, "documents"), "doc_id", "text", dim=64, window=256, overlap=32)
-    return rows.select("doc_id", F.round(vx.norm(F.col("embedding")), 4).alias("norm"), "embedding_model", "embedding_dim")
+    long = rows.select("doc_id", "embedding_model", "embedding_dim", F.posexplode("embedding").alias("dim", "value"))
+    return rounded(long.withColumn("value", F.col("value").cast("double")).where("value > 0"), "value", digits=4)
+
+
+_HASHED = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+ p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+ c AS (SELECT *, greatest(ceil((n - 256) / 224.0::DOUBLE) + 1, 1) AS k FROM p),
+ s AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS dim, sum((least(k - 1, floor(i / 224.0::DOUBLE)) - greatest(ceil((i - 255) / 224.0::DOUBLE), 0) + 1) / k) AS x FROM c GROUP BY 1, 2)
+ SELECT doc_id, dim::INT AS dim, {r('x / (sqrt(sum(x * x) OVER (PARTITION BY doc_id)) + 1e-12::DOUBLE)', 4)} AS value, 'hashing-md5-64' AS embedding_model, 64 AS embedding_dim FROM s"""
 
 
 # --- collaborative, emotion ---------------------------------------------------------------------------
@@ -574,6 +583,7 @@ QUERIES = {
 _NAMES = [f"score_{e}" for e in EXPERTS] + [f"z_{e}" for e in EXPERTS]
 _UV = "(SELECT item_id, u, list_reverse(u) AS w FROM unit_vectors)"
 ORACLES = {
+    "hashed_embeddings": _HASHED,
     "tokens_of_documents": with_ctes("doc_tokens") + "SELECT doc_id AS chunk_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS token_hash FROM doc_tokens",
     "boosted_tokens_of_documents": with_ctes("chunks") + """SELECT chunk_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS token_hash FROM (
       SELECT chunk_id, list_concat(list_concat(list_concat(h, h), regexp_extract_all(lower(text), '[a-z0-9]+')), regexp_extract_all(lower(type), '[a-z0-9]+')) AS t

@@ -136,10 +136,13 @@ _PICK = "CASE WHEN lang = 'en' AND {t} <> '' THEN text WHEN source = 'src1' AND
 
 
 def candidate_lines(spark, sf):
-    rows = items.with_history(_titled(spark, sf).withColumnRenamed("p_partkey", "item_id"), _ratings(spark, sf), 7)
+    """Lines of every customer's candidates: the parts ordered, and the parts numbered like their suppliers, most of them not rated."""
+    ordered = v.table(spark, sf, "orders").join(v.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    asked = ordered.select(F.col("o_custkey").alias("user_id"), F.explode(F.array("l_partkey", "l_suppkey")).alias("item_id")).distinct()
+    rows = items.with_history(asked.join(_titled(spark, sf), F.col("item_id") == F.col("p_partkey")), _ratings(spark, sf))
     plot = F.when(F.col("p_size") > 5, F.col("p_type"))
     line = tx.candidate_line(F.col("item_id"), F.col("title"), tx.year_prefix(F.col("release_date").substr(8, 4)), F.col("user_rating"), plot)
-    return rows.select("item_id", line.alias("line"))
+    return rows.select("user_id", "item_id", line.alias("line"))
 
 
 def _ratings(spark, sf):
@@ -266,7 +269,7 @@ def props_values(spark, sf):
 
 def rankings_from_json(spark, sf):
     """Best parts of every customer written as a JSON ranking and read back; entries without score drop out."""
-    li = v.ranking(spark, sf).where("gt_score >= 0.9")
+    li = v.ranking(spark, sf)
     entry = F.struct(F.lpad(F.col("item_id").cast("string"), 6, "0").alias("movieId"), F.when(F.col("item_id") % 5 > 0, F.round("score_alpha", 4)).alias("score"),
                      F.lit("why").alias("reason"))
     lists = li.groupBy("prompt_id").agg(F.array_sort(F.collect_list(entry)).alias("l"))
@@ -275,7 +278,7 @@ def rankings_from_json(spark, sf):
 
 
 _RANKJ = with_ctes("ranking") + f"""SELECT 'p' || prompt_id AS prompt_id, rk AS rank, item_id AS "movieId", {r('round(score_alpha, 4)')} AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY item_id) - 1 AS rk FROM ranking WHERE gt_score >= 0.9) a WHERE item_id % 5 > 0"""
+  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY item_id) - 1 AS rk FROM ranking) a WHERE item_id % 5 > 0"""
 
 
 def prompts_from_json(spark, sf):
@@ -413,7 +416,7 @@ def best_lists(spark, sf):
 
 def score_pools(spark, sf):
     out = items.score_pools(v.ranking(spark, sf).select("prompt_id", "item_id", "score_beta"), "prompt_id", "score_beta", "item_id", floor=5)
-    return out.select("prompt_id", "item_id", "rank", "pool")
+    return out.select("prompt_id", "item_id", "rank", "is_top", "is_low", "is_mid")
 
 
 def prompt_batches(spark, sf):
@@ -430,9 +433,20 @@ def _batch_sql():
  SELECT batch, count(*) AS n, min(prompt_id) AS first FROM (SELECT prompt_id, CASE WHEN i < heads * 12 THEN i // 12 WHEN i < heads * 12 + before THEN heads ELSE heads + (before > 0)::INT END AS batch FROM p, h) a GROUP BY 1"""
 
 
+def _payload_sql():
+    """The same batches of five, the one before the last shrinking to leave three, every prompt in its batch."""
+    b = "greatest(3, 5 + tail - 3)"
+    return with_ctes("user_turns") + f""", n AS (SELECT count(*) AS total, count(*) // 5 AS f, count(*) % 5 AS tail FROM user_turns),
+ h AS (SELECT *, CASE WHEN tail = 0 OR f = 0 OR tail >= 3 THEN f ELSE f - 1 END AS heads, CASE WHEN tail = 0 OR f = 0 OR tail >= 3 THEN 0 ELSE {b} END AS before FROM n),
+ p AS (SELECT prompt_id, text, row_number() OVER (ORDER BY {hashed('prompt_id')}, prompt_id) - 1 AS i FROM user_turns)
+ SELECT batch, count(*) OVER (PARTITION BY batch) AS n_prompts, prompt_id::VARCHAR AS prompt_id, md5(text) AS hash
+ FROM (SELECT prompt_id, text, CASE WHEN i < heads * 5 THEN i // 5 WHEN i < heads * 5 + before THEN heads ELSE heads + (before > 0)::INT END AS batch FROM p, h) a"""
+
+
 def request_payloads(spark, sf):
     out = writers.request_payloads(splits.batches(v.user_turns(spark, sf), "prompt_id", 3, 5))
-    return out.select("batch", "n_prompts", F.length("payload").alias("n_chars"))
+    back = F.from_json("payload", "prompts array<struct<prompt_id: string, text: string>>")["prompts"]
+    return out.select("batch", "n_prompts", F.explode(back).alias("p")).select("batch", "n_prompts", "p.prompt_id", F.md5("p.text").alias("hash"))
 
 
 def preference_triplets(spark, sf):
@@ -449,7 +463,7 @@ def preference_triplets(spark, sf):
     p = v.pairs(spark, sf)
     pairs = p.select(F.col("prompt_id").cast("string").alias("prompt_id"), "pair_id", "difficulty", F.concat(F.col("movieA").cast("string"), F.lit(":plot:1")).alias("movie1_id"),
                      F.concat(F.lit('{"id": '), F.col("movieB").cast("string"), F.lit("}")).alias("movie2_id"))
-    judgments = p.where("category <> 'N'").select(F.col("prompt_id").cast("string").alias("prompt_id"), "pair_id",
+    judgments = p.select(F.col("prompt_id").cast("string").alias("prompt_id"), "pair_id",
                                                   F.when(F.col("category") == "A", F.col("y") * 2 - 1).alias("m1_gt_m2"), F.when(F.col("y") == 1, "movie1").otherwise("movie2").alias("winner"))
     out = readers.join_triplets(prompts, pairs, judgments)
     return rounded(out.select("prompt_id", "pair_id", "movie1_id", "movie2_id", "y", "category", "mix_alpha", "persona_style", "cold_user"), "mix_alpha")
@@ -483,9 +497,10 @@ ORACLES = {
     "title_years": f"WITH {_TITLED} SELECT p_partkey, {_YEAR} AS year, {_YEAR} // 10 * 10 AS decade, {_YEAR}::VARCHAR AS prefix FROM titled",
     "source_texts": f"""SELECT doc_id, length(p) AS n, md5(CASE WHEN length(s) > 160 THEN substr(s, 1, 157) || '...' ELSE s END) AS short, md5(substr(s, 1, 140)) AS reason
       FROM (SELECT doc_id, p, {squeeze_sql('p')} AS s FROM (SELECT doc_id, {_PICK} AS p FROM documents) a) b""",
-    "candidate_lines": f"""WITH {_TITLED}, mine AS (SELECT item_id, max(rating) AS rating FROM ({_RAT}) a WHERE user_id = 7 GROUP BY 1)
-      SELECT p_partkey AS item_id, '[' || p_partkey || '] ' || title || CASE WHEN release_date IS NULL THEN '' ELSE ' (' || substr(release_date, 8, 4) || ')' END
-      || CASE WHEN rating IS NULL THEN '' ELSE ' [User Rating: ' || repeat('★', rating) || ']' END || CASE WHEN p_size > 5 THEN ': ' || p_type ELSE '' END AS line FROM titled LEFT JOIN mine ON item_id = p_partkey""",
+    "candidate_lines": f"""WITH {_TITLED}, mine AS (SELECT user_id, item_id, max(rating) AS rating FROM ({_RAT}) a GROUP BY 1, 2),
+      asked AS (SELECT DISTINCT o_custkey AS user_id, unnest([l_partkey, l_suppkey]) AS item_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+      SELECT user_id, item_id, '[' || p_partkey || '] ' || title || CASE WHEN release_date IS NULL THEN '' ELSE ' (' || substr(release_date, 8, 4) || ')' END
+      || CASE WHEN rating IS NULL THEN '' ELSE ' [User Rating: ' || repeat('★', rating) || ']' END || CASE WHEN p_size > 5 THEN ': ' || p_type ELSE '' END AS line FROM asked JOIN titled ON item_id = p_partkey LEFT JOIN mine USING (user_id, item_id)""",
     "category_names": "SELECT DISTINCT ' ' || o_orderpriority || '!' AS raw, trim(regexp_replace(lower(o_orderpriority || '!'), '[^a-z0-9]+', '_', 'g'), '_') AS slug, lower(o_orderpriority) || '!' AS norm FROM orders",
     "movie_texts": with_ctes("chunks") + "SELECT movie_id, md5(min(type || ' ' || text)) AS hash FROM chunks GROUP BY 1",
     "prompt_texts": with_ctes("user_turns") + "SELECT DISTINCT prompt_id, md5(text) AS hash FROM user_turns WHERE text IS NOT NULL",
@@ -513,9 +528,10 @@ ORACLES = {
     "rejected_responses": "SELECT event_id, '{broken ' || event_id AS preview FROM events WHERE event_type = 'error'",
     "incomplete_prompts": "SELECT c_custkey AS prompt_id, count(o_orderkey) AS n_results FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) < 10",
     "best_lists": with_ctes("ranking") + """SELECT prompt_id, item_id AS "movieId", gt_score AS score, 'because it scored ' || item_id AS reason, rk - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY gt_score DESC, item_id) AS rk FROM ranking) a WHERE rk <= 5""",
-    "score_pools": with_ctes("ranking") + """SELECT prompt_id, item_id, rk AS rank, CASE WHEN rk <= greatest(5, n // 10) THEN 'top' WHEN rk > n - greatest(5, n // 10) THEN 'low' ELSE 'mid' END AS pool
+    "score_pools": with_ctes("ranking") + """SELECT prompt_id, item_id, rk AS rank, rk <= greatest(5, n // 10) AS is_top, rk > n - greatest(5, n // 10) AS is_low, rk > greatest(5, n // 10) AND rk <= n - greatest(5, n // 10) AS is_mid
       FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score_beta DESC, item_id) AS rk, count(*) OVER (PARTITION BY prompt_id) AS n FROM ranking) a""",
     "prompt_batches": _batch_sql(),
+    "request_payloads": _payload_sql(),
     "preference_triplets": with_ctes("pairs") + f"""SELECT prompt_id::VARCHAR AS prompt_id, pair_id, "movieA" AS movie1_id, "movieB" AS movie2_id, y, o_orderpriority AS category, {r(uniform('prompt_id', repr('alpha'), seed='t'))} AS mix_alpha, o_orderstatus AS persona_style, NULL::BOOLEAN AS cold_user
-      FROM pairs LEFT JOIN orders ON o_orderkey = prompt_id WHERE pairs.category <> 'N'""",
+      FROM pairs LEFT JOIN orders ON o_orderkey = prompt_id""",
 }
