@@ -91,12 +91,45 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/summary.json")).first()["total_chunks"] == 1
     hits = spark.createDataFrame([("p", i, float(i), " a\n b ") for i in range(5)], "prompt_id string, movieId long, score double, reason string")
     writers.write_results(hits, str(tmp_path / "res"), k=2)
-    back = spark.read.json(str(tmp_path / "res")).orderBy("rank").collect()
-    assert [(r["movieId"], r["reason"]) for r in back] == [(4, "a b"), (3, "a b")]
+    back = spark.read.json(str(tmp_path / "res")).collect()
+    assert [(r["prompt_id"], [(x["movieId"], x["reason"]) for x in r["results"]]) for r in back] == [("p", [(4, "a b"), (3, "a b")])]
+    writers.write_results(hits, str(tmp_path / "rows"), k=2, fmt="csv")
+    assert [r["movieId"] for r in spark.read.csv(str(tmp_path / "rows"), header=True).orderBy("rank").collect()] == ["4", "3"]
     writers.write_report(hits.drop("reason"), str(tmp_path), "report")
     assert spark.read.option("header", True).csv(str(tmp_path / "report.csv")).count() == 5
 
 
+def test_emotion_source_formats(spark, tmp_path):
+    rows = [{"movieId": 1, "joy": 3.0, "fear": 1.0}, {"movieId": 2, "sadness": 2.0}]
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    (tmp_path / "b.json").write_text("\n\n".join(json.dumps(r) for r in rows))
+    (tmp_path / "c.json").write_text(json.dumps(rows))
+    (tmp_path / "d.csv").write_text("movieId,joy,fear,sadness\n1,3,1,\n2,,,2\n")
+    found = [{r["movieId"]: [round(x, 6) for x in r["emo"]] for r in readers.read_emotion_source(spark, str(tmp_path / n)).collect()}
+             for n in ("a.jsonl", "b.json", "c.json", "d.csv")]
+    assert all(f == found[0] for f in found) and set(found[0]) == {1, 2}
+    (tmp_path / "e.json").write_text("[]")
+    (tmp_path / "f.json").write_text('"text"')
+    (tmp_path / "g.txt").write_text("{}")
+    for name in ("e.json", "f.json", "g.txt"):
+        try:
+            readers.read_emotion_source(spark, str(tmp_path / name)).collect()
+            raise AssertionError(f"{name} must fail")
+        except ValueError as e:
+            assert name in str(e)
+
+
+def test_large_documents_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "WHOLE_FILE_BYTES", 10)
+    (tmp_path / "a.json").write_text(json.dumps([{"a": i} for i in range(9)]))
+    for read in (readers.read_table, readers.read_rankings, readers.read_prompts):
+        try:
+            read(spark, str(tmp_path / "a.json"))
+            raise AssertionError("must be refused")
+        except ValueError as e:
+            assert "JSON lines" in str(e)
+
+
 def test_item_filters(spark):
     rows = spark.createDataFrame([(1, "en", "1999-05-01", False), (2, "fr", "bad", False), (3, "en", "2005-01-01", True), (4, None, None, None)],
                                  "movieId long, original_language string, release_date string, adult boolean")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark limits each group to k rows before the shuffle as well as after."""
     name = rank or "__rank"

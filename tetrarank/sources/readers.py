@@ -1,7 +1,7 @@
 """Files to DataFrames.
 
-A JSON document that is one list or one object cannot be split, so it is read by one task per file; at
-scale keep such inputs as JSON lines or parquet, which every reader here accepts as well.
+JSON lines, CSV, TSV and parquet are split between tasks. A JSON document that is one list or one object cannot be, so
+it is read by one task per file, and one over WHOLE_FILE_BYTES is refused: keep such inputs as JSON lines or parquet.
 """
 
 from __future__ import annotations
@@ -35,28 +35,55 @@ PAIR_SCHEMA = ("prompt_id string, pair_id string, difficulty string, movie1_id s
 JUDGMENT_SCHEMA = "prompt_id string, pair_id string, m1_gt_m2 int, winner string, confidence double"
 
 
-def is_json_list(spark: SparkSession, path: str) -> bool:
-    """True when the first non-blank line opens a list."""
+#: The largest JSON document that one task may read whole.
+WHOLE_FILE_BYTES = 256 << 20
+
+
+def whole_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row (value) per file, for documents that can't be split; a file over WHOLE_FILE_BYTES is an error."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    if largest > WHOLE_FILE_BYTES:
+        raise ValueError(f"{path}: a JSON document of {largest} bytes can't be split; write it as JSON lines or parquet")
+    return spark.read.text(path, wholetext=True)
+
+
+def first_character(spark: SparkSession, path: str) -> str:
+    """First character of a text file that is not blank, or an empty string."""
     first = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-    return first is not None and first["value"].lstrip().startswith("[")
+    return first["value"].lstrip()[:1] if first else ""
+
+
+def is_json_list(spark: SparkSession, path: str) -> bool:
+    return first_character(spark, path) == "["
+
 
+def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multiline: bool = False) -> DataFrame:
+    """parquet, JSON lines, JSON list, CSV or TSV, told apart by suffix (and by the first character for JSON).
 
-def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """parquet, JSON lines, JSON list, CSV or TSV, told apart by suffix (and by the first line for JSON)."""
+    CSV and TSV are split between tasks; with `multiline` quoted fields may hold line breaks, and a file goes to one task.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if suffix in ("parquet", "pq"):
         return reader.parquet(path)
     if suffix in ("jsonl", "json"):
-        return reader.option("multiLine", is_json_list(spark, path)).json(path)
+        if suffix == "json" and is_json_list(spark, path):
+            whole_documents(spark, path)  # refuses what is too large for one task
+            return reader.option("multiLine", True).json(path)
+        return reader.json(path)
     if suffix in ("csv", "tsv"):
-        options = {"header": True, "sep": "," if suffix == "csv" else "\t", "quote": '"', "escape": '"', "multiLine": True}
+        options = {"header": True, "sep": "," if suffix == "csv" else "\t", "quote": '"', "escape": '"', "multiLine": multiline}
         if schema is None:
             options["inferSchema"] = True
         return reader.options(**options).csv(path)
     raise ValueError(f"unsupported file type: {path}")
 
 
+def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of a folder as parquet, or else as JSON lines."""
+    return read_first(spark, [f"{folder}/chunks.parquet", f"{folder}/chunks.jsonl"])
+
+
 def read_first(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
     """First of several candidate files that can be read."""
     from pyspark.errors import AnalysisException
@@ -145,7 +172,7 @@ def rankings_from_json(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_rankings(spark: SparkSession, path: str) -> DataFrame:
-    return rankings_from_json(spark.read.text(path, wholetext=True))
+    return rankings_from_json(whole_documents(spark, path))
 
 
 def prompts_from_json(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -167,7 +194,7 @@ def prompts_from_json(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
-    prompts = prompts_from_json(spark.read.text(path, wholetext=True))
+    prompts = prompts_from_json(whole_documents(spark, path))
     return prompts.where(F.col("prompt_id").isin(ids)) if ids else prompts
 
 
@@ -207,11 +234,32 @@ def emotion_index(records: DataFrame, epsilon: float = 1e-9, how: str = "max") -
 
 
 def read_emotion_source(spark: SparkSession, path: str, epsilon: float = 1e-9, how: str = "max") -> DataFrame:
-    if path.endswith((".parquet", ".pq")):
-        records = spark.read.parquet(path).select(F.lit(None).cast("string").alias("key"), F.to_json(F.struct("*")).alias("record"))
+    """Emotion index of a parquet, CSV, TSV or JSON lines table, or of a JSON document in any accepted shape.
+
+    Another kind of file, a document that is neither a list nor an object, and an input without one valid row are errors.
+    """
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    key = F.lit(None).cast("string").alias("key")
+    if suffix in ("parquet", "pq", "csv", "tsv"):
+        records = read_table(spark, path).select(key, F.to_json(F.struct("*")).alias("record"))
+    elif suffix == "jsonl" or suffix == "json" and _is_json_lines(spark, path):
+        records = spark.read.text(path).where(F.trim("value") != "").select(key, F.col("value").alias("record"))
+    elif suffix == "json":
+        if first_character(spark, path) not in ("[", "{"):
+            raise ValueError(f"{path}: expected a JSON list or object")
+        records = emotion_records_from_json(whole_documents(spark, path))
     else:
-        records = emotion_records_from_json(spark.read.text(path, wholetext=True))
-    return emotion_index(records, epsilon, how)
+        raise ValueError(f"unsupported file type: {path}")
+    index = emotion_index(records, epsilon, how)
+    if not index.limit(1).count():
+        raise ValueError(f"{path}: no valid rows")
+    return index
+
+
+def _is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first two lines that are not blank are objects of their own."""
+    lines = [r["value"].strip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    return len(lines) == 2 and all(x.startswith("{") and x.endswith("}") for x in lines)
 
 
 def read_emotion_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,9 +37,16 @@ def result_rows(rows: DataFrame, k: int = 10, by: str = "prompt_id") -> DataFram
 
 
 def write_results(rows: DataFrame, folder: str, k: int = 10, by: str = "prompt_id", fmt: str = "json") -> None:
-    """One directory per prompt holding its best k rows."""
-    cut = result_rows(rows, k, by).repartition(by)
-    cut.write.mode("overwrite").partitionBy(by).format(fmt).option("header", fmt == "csv").save(folder)
+    """The best k rows of each prompt: a JSON line per prompt with its list, or with fmt="csv" a line per row.
+
+    Part files hold many prompts each, so millions of prompts don't make millions of files.
+    """
+    cut = result_rows(rows, k, by)
+    if fmt == "csv":
+        cut.repartition(by).sortWithinPartitions(by, "rank").write.mode("overwrite").option("header", True).csv(folder)
+        return
+    entry = F.struct("rank", *[c for c in cut.columns if c not in (by, "rank")])
+    cut.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("results")).write.mode("overwrite").json(folder)
 
 
 def write_report(report: DataFrame, folder: str, name: str) -> None:

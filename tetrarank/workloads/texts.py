@@ -9,7 +9,7 @@ from tetrarank.functions import coerce as co
 from tetrarank.functions import distributions as dx
 from tetrarank.functions import numeric as nx
 from tetrarank.functions import text as tx
-from tetrarank.operators import emotion, items, splits
+from tetrarank.operators import emotion, items, scale, splits
 from tetrarank.sources import readers, writers
 from tetrarank.workloads import views as v
 from tetrarank.workloads.retrieval import rounded
@@ -449,6 +449,44 @@ def request_payloads(spark, sf):
     return out.select("batch", "n_prompts", F.explode(back).alias("p")).select("batch", "n_prompts", "p.prompt_id", F.md5("p.text").alias("hash"))
 
 
+def tables_by_format(spark, sf):
+    """Parts written as parquet, JSON lines, CSV and TSV and as files of one JSON list each, read back by suffix."""
+    path = scale.shared_path(spark, "tables")
+    part = v.table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    found = []
+    for suffix in ("parquet", "jsonl", "csv", "tsv"):
+        writers.write_table(part, f"{path}/part.{suffix}")
+        found.append(readers.read_table(spark, f"{path}/part.{suffix}", part.schema).withColumn("format", F.lit(suffix)))
+    lists = part.groupBy((F.col("p_partkey") % 8).alias("file")).agg(F.to_json(F.collect_list(F.struct(*part.columns))).alias("value"))
+    lists.write.partitionBy("file").text(f"{path}/part.json")
+    found.append(readers.read_table(spark, f"{path}/part.json", part.schema).select(*part.columns).withColumn("format", F.lit("json")))
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    return rounded(every, "p_retailprice")
+
+
+def chunk_files(spark, sf):
+    """Chunks of documents written with their JSON lines and summary, read back from both, with the summary's count."""
+    path = scale.shared_path(spark, "chunks")
+    writers.write_chunks(items.build_chunks(_as_items(spark, sf), min_words=30), path)
+    lines = readers.read_table(spark, f"{path}/chunks.jsonl")
+    total = spark.read.json(f"{path}/summary.json").select("total_chunks").scalar()
+    columns = ["chunkId", F.md5("text").alias("hash"), "n_words", "n_chars"]
+    return readers.read_chunks(spark, path).select(F.lit("parquet").alias("format"), *columns).unionByName(
+        lines.select(F.lit("jsonl").alias("format"), *columns)).withColumn("total_chunks", total)
+
+
+def report_files(spark, sf):
+    """Order counts and totals per status and priority written as a report, read back from its CSV and JSON files."""
+    path = scale.shared_path(spark, "report")
+    report = v.table(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    writers.write_report(report, path, "orders")
+    kept = F.col("n").cast("long").alias("n"), F.round(F.col("total").cast("double"), 2).alias("total")
+    return readers.read_table(spark, f"{path}/orders.csv").select(F.lit("csv").alias("format"), "o_orderstatus", "o_orderpriority", *kept).unionByName(
+        readers.read_table(spark, f"{path}/orders.json").select(F.lit("json").alias("format"), "o_orderstatus", "o_orderpriority", *kept))
+
+
 def preference_triplets(spark, sf):
     """Nested prompt, pair and judgment records built from orders, flattened and joined."""
     o = v.table(spark, sf, "orders")
@@ -480,7 +518,7 @@ QUERIES = {
     "emotion_index_from_json": emotion_index_from_json, "merged_duplicates": merged_duplicates, "coerced_profiles": coerced_profiles,
     "parsed_responses": parsed_responses, "rejected_responses": rejected_responses, "incomplete_prompts": incomplete_prompts,
     "best_lists": best_lists, "score_pools": score_pools, "prompt_batches": prompt_batches, "request_payloads": request_payloads,
-    "preference_triplets": preference_triplets,
+    "preference_triplets": preference_triplets, "tables_by_format": tables_by_format, "chunk_files": chunk_files, "report_files": report_files,
 }
 
 _RAT = "SELECT o_custkey AS user_id, l_partkey AS item_id, floor(l_quantity / 10)::INT + 1 AS rating, epoch(l_shipdate)::BIGINT AS ts FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
@@ -532,6 +570,10 @@ ORACLES = {
       FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score_beta DESC, item_id) AS rk, count(*) OVER (PARTITION BY prompt_id) AS n FROM ranking) a""",
     "prompt_batches": _batch_sql(),
     "request_payloads": _payload_sql(),
+    "tables_by_format": " UNION ALL ".join(f"SELECT p_partkey, p_name, p_size, round(p_retailprice::DOUBLE, 6) AS p_retailprice, '{f}' AS format FROM part" for f in ("parquet", "jsonl", "csv", "tsv", "json")),
+    "chunk_files": f"""WITH {_CHUNK}, k AS (SELECT doc_id::VARCHAR AS "chunkId", md5(text) AS hash, {words_sql('text')} AS n_words, length(text) AS n_chars, count(*) OVER () AS total_chunks FROM chunked WHERE {words_sql('text')} >= 30)
+      SELECT 'parquet' AS format, * FROM k UNION ALL SELECT 'jsonl' AS format, * FROM k""",
+    "report_files": "WITH a AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2)::DOUBLE AS total FROM orders GROUP BY 1, 2) SELECT 'csv' AS format, * FROM a UNION ALL SELECT 'json' AS format, * FROM a",
     "preference_triplets": with_ctes("pairs") + f"""SELECT prompt_id::VARCHAR AS prompt_id, pair_id, "movieA" AS movie1_id, "movieB" AS movie2_id, y, o_orderpriority AS category, {r(uniform('prompt_id', repr('alpha'), seed='t'))} AS mix_alpha, o_orderstatus AS persona_style, NULL::BOOLEAN AS cold_user
       FROM pairs LEFT JOIN orders ON o_orderkey = prompt_id""",
 }
