@@ -39,26 +39,30 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(step, columns=[f"s{i}" for i in range(n)])
 
 
-def prompt_logits(pairs: DataFrame, strength: float, steps: int = 8) -> DataFrame:
-    """prompt_id, c0..c3: coefficients of a balanced, intercept-free L2 logistic fit per prompt.
+def stored_pairs(pairs: DataFrame) -> DataFrame:
+    """prompt_id, y and the differences, stored once for all fits over the same pairs."""
+    checkpoint_dir(pairs.sparkSession)
+    return pairs.select("prompt_id", "y", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(DZ_COLUMNS)]).checkpoint()
+
+
+def prompt_logits(base: DataFrame, strength: float, tolerance: float = 1e-9, most_steps: int = 60) -> DataFrame:
+    """prompt_id, n, pos, c0..c3, converged: a balanced, intercept-free L2 logistic fit per prompt over `stored_pairs`.
 
     Every Newton step is one pass of partial sums over the pairs, so the pairs of one prompt never have to
-    meet in one task; only the small per-prompt systems are solved in Arrow batches. The coefficient table
-    is checkpointed after each step, which keeps the plan flat; so are the pairs, which every step reads.
+    meet in one task; only the small per-prompt systems are solved in Arrow batches. Steps go on until none moves a coefficient
+    by more than `tolerance`; prompts that still move after `most_steps` are marked. The coefficient table is checkpointed
+    after each step, which keeps the plan flat.
     """
-    spark = pairs.sparkSession
-    checkpoint_dir(spark)
     n = len(EXPERTS)
-    sums = pairs.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    sums = base.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     usable = sums.where((F.col("pos") > 0) & (F.col("pos") < F.col("n")))
-    coefficients = usable.select("prompt_id", "n", "pos", *[F.lit(0.0).alias(f"c{i}") for i in range(n)]).checkpoint()
-    base = pairs.select("prompt_id", "y", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(DZ_COLUMNS)]).checkpoint()
+    coefficients = usable.select("prompt_id", "n", "pos", *[F.lit(0.0).alias(f"c{i}") for i in range(n)], F.lit(1.0).alias("moved")).checkpoint()
 
     @F.pandas_udf(", ".join(f"s{i} double" for i in range(n)))
     def newton(rows: pd.DataFrame) -> pd.DataFrame:
         return _solve(rows)
 
-    for _ in range(steps):
+    for _ in range(most_steps):
         joined = base.join(coefficients, "prompt_id")
         margin = reduce(lambda a, b: a + b, [F.col(f"x{i}") * F.col(f"c{i}") for i in range(n)])
         weight = F.when(F.col("y") == 1, F.col("n") / (2.0 * F.col("pos"))).otherwise(
@@ -74,18 +78,20 @@ def prompt_logits(pairs: DataFrame, strength: float, steps: int = 8) -> DataFram
                           *[(F.col(f"h{i}{j}") + F.lit(1.0 if i == j else 0.0)).alias(f"h{i}{j}")
                             for i in range(n) for j in range(i, n)])
         coefficients = (system.withColumn("step", newton(inputs))
-                        .select("prompt_id", "n", "pos",
-                                *[(F.col(f"c{i}") - F.col(f"step.s{i}")).alias(f"c{i}") for i in range(n)])
+                        .select("prompt_id", "n", "pos", *[(F.col(f"c{i}") - F.col(f"step.s{i}")).alias(f"c{i}") for i in range(n)],
+                                F.greatest(*[F.abs(f"step.s{i}") for i in range(n)]).alias("moved"))
                         .checkpoint())
-    return coefficients
+        if (coefficients.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return coefficients.withColumn("converged", F.col("moved") <= tolerance).drop("moved")
 
 
-def logit_targets(pairs: DataFrame, strength: float, min_pairs: int = 6, min_auc: float = 0.55) -> DataFrame:
+def logit_targets(pairs: DataFrame, strength: float, min_pairs: int = 6, min_auc: float = 0.55, base: DataFrame | None = None) -> DataFrame:
     """Softplus-normalized coefficients with the fit's AUC and whether the fit is good enough."""
-    fits = prompt_logits(pairs, strength)
+    fits = prompt_logits(stored_pairs(pairs) if base is None else base, strength)
     raised = [nx.softplus(F.col(f"c{i}")) for i in range(len(EXPERTS))]
     total = reduce(lambda a, b: a + b, raised) + F.lit(1e-8)
-    weights = fits.select("prompt_id", "n", *[f"c{i}" for i in range(len(EXPERTS))],
+    weights = fits.where("converged").select("prompt_id", "n", *[f"c{i}" for i in range(len(EXPERTS))],
                           *[(r / total).alias(w) for r, w in zip(raised, WEIGHTS)])
     margin = reduce(lambda a, b: a + b, [F.col(d) * F.col(f"c{i}") for i, d in enumerate(DZ_COLUMNS)])
     scored = pairs.join(weights, "prompt_id").withColumn("margin", margin)
@@ -108,9 +114,9 @@ def prompt_targets(pairs: DataFrame, mix: list[str] | None = None, min_pairs: in
         base = pairs.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("pairs_used")).select(
             "prompt_id", "pairs_used", *[F.lit(None).cast("double").alias(w) for w in WEIGHTS])
     need = pairs.join(base.where(F.col(WEIGHTS[0]).isNull()).select("prompt_id"), "prompt_id", "left_semi")
-    fits = {}
+    fits, base_pairs = {}, stored_pairs(need)
     for name, strength in (("strong", 5.0), ("weak", 1.0)):
-        fits[name] = logit_targets(need, strength, min_pairs).select(
+        fits[name] = logit_targets(need, strength, min_pairs, base=base_pairs).select(
             "prompt_id", *[F.col(w).alias(f"{name}_{w}") for w in WEIGHTS], F.col("auc_fit").alias(f"{name}_auc"),
             F.col("good").alias(f"{name}_good"))
     joined = base.join(fits["strong"], "prompt_id", "left").join(fits["weak"], "prompt_id", "left")

@@ -18,7 +18,11 @@ from pyspark.sql import types as T
 
 from tetrarank.constants import DZ_COLUMNS, EXPERTS
 from tetrarank.functions import distributions as dx
+from tetrarank.functions import numeric as nx
 from tetrarank.operators import evaluation, preferences
+from tetrarank.operators.scale import checkpoint_dir
+
+PARAMETER_BYTES = 64 << 20
 
 
 def feature_matrix(df: DataFrame, numeric: list[str], levels: dict[str, list[str]], output: str = "features") -> DataFrame:
@@ -45,6 +49,14 @@ def fit_linear_ranker(pairs: DataFrame, features: list[str] | None = None, reg:
     return [float(c) for c in model.coefficients]
 
 
+def logistic_gradient(pairs: DataFrame, weights: list[float], features: list[str] | None = None) -> DataFrame:
+    """feature, gradient of the mean pairwise logistic loss at the given weights: all zero at the optimum."""
+    features = features or DZ_COLUMNS
+    error = nx.sigmoid(linear_margin(weights, features)) - F.col("y")
+    sums = pairs.agg(*[F.avg(error * F.col(f)).alias(f) for f in features])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("gradient")) for f in features])).alias("g")).select("g.*")
+
+
 def l1_normalized(weights: list[float]) -> list[float]:
     total = sum(abs(w) for w in weights) + 1e-9
     return [w / total for w in weights]
@@ -72,15 +84,15 @@ def nonlinear_margin(model, pairs: DataFrame) -> DataFrame:
 def fit_weight_heads(design: DataFrame, features: list[str], targets: list[str], *, trees: int = 20, depth: int = 3,
                      rate: float = 0.2, seed: int = 42) -> dict[str, PipelineModel]:
     """One boosted regression per expert on the log of its target weight."""
+    checkpoint_dir(design.sparkSession)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     data = assembler.transform(design.select(
-        *features, *[F.ln(F.greatest(F.col(t), F.lit(1e-6))).alias(f"log_{t}") for t in targets])).persist()
+        *features, *[F.ln(F.greatest(F.col(t), F.lit(1e-6))).alias(f"log_{t}") for t in targets])).checkpoint()
     heads = {}
     for expert, t in zip(EXPERTS, targets):
         booster = GBTRegressor(labelCol=f"log_{t}", featuresCol="features", predictionCol=f"head_{expert}", maxIter=trees,
                                maxDepth=depth, stepSize=rate, seed=seed)
         heads[expert] = PipelineModel(stages=[assembler, booster.fit(data)])
-    data.unpersist()
     return heads
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS, EXPERTS
 from tetrarank.functions import numeric as nx
-from tetrarank.operators import collaborative, evaluation, mining, preferences, scoring, splits, targets
+from tetrarank.operators import collaborative, evaluation, mining, preferences, scale, scoring, splits, targets
 from tetrarank.plans import training
 from tetrarank.workloads import views as v
 from tetrarank.workloads.retrieval import _z_sql, rounded
@@ -270,6 +270,22 @@ def mined_pairs(spark, sf):
     return mining.mine_pairs(lists, score="combined")
 
 
+def mined_pair_rules(spark, sf):
+    """Pairs per difficulty for lists of seven items or more, and broken rules over all lists: an item used over three
+    times, a pair mined twice, a label against the scores."""
+    lists = v.ranking(spark, sf)
+    long = lists.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_items"))
+    pairs = mined_pairs(spark, sf).join(long, "prompt_id")
+    both = F.array(F.least("movieA", "movieB"), F.greatest("movieA", "movieB"))
+    uses = pairs.select("prompt_id", F.explode(F.array("movieA", "movieB")).alias("i")).groupBy("prompt_id", "i").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    twice = pairs.groupBy("prompt_id", both.alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sign = pairs.where((F.col("score_a") >= F.col("score_b")) != (F.col("m1_gt_m2") == 1))
+    broken = uses.select(F.lit("uses").alias("rule")).unionByName(twice.select(F.lit("twice").alias("rule"))).unionByName(sign.select(F.lit("sign").alias("rule")))
+    counted = pairs.where("n_items >= 7").groupBy(F.concat(F.lit("pairs "), F.col("difficulty")).alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+    rules = spark.createDataFrame([("uses",), ("twice",), ("sign",)], "rule string")
+    return counted.unionByName(rules.join(broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n")), "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n")))
+
+
 def pair_item_features(spark, sf):
     """Overlap features and hardness of supplier-part pairs, from part attributes."""
     part = v.table(spark, sf, "part")
@@ -322,9 +338,28 @@ def linear_ranker(spark, sf):
     return report.select("*", *[F.lit(round(w, 4)).alias(f"weight_{e}") for w, e in zip(training.l1_normalized(weights), EXPERTS)])
 
 
+def linear_ranker_optimum(spark, sf):
+    """Gradient of the loss over all pairs at the fitted weights: zero."""
+    p = v.pairs(spark, sf)
+    return rounded(training.logistic_gradient(p, training.fit_linear_ranker(p)), "gradient", digits=4)
+
+
+def logit_target_optimum(spark, sf):
+    """Per-prompt fits: how many there are, how many converged, and the largest gradient of the penalized loss."""
+    base = targets.stored_pairs(_customer_pairs(spark, sf))
+    fits = targets.prompt_logits(base, 5.0)
+    margin = sum((F.col(f"x{i}") * F.col(f"c{i}") for i in range(1, 4)), F.col("x0") * F.col("c0"))
+    weight = F.when(F.col("y") == 1, F.col("n") / (2.0 * F.col("pos"))).otherwise(F.col("n") / (2.0 * (F.col("n") - F.col("pos"))))
+    error = F.lit(5.0) * weight * (nx.sigmoid(margin) - F.col("y"))
+    sums = base.join(fits, "prompt_id").groupBy("prompt_id").agg(F.max("converged").alias("converged"), *[
+        (F.sum(error * F.col(f"x{i}")) + F.max(f"c{i}")).alias(f"g{i}") for i in range(4)])
+    return sums.agg(F.count(F.lit(1)).alias("prompts"), F.sum(F.col("converged").cast("int")).alias("converged"),
+                    F.round(F.max(F.greatest(*[F.abs(f"g{i}") for i in range(4)])), 5).alias("gradient"))
+
+
 def nonlinear_ranker(spark, sf):
     p = splits.split_by_group(v.pairs(spark, sf), ["prompt_id"], ["category"])
-    model = training.fit_nonlinear_ranker(p.where("split = 'train'"), max_iter=30)
+    model = training.fit_nonlinear_ranker(p.where("split = 'train'"), max_iter=100)
     return evaluation.ranker_report(training.nonlinear_margin(model, p.where("split = 'test'")))
 
 
@@ -341,17 +376,19 @@ FEATURES = [f"{c}_{s}" for c in DZ_COLUMNS for s in ("mean", "std", "pos_frac",
 def weight_heads(spark, sf):
     """Cross-validated metrics of four boosted heads on prompt features."""
     p, design = _design(spark, sf)
-    folded = splits.fold_by_rank(design, ["prompt_id"], [], 3).persist()
-    metrics, _ = training.cross_validate(folded, p, FEATURES, [f"w_{e}" for e in EXPERTS], 3, trees=5)
+    scale.checkpoint_dir(spark)
+    folded = splits.fold_by_rank(design, ["prompt_id"], [], 3).checkpoint()
+    metrics, _ = training.cross_validate(folded, p, FEATURES, [f"w_{e}" for e in EXPERTS], 3, trees=15)
     return evaluation.fold_summary(metrics, ["accuracy", "auc", "logloss"])
 
 
 def weight_head_report(spark, sf):
     p, design = _design(spark, sf)
     names = [f"w_{e}" for e in EXPERTS]
-    design = design.persist()
-    heads = training.fit_weight_heads(design, FEATURES, names, trees=5)
-    distances, _ = training.evaluate_heads(heads, design, p, names, ["category"])
+    scale.checkpoint_dir(spark)
+    folded = splits.fold_by_rank(design, ["prompt_id"], [], 3).checkpoint()
+    heads = training.fit_weight_heads(folded.where("fold > 0"), FEATURES, names, trees=15)
+    distances, _ = training.evaluate_heads(heads, folded.where("fold = 0"), p, names, ["category"])
     return distances
 
 
@@ -360,23 +397,42 @@ def user_item_factors(spark, sf):
     o, li = v.table(spark, sf, "orders"), v.table(spark, sf, "lineitem")
     ratings = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(
         F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id")).agg(F.sum("l_quantity").alias("rating"))
-    users, items = training.fit_factors(ratings, threshold=25.0, max_iter=4)
+    users, items = training.fit_factors(ratings, threshold=25.0, max_iter=10)
     return collaborative.user_top_items(users, items, 10)
 
 
-def gated_mixture_scores(spark, sf):
-    """Forward pass of a fixed small network over all pairs, per category."""
+def _network():
+    """A fixed small network: 20 features, 8 hidden units, 4 weights."""
     import numpy as np
     rng = np.random.default_rng(7)
-    parameters = {"w1": rng.normal(size=(8, 20)), "b1": rng.normal(size=8), "w2": rng.normal(size=(4, 8)), "b2": rng.normal(size=4),
-                  "a": np.ones(4), "b": np.zeros(4), "bias": np.zeros(20), "temp": 1.5}
+    return {"w1": rng.normal(size=(8, 20)), "b1": rng.normal(size=8), "w2": rng.normal(size=(4, 8)), "b2": rng.normal(size=4),
+            "a": np.ones(4), "b": np.zeros(4), "bias": np.zeros(20), "temp": 1.5}
+
+
+def gated_mixture_scores(spark, sf):
+    """Forward pass of a fixed small network over all pairs, per category."""
     rows = training.feature_matrix(v.pairs(spark, sf), [], {}).withColumn("x", F.transform(
         training.vector_to_array("features"), lambda x: x)).drop("features")
-    out = training.gated_mixture(rows.select("pair_id", "category", "x"), "x", parameters)
+    out = training.gated_mixture(rows.select("pair_id", "category", "x"), "x", _network())
     return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("margin"), 6).alias("mean_margin"),
                                        *[F.round(F.avg(f"w_{e}"), 6).alias(f"mean_w_{e}") for e in EXPERTS])
 
 
+def _gated_sql():
+    p = _network()
+    x = [*DZ_COLUMNS, *[e.format(c=c) for c in DZ_COLUMNS for e in ("abs({c})", "greatest({c}, 0)", "greatest(-{c}, 0)", "(abs({c}) > 1e-9)::INT::DOUBLE")]]
+
+    def affine(row, inputs, bias):
+        return " + ".join([*[f"({float(w)!r})::DOUBLE * ({i})" for w, i in zip(row, inputs)], f"({float(bias)!r})::DOUBLE"])
+
+    hidden = ", ".join(f"greatest({affine(w, x, b)}, 0) AS h{j}" for j, (w, b) in enumerate(zip(p["w1"], p["b1"])))
+    logits = ", ".join(f"exp(({affine(w, [f'h{j}' for j in range(8)], b)}) / 1.5::DOUBLE) AS e{k}" for k, (w, b) in enumerate(zip(p["w2"], p["b2"])))
+    total = "(e0 + e1 + e2 + e3)"
+    margin = " + ".join(f"e{k} / {total} * {c}" for k, c in enumerate(DZ_COLUMNS))
+    return with_ctes("pairs") + f", h AS (SELECT *, {hidden} FROM pairs), l AS (SELECT *, {logits} FROM h) SELECT category, count(*) AS n, {r(f'avg({margin})')} AS mean_margin, " + ", ".join(
+        f"{r(f'avg(e{k} / {total})')} AS mean_w_{e}" for k, e in enumerate(EXPERTS)) + " FROM l GROUP BY 1"
+
+
 QUERIES = {
     "difference_features": difference_features, "pairs_with_signal": pairs_with_signal, "judged_pairs": judged_pairs,
     "combined_features": combined_features, "derived_signals": derived_signals, "standardized_features": standardized_features,
@@ -388,10 +444,17 @@ QUERIES = {
     "nested_pair_batches": nested_pair_batches, "calibrated_margins": calibrated_margins, "linear_ranker": linear_ranker,
     "nonlinear_ranker": nonlinear_ranker, "weight_heads": weight_heads, "weight_head_report": weight_head_report,
     "user_item_factors": user_item_factors, "gated_mixture_scores": gated_mixture_scores,
+    "mined_pair_rules": mined_pair_rules, "linear_ranker_optimum": linear_ranker_optimum, "logit_target_optimum": logit_target_optimum,
 }
 
 _GROUPED = with_ctes("pairs") + f", {_SPLIT}"
 ORACLES = {
+    "gated_mixture_scores": _gated_sql(),
+    "mined_pair_rules": with_ctes("ranking") + """, n AS (SELECT prompt_id, count(*) AS n FROM ranking GROUP BY 1) SELECT 'pairs ' || d AS rule, count(*) * 3 AS n FROM n, (SELECT unnest(['easy', 'medium', 'hard']) AS d) x WHERE n >= 7 GROUP BY d
+      UNION ALL SELECT unnest(['uses', 'twice', 'sign']) AS rule, 0 AS n""",
+    "linear_ranker_optimum": "SELECT unnest([" + ", ".join(f"'{c}'" for c in DZ_COLUMNS) + "]) AS feature, 0.0::DOUBLE AS gradient",
+    "logit_target_optimum": with_ctes("pairs") + """SELECT count(*) AS prompts, count(*) AS converged, 0.0::DOUBLE AS gradient FROM (
+      SELECT o_custkey FROM pairs JOIN orders ON o_orderkey = prompt_id GROUP BY 1 HAVING min(y) < max(y)) a""",
     "difference_features": _DIFFERENCES,
     "pairs_with_signal": with_ctes("pairs") + "SELECT category, difficulty, count(*) AS n FROM pairs WHERE greatest(abs(dz_alpha), abs(dz_beta), abs(dz_gamma), abs(dz_delta)) > 0.25 GROUP BY 1, 2",
     "judged_pairs": with_ctes("pairs") + """SELECT prompt_id, pair_id, "movieA", "movieB", y, o.o_orderpriority AS priority FROM pairs LEFT JOIN orders o ON o_orderkey = prompt_id""",

@@ -170,7 +170,7 @@ _HASHED = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,
 # --- collaborative, emotion ---------------------------------------------------------------------------
 
 def user_item_cosine(spark, sf):
-    return collaborative.user_top_items(v.label_centres(spark, sf), v.vectors(spark, sf), 50)
+    return collaborative.user_top_items(v.user_profiles(spark, sf), v.vectors(spark, sf), 50)
 
 
 def _own_items(spark, sf):
@@ -610,9 +610,9 @@ ORACLES = {
     "embedding_provenance": "SELECT 'encoder-' || label AS index_model, 'org/encoder-3' AS query_model, count(*) AS n, contains('org/encoder-3', 'encoder-' || label) AS matches FROM embeddings GROUP BY label",
     "unit_vectors": with_ctes("unit_vectors") + f"""SELECT item_id, {r('u[1]')} AS first, {r('sqrt(list_sum(list_transform(u, lambda x: x * x)))')} AS norm,
       {r('list_sum(list_transform(range(1, 65), lambda i: u[i] * w[i]))')} AS mirrored, {r('list_sum(list_transform(range(1, 65), lambda i: (u[i] - w[i]) * (u[i] - w[i])))')} AS distance FROM {_UV} a""",
-    "user_item_cosine": with_ctes("unit_vectors", "label_centres") + f"""SELECT user_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rk FROM (
+    "user_item_cosine": with_ctes("unit_vectors", "user_profiles") + f"""SELECT user_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rk FROM (
       SELECT c.user_id, x.item_id, {r('list_sum(list_transform(range(1, 65), lambda i: c.vector[i] * x.u[i])) / (sqrt(list_sum(list_transform(c.vector, lambda y: y * y))) + 1e-12::DOUBLE)')} AS score
-      FROM label_centres c, unit_vectors x) a) b WHERE rk <= 50""",
+      FROM user_profiles c, unit_vectors x) a) b WHERE rk <= 50""",
     "user_scores_of_candidates": with_ctes("vectors", "label_centres") + f"SELECT user_id, item_id, {r('score')} AS score FROM ({_OWN}) a",
     "user_movie_scores": with_ctes("vectors", "label_centres") + f"SELECT user_id, item_id // 4 AS movie_id, {r('max(score)')} AS max_score, {r('sum(score)')} AS sum_score FROM ({_OWN}) a GROUP BY 1, 2",
     "emotion_similarity": with_ctes("queries", "emotions", "vectors") + f"""SELECT c.query_id, c.item_id, {r(js_sql('q.prompt_emo', f'coalesce(e.emo, {UNIFORM})'))} AS js_sqrt,

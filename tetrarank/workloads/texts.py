@@ -49,12 +49,23 @@ def cleaned_text(spark, sf):
 
 
 def sentence_counts(spark, sf):
-    """Sentences per document; the SQL engine's patterns have no lookbehind."""
     s = tx.sentences(F.col("text"))
     return v.table(spark, sf, "documents").select("doc_id", s.alias("s")).select(
         "doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("hash"))
 
 
+def _sentence_sql():
+    """Breaks are marked by a character that texts lack, as these patterns know no look-behind."""
+    def strip(x):
+        return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+    marked = f"""regexp_replace(p, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z0-9"''])', '\\1' || chr(1) || '\\2', 'g')"""
+    split = f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {strip('s')}), lambda s: s <> '')"
+    paragraphs = f"list_filter(list_transform(regexp_split_to_array({strip('coalesce(text, $$$$)')}, '\\n{{2,}}'), lambda p: {strip('p')}), lambda p: p <> '')"
+    return f"""SELECT doc_id, len(s)::INT AS n_sentences, md5(array_to_string(s, '|')) AS hash FROM (SELECT doc_id, flatten(list_transform({paragraphs},
+      lambda p: CASE WHEN {words_sql('p')} < {tx.SHORT_PARAGRAPH_WORDS} THEN [p] ELSE {split} END)) AS s FROM documents) a"""
+
+
 def _as_items(spark, sf):
     return v.table(spark, sf, "documents").select(
         F.col("doc_id").alias("movieId"), F.concat(F.lit("Filed under "), F.col("source"), F.lit(" [1].")).alias("overview"),
@@ -569,6 +580,7 @@ ORACLES = {
     "score_pools": with_ctes("ranking") + """SELECT prompt_id, item_id, rk AS rank, rk <= greatest(5, n // 10) AS is_top, rk > n - greatest(5, n // 10) AS is_low, rk > greatest(5, n // 10) AND rk <= n - greatest(5, n // 10) AS is_mid
       FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score_beta DESC, item_id) AS rk, count(*) OVER (PARTITION BY prompt_id) AS n FROM ranking) a""",
     "prompt_batches": _batch_sql(),
+    "sentence_counts": _sentence_sql(),
     "request_payloads": _payload_sql(),
     "tables_by_format": " UNION ALL ".join(f"SELECT p_partkey, p_name, p_size, round(p_retailprice::DOUBLE, 6) AS p_retailprice, '{f}' AS format FROM part" for f in ("parquet", "jsonl", "csv", "tsv", "json")),
     "chunk_files": f"""WITH {_CHUNK}, k AS (SELECT doc_id::VARCHAR AS "chunkId", md5(text) AS hash, {words_sql('text')} AS n_words, length(text) AS n_chars, count(*) OVER () AS total_chunks FROM chunked WHERE {words_sql('text')} >= 30)

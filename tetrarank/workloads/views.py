@@ -211,6 +211,17 @@ def label_centres(spark: SparkSession, sf: str) -> DataFrame:
     return dense.mean_vector(vectors(spark, sf), by=["label"]).select(F.col("label").cast("long").alias("user_id"), "vector")
 
 
+def user_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A few items each, by number: the mean vector of a user's items."""
+    return dense.mean_vector(vectors(spark, sf).withColumn("user_id", (F.col("item_id") % 250).cast("long")), by=["user_id"])
+
+
+USER_PROFILES = """
+SELECT user_id, list(x ORDER BY pos) AS vector FROM (
+  SELECT (item_id % 250)::BIGINT AS user_id, pos, avg(vector[pos]) AS x
+  FROM vectors , range(1, 65) t(pos) GROUP BY 1, 2) a GROUP BY 1"""
+
+
 LABEL_CENTRES = """
 SELECT user_id, list(x ORDER BY pos) AS vector FROM (
   SELECT label::BIGINT AS user_id, pos, avg(vector[pos]) AS x
@@ -244,7 +255,7 @@ USER_TURNS = "SELECT concat_ws('-', conv_id, turn) AS prompt_id, text FROM conve
 CTES = {
     "pairs": PAIRS, "margin_pairs": MARGIN_PAIRS, "weighted_pairs": WEIGHTED_PAIRS, "ranking": RANKING,
     "weighted_ranking": WEIGHTED_RANKING, "prompt_weights": PROMPT_WEIGHTS, "chunks": CHUNKS, "vectors": VECTORS,
-    "emotions": EMOTIONS, "label_centres": LABEL_CENTRES, "queries": QUERIES, "user_turns": USER_TURNS,
+    "emotions": EMOTIONS, "label_centres": LABEL_CENTRES, "user_profiles": USER_PROFILES, "queries": QUERIES, "user_turns": USER_TURNS,
     "doc_tokens": "SELECT chunk_id AS doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM chunks ",
     "postings": "SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, "
                 "unnest(toks) AS term FROM doc_tokens ) a GROUP BY 1, 2",

@@ -59,7 +59,7 @@ def compare(spark, con, name, folder):
 def main():
     scale = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     folder = f"/root/testdata/sf{scale}"
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+    spark = (SparkSession.builder.master(f"local[{os.environ.get('CPUS', '8')}]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
