@@ -124,6 +124,24 @@ def test_entropy_bins_like_qcut(spark):
     assert {r["entropy_bin"] for r in flat.collect()} == {0}
 
 
+def test_folds_equal_a_walk():
+    """Any number of equal sizes: the fold of each category is the one a plain walk gives."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes = np.sort(rng.integers(1, 6, rng.integers(1, 40)))[::-1]
+        loads, walk = [0, 0, 0], []
+        for n in sizes.tolist():
+            walk.append(loads.index(min(loads)))
+            loads[walk[-1]] += n
+        held, at = np.zeros(3, np.int64), 0
+        for n in sorted(set(sizes.tolist()), reverse=True):
+            m = int((sizes == n).sum())
+            found = splits._fold_of(np.tile(held, (m, 1)), np.full(m, n), np.arange(m))
+            assert found.tolist() == walk[at:at + m]
+            held, at = held + n * splits._given(held, n, m), at + m
+        assert held.tolist() == loads
+
+
 def test_one_hot(spark):
     rows = spark.createDataFrame([(1, "B b", 2.0), (2, None, None), (3, " a ", 1.0)], "prompt_id long, c string, n double")
     levels = splits.fit_levels(rows, ["c"])

@@ -111,3 +111,21 @@ def test_buckets_follow_the_order_and_keep_nulls(spark):
     assert buckets == sorted(buckets) and len(set(buckets)) > 10
     ranks = scale.value_rank(df.withColumn("g", F.lit(1)), ["g"], "v", ["id"], "rank").orderBy("id").collect()
     assert [r["rank"] for r in ranks] == list(range(16, 0, -1))
+
+
+def test_equal_values_are_split(spark):
+    """One group, one value: the same ranks as a sort, and no bucket holds more than a small share."""
+    rows = spark.range(20_000).select(F.lit("g").alias("g"), F.lit(1.5).alias("v"), (F.col("id") * 7919 % 20_000).alias("i"))
+    ranked = scale.value_rank(rows, ["g"], "v", ["i"], "rank")
+    assert ranked.where(F.col("rank") != F.col("i") + 1).count() == 0 and ranked.count() == 20_000
+    sizes = [r["count"] for r in rows.groupBy(scale.tie_bucket(rows, "i").alias("b")).count().collect()]
+    assert len(sizes) > 1000 and max(sizes) < 200
+    named = rows.select("g", "v", F.concat(F.lpad(F.col("i").cast("string"), 6, "0"), F.lit("-x")).alias("i"))
+    assert scale.value_rank(named, ["g"], "v", ["i"], "rank").where(F.col("rank") != F.substring("i", 1, 6).cast("int") + 1).count() == 0
+
+
+def test_running_totals_of_tied_values(spark):
+    rows = spark.createDataFrame([("a", 2.0, 1, 10), ("a", 2.0, 2, 1), ("a", 1.0, 3, 5), ("a", None, 4, 7), ("b", 2.0, 5, 3)], "g string, v double, i long, x long")
+    down = {r["i"]: r["t"] for r in scale.ranked_totals(rows, ["g"], "v", ["i"], {"t": F.col("x")}).collect()}
+    up = {r["i"]: r["t"] for r in scale.ranked_totals(rows, ["g"], "v", ["i"], {"t": F.col("x")}, reverse=True).collect()}
+    assert down == {1: 10, 2: 11, 3: 16, 4: 23, 5: 3} and up == {1: 23, 2: 13, 3: 12, 4: 7, 5: 3}

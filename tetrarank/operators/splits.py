@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,20 +98,61 @@ def entropy_bins(df: DataFrame, value: str, n_bins: int = 5, out: str = "entropy
     return marked.withColumn(out, F.when(F.size("__edges") <= 2, 0).otherwise(above)).drop("__edges")
 
 
+def _fold_of(loads: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Fold of the index-th of equally large categories, each going to the fold with the fewest rows, the first of equals.
+
+    Fold f takes its i-th one when it holds loads[f] + i * size rows, so the index-th smallest of these numbers is sought.
+    `loads` is (rows, folds), `size` and `index` are per row.
+    """
+    def upto(level: np.ndarray) -> np.ndarray:
+        return np.where(loads <= level[:, None], (level[:, None] - loads) // size[:, None] + 1, 0)
+
+    low, high = loads.min(axis=1), loads.min(axis=1) + size * (index + 1)
+    while (low < high).any():
+        middle = (low + high) // 2
+        enough = upto(middle).sum(axis=1) > index
+        low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+    here = (loads <= low[:, None]) & ((low[:, None] - loads) % size[:, None] == 0)
+    place = index - upto(low - 1).sum(axis=1)
+    return (here.cumsum(axis=1) == place[:, None] + 1).argmax(axis=1)
+
+
 def fold_of_categories(df: DataFrame, category: str, n_folds: int) -> DataFrame:
-    """Fold per category: categories by descending size are dealt to the folds back and forth.
+    """Fold per category: categories by descending size, each to the fold with the fewest rows so far.
 
-    One rule for any number of categories, and no walk over them in one task: a category's fold follows from its
-    place in the order of sizes (ties by name).
+    Where a category goes depends on the sizes only, so the walk is over distinct sizes with their number of categories. There are
+    fewer than sqrt(2 * rows) of them, and that table is all that reaches the driver; a category finds its own
+    fold from the loads before its size and its place among the categories of that size.
     """
     named = df.withColumn("__category", F.coalesce(F.col(category), F.lit("unknown")))
     sizes = named.groupBy("__category").agg(F.count(F.lit(1)).alias("n"))
+    loads, before, steps = np.zeros(n_folds, np.int64), 0, []
+    for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect():
+        steps.append((r["n"], before, loads.tolist()))
+        loads, before = loads + r["n"] * _given(loads, r["n"], r["m"]), before + r["m"]
+    walked = df.sparkSession.createDataFrame(steps, "s long, before long, loads array<long>")
+
+    @F.pandas_udf("long")
+    def fold(held: pd.Series, size: pd.Series, index: pd.Series) -> pd.Series:
+        return pd.Series(_fold_of(np.array(held.tolist(), np.int64).reshape(len(held), -1), size.to_numpy(), index.to_numpy()))
+
     ranked = value_rank(sizes, [], "n", ["__category"], "__rank", resolution=1.0)
-    place = F.pmod(F.col("__rank") - 1, F.lit(2 * n_folds))
-    folds = ranked.select("__category", F.least(place, 2 * n_folds - 1 - place).cast("long").alias("fold"))
+    folds = ranked.join(walked, F.col("n") == F.col("s")).select("__category", fold("loads", "n", F.col("__rank") - 1 - F.col("before")).alias("fold"))
     return named.join(folds, "__category").drop("__category")
 
 
+def _given(loads: np.ndarray, size: int, count: int) -> np.ndarray:
+    """How many of `count` categories of one size each fold takes."""
+    low, high = int(loads.min()), int(loads.min()) + size * count
+    while low < high:
+        middle = (low + high) // 2
+        taken = np.where(loads <= middle, (middle - loads) // size + 1, 0).sum()
+        low, high = (low, middle) if taken >= count else (middle + 1, high)
+    sure = np.where(loads <= low - 1, (low - 1 - loads) // size + 1, 0)
+    here = (loads <= low) & ((low - loads) % size == 0)
+    return sure + (here & (here.cumsum() <= count - sure.sum()))
+
+
 def fold_by_rank(df: DataFrame, key: list[str], strata: list[str], n_folds: int, seed: str = "42") -> DataFrame:
     """Fold = md5 rank within the stratum, modulo the number of folds."""
     ranked = hash_rank(df, strata, key, "__rank", seed)

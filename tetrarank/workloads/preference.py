@@ -471,8 +471,12 @@ ORACLES = {
         f"SELECT 'X_{c}__' || l AS flag, doc_id, n_chars FROM (SELECT DISTINCT coalesce(lower({c}), 'unknown') AS l FROM documents UNION SELECT 'unknown') x LEFT JOIN documents ON coalesce(lower({c}), 'unknown') = l"
         for c in ("lang", "source")) + ") a GROUP BY 1",
     "entropy_bins": _BINS,
-    "category_folds": """SELECT fold, sum(n)::BIGINT AS n, count(*) AS sources FROM (SELECT n, least((rk - 1) % 10, 9 - (rk - 1) % 10) AS fold FROM (
-      SELECT coalesce(source, 'unknown') AS s, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(source, 'unknown')) AS rk FROM documents GROUP BY 1) a) b GROUP BY 1""",
+    "category_folds": """WITH RECURSIVE sizes AS (SELECT coalesce(source, 'unknown') AS s, count(*) AS n FROM documents GROUP BY 1),
+      ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, s) AS rk FROM sizes),
+      walk(rk, n, fold, loads) AS (SELECT 0::BIGINT, 0::BIGINT, -1, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL
+        SELECT r.rk, r.n, list_position(w.loads, list_min(w.loads)) - 1, list_transform(range(1, 6), lambda i: w.loads[i] + CASE WHEN i = list_position(w.loads, list_min(w.loads)) THEN r.n ELSE 0 END)
+        FROM walk w JOIN ranked r ON r.rk = w.rk + 1)
+      SELECT fold::BIGINT AS fold, sum(n)::BIGINT AS n, count(*) AS sources FROM walk WHERE rk > 0 GROUP BY 1""",
     "ranked_folds": with_ctes("pairs") + f"SELECT prompt_id, category, (row_number() OVER (PARTITION BY category ORDER BY {hashed('prompt_id')}, prompt_id) - 1) % 5 AS fold FROM (SELECT DISTINCT prompt_id, category FROM pairs) a",
     "mixture_targets": _MIXT, "pair_item_features": _ITEMF,
     "nested_pair_batches": with_ctes("pairs") + """SELECT batch, n_pairs, count(*) AS rows FROM (SELECT prompt_id, (rn - 1) // 4 AS batch, count(*) AS n_pairs FROM (SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id) AS rn FROM pairs) a GROUP BY 1, 2) b GROUP BY 1, 2""",
