@@ -75,6 +75,26 @@ def bm25_search_filtered(spark, sf):
     return bm25.search(_index(spark, sf).materialized(), _bench(spark, sf), K, doc_filter=allowed)
 
 
+def _own_filters(spark, sf):
+    """Every third query asks for German and French texts, every third for those of even sources, the rest for any."""
+    q, n = _bench(spark, sf).select("query_id"), F.col("query_id") % 3
+    return q.select("query_id", F.when(n == 0, F.array(F.lit("de"), F.lit("fr"))).alias("f_language"),
+                    F.when(n == 1, F.array(*[F.lit(f"src{i}") for i in range(0, 20, 2)])).alias("f_kind"))
+
+
+def bm25_search_own_filters(spark, sf):
+    """Each query with conditions of its own, before the cut."""
+    meta = v.chunks(spark, sf).withColumnRenamed("chunk_id", "doc_id")
+    return bm25.search(_index(spark, sf).materialized(), _bench(spark, sf), K, filters=_own_filters(spark, sf), meta=meta)
+
+
+def bm25_search_post_filtered(spark, sf):
+    """The same conditions after an oversampled cut: fewer than k may remain."""
+    meta = v.chunks(spark, sf).withColumnRenamed("chunk_id", "doc_id")
+    return bm25.search(_index(spark, sf).materialized(), _bench(spark, sf), K, filters=_own_filters(spark, sf), meta=meta, filter_mode="post", oversample=5)
+
+
+_OWN_FILTERS = """(query_id % 3 <> 0 OR original_language IN ('de', 'fr')) AND (query_id % 3 <> 1 OR type IN ('src0', 'src2', 'src4', 'src6', 'src8', 'src10', 'src12', 'src14', 'src16', 'src18'))"""
 _BM25_TOP = """SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 ORDER BY score DESC, doc_id) AS rk FROM (SELECT query_id, doc_id, {score} AS score FROM {source}) a) b WHERE rk <= {k}"""
 _FLOORED = """SELECT query_id, doc_id, sum(qtf * (CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM idfs) ELSE idf END)
@@ -542,7 +562,7 @@ FROM proxied JOIN (SELECT DISTINCT l_suppkey AS prompt_id, l_partkey AS item_id
 QUERIES = {
     "tokens_of_documents": tokens_of_documents,
     "boosted_tokens_of_documents": boosted_tokens_of_documents,
-    "bm25_postings": bm25_postings,
+    "bm25_postings": bm25_postings, "bm25_search_own_filters": bm25_search_own_filters, "bm25_search_post_filtered": bm25_search_post_filtered,
     "bm25_term_statistics": bm25_term_statistics,
     "bm25_corpus_statistics": bm25_corpus_statistics,
     "bm25_search": bm25_search,
@@ -584,6 +604,9 @@ _NAMES = [f"score_{e}" for e in EXPERTS] + [f"z_{e}" for e in EXPERTS]
 _UV = "(SELECT item_id, u, list_reverse(u) AS w FROM unit_vectors)"
 ORACLES = {
     "hashed_embeddings": _HASHED,
+    "bm25_search_own_filters": with_ctes("bm25", "chunks") + _BM25_TOP.format(score=r("score"), source=f"bm25 JOIN chunks ON chunk_id = doc_id WHERE {_OWN_FILTERS}", k=K),
+    "bm25_search_post_filtered": with_ctes("bm25", "chunks") + f""", first AS ({_BM25_TOP.format(score=r("score"), source="bm25", k=5 * K)}) SELECT query_id, doc_id, score FROM (
+      SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM first JOIN chunks ON chunk_id = doc_id WHERE {_OWN_FILTERS}) c WHERE rk <= {K}""",
     "tokens_of_documents": with_ctes("doc_tokens") + "SELECT doc_id AS chunk_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS token_hash FROM doc_tokens",
     "boosted_tokens_of_documents": with_ctes("chunks") + """SELECT chunk_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS token_hash FROM (
       SELECT chunk_id, list_concat(list_concat(list_concat(h, h), regexp_extract_all(lower(text), '[a-z0-9]+')), regexp_extract_all(lower(type), '[a-z0-9]+')) AS t

@@ -435,6 +435,14 @@ def prompt_batches(spark, sf):
     return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("prompt_id").alias("first"))
 
 
+def prompt_batch_sizes(spark, sf):
+    """Batch size of each conversation's first prompts from their token estimates, no larger than their number."""
+    turns = v.user_turns(spark, sf)
+    whole = splits.prompt_batch_size(turns, "text", "prompt_id", most=5)
+    few = splits.prompt_batch_size(turns.orderBy("prompt_id").limit(1), "text", "prompt_id", most=5)
+    return turns.agg(F.count(F.lit(1)).alias("n")).select(F.lit(whole).cast("long").alias("size"), F.lit(few).cast("long").alias("size_of_one"), "n")
+
+
 def _batch_sql():
     """Rows per batch follow from the total: full batches of 12, then one that shrinks to leave 8 for the last."""
     b = "greatest(8, 12 + tail - 8)"
@@ -528,7 +536,7 @@ QUERIES = {
     "prompts_from_json": prompts_from_json, "rating_lines": rating_lines, "item_lines": item_lines,
     "emotion_index_from_json": emotion_index_from_json, "merged_duplicates": merged_duplicates, "coerced_profiles": coerced_profiles,
     "parsed_responses": parsed_responses, "rejected_responses": rejected_responses, "incomplete_prompts": incomplete_prompts,
-    "best_lists": best_lists, "score_pools": score_pools, "prompt_batches": prompt_batches, "request_payloads": request_payloads,
+    "best_lists": best_lists, "score_pools": score_pools, "prompt_batches": prompt_batches, "prompt_batch_sizes": prompt_batch_sizes, "request_payloads": request_payloads,
     "preference_triplets": preference_triplets, "tables_by_format": tables_by_format, "chunk_files": chunk_files, "report_files": report_files,
 }
 
@@ -581,6 +589,8 @@ ORACLES = {
       FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score_beta DESC, item_id) AS rk, count(*) OVER (PARTITION BY prompt_id) AS n FROM ranking) a""",
     "prompt_batches": _batch_sql(),
     "sentence_counts": _sentence_sql(),
+    "prompt_batch_sizes": with_ctes("user_turns") + """, f AS (SELECT avg(greatest(1, length(text) // 4)) AS t FROM (SELECT text FROM user_turns ORDER BY prompt_id LIMIT 5) a)
+      SELECT least(CASE WHEN t < 80 THEN 5 WHEN t < 100 THEN 4 ELSE 3 END, (SELECT count(*) FROM user_turns))::BIGINT AS size, 1::BIGINT AS size_of_one, (SELECT count(*) FROM user_turns) AS n FROM f""",
     "request_payloads": _payload_sql(),
     "tables_by_format": " UNION ALL ".join(f"SELECT p_partkey, p_name, p_size, round(p_retailprice::DOUBLE, 6) AS p_retailprice, '{f}' AS format FROM part" for f in ("parquet", "jsonl", "csv", "tsv", "json")),
     "chunk_files": f"""WITH {_CHUNK}, k AS (SELECT doc_id::VARCHAR AS "chunkId", md5(text) AS hash, {words_sql('text')} AS n_words, length(text) AS n_chars, count(*) OVER () AS total_chunks FROM chunked WHERE {words_sql('text')} >= 30)
