@@ -28,6 +28,7 @@ Scorer = Callable[[pa.Table, pa.Table], np.ndarray]
 DECIMALS = 6
 CELL_SCORES = 4_000_000
 BROADCAST_BYTES = 64 << 20
+ITEMS_PER_QUERY = 10
 
 
 def list_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -114,9 +115,12 @@ def top_k_scores(queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, *
 
         return top_k(items.mapInArrow(stream, schema), [query_id], order, k)
 
-    block_rows = max(1, min(block_rows, BROADCAST_BYTES * head.num_rows // max(1, head.nbytes)))
+    row_bytes = max(1, head.nbytes // max(1, head.num_rows))
+    block_rows = max(1, min(block_rows, BROADCAST_BYTES // row_bytes))
+    # A cell scores its items in slices, so it can hold many more of them than queries, and a query goes to fewer cells.
+    item_rows = max(block_rows, min(ITEMS_PER_QUERY * block_rows, 4 * BROADCAST_BYTES // row_bytes))
     q_blocks = math.ceil(queries.count() / block_rows)
-    i_blocks = max(1, math.ceil(items.count() / block_rows))
+    i_blocks = max(1, math.ceil(items.count() / item_rows))
     q_cells = (queries.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)))
                .withColumn("__ib", F.explode(_block_ids(i_blocks))))
     i_cells = (items.withColumn("__ib", F.pmod(F.xxhash64(item_id), F.lit(i_blocks)))
