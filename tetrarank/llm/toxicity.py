@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tetrarank.llm.common import per_batch, texts
+from tetrarank.llm.common import drop_stored, per_batch, stored, texts
 
 #: ASCII other than letters parts words.
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -65,27 +65,32 @@ def _rows(samples: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np
     return row[own], at[own]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4000, steps: int = 300,
-        rate: float = 0.05, decay: float = 5e-4, least: int = 3) -> Model:
-    """The classifier from the feature hashes of positive and unlabelled texts.
-
-    Of the features that `least` positive texts or more have, or ten times as many unlabelled ones, those whose presence differs
-    most between both samples are kept: `features`, and no more than ten for each positive text.
-    """
-    if not positive or not unlabelled:
-        return Model({}, -50.0)
-
+def chosen_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int = 4000, least: int = 3) -> np.ndarray:
+    """Of the features that `least` positive texts or more have, or ten times as many unlabelled ones, those whose presence differs
+    most between both samples: `features`, and no more than ten for each positive text."""
     def present(samples):
         return np.unique(np.concatenate([np.unique(s) for s in samples]), return_counts=True)
 
     (in_p, n_p), (in_u, n_u) = present(positive), present(unlabelled)
     names = np.union1d(in_p, in_u)
     p, u = np.zeros(len(names)), np.zeros(len(names))
-    p[np.searchsorted(names, in_p)], u[np.searchsorted(names, in_u)] = n_p / len(positive), n_u / len(unlabelled)
-    both = (p * len(positive) + u * len(unlabelled)) / (len(positive) + len(unlabelled))
-    lift = np.abs(p - u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-6)
-    lift[(p * len(positive) < least - 0.5) & (u * len(unlabelled) < 10 * least - 0.5)] = -1.0
-    chosen = np.sort(names[np.argsort(-lift, kind="stable")[:min(features, 10 * len(positive), int((lift >= 0).sum()))]])
+    p[np.searchsorted(names, in_p)], u[np.searchsorted(names, in_u)] = n_p, n_u
+    share_p, share_u, both = p / len(positive), u / len(unlabelled), (p + u) / (len(positive) + len(unlabelled))
+    lift = np.abs(share_p - share_u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-6)
+    known = np.flatnonzero((p >= least) | (u >= 10 * least))
+    order = known[np.lexsort((names[known], -lift[known]))]
+    return np.sort(names[order[:min(features, 10 * len(positive))]])
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray | None = None, steps: int = 300,
+        rate: float = 0.05, decay: float = 5e-4) -> Model:
+    """The classifier from the feature hashes of positive and unlabelled texts, over the chosen features."""
+    if not positive or not unlabelled:
+        return Model({}, -50.0)
+    if chosen is None:
+        chosen = chosen_features(positive, unlabelled)
+    if not len(chosen):
+        return Model({}, float(np.log(prior / (1 - prior))))
     (rp, fp), (ru, fu) = _rows(positive, chosen), _rows(unlabelled, chosen)
     w, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -125,30 +130,69 @@ def sampled(rows: DataFrame, docs: DataFrame, most: int) -> DataFrame:
         F.broadcast(wanted), F.col("doc_id") == F.col("t_id"))
 
 
-def _hashes(sample: DataFrame) -> list[np.ndarray]:
-    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
+COUNTED = pa.schema([("feature", pa.int64()), ("toxic", pa.int32()), ("n", pa.int64())])
+KEPT = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary())])
+
+
+def _hashes(text: str) -> np.ndarray:
+    return np.array([f for w in sorted(distinct_words(text)) for f in features_of(w)], np.uint32)
 
+
+def _counted(sample: DataFrame) -> DataFrame:
+    """feature, texts of each kind that have it, added up within each batch first."""
+    def work(batch):
+        kinds, rows = batch.column(1).to_numpy(zero_copy_only=False), texts(batch.column(2))
+        out: dict[str, list] = {"feature": [], "toxic": [], "n": []}
+        for kind in (0, 1):
+            own = [np.unique(_hashes(t)) for t, k in zip(rows, kinds, strict=True) if k == kind]
+            found, n = np.unique(np.concatenate(own), return_counts=True) if own else ([], [])
+            out["feature"] += list(found)
+            out["toxic"] += [kind] * len(found)
+            out["n"] += list(n)
+        return out
+
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(per_batch(COUNTED, work), "feature bigint, toxic int, n bigint")
+    return rows.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"),
+                                       F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("u"))
+
+
+def _kept(sample: DataFrame, chosen: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per text of each kind, its chosen features; only these leave the tasks."""
     def work(batch):
-        return {"doc_id": batch.column(0), "features": [
-            np.array([f for w in sorted(distinct_words(t)) for f in features_of(w)], np.uint32).tobytes() for t in texts(batch.column(1))]}
+        found = [_hashes(t) for t in texts(batch.column(2))]
+        return {"doc_id": batch.column(0), "toxic": batch.column(1), "features": [f[np.isin(f, chosen)].tobytes() for f in found]}
 
-    got = sample.select("doc_id", "text").mapInArrow(per_batch(schema, work), "doc_id bigint, features binary").collect()
-    return [np.frombuffer(r.features, np.uint32) for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.features)))]
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(per_batch(KEPT, work), "doc_id bigint, toxic int, features binary").collect()
+    got = sorted(got, key=lambda r: (r.doc_id, bytes(r.features)))
+    return tuple([np.frombuffer(r.features, np.uint32) for r in got if r.toxic == kind] for kind in (1, 0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, out: int = 0, positives: int = 3000, unlabelled: int = 9000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, out: int = 0, positives: int = 3000, unlabelled: int = 9000,
+          features: int = 4000, least: int = 3) -> Model:
     """Fit on texts whose crc32(doc_id) modulo `modulus` is not `out`: at most `positives` toxic and `unlabelled` other ones.
 
-    The prior is the share of toxic rows among the labelled ones that may be learned from.
+    The prior is the share of toxic rows among the labelled ones that may be learned from. Features are counted and chosen by
+    Spark; the driver gets the chosen ones of each text of the sample. A text can be in both samples.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("t_id"), F.col("toxic").cast("int").alias("toxic")).where(
         (remainder("t_id", modulus) != out) & F.col("toxic").isNotNull())
     prior, count = rows.agg(F.avg("toxic"), F.sum("toxic")).first()
     if not count:
         return Model({}, -50.0)
-    toxic = _hashes(sampled(rows.where("toxic = 1"), docs, positives))
     ids = docs.select(F.col("doc_id").cast("long").alias("t_id")).where((remainder("t_id", modulus) != out))
-    return fit(toxic, _hashes(sampled(ids, docs, unlabelled)), min(0.95, float(prior)))
+    sample = stored(sampled(rows.where("toxic = 1"), docs, positives).select("doc_id", F.lit(1).alias("toxic"), "text").unionByName(
+        sampled(ids, docs, unlabelled).select("doc_id", F.lit(0).alias("toxic"), "text")), "toxicity-sample")
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return Model({}, -50.0)
+    both = (F.col("p") + F.col("u")) / F.lit(float(n[0] + n[1]))
+    spread = F.sqrt(both * (1 - both) * F.lit(1 / n[1] + 1 / n[0]) + 1e-6)
+    lift = F.abs(F.col("p") / F.lit(float(n[1])) - F.col("u") / F.lit(float(n[0]))) / spread
+    best = _counted(sample).where((F.col("p") >= least) | (F.col("u") >= 10 * least)).orderBy(lift.desc(), "feature").limit(min(features, 10 * n[1])).select("feature")
+    chosen = np.array(sorted(r.feature for r in best.collect()), np.uint32)
+    toxic, other = _kept(sample, chosen)
+    drop_stored(docs.sparkSession, sample)
+    return fit(toxic, other, min(0.95, float(prior)), chosen)
 
 
 def scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
