@@ -160,26 +160,31 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4) -> Data
     for b in range(batches):
         new = family.insert(entries.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(batches)) == b))
         shared = new if shared is None else shared.unionByName(new)
-    beginnings = shared.distinct().select(F.col("head").alias("s_head"), F.col("gram").alias("s_gram"))
-    alike = stored(entries.join(beginnings, (F.col("head") == F.col("s_head")) & (F.col("gram") == F.col("s_gram"))).select(
-        "doc_id", "t", "gram", "stretch", "first", "last"), "shared-anchors")
+    # Stored, so that Spark can split the rows of a beginning that very many suffixes have.
+    beginnings = stored(shared.select(F.col("gram").alias("s_gram")).distinct(), "beginnings")
+    alike = stored(entries.drop("head").join(beginnings, F.col("gram") == F.col("s_gram")).select("doc_id", "t", "gram", "stretch", "first", "last"), "shared-anchors")
     drop_stored(spark, found, *[level for _, level in family.levels])
     release(spark)
 
     counted = stored(alike.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "first", "last")).alias("one")), "stretches")
     several = counted.groupBy("gram").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("low < high").select(F.col("gram").alias("m_gram"))
     wanted = stored(counted.join(several, F.col("gram") == F.col("m_gram")).select("one.*", "gram", (F.col("n") == 1).alias("alone")), "compared")
-    whole = alike.join(counted.where("n > 1").select(F.col("gram").alias("c_gram"), F.col("stretch").alias("c_stretch")),
-                       (F.col("gram") == F.col("c_gram")) & (F.col("stretch") == F.col("c_stretch"))).select("doc_id", "t", "first", "last")
+    whole = stored(alike.join(counted.where("n > 1").select(F.col("gram").alias("c_gram"), F.col("stretch").alias("c_stretch")),
+                              (F.col("gram") == F.col("c_gram")) & (F.col("stretch") == F.col("c_stretch"))).select("doc_id", "t", "first", "last"), "repeated-stretches")
+    drop_stored(spark, alike, counted)
+    release(spark)
 
     needed = wanted.select("doc_id", "t").unionByName(whole.select("doc_id", "t")).distinct().select(F.col("doc_id").alias("n_doc"), F.col("t").alias("n_t"))
     texts = stored(rows.join(needed, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("t") == F.col("n_t"))).select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"]), "shared-texts")
     release(spark)
 
+    # The windows are made twice, once to count and once to look up, so that each shuffle is gone before the next.
     windows = _compared(texts, wanted, length)
-    twice = windows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("t_key"), F.col("key2").alias("t_key2"))
-    single = windows.where("alone").join(twice, (F.col("key") == F.col("t_key")) & (F.col("key2") == F.col("t_key2"))).select("doc_id", "t", F.col("s").alias("first"), F.col("s").alias("last"))
-    ranges = stored(whole.unionByName(single), "repeated-windows")
+    twice = stored(windows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("t_key"), F.col("key2").alias("t_key2")), "windows")
+    release(spark)
+    single = windows.where("alone").drop("alone").join(twice, (F.col("key") == F.col("t_key")) & (F.col("key2") == F.col("t_key2"))).select(
+        "doc_id", "t", F.col("s").alias("first"), F.col("s").alias("last"))
+    ranges = whole.unionByName(stored(single, "repeated-windows"))
     release(spark)
     per_text = ranges.groupBy("doc_id", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")).select(
         F.col("doc_id").alias("r_doc"), F.col("t").alias("r_t"), "firsts", "lasts")
