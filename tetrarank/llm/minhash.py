@@ -20,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tetrarank.llm.common import small_batches, stored, text_bytes
@@ -152,19 +152,21 @@ class Block:
         common = np.add.reduceat((self.sets[i][place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(self.sizes[others][:-1])]))
         return others[100 * common >= percent * (self.sizes[others] + size - common)]
 
-    def visit(self, percent: int) -> list[tuple[int, int]]:
-        """Links that join all that is linked inside the block."""
-        left, found = np.arange(len(self.nodes)), []
+    def visit(self, percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+        """Links that join all that is linked inside the block, and the first node visited of each node's part."""
+        left, found, part = np.arange(len(self.nodes)), [], np.zeros(len(self.nodes), np.int64)
         while len(left):
-            queue, left = [int(left[0])], left[1:]
+            start, left = int(left[0]), left[1:]
+            part[start], queue = start, [start]
             while queue and len(left):
                 i = queue.pop()
                 near = self.linked(i, left, percent)
                 if len(near):
                     found += [(self.nodes[i], self.nodes[o]) for o in near.tolist()]
+                    part[near] = start
                     left = np.setdiff1d(left, near, assume_unique=True)
                     queue += near.tolist()
-        return found
+        return found, [self.nodes[p] for p in part.tolist()]
 
     def meet(self, guests: list[int], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
         """One link at most of each guest to every other component in the block."""
@@ -178,23 +180,36 @@ class Block:
         return found
 
 
-LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("family", pa.int64()), ("block", pa.int32())])
 
 
 def _blocks(width: int, percent: int, guests: bool):
-    """mapInArrow over rows (family, block, node, signature, guest, root, k, text) sorted by family and block."""
+    """mapInArrow over rows (family, block, node, signature, pivot, part, k, text) sorted by family, block and pivots first.
+
+    Gives the links found (family and block null) and, before guests come, the part that each node of a split family is in:
+    visited from the pivots on, nodes that hang together with one get the first such pivot.
+    """
 
-    def work(rows: list[tuple], known: Words) -> list[tuple[int, int]]:
+    def work(rows: list[tuple], known: Words) -> list[tuple]:
         sets = shingle_sets([r[7] for r in rows], width, known)
         own = [i for i, s in enumerate(sets) if set_key(s) == rows[i][6]]  # an id may have other texts, too
         rows, sets = [rows[i] for i in own], [sets[i] for i in own]
         block = Block([r[2] for r in rows], sets, [r[3] for r in rows])
         if guests:
-            return block.meet([i for i, r in enumerate(rows) if r[4]], np.array([r[5] for r in rows], np.int64), percent)
-        return block.visit(percent)
+            links = block.meet([i for i, r in enumerate(rows) if r[4]], np.array([r[5] for r in rows], np.int64), percent)
+            return [(u, v, None, None) for u, v in links]
+        links, parts = block.visit(percent)
+        out = [(u, v, None, None) for u, v in links]
+        if any(r[4] for r in rows):
+            out += [(r[2], p, r[0], r[1]) for r, p in zip(rows, parts, strict=True) if not r[4] or r[5] == r[1]]
+        return out
 
     def run(batches):
         known, held, key, found = Words(), [], None, []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
+
         for batch in small_batches(batches, 500):
             columns = [batch.column(i).to_pylist() for i in range(7)] + [text_bytes(batch.column(7))]
             for row in zip(*columns, strict=True):
@@ -204,20 +219,21 @@ def _blocks(width: int, percent: int, guests: bool):
                     held, key = [], row[:2]
                 held.append(row)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
+                yield batch_of(found)
                 found = []
         if len(held) > 1:
             found = work(held, known)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
+                yield batch_of(found)
 
     return run
 
 
 def _compared(rows: DataFrame, width: int, percent: int, guests: bool, label: str) -> DataFrame:
     spread = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("family", "block", "node", "signature", "guest", "root", "k", "text").repartition(spread, "family", "block")
-    return stored(dealt.sortWithinPartitions("family", "block").mapInArrow(_blocks(width, percent, guests), "u bigint, v bigint"), label)
+    dealt = rows.select("family", "block", "node", "signature", "mark", "part", "k", "text").repartition(spread, "family", "block")
+    ordered = dealt.sortWithinPartitions("family", "block", F.desc("mark"), "node")
+    return stored(ordered.mapInArrow(_blocks(width, percent, guests), "u bigint, v bigint, family bigint, block int"), label)
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -235,28 +251,30 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         nodes, (F.col("set_key") == F.col("k")) & (F.col("node") == F.col("doc_id"))).select(
         "node", "k", "n_shingles", "bands", "signature").dropDuplicates(["node", "k"])
     chosen = stored(chosen, "chosen")
-    banded = chosen.select("node", F.explode("bands").alias("band"))
+    banded = chosen.select("node", F.explode("bands").alias("band")).where("band is not null")
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select(
         F.col("band").alias("b"), "head")
-    family = stored(components(banded.join(heads, F.col("band") == F.col("b")).select("node", "head"), "node", "head"), "families")
-    members = chosen.select("node", "n_shingles", "signature", F.col("k")).join(
-        family.select(F.col("node").alias("f_node"), F.col("root").alias("family")), F.col("node") == F.col("f_node")).drop("f_node")
-    members = stored(members, "members")
+    family = stored(components(banded.join(heads, F.col("band") == F.col("b")).select("node", "head"), "node", "head"), "families").select(
+        F.col("node").alias("f_node"), F.col("root").alias("family"))
+    members = chosen.select("node", "n_shingles", "signature", "k").join(family, F.col("node") == F.col("f_node")).drop("f_node")
     sizes = members.groupBy("family").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sized = members.join(sizes.select(F.col("family").alias("f"), "blocks"), F.col("family") == F.col("f")).drop("f")
-    split = stored(sized, "split")
-    pivots = _pivots(split)
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text"))
-    own = split.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(
-        pivots, F.col("node") == F.col("p_node"), "left").withColumn("pivot", F.col("p_node").isNotNull()).drop("p_node")
-    own = own.where("blocks = 1 or not pivot").unionByName(own.where("blocks > 1 and pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    with_text = _with_text(split, texts)
-    rows = own.drop("signature", "k", "n_shingles").join(with_text.withColumnRenamed("node", "x_node"), F.col("node") == F.col("x_node")).withColumn(
-        "guest", F.lit(False)).withColumn("root", F.lit(0).cast("long"))
-    links = _compared(rows, width, percent, False, "links-inside")
-    if split.where("blocks > 1").limit(1).count():
-        links = links.unionByName(_across(split, with_text, links, width, percent))
+    placed = members.drop("n_shingles").join(sizes.withColumnRenamed("family", "f"), F.col("family") == F.col("f")).drop("f")
+    # Repeated rows leave one; an id with several texts keeps each of them.
+    full = texts.join(placed, F.col("t_id") == F.col("node")).withColumn("h", F.xxhash64("text")).dropDuplicates(["node", "k", "h"])
+    full = stored(full.drop("t_id", "h"), "family-texts")
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    order = Window.partitionBy("family").orderBy(F.xxhash64("node"), "node", "k")
+    pivots = stored(full.where("blocks > 1").select("family", "node", "k").withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS).select(
+        F.col("node").alias("p_node"), F.col("k").alias("p_k")), "pivots")
+    rows = full.join(pivots, (F.col("node") == F.col("p_node")) & (F.col("k") == F.col("p_k")), "left").withColumns(
+        {"mark": F.col("p_node").isNotNull(), "part": home.cast("long")})
+    everywhere = F.when(F.col("mark"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
+    found = _compared(rows.withColumn("block", F.explode(everywhere)), width, percent, False, "links-inside")
+    links = found.where("family is null").select("u", "v")
+    if full.where("blocks > 1").limit(1).count():
+        links = links.unionByName(_across(full, found.where("family is not null"), width, percent).select("u", "v"))
     grouped = components(links)
     found = nodes.join(grouped.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left").select(
         F.col("set_key").alias("k"), F.coalesce("root", "node").alias("component"))
@@ -266,37 +284,22 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
                            (F.col("doc_id").isNull() | (F.col("doc_id") == out)).alias("kept"))
 
 
-def _pivots(split: DataFrame) -> DataFrame:
-    """A few nodes of each split family, by the order of a hash: p_node."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("family").orderBy(F.xxhash64("node"), "node")
-    ranked = split.where("blocks > 1").select("family", "node").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS)
-    return stored(ranked.select(F.col("node").alias("p_node")), "pivots")
-
-
-def _with_text(split: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, signature, k, text of the members of families, stored once. Repeated rows leave one."""
-    wanted = split.select("node", "signature", "k")
-    joined = texts.join(wanted, F.col("t_id") == F.col("node")).withColumn("h", F.xxhash64("text"))
-    return stored(joined.dropDuplicates(["node", "k", "h"]).select("node", "signature", "k", "text"), "family-texts")
-
-
-def _across(split: DataFrame, with_text: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of nodes outside the largest component of their split family, sought in every block of it."""
-    split = split.where("blocks > 1")
-    roots = components(links).select(F.col("node").alias("r_node"), "root")
-    placed = stored(split.select("family", "blocks", "node").join(roots, F.col("node") == F.col("r_node"), "left").select(
-        "family", "blocks", "node", F.coalesce("root", "node").alias("root")), "placed")
-    counted = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main")).withColumnRenamed("family", "f")
-    sides = placed.join(main, F.col("family") == F.col("f")).drop("f").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sides = stored(sides.withColumn("outside", F.col("root") != F.col("main")), "sides")
-    hosts = sides.withColumn("guest", F.lit(False))
-    visits = sides.where("outside").withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.lit(True))
-    both = hosts.select("family", "block", "node", "root", "guest").unionByName(visits.select("family", "block", "node", "root", "guest"))
-    rows = both.join(with_text.withColumnRenamed("node", "x_node"), F.col("node") == F.col("x_node"))
-    return _compared(rows, width, percent, True, "links-across")
+def _across(full: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of nodes outside the largest part of their split family, sought in every block of it.
+
+    Parts may hang together through other blocks; that costs comparisons, but loses no link.
+    """
+    named = stored(parts.select(F.col("u").alias("s_node"), F.col("v").alias("part"), F.col("family").alias("s_family"), F.col("block").alias("s_block")).distinct(), "parts")
+    counted = named.groupBy("s_family", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("s_family").agg(F.max_by("part", F.struct("n", "part")).alias("main")).withColumnRenamed("s_family", "f")
+    sides = full.where("blocks > 1").join(named, (F.col("node") == F.col("s_node")) & (F.col("family") == F.col("s_family"))).join(
+        main, F.col("family") == F.col("f")).withColumn("outside", F.col("part") != F.col("main"))
+    # Each node lies in its block, and those outside also visit all blocks, their own included.
+    entries = F.when(F.col("outside"), F.concat(F.array(F.struct(F.lit(False).alias("mark"), F.col("s_block").alias("block"))), F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.lit(True).alias("mark"), b.alias("block"))))).otherwise(
+        F.array(F.struct(F.lit(False).alias("mark"), F.col("s_block").alias("block"))))
+    visits = sides.withColumn("e", F.explode(entries)).select("family", "node", "signature", "k", "text", "part", "e.mark", "e.block")
+    return _compared(visits, width, percent, True, "links-across")
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
