@@ -176,6 +176,39 @@ def test_near_groups_of_a_split_family(spark, monkeypatch):
     assert out == minhash.reference_groups([r[:2] for r in rows], 4)
 
 
+def test_guests_of_a_block_are_bounded(spark, monkeypatch):
+    """Pages of one template, alike by half and mostly not linked: few visit other blocks, and no cell holds them all."""
+    rng = random.Random(2)
+    shared = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        own = [f"o{rng.randrange(10 ** 9)}" for _ in range(40)]
+        if i % 10 == 9:  # linked with the page before it
+            own = rows[-1][1].split()[60:-1] + ["other"]
+        rows.append((i, " ".join(shared + own), None, None, None))
+    for i in range(200, 320):  # and some hundred near copies of one page, the largest part
+        rows.append((i, rows[0][1] + f" n{i}", None, None, None))
+    seen = []
+    plain = minhash._compared
+
+    def watched(rows, width, percent, guests, label):
+        seen.append((guests, rows.groupBy("family", "block").count().agg(F.max("count")).first()[0] or 0, rows.where("mark").count()))
+        return plain(rows, width, percent, guests, label)
+
+    monkeypatch.setattr(minhash, "_compared", watched)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 20)
+    out = got(minhash.near_groups(frame(spark, rows), 4), "doc_id", "n_shingles", "component_id", "kept")
+    assert out == minhash.reference_groups([r[:2] for r in rows], 4) and sum(not r[3] for r in out) == 140
+    inside, across = seen
+    assert across[0] and across[1] <= 80 and across[2] < 200  # before: nearly 200 pages in each of some 16 blocks
+
+    # Guests beyond a block's bound are dealt to cells: all sets share their rarest shingle.
+    seen.clear()
+    monkeypatch.setattr(minhash, "rarest", lambda shingles, counters, percent: shingles)
+    assert got(minhash.near_groups(frame(spark, rows), 4), "doc_id", "n_shingles", "component_id", "kept") == out
+    assert seen[1][1] <= 80 and seen[1][2] > 1000
+
+
 def test_components(spark):
     pairs = [(a, a + 1) for a in range(40)] + [(100, 101), (101, 102), (5, 5), (200, 100)]
     out = dict(got(components(spark.createDataFrame(pairs, "u bigint, v bigint"))))

@@ -8,8 +8,10 @@
    bounded size, and a few pivots go to every block, so blocks hang together through them. Inside a block nodes are visited
    from link to link: a visited node is compared with the nodes not yet reached, by size, signature, and then whole set.
    Only the links followed leave the task.
-4. In a split family, nodes outside its largest component so far are then compared with every block the same way, so
-   no link between blocks is lost.
+4. In a split family, nodes outside its largest component so far then visit the other blocks, but only those that share one of
+   their rarest shingles: of two sets as similar as a link asks, the rarest (1 - similarity) of each, in any one order of
+   all shingles, have one in common, so no link between blocks is lost. Ids and hashes alone decide this; then the texts
+   move, and the guests of a block are dealt to cells of bounded size.
 5. The components of the links found are the groups.
 """
 
@@ -31,6 +33,8 @@ BANDS = PERMUTATIONS // ROWS
 #: The share of equal minima lies this far below the similarity with a probability under 1e-7 (five deviations and more).
 SLACK = 0.2
 BLOCK_NODES, BLOCK_SHINGLES, PIVOTS = 1000, 2_000_000, 8
+#: Counters of shingles by hash, which order them by how rare they are.
+COUNTERS = 1 << 18
 
 _random = np.random.default_rng(20240229)
 A = (_random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -169,10 +173,12 @@ class Block:
         return found, [self.nodes[p] for p in part.tolist()]
 
     def meet(self, guests: list[int], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """One link at most of each guest to every other component in the block."""
+        """One link at most of each guest to every other component of those at home in the block."""
         found = []
+        home = np.ones(len(self.nodes), bool)
+        home[guests] = False
         for g in guests:
-            others = np.flatnonzero(roots != roots[g])
+            others = np.flatnonzero(home & (roots != roots[g]))
             near = self.linked(g, others, percent)
             if len(near):
                 first = np.unique(roots[near], return_index=True)[1]
@@ -260,7 +266,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     sizes = members.groupBy("family").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text"))
-    placed = members.drop("n_shingles").join(sizes.withColumnRenamed("family", "f"), F.col("family") == F.col("f")).drop("f")
+    placed = members.join(sizes.withColumnRenamed("family", "f"), F.col("family") == F.col("f")).drop("f")
     # Repeated rows leave one; an id with several texts keeps each of them.
     full = texts.join(placed, F.col("t_id") == F.col("node")).withColumn("h", F.xxhash64("text")).dropDuplicates(["node", "k", "h"])
     full = stored(full.drop("t_id", "h"), "family-texts")
@@ -284,22 +290,101 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
                            (F.col("doc_id").isNull() | (F.col("doc_id") == out)).alias("kept"))
 
 
+def _own_sets(batches, width: int):
+    """Per small batch of rows (node, k, text): the nodes whose text has the set k, and their sets."""
+    known = Words()
+    for batch in small_batches(batches, 500):
+        sets = shingle_sets(text_bytes(batch.column(2)), width, known)
+        own = [i for i, key in enumerate(batch.column(1).to_pylist()) if set_key(sets[i]) == key]
+        nodes = batch.column(0).to_pylist()
+        yield [nodes[i] for i in own], [sets[i] for i in own]
+
+
+def _counters(rows: DataFrame, width: int) -> np.ndarray:
+    """Sets of `rows` (node, k, text) per hash of a shingle."""
+    schema = pa.schema([("counter", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for _, sets in _own_sets(batches, width):
+            if sets:
+                total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], schema=schema)
+
+    counted = rows.mapInArrow(run, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counted["counter"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def rarest(shingles: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles by counter and hash: sets linked at `percent` share one of them. Those nobody else has are left out."""
+    n = counters[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    first = np.argsort(n, kind="stable")[:len(n) + (-percent * len(n) // 100) + 1]
+    return shingles[first[n[first] > 1]]
+
+
+def _rare(rows: DataFrame, counters: np.ndarray, width: int, percent: int) -> DataFrame:
+    """node, shingle: the rarest shingles of the sets of `rows` (node, k, text)."""
+    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64())])
+    shared = rows.sparkSession.sparkContext.broadcast(counters)  # COUNTERS numbers
+
+    def run(batches):
+        for nodes, sets in _own_sets(batches, width):
+            found = [rarest(s, shared.value, percent) for s in sets]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), [len(f) for f in found])),
+                                                  pa.array(np.concatenate(found).view(np.int64))], schema=schema)
+
+    return rows.mapInArrow(run, "node bigint, shingle bigint")
+
+
+def _visits(rows: DataFrame, sides: DataFrame, width: int, percent: int) -> DataFrame:
+    """Blocks (v_family, v_node, v_block) in which nodes of `sides` that are outside may have links, from the texts in `rows`.
+
+    Of two nodes outside, the one in the lower block visits the other's.
+    """
+    rare = stored(_rare(rows, _counters(rows, width), width, percent), "rare")
+    common = rare.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("shingle").alias("s"))
+    places = sides.select(F.col("node").alias("n"), "family", "s_block", "part", "outside")
+    met = stored(rare.join(common, F.col("shingle") == F.col("s")).join(places, F.col("node") == F.col("n")).select(
+        "family", "shingle", "node", "s_block", "part", "outside"), "rare-shared")
+    there = met.groupBy(F.col("family").alias("v_family"), F.col("shingle").alias("v_shingle"), F.col("s_block").alias("v_block")).agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.max(~F.col("outside")).alias("main"))
+    return met.where("outside").join(there, (F.col("family") == F.col("v_family")) & (F.col("shingle") == F.col("v_shingle"))).where(
+        "(v_block > s_block or (v_block < s_block and main)) and (low != part or high != part)").select(
+        "v_family", F.col("node").alias("v_node"), "v_block").distinct()
+
+
 def _across(full: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of nodes outside the largest part of their split family, sought in every block of it.
+    """Links of nodes outside the largest part of their split family, sought in the other blocks that may have one.
 
-    Parts may hang together through other blocks; that costs comparisons, but loses no link.
+    Parts may hang together through other blocks; that costs comparisons, but loses no link. Inside a block all links are
+    known. A cell is a block with some BLOCK_NODES or BLOCK_SHINGLES of its guests.
     """
     named = stored(parts.select(F.col("u").alias("s_node"), F.col("v").alias("part"), F.col("family").alias("s_family"), F.col("block").alias("s_block")).distinct(), "parts")
     counted = named.groupBy("s_family", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy("s_family").agg(F.max_by("part", F.struct("n", "part")).alias("main")).withColumnRenamed("s_family", "f")
-    sides = full.where("blocks > 1").join(named, (F.col("node") == F.col("s_node")) & (F.col("family") == F.col("s_family"))).join(
-        main, F.col("family") == F.col("f")).withColumn("outside", F.col("part") != F.col("main"))
-    # Each node lies in its block, and those outside also visit all blocks, their own included.
-    entries = F.when(F.col("outside"), F.concat(F.array(F.struct(F.lit(False).alias("mark"), F.col("s_block").alias("block"))), F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.lit(True).alias("mark"), b.alias("block"))))).otherwise(
-        F.array(F.struct(F.lit(False).alias("mark"), F.col("s_block").alias("block"))))
-    visits = sides.withColumn("e", F.explode(entries)).select("family", "node", "signature", "k", "text", "part", "e.mark", "e.block")
-    return _compared(visits, width, percent, True, "links-across")
+    main = stored(counted.groupBy("s_family").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where(
+        "parts > 1").select(F.col("s_family").alias("f"), "main"), "main")
+    split = full.where("blocks > 1")
+    sides = split.groupBy("node", "family", "blocks").agg(F.max("n_shingles").alias("n_shingles")).join(
+        named, (F.col("node") == F.col("s_node")) & (F.col("family") == F.col("s_family"))).join(main, F.col("family") == F.col("f")).select(
+        "node", "family", "blocks", "n_shingles", "s_block", "part", (F.col("part") != F.col("main")).alias("outside"))
+    sides = stored(sides, "sides")
+    rows = split.join(F.broadcast(main), F.col("family") == F.col("f"), "left_semi").select("node", "k", "text")  # split families are few
+    visits = stored(_visits(rows, sides, width, percent), "visits")
+    guests = sides.where("outside").join(visits, (F.col("family") == F.col("v_family")) & (F.col("node") == F.col("v_node")))
+    cells = stored(guests.groupBy(F.col("v_family").alias("c_family"), F.col("v_block").alias("c_block")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("cells")), "cells")
+    # Each node lies in all cells of its block, a guest in one cell of each block it visits.
+    at_home = sides.join(cells, (F.col("family") == F.col("c_family")) & (F.col("s_block") == F.col("c_block"))).withColumns(
+        {"cell": F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)), "mark": F.lit(False)})
+    visiting = guests.join(cells, (F.col("family") == F.col("c_family")) & (F.col("v_block") == F.col("c_block"))).withColumns(
+        {"cell": F.pmod(F.xxhash64("node", "c_block"), F.col("cells")), "mark": F.lit(True)})
+    columns = [F.col("node").alias("e_node"), F.col("family").alias("e_family"), "part", "mark", (F.col("cell") * F.col("blocks") + F.col("c_block")).alias("block")]
+    entries = stored(at_home.select(*columns).unionByName(visiting.select(*columns)), "entries")
+    return _compared(split.join(entries, (F.col("node") == F.col("e_node")) & (F.col("family") == F.col("e_family"))), width, percent, True, "links-across")
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
