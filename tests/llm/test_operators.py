@@ -302,6 +302,17 @@ def test_warc_index_finds_single_captures(spark):
     assert [(r.page_id, r.payload.decode()) for r in found] == [(3, "page 3 " * 30)]
 
 
+def test_warc_index_finds_captures_of_one_page_in_several_files(spark, tmp_path):
+    rows = [("a)/", 1), ("z)/", 9)] + [("", None)] * 40 + [("m)/", 5)] * 40
+    captures = spark.createDataFrame([(k, p, f"f{i % 3}", i, 10) for i, (k, p) in enumerate(rows)], warc.CAPTURES)
+    folder = f"file://{tmp_path}/index"
+    directory = warc.write_index(captures, folder, block=4, shard_rows=10)
+    assert directory.select("index").distinct().count() > 4
+    asked = spark.createDataFrame([("", None), ("m)/", 5), ("z)/", 9), ("m)/", 6), ("zz)/", 1)], "key string, page_id bigint")
+    assert got(warc.find(asked, directory, folder), *captures.columns) == got(captures.where("key != 'a)/'"), *captures.columns)
+    assert warc.find(asked, directory, folder).count() == 81
+
+
 def test_url_keys():
     assert warc.url_key("https://User:x@Sub.Example.com:8080/a/b?q=1#f") == "com,example,sub)/a/b?q=1" and warc.url_key(None) == ""
 

@@ -127,7 +127,7 @@ def write_archive(records: DataFrame, folder: str, roll: int = 1 << 30) -> DataF
     return stored(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, CAPTURES), "warc-captures")
 
 
-DIRECTORY = pa.schema([("index", pa.string()), ("first_key", pa.string()), ("first_page", pa.int64()), ("at", pa.int64()), ("size", pa.int64())])
+DIRECTORY = pa.schema([("index", pa.string()), ("first_key", pa.string()), ("first_page", pa.int64()), ("first_file", pa.string()), ("first_offset", pa.int64()), ("at", pa.int64()), ("size", pa.int64())])
 
 
 def _shards(rows: int, each: int) -> int:
@@ -149,7 +149,7 @@ def write_index(captures: DataFrame, folder: str, block: int = 1000, shard_rows:
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
             packed = zlib.compress("\n".join("\t".join(map(str, x)) for x in lines).encode())
             out.write(packed)
-            entries.append((name, lines[0][0], lines[0][1], at, len(packed)))
+            entries.append((name, *lines[0][:4], at, len(packed)))
             at += len(packed)
             lines.clear()
 
@@ -167,7 +167,7 @@ def write_index(captures: DataFrame, folder: str, block: int = 1000, shard_rows:
     order = ["key", "page_id", "file", "offset"]
     keyed = captures.withColumn("page_id", F.coalesce("page_id", F.lit(_NO_PAGE)))
     ranged = keyed.repartitionByRange(_shards(captures.count(), shard_rows), *order).sortWithinPartitions(*order)
-    return stored(ranged.select(*CAPTURE.names).mapInArrow(run, "`index` string, first_key string, first_page bigint, at bigint, size bigint"), "warc-directory")
+    return stored(ranged.select(*CAPTURE.names).mapInArrow(run, "`index` string, first_key string, first_page bigint, first_file string, first_offset bigint, at bigint, size bigint"), "warc-directory")
 
 
 _NO_PAGE = -(1 << 63)
@@ -178,15 +178,16 @@ def find(requests: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
 
     The first key of each index file (a file holds some 100,000 captures) is all that reaches the driver and every task.
     """
-    shards = sorted((r.k, r.p, r["index"]) for r in directory.groupBy("index").agg(
-        F.min(F.struct("first_key", "first_page")).alias("s")).select("index", F.col("s.first_key").alias("k"), F.col("s.first_page").alias("p")).collect())
-    starts, names = [s[:2] for s in shards], [s[2] for s in shards]
+    shards = sorted((*r.s, r["index"]) for r in directory.groupBy("index").agg(
+        F.min(F.struct("first_key", "first_page", "first_file", "first_offset")).alias("s")).collect())
+    starts, names = [s[:2] for s in shards], [s[4] for s in shards]
 
-    @F.pandas_udf("string")
-    def shard(keys: pd.Series, ids: pd.Series) -> pd.Series:
-        return pd.Series([names[max(0, bisect.bisect_right(starts, x) - 1)] if names else "" for x in zip(keys, ids.tolist(), strict=True)], dtype=object)
+    @F.pandas_udf("array<string>")
+    def shards_of(keys: pd.Series, ids: pd.Series) -> pd.Series:
+        # Captures of a repeated page may run over several files, from the end of one that begins before it.
+        return pd.Series([names[max(0, bisect.bisect_left(starts, x) - 1):bisect.bisect_right(starts, x)] for x in zip(keys, ids.tolist(), strict=True)], dtype=object)
 
-    asked = requests.select("key", F.coalesce("page_id", F.lit(_NO_PAGE)).alias("page_id")).distinct().withColumn("index", shard("key", "page_id"))
+    asked = requests.select("key", F.coalesce("page_id", F.lit(_NO_PAGE)).alias("page_id")).distinct().withColumn("index", F.explode(shards_of("key", "page_id")))
 
     def look(key, wanted, blocks):
         store, root = pafs.FileSystem.from_uri(folder)
