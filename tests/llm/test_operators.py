@@ -325,6 +325,28 @@ def test_automaton_parses_like_substring_search():
     assert languages.phrases(texts).tolist() == [[language_id.reference_phrases(t, samples[n]) for n in languages.names] for t in texts]
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    """A long banner, the same before all texts and mostly in another language, hides none of them."""
+    rng = random.Random(8)
+    banner = " ".join(rng.choice(["uma", "ovo", "ixo", "eka"]) + rng.choice("aeiou") for _ in range(700)) + " "
+    kinds = {"en": ["water", "house", "thing", "lowest", "round"], "xx": ["bzyk", "krzew", "wczas", "szczyt", "chrzan"]}
+    rows = []
+    for i in range(120):
+        lang = ("en", "xx")[i % 2]
+        body = " ".join(rng.choice(kinds[lang]) for _ in range(2000))
+        rows.append((i, body if zlib.crc32(b"%d" % i) % 3 == 1 else banner + body, lang, None, None))
+    out = {r.doc_id: r for r in language_id.identify(frame(spark, rows)).collect()}
+    assert all(out[r[0]].lang_pred == r[2] for r in rows if out[r[0]].held_out)
+
+
+def test_windows_are_equal_parts():
+    text = "".join(chr(0x4E00 + i) for i in range(5000))
+    got = language_id.windows(text, 300)
+    assert len(got) == 300 and sorted(got) == list(got) and min(got) < text[1250] and max(got) >= text[3750]
+    assert language_id.windows("ab ", 300) == "ab " and len(language_id.windows(text, 40)) == 40
+    assert language_id.equal_part([2, 10, 10], 12) == 5 and language_id.equal_part([2, 3], 100) == 3 and language_id.equal_part([], 9) == 0
+
+
 def test_language_of_held_out_texts(spark, nothing):
     rng = random.Random(6)
     bank = {"en": ["the", "and", "which", "nothing"], "de": ["der", "und", "nicht", "schach"]}

@@ -12,6 +12,7 @@ many texts at once, column by column. Long texts are parsed in segments of 2,000
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tetrarank.llm.common import drop_stored, stored
 from tetrarank.llm.toxicity import remainder
 
 SEGMENT = 2000
+WINDOW = 75  # characters that a sampled text gives in one place, at least
 OTHER = 0  # the symbol of characters that no labelled text has
 
 
@@ -143,28 +146,57 @@ class Languages:
 _CLEANER = _Cleaner()
 
 
+def equal_part(lengths: list[int], total: int) -> int:
+    """The largest part that texts can give, the shorter ones all they have, without more than `total` in sum."""
+    left = total
+    for done, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - done) > left:
+            return left // (len(lengths) - done)
+        left -= n
+    return max(lengths, default=0)
+
+
+def windows(text: str, part: int) -> str:
+    """At most `part` characters of a text: windows at places given by hash, one in each of equal stretches of the whole text."""
+    if len(text) <= part:
+        return text
+    count = max(1, part // WINDOW)
+    size, stretch = part // count, len(text) // count
+    seed = text.encode("utf-8", "surrogatepass")
+    starts = [k * stretch + zlib.crc32(seed, k) % (stretch - size + 1) for k in range(count)]
+    return "".join(text[at:at + size] for at in starts)
+
+
 def learn(docs: DataFrame, modulus: int = 3, out: int = 1, sample_docs: int = 400, sample_chars: int = 30_000) -> Languages:
     """Automata from texts with a language whose crc32(doc_id) modulo `modulus` is not `out`.
 
-    The labelled text of a language is the beginning of up to `sample_docs` documents, in the order of a hash, `sample_chars`
-    characters in all and each giving an equal part. Only that reaches the driver.
+    The labelled text of a language are windows all over up to `sample_docs` documents, chosen by a hash and in its order,
+    `sample_chars` characters in all; each gives an equal part, or all it has. Only that reaches the driver.
     """
     from pyspark.sql import Window
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("lang").cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & (remainder("t_id", modulus) != out))
+        F.col("lang").isNotNull() & (remainder("t_id", modulus) != out)).distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("t_id"), "t_id")
-    ids = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("t_id", "lang").distinct().collect()
-    wanted = spark.createDataFrame([(r.t_id, r.lang) for r in ids], "t_id bigint, t_lang string")
-    part = 4 * max(1, sample_chars // sample_docs)
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, 8 * part).alias("text")).join(
-        F.broadcast(wanted), (F.col("doc_id") == F.col("t_id")) & (F.col("lang") == F.col("t_lang"))).select("doc_id", "lang", "text").collect()
+    ids = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("t_id", "lang", "at").collect()
+    wanted = spark.createDataFrame([(r.t_id, r.lang, r["at"]) for r in ids], "t_id bigint, t_lang string, at int")
+    clean = F.pandas_udf(lambda c: c.map(lambda t: cleaned(t or "", _CLEANER)[1:]), "string")
+    # An id that is repeated gives one of its texts.
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(
+        F.broadcast(wanted), (F.col("doc_id") == F.col("t_id")) & (F.col("lang") == F.col("t_lang"))).groupBy("lang", "at").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = stored(taken.select("lang", "at", clean("text").alias("text")).where("trim(text) != ''"), "language-sample")
+    lengths: dict[str, list[int]] = {}
+    for r in texts.select("lang", F.char_length("text").alias("n")).collect():
+        lengths.setdefault(r.lang, []).append(r.n)
+    parts = spark.createDataFrame([(n, equal_part(x, sample_chars)) for n, x in lengths.items()], "p_lang string, part int")
+    cut = F.pandas_udf(lambda c, n: pd.Series([windows(t, k) for t, k in zip(c, n, strict=True)], dtype=object), "string")
+    found = texts.join(F.broadcast(parts), F.col("lang") == F.col("p_lang")).select("lang", "at", cut("text", "part").alias("text")).collect()
+    drop_stored(spark, texts)
     samples: dict[str, str] = {}
-    for r in sorted(taken, key=lambda r: (r.lang, r.doc_id, r.text or "")):
-        text = cleaned(r.text or "", _CLEANER)
-        have = samples.setdefault(r.lang, " ")
-        samples[r.lang] = (have + text[1:][:part])[:sample_chars]
+    for r in sorted(found, key=lambda r: (r.lang, r["at"])):
+        samples[r.lang] = samples.get(r.lang, " ") + r.text
     return Languages({n: t for n, t in samples.items() if t.strip()})
 
 
