@@ -410,6 +410,28 @@ def test_quality_of_held_out_texts(spark, judged, nothing):
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_tells_texts_of_one_form_apart():
+    """The same shapes, lengths, repeats and marks; only the words, or only their order, differ."""
+    rng = random.Random(4)
+    kinds = (["stone", "river", "cloud", "grass"], ["deals", "bonus", "prize", "offer"])
+    apart = [" ".join(rng.choice(kinds[i % 2]) for _ in range(80)) for i in range(80)]
+    order = [" ".join(rng.choice(["we go", "to it"]) if i % 2 else rng.choice(["go we", "it to"]) for _ in range(200)) for i in range(80)]
+    for texts in (apart, order):
+        bags = [quality.term_counts(t, quality.Shapes()) for t in texts]
+        space = quality.Space(bags[:60], np.arange(60) % 2, dimensions=8)
+        assert ((space.score(texts[60:], quality.Shapes()) > 0.5) == (np.arange(20) % 2 == 1)).all()
+
+
+def test_votes_follow_the_share_of_the_labels(spark):
+    """Equal texts with three labels 0 to one label 1, of which the sample holds as many of each."""
+    docs = spark.createDataFrame([(i, "the same words") for i in range(400)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) quality")
+    space = quality.learn(docs, labels, most=40)
+    kept = [r for r in labels.collect() if zlib.crc32(b"%d" % r.doc_id) % 4 != 2]
+    assert len(space.labels) == 40 and space.labels.sum() == 20
+    assert space.vote(space.vectors[:1], neighbours=40)[0] == pytest.approx(sum(r.quality for r in kept) / len(kept), abs=1e-4)
+
+
 def test_votes_equal_plain_cosines():
     rng = np.random.default_rng(1)
     bags = [{int(k): 1 + int(k) % 3 for k in rng.choice(200, 20, replace=False)} for _ in range(80)]
