@@ -110,6 +110,13 @@ def test_fingerprint_is_homomorphic():
     assert fingerprints.likeness(fingerprints._lanes(a), fingerprints._lanes(a)) == 1.0
 
 
+def test_likeness_of_a_line_repeated_often():
+    known = fingerprints.WordHashes()
+    whole, most = (fingerprints.fingerprint_of("\n".join(["one line again"] * n), known) for n in (40_000, 30_000))
+    assert fingerprints.likeness(fingerprints._parts(whole), fingerprints._parts(most)) == pytest.approx(0.96)
+    assert fingerprints.combine(most.text(), fingerprints.fingerprint_of("\n".join(["one line again"] * 10_000), known).text()) == whole.text()
+
+
 def test_packing_keeps_ids_and_fills_sequences(docs, rows, nothing):
     from tokenizers import Tokenizer
 

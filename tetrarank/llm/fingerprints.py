@@ -5,7 +5,7 @@ summed lane by lane modulo a power of two, so the order of paragraphs does not m
 deleted by adding or subtracting its vector (`combine`). The vector has two parts:
 
 * 16 lanes modulo 2^64, a SHAKE-256 digest of the paragraph: equal sums mean equal multisets, but for collisions;
-* 256 lanes modulo 2^16, a signed count of the word triples inside the paragraph (shorter paragraphs: all of it): sums
+* 256 lanes modulo 2^32, a signed count of the word triples inside the paragraph (shorter paragraphs: all of it): sums
   of such lanes keep inner products up to a few hundredths, so two fingerprints alone tell how much texts share.
 
 Likeness is 2 <x, y> / (<x, x> + <y, y>) over the second part, clipped to 0..1; equal fingerprints give 1.
@@ -83,7 +83,7 @@ class Fingerprint:
         return Fingerprint(self.wide - wide, self.sketch - sketch)
 
     def lanes(self) -> np.ndarray:
-        return self.sketch.astype(np.int16)
+        return self.sketch.astype(np.int32)
 
     def text(self) -> str:
         return base64.b64encode(self.wide.tobytes() + self.lanes().tobytes()).decode()
@@ -113,7 +113,7 @@ def edit(text: str, following: str, mark: Fingerprint, known: WordHashes) -> tup
 
 def _lanes(fingerprint: str) -> tuple[bytes, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return raw[:8 * WIDE], np.frombuffer(raw, np.int16, offset=8 * WIDE).astype(np.float64)
+    return raw[:8 * WIDE], np.frombuffer(raw, np.int32, offset=8 * WIDE).astype(np.float64)
 
 
 def likeness(a: tuple[bytes, np.ndarray], b: tuple[bytes, np.ndarray]) -> float:
@@ -128,7 +128,7 @@ def combine(left: str, right: str, sign: int = 1) -> str:
     """Fingerprint of the multiset sum (1) or difference (-1): inserts or deletes paragraphs without the text."""
     (a, x), (b, y) = _lanes(left), _lanes(right)
     wide = np.frombuffer(a, np.uint64) + (np.frombuffer(b, np.uint64) if sign > 0 else np.uint64(0) - np.frombuffer(b, np.uint64))
-    return base64.b64encode(wide.tobytes() + (x + sign * y).astype(np.int64).astype(np.int16).tobytes()).decode()
+    return base64.b64encode(wide.tobytes() + (x + sign * y).astype(np.int64).astype(np.int32).tobytes()).decode()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
