@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tetrarank.llm import exact_dedup, fingerprints, language_id, minhash, mixing, packing, quality, suffix_dedup, toxicity, warc
+from tetrarank.llm import (
+    divergence, exact_dedup, fingerprints, language_id, lexical, minhash, mixing, packing, quality, secrets, suffix_dedup, toxicity, warc)
 from tetrarank.llm.common import table
 
 
@@ -54,9 +55,22 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_warc_round_trip, op3_best_fit_packing, op4_suffix_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_toxicity, op8_language_id, op9_quality,
-    op10_document_fingerprints)}
+    op10_document_fingerprints, op11_source_divergence, op12_lexical_search, op13_secret_scan)}
 
 #: Lowers A-Z and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,4 +86,7 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
                sha256({LOWERED}) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY {LOWERED})""",
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_secret_scan": secrets.oracle(),
 }
