@@ -124,8 +124,12 @@ def _part(tree) -> Part:
             inner, new = _part(inner), Part.of(ANY)
             for _ in range(min(least, 8)):
                 new = joined(new, inner)
-            if most > least or least > 8:
-                new = other(new, joined(new, inner)) if most == 1 else joined(new, NOTHING_KNOWN)
+            if most == 1 and not least:
+                new = other(new, inner)
+            elif not least:
+                new = NOTHING_KNOWN
+            elif most > least or least > 8:  # starts and ends as the fewest repeats do
+                new = new.short(loose=True)
         elif op in (kind.AT, kind.ASSERT, kind.ASSERT_NOT):
             new = Part.of(ANY)
         else:  # any character, a class by its complement, a reference: unknown
