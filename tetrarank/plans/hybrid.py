@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tetrarank.constants import EXPERTS
-from tetrarank.operators import bm25, collaborative, dense, emotion, scoring
+from tetrarank.operators import bm25, collaborative, dense, emotion, postings, scoring
 from tetrarank.operators.scale import checkpoint_dir
 
 
@@ -16,14 +16,15 @@ from tetrarank.operators.scale import checkpoint_dir
 class Corpus:
     """Tables a hybrid query reads.
 
-    chunk_map(chunk_id, item_id), chunk_vectors(chunk_id, vector), text index over chunk ids,
+    chunk_map(chunk_id, item_id), chunk_vectors(chunk_id, vector), text index over chunk ids (a posting index, or for
+    filtered searches a table of documents),
     user_vectors(user_id, vector), cf_vectors(item_id, vector) with cf_map(item_id, movie_id),
     emotions(item_id, emo).
     """
 
     chunk_map: DataFrame
     chunk_vectors: DataFrame
-    index: bm25.BM25Index
+    index: bm25.BM25Index | postings.PostingIndex
     user_vectors: DataFrame
     cf_vectors: DataFrame
     cf_map: DataFrame
@@ -44,7 +45,13 @@ def retrieve(corpus: Corpus, queries: DataFrame, k: int, *, how: str = "sum", us
                              allowed=allowed_chunks, **rules).withColumnRenamed("item_id", "chunk_id")
         hits["alpha"] = found
     docs = allowed_chunks.withColumnRenamed("chunk_id", "doc_id") if allowed_chunks is not None else None
-    hits["beta"] = bm25.search(corpus.index, queries, k, doc_filter=docs, **text_rules).withColumnRenamed("doc_id", "chunk_id")
+    if isinstance(corpus.index, postings.PostingIndex):
+        if docs is not None or rules:
+            raise ValueError("filters need an index of documents (bm25.build_index)")
+        found = postings.search(corpus.index, queries, k)
+    else:
+        found = bm25.search(corpus.index, queries, k, doc_filter=docs, **text_rules)
+    hits["beta"] = found.withColumnRenamed("doc_id", "chunk_id")
     return {name: scoring.pool(found.join(corpus.chunk_map, "chunk_id"), ["query_id", "item_id"], how=how,
                                temperature=temperature) for name, found in hits.items()}
 
