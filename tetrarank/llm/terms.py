@@ -1,73 +1,19 @@
-"""Terms of whole texts as byte runs: a table says which bytes belong to a term and what they become.
-
-The tables keep every byte from 0x80 up, so characters beyond ASCII stay whole without being decoded.
-"""
+"""Terms of whole texts as byte runs, the tables of bytes that the contracts name."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-
-
-def _table(digits: bool) -> np.ndarray:
-    table = np.zeros(256, np.uint8)
-    table[128:] = np.arange(128, 256)
-    for low, high in [(0x41, 0x5A), (0x61, 0x7A), *([(0x30, 0x39)] if digits else [])]:
-        table[low:high + 1] = np.arange(low, high + 1)
-    table[0x41:0x5B] += 32
-    return table
 
+from tetrarank.operators.runs import byte_runs, byte_table, counted, flat, slices
 
 #: Runs of [^\x00-\x40\x5B-\x60\x7B-\x7F] and of [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F], A-Z lowered.
-LETTERS, WORDS = _table(False), _table(True)
-
-
-def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column, null as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw, bounds - bounds[0]
-
-
-def terms(column: pa.Array | pa.ChunkedArray, table: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
-    """All terms of a column of texts in their order, and the row of each; no term runs over the end of a text."""
-    raw, bounds = flat(column)
-    mapped = table[raw]
-    inside = mapped > 0
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    heads = bounds[:-1][bounds[:-1] < len(raw)]
-    begins[heads] = inside[heads]
-    row = np.searchsorted(bounds, np.flatnonzero(begins), side="right") - 1
-    offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(mapped[inside])]), row
-
-
-def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values ascending and how often each occurs."""
-    values = np.sort(values)
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
-    return values[first], np.diff(np.append(first, len(values)))
+LETTERS = byte_table((0x41, 0x5A), (0x61, 0x7A), high=True, lower=True)
+WORDS = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), high=True, lower=True)
 
+terms = byte_runs
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, size: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most so many bytes of text and rows; a longer text is a slice of its own."""
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(lengths)
-        at = 0
-        while at < batch.num_rows:
-            used = ends[at - 1] if at else 0
-            to = min(max(at + 1, int(np.searchsorted(ends, used + size, side="right"))), at + rows)
-            yield batch.slice(at, to - at)
-            at = to
+__all__ = ["LETTERS", "WORDS", "arrays", "counted", "flat", "slices", "terms"]
 
 
 def arrays(size: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
