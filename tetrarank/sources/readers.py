@@ -1,7 +1,7 @@
 """Files to DataFrames.
 
-JSON lines, CSV, TSV and parquet are split between tasks. A JSON document that is one list or one object cannot be, so
-it is read by one task per file, and one over WHOLE_FILE_BYTES is refused: keep such inputs as JSON lines or parquet.
+JSON lines, CSV, TSV and parquet are split between tasks, and so is a JSON document that is one list or one object: up to
+WHOLE_FILE_BYTES a file goes to one task, a larger one is cut at its members by byte ranges (`json_split`). The rows are the same.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from tetrarank.constants import EMOTIONS, GENRE_EMOTIONS, GENRE_PRIOR, ID_KEYS,
 from tetrarank.functions import coerce as co
 from tetrarank.functions import text as tx
 from tetrarank.operators import emotion as em
+from tetrarank.sources import json_split
 
 RATINGS = "user_id BIGINT, item_id BIGINT, rating INT, ts BIGINT"
 
@@ -35,22 +36,25 @@ PAIR_SCHEMA = ("prompt_id string, pair_id string, difficulty string, movie1_id s
 JUDGMENT_SCHEMA = "prompt_id string, pair_id string, m1_gt_m2 int, winner string, confidence double"
 
 
-#: The largest JSON document that one task may read whole.
-WHOLE_FILE_BYTES = 256 << 20
+#: Files up to this size are read whole by one task; larger documents are cut by byte ranges.
+WHOLE_FILE_BYTES = 64 << 20
 
 
-def whole_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row (value) per file, for documents that can't be split; a file over WHOLE_FILE_BYTES is an error."""
-    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-    if largest > WHOLE_FILE_BYTES:
-        raise ValueError(f"{path}: a JSON document of {largest} bytes can't be split; write it as JSON lines or parquet")
+def is_large(spark: SparkSession, path: str) -> bool:
+    return (spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0) > WHOLE_FILE_BYTES
+
+
+def whole_documents(spark: SparkSession, path: str, inside: list[str] | None = None) -> DataFrame:
+    """JSON documents (value): one per file, or of large files one per member (see `json_split.documents`)."""
+    if is_large(spark, path):
+        return json_split.documents(spark, path, inside)
     return spark.read.text(path, wholetext=True)
 
 
 def first_character(spark: SparkSession, path: str) -> str:
     """First character of a text file that is not blank, or an empty string."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-    return first["value"].lstrip()[:1] if first else ""
+    first = spark.read.option("lineSep", "}").text(path).where(F.trim(F.translate("value", "\t\r\n", "   ")) != "").limit(1).first()
+    return first["value"].lstrip("\ufeff \t\r\n")[:1] if first else ""
 
 
 def is_json_list(spark: SparkSession, path: str) -> bool:
@@ -68,7 +72,10 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None
         return reader.parquet(path)
     if suffix in ("jsonl", "json"):
         if suffix == "json" and is_json_list(spark, path):
-            whole_documents(spark, path)  # refuses what is too large for one task
+            if is_large(spark, path):
+                elements = json_split.members(spark, path)[0]
+                shape = schema if schema is not None else spark.read.json(elements.rdd.map(lambda r: r[0])).schema
+                return elements.select(F.from_json("text", shape).alias("r")).select("r.*")
             return reader.option("multiLine", True).json(path)
         return reader.json(path)
     if suffix in ("csv", "tsv"):
@@ -247,7 +254,7 @@ def read_emotion_source(spark: SparkSession, path: str, epsilon: float = 1e-9, h
     elif suffix == "json":
         if first_character(spark, path) not in ("[", "{"):
             raise ValueError(f"{path}: expected a JSON list or object")
-        records = emotion_records_from_json(whole_documents(spark, path))
+        records = emotion_records_from_json(whole_documents(spark, path, ["movies", "data", "items", "results"]))
     else:
         raise ValueError(f"unsupported file type: {path}")
     index = emotion_index(records, epsilon, how)
@@ -257,7 +264,9 @@ def read_emotion_source(spark: SparkSession, path: str, epsilon: float = 1e-9, h
 
 
 def _is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the first two lines that are not blank are objects of their own."""
+    """Whether the first two lines that are not blank are objects of their own; of a large file, whether two objects follow each other."""
+    if is_large(spark, path):
+        return json_split.is_lines(spark, path)
     lines = [r["value"].strip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
     return len(lines) == 2 and all(x.startswith("{") and x.endswith("}") for x in lines)
 
