@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from tetrarank import workloads  # noqa: E402
 
 HEADLINES = [
-    "bm25_search", "dense_search_cosine", "user_item_cosine", "hybrid_rerank", "candidate_table", "cascade_scores", "proxy_top_items",
+    "bm25_search", "dense_search_cosine", "dense_cells_cosine", "user_item_cosine", "hybrid_rerank", "candidate_table", "cascade_scores", "proxy_top_items",
     "difference_features", "combined_features", "grouped_split", "balanced_positions", "model_report", "ranker_report", "gating_sweep",
     "list_metrics", "expert_score_table", "feature_statistics", "chunk_table", "lexicon_emotions", "emotion_index_from_json",
 ]
