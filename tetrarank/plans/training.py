@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,116 @@ def nonlinear_margin(model, pairs: DataFrame) -> DataFrame:
     return scored.select(*pairs.columns, F.ln(p / (1.0 - p)).alias("margin"))
 
 
+def _twin_terms(network: dict[str, np.ndarray], features: list[str]) -> list[tuple[Column, Column]]:
+    """Per hidden unit its value on the differences and on their opposite."""
+    out = []
+    for row, shift in zip(network["w"], network["c"], strict=True):
+        a = linear_margin(row.tolist(), features)
+        out.append((F.tanh(a + float(shift)), F.tanh(-a + float(shift))))
+    return out
+
+
+def antisymmetric_margin(network: dict[str, np.ndarray], features: list[str] | None = None) -> Column:
+    """g(dz) - g(-dz) of a hidden layer g: exchanging the two items turns the sign and nothing else."""
+    terms = _twin_terms(network, features or DZ_COLUMNS)
+    return reduce(lambda a, b: a + b, [float(v) * (here - there) for v, (here, there) in zip(network["v"], terms, strict=True)])
+
+
+def antisymmetric_gradient(pairs: DataFrame, network: dict[str, np.ndarray], reg: float, features: list[str] | None = None) -> DataFrame:
+    """parameter, gradient of the penalized mean loss at a network, in column expressions: all zero at an optimum."""
+    features = features or DZ_COLUMNS
+    error = nx.sigmoid(antisymmetric_margin(network, features)) - F.col("y")
+    sums = {}
+    for h, (here, there) in enumerate(_twin_terms(network, features)):
+        v = float(network["v"][h])
+        sums[f"v{h}"] = F.avg(error * (here - there)) + reg * v
+        sums[f"c{h}"] = F.avg(error * v * (there * there - here * here)) + reg * float(network["c"][h])
+        for i, f in enumerate(features):
+            sums[f"w{h}_{f}"] = F.avg(error * v * (2.0 - here * here - there * there) * F.col(f)) + reg * float(network["w"][h, i])
+    row = pairs.agg(*[c.alias(n) for n, c in sums.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("gradient")) for n in sums])).alias("g")).select("g.*")
+
+
+def _loss_sums(hidden: int, width: int, theta: np.ndarray):
+    """Arrow batches of (y, features...) to (position, value): rows, loss and gradient summed over the partition."""
+
+    def run(batches):
+        w, c, v = theta[:hidden * width].reshape(hidden, width), theta[hidden * width:hidden * (width + 1)], theta[hidden * (width + 1):]
+        total = np.zeros(2 + len(theta))
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            x = np.column_stack([batch.column(i).to_numpy() for i in range(1, width + 1)])
+            a = x @ w.T
+            here, there = np.tanh(a + c), np.tanh(c - a)
+            margin = (here - there) @ v
+            error = 1.0 / (1.0 + np.exp(-margin)) - y
+            back = error[:, None] * v
+            total[0] += len(y)
+            total[1] += np.logaddexp(0.0, np.where(y > 0.5, -margin, margin)).sum()
+            total[2:] += np.concatenate([((back * (2.0 - here * here - there * there)).T @ x).reshape(-1),
+                                         (back * (there * there - here * here)).sum(0), error @ (here - there)])
+        yield pa.RecordBatch.from_pydict({"position": pa.array(np.arange(len(total), dtype=np.int32)), "value": pa.array(total)})
+
+    return run
+
+
+def fit_antisymmetric_ranker(pairs: DataFrame, features: list[str] | None = None, hidden: int = 4, reg: float = 0.01, max_iter: int = 80,
+                             tol: float = 1e-5, seed: int = 42) -> dict[str, np.ndarray]:
+    """Weights (w, c, v) of a hidden-layer ranker under the pairwise logistic loss, by L-BFGS.
+
+    Tasks sum loss and gradient over their rows; the sums are added in Spark, so a step brings one number per parameter to the driver.
+    """
+    features = features or DZ_COLUMNS
+    checkpoint_dir(pairs.sparkSession)
+    rows = pairs.select(F.col("y").cast("double").alias("y"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]).checkpoint()
+    width = len(features)
+
+    def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        sums = rows.mapInArrow(_loss_sums(hidden, width, theta), "position int, value double").groupBy("position").agg(F.sum("value")).collect()
+        total = np.zeros(2 + len(theta))
+        for position, value in sums:
+            total[position] = value
+        n = max(total[0], 1.0)
+        return total[1] / n + 0.5 * reg * float(theta @ theta), total[2:] / n + reg * theta
+
+    theta = minimize(evaluate, np.random.default_rng(seed).normal(scale=0.5, size=hidden * (width + 2)), max_iter, tol)
+    return {"w": theta[:hidden * width].reshape(hidden, width), "c": theta[hidden * width:hidden * (width + 1)], "v": theta[hidden * (width + 1):]}
+
+
+def minimize(evaluate, start: np.ndarray, max_iter: int, tol: float, memory: int = 10) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with backtracking; `evaluate` returns (value, gradient)."""
+    x = start
+    value, gradient = evaluate(x)
+    steps, turns = [], []
+    for _ in range(max_iter):
+        if np.abs(gradient).max() <= tol:
+            break
+        direction, weights = gradient.copy(), []
+        for s, t in reversed(list(zip(steps, turns, strict=True))):
+            a = (s @ direction) / (s @ t)
+            weights.append(a)
+            direction -= a * t
+        if steps:
+            direction *= (steps[-1] @ turns[-1]) / (turns[-1] @ turns[-1])
+        for (s, t), a in zip(zip(steps, turns, strict=True), reversed(weights), strict=True):
+            direction += (a - (t @ direction) / (s @ t)) * s
+        slope = -(gradient @ direction)
+        if slope >= 0:
+            direction, slope, steps, turns = gradient, -(gradient @ gradient), [], []
+        size = 1.0
+        while True:
+            moved = x - size * direction
+            new_value, new_gradient = evaluate(moved)
+            if new_value <= value + 1e-4 * size * slope or size < 1e-8:
+                break
+            size *= 0.5
+        s, t = moved - x, new_gradient - gradient
+        if s @ t > 1e-12:
+            steps, turns = [*steps, s][-memory:], [*turns, t][-memory:]
+        x, value, gradient = moved, new_value, new_gradient
+    return x
+
+
 def fit_weight_heads(design: DataFrame, features: list[str], targets: list[str], *, trees: int = 20, depth: int = 3,
                      rate: float = 0.2, seed: int = 42) -> dict[str, PipelineModel]:
     """One boosted regression per expert on the log of its target weight."""

@@ -363,6 +363,39 @@ def nonlinear_ranker(spark, sf):
     return evaluation.ranker_report(training.nonlinear_margin(model, p.where("split = 'test'")))
 
 
+def antisymmetric_ranker(spark, sf):
+    """Report of the hidden-layer ranker on the test split."""
+    p = splits.split_by_group(v.pairs(spark, sf), ["prompt_id"], ["category"])
+    network = training.fit_antisymmetric_ranker(p.where("split = 'train'"))
+    return evaluation.ranker_report(p.where("split = 'test'").withColumn("margin", training.antisymmetric_margin(network)))
+
+
+def antisymmetric_ranker_optimum(spark, sf):
+    """Gradient of the penalized loss over all pairs at the fitted network: zero; and the largest sum of a margin and that of the exchanged pair: zero."""
+    p = v.pairs(spark, sf)
+    network = training.fit_antisymmetric_ranker(p)
+    gradients = training.antisymmetric_gradient(p, network, 0.01)
+    margin = training.antisymmetric_margin(network)
+    turned = p.select(margin.alias("m"), *[(-F.col(c)).alias(c) for c in DZ_COLUMNS])
+    odd = turned.agg(F.max(F.abs(F.col("m") + margin)).alias("gradient")).select(F.lit("exchanged").alias("parameter"), "gradient")
+    return rounded(gradients.unionByName(odd), "gradient", digits=4)
+
+
+def _quality_of(report, name):
+    return report.select(F.lit(name).alias("model"), (F.col("accuracy") >= 0.6).alias("accurate"), (F.col("auc") >= 0.6).alias("ranked"))
+
+
+def ranker_thresholds(spark, sf):
+    """Whether the fitted rankers reach accuracy and AUC of 0.6 on prompts that they have not seen."""
+    p = splits.split_by_group(v.pairs(spark, sf), ["prompt_id"], ["category"])
+    train, test = p.where("split = 'train'"), p.where("split = 'test'")
+    margins = {"linear": test.withColumn("margin", training.linear_margin(training.fit_linear_ranker(train))),
+               "sigmoid": training.nonlinear_margin(training.fit_nonlinear_ranker(train, max_iter=100), test),
+               "antisymmetric": test.withColumn("margin", training.antisymmetric_margin(training.fit_antisymmetric_ranker(train)))}
+    out = [_quality_of(evaluation.fused_pair_metrics(m), name) for name, m in margins.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def _design(spark, sf):
     p = _customer_pairs(spark, sf)
     design = evaluation.prompt_design(p, ["category"], [], ["easy", "medium", "hard", "unknown"])
@@ -442,6 +475,7 @@ QUERIES = {
     "entropy_bins": entropy_bins, "category_folds": category_folds, "ranked_folds": ranked_folds, "mixture_targets": mixture_targets,
     "logit_targets": logit_targets, "mined_pairs": mined_pairs, "pair_item_features": pair_item_features,
     "nested_pair_batches": nested_pair_batches, "calibrated_margins": calibrated_margins, "linear_ranker": linear_ranker,
+    "antisymmetric_ranker": antisymmetric_ranker, "antisymmetric_ranker_optimum": antisymmetric_ranker_optimum, "ranker_thresholds": ranker_thresholds,
     "nonlinear_ranker": nonlinear_ranker, "weight_heads": weight_heads, "weight_head_report": weight_head_report,
     "user_item_factors": user_item_factors, "gated_mixture_scores": gated_mixture_scores,
     "mined_pair_rules": mined_pair_rules, "linear_ranker_optimum": linear_ranker_optimum, "logit_target_optimum": logit_target_optimum,
@@ -453,6 +487,9 @@ ORACLES = {
     "mined_pair_rules": with_ctes("ranking") + """, n AS (SELECT prompt_id, count(*) AS n FROM ranking GROUP BY 1) SELECT 'pairs ' || d AS rule, count(*) * 3 AS n FROM n, (SELECT unnest(['easy', 'medium', 'hard']) AS d) x WHERE n >= 7 GROUP BY d
       UNION ALL SELECT unnest(['uses', 'twice', 'sign']) AS rule, 0 AS n""",
     "linear_ranker_optimum": "SELECT unnest([" + ", ".join(f"'{c}'" for c in DZ_COLUMNS) + "]) AS feature, 0.0::DOUBLE AS gradient",
+    "antisymmetric_ranker_optimum": "SELECT unnest([" + ", ".join(f"'{n}'" for n in ["exchanged", *[f"{k}{h}" for h in range(4) for k in "vc"], *[f"w{h}_{c}" for h in range(4) for c in DZ_COLUMNS]])
+      + "]) AS parameter, 0.0::DOUBLE AS gradient",
+    "ranker_thresholds": "SELECT unnest(['linear', 'sigmoid', 'antisymmetric']) AS model, true AS accurate, true AS ranked",
     "logit_target_optimum": with_ctes("pairs") + """SELECT count(*) AS prompts, count(*) AS converged, 0.0::DOUBLE AS gradient FROM (
       SELECT o_custkey FROM pairs JOIN orders ON o_orderkey = prompt_id GROUP BY 1 HAVING min(y) < max(y)) a""",
     "difference_features": _DIFFERENCES,
