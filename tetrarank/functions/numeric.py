@@ -60,7 +60,7 @@ def hash_uniform(*parts, seed: str = "42") -> Column:
 
 def hash_bucket(hashed: Column, hex_digits: int = 4) -> Column:
     """Leading hex digits as an integer; ascends with the hash text."""
-    return F.conv(F.substring(hashed, 1, hex_digits), 16, 10).cast("int")
+    return F.conv(F.substring(hashed, 1, hex_digits), 16, 10).cast("int" if hex_digits < 8 else "bigint")
 
 
 def value_bucket(value: Column, resolution: float = 256.0) -> Column:

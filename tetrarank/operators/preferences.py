@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS, EXPERTS, NO_SIGNAL_TOLERANCE
@@ -61,12 +62,10 @@ def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], check: b
         return left.join(right, keys)
 
     def unique(df: DataFrame, side: str) -> DataFrame:
-        rest = [c for c in df.columns if c not in keys]
-        packed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min_by(F.struct(*rest), F.struct(*rest)).alias("__row"))
         # The error text must not depend on the row, or Spark would evaluate it for every row.
         fail = F.raise_error(F.lit(f"repeated key {keys} on the {side} side"))
-        checked = packed.where(F.when(F.col("__n") > 1, fail.cast("boolean")).otherwise(F.lit(True)))
-        return checked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+        counted = df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))  # in the shuffle and sort of the join itself
+        return counted.where(F.when(F.col("__n") > 1, fail.cast("boolean")).otherwise(F.lit(True))).drop("__n")
 
     return unique(left, "left").join(unique(right, "right"), keys)
 

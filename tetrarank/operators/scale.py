@@ -70,22 +70,32 @@ def _left_aligned(data: Column, size: int) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(data, 1, size)), 2 * size, "0"), 16, 10).cast("long")
 
 
+def _sums_before(sums: DataFrame, by: list[str], at: str, names: list[str], reverse: bool) -> DataFrame:
+    """__o_*: sums of __s_* over the rows of a group that come before."""
+    frame = W.partitionBy(*by).orderBy(F.desc(at) if reverse else F.asc(at)).rowsBetween(W.unboundedPreceding, -1)
+    return sums.withColumns({f"__o_{n}": F.coalesce(F.sum(f"__s_{n}").over(frame), F.lit(0)) for n in names})
+
+
 def running_totals(df: DataFrame, by: list[str], order: list[Column], bucket: Column,
-                   totals: dict[str, Column], reverse: bool = False) -> DataFrame:
+                   totals: dict[str, Column], reverse: bool = False, coarse: Column | None = None) -> DataFrame:
     """Inclusive running sums of `totals` per key in the given order.
 
     `bucket` must ascend (not strictly) with the order. With `reverse` the sums run from each row to
-    the end of its group.
+    the end of its group. Where there are too many buckets for one task, `coarse` puts them together in their order.
     """
     names = list(totals)
     work = df.withColumn("__bucket", bucket).withColumns({f"__v_{n}": totals[n] for n in names})
-    per_bucket = work.groupBy(*by, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
-    frame = W.partitionBy(*by).orderBy(F.desc("__bucket") if reverse else F.asc("__bucket"))
-    before = frame.rowsBetween(W.unboundedPreceding, -1)
     keys = [*by, "__bucket"]
-    offsets = per_bucket.select(
-        *[F.col(c).alias(f"__k_{c}") for c in keys],
-        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names])
+    if coarse is None:
+        per_bucket = work.groupBy(*keys).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+        offsets = _sums_before(per_bucket, by, "__bucket", names, reverse)
+    else:
+        per_bucket = work.withColumn("__coarse", coarse).groupBy(*keys, "__coarse").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+        upper = _sums_before(per_bucket.groupBy(*by, "__coarse").agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in names]), by, "__coarse", names, reverse)
+        upper = upper.select(*[F.col(c).alias(f"__c_{c}") for c in [*by, "__coarse"]], *[F.col(f"__o_{n}").alias(f"__u_{n}") for n in names])
+        inner_sums = _sums_before(per_bucket, [*by, "__coarse"], "__bucket", names, reverse)
+        offsets = inner_sums.join(upper, _same("__c_", [*by, "__coarse"])).withColumns({f"__o_{n}": F.col(f"__o_{n}") + F.col(f"__u_{n}") for n in names})
+    offsets = offsets.select(*[F.col(c).alias(f"__k_{c}") for c in keys], *[f"__o_{n}" for n in names])
     inner = W.partitionBy(*keys).orderBy(*order)
     span = (inner.rowsBetween(W.currentRow, W.unboundedFollowing) if reverse
             else inner.rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -114,14 +124,42 @@ def ranked_totals(df: DataFrame, by: list[str], value: str, ties: list[str], tot
 
 
 def hash_rank(df: DataFrame, by: list[str], key: list[str], rank: str, seed: str = "42") -> DataFrame:
-    """1-based position of each row within its group, in md5 order of the key columns."""
+    """1-based position of each row within its group, in md5 order of the key columns.
+
+    The number of buckets follows the number of rows, so that some thousand rows at most share one; over 65,536 buckets are
+    summed in two levels.
+    """
     hashed = hash_text(*[F.col(c) for c in key], seed=seed)
     order = [F.col("__hash"), *[F.col(c) for c in key]]
-    out = running_totals(df.withColumn("__hash", hashed), by, order, hash_bucket(F.col("__hash")),
-                         {rank: F.lit(1)})
+    digits = hash_digits(df.select(*key).count())
+    out = running_totals(df.withColumn("__hash", hashed), by, order, hash_bucket(F.col("__hash"), digits), {rank: F.lit(1)},
+                         coarse=hash_bucket(F.col("__hash")) if digits > 4 else None)
     return out.drop("__hash")
 
 
+def hash_digits(rows: int, each: int = 4096) -> int:
+    """Leading hex digits that deal so many rows to buckets of about `each` rows or fewer; at least four, at most eleven."""
+    digits = 4
+    while digits < 11 and 16 ** digits * each < rows:
+        digits += 1
+    return digits
+
+
+def range_rank(df: DataFrame, by: list[str], order: list[str], rank: str) -> DataFrame:
+    """1-based position of each row within its group, by the order columns ascending.
+
+    The rows are dealt to ranges of groups and order, whose borders Spark takes from a sample, and stored; a row's position is that
+    in its range after the counts of the group's ranges before. So no group meets in one task, whatever its values look like.
+    """
+    checkpoint_dir(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *by, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = placed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__s_n"))
+    before = _sums_before(counts, by, "__range", ["n"], False).select(*[F.col(c).alias(f"__k_{c}") for c in [*by, "__range"]], "__o_n")
+    inside = placed.withColumn("__in", F.row_number().over(W.partitionBy(*by, "__range").orderBy(*order)))
+    return inside.join(before, _same("__k_", [*by, "__range"])).select(*df.columns, (F.col("__in") + F.col("__o_n")).alias(rank))
+
+
 def value_rank(df: DataFrame, by: list[str], value: str, ties: list[str], rank: str,
                resolution: float = 256.0) -> DataFrame:
     """1-based position by descending value, ties by the given columns ascending."""

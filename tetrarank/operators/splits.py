@@ -5,13 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS
 from tetrarank.functions import numeric as nx
 from tetrarank.functions.text import normalized_category
-from tetrarank.operators.scale import exact_quantiles, hash_rank, value_rank, with_group_stats
+from tetrarank.operators.scale import exact_quantiles, hash_rank, range_rank, value_rank, with_group_stats
 
 
 def assign_groups(groups: DataFrame, key: list[str], strata: list[str], train: float = 0.70, val: float = 0.15,
@@ -215,7 +214,29 @@ def level_table(df: DataFrame, columns: list[str]) -> DataFrame:
     found = df.select(entries.alias("e")).select("e.*").distinct()
     always = df.sparkSession.createDataFrame([(c, "unknown") for c in columns], "column string, level string")
     every = found.where("level <> 'unknown'").unionByName(always).withColumn("known", (F.col("level") != "unknown").cast("int"))
-    return every.select("column", "level", (F.row_number().over(W.partitionBy("column").orderBy("known", "level")) - 1).alias("place"))
+    ranked = range_rank(every, ["column"], ["known", "level"], "place")
+    return ranked.select("column", "level", (F.col("place") - 1).alias("place"))
+
+
+def sparse_design(df: DataFrame, levels: DataFrame, columns: list[str], numeric: list[str], key: str = "prompt_id") -> DataFrame:
+    """key, size, indices, values: the wide design as sparse rows, for any number of levels.
+
+    The flags of the columns lie one after the other in the given order, each in the order of its places, then the numeric
+    columns by name with nulls as 0 (zeros are left out). Neither the levels nor a column per level enter the plan.
+    """
+    width = levels.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["column"]: r["n"] for r in width.collect()}  # a row per column
+    start, at = {}, 0
+    for c in columns:
+        start[c], at = at, at + sizes[c]
+    first = F.create_map(*[F.lit(x) for c in columns for x in (c, start[c])])
+    flags = one_hot_entries(df, levels, columns, key).select(key, (first[F.col("column")] + F.col("place")).alias("i"), F.lit(1.0).alias("x"))
+    entries = flags
+    if numeric:
+        value = [F.struct(F.lit(at + i).cast("bigint").alias("i"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x")) for i, c in enumerate(sorted(numeric))]
+        entries = flags.unionByName(df.select(key, F.explode(F.array(*value)).alias("e")).select(key, "e.*").where("x <> 0"))
+    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("e"))
+    return rows.select(key, F.lit(at + len(numeric)).cast("bigint").alias("size"), F.col("e.i").alias("indices"), F.col("e.x").alias("values"))
 
 
 def one_hot_entries(df: DataFrame, levels: DataFrame, columns: list[str], key: str = "prompt_id") -> DataFrame:

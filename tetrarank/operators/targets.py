@@ -87,26 +87,27 @@ def prompt_logits(base: DataFrame, strength: float, tolerance: float = 1e-9, mos
 
 
 def logit_targets(pairs: DataFrame, strength: float, min_pairs: int = 6, min_auc: float = 0.55, base: DataFrame | None = None) -> DataFrame:
-    """Softplus-normalized coefficients with the fit's AUC and whether the fit is good enough."""
+    """Softplus-normalized coefficients with the fit's AUC, whether it converged, and whether it is good enough."""
     fits = prompt_logits(stored_pairs(pairs) if base is None else base, strength)
     raised = [nx.softplus(F.col(f"c{i}")) for i in range(len(EXPERTS))]
     total = reduce(lambda a, b: a + b, raised) + F.lit(1e-8)
-    weights = fits.where("converged").select("prompt_id", "n", *[f"c{i}" for i in range(len(EXPERTS))],
+    weights = fits.select("prompt_id", "n", "converged", *[f"c{i}" for i in range(len(EXPERTS))],
                           *[(r / total).alias(w) for r, w in zip(raised, WEIGHTS)])
     margin = reduce(lambda a, b: a + b, [F.col(d) * F.col(f"c{i}") for i, d in enumerate(DZ_COLUMNS)])
     scored = pairs.join(weights, "prompt_id").withColumn("margin", margin)
     quality = auc(scored, ["prompt_id"], "margin", "y", out="auc_fit").select("prompt_id", "auc_fit")
     mean = F.lit(1.0 / len(EXPERTS))
     flat = reduce(lambda a, b: a & b, [F.abs(F.col(w) - mean) <= 1e-8 + 1e-5 * mean for w in WEIGHTS])
-    good = (F.col("n") >= min_pairs) & ~flat & (F.col("auc_fit") >= min_auc)
-    return weights.join(quality, "prompt_id").select("prompt_id", *WEIGHTS, "auc_fit",
+    good = F.col("converged") & (F.col("n") >= min_pairs) & ~flat & (F.col("auc_fit") >= min_auc)
+    return weights.join(quality, "prompt_id").select("prompt_id", *WEIGHTS, "auc_fit", "converged",
                                                      F.coalesce(good, F.lit(False)).alias("good"))
 
 
 def prompt_targets(pairs: DataFrame, mix: list[str] | None = None, min_pairs: int = 6) -> DataFrame:
-    """prompt_id, w_*, source (mix, logit or uniform), pairs_used, auc_fit.
+    """prompt_id, w_*, source (mix, logit or uniform), pairs_used, auc_fit, converged.
 
-    Given mixtures come first, then a fit with C = 5, then one with C = 1, then uniform weights.
+    Given mixtures come first, then a fit with C = 5, then one with C = 1, then uniform weights. `converged` is false where a fit
+    was still moving after its last step and was not used, null where none was made.
     """
     if mix and all(m in pairs.columns for m in mix):
         base = mixture_targets(pairs, mix)
@@ -118,7 +119,7 @@ def prompt_targets(pairs: DataFrame, mix: list[str] | None = None, min_pairs: in
     for name, strength in (("strong", 5.0), ("weak", 1.0)):
         fits[name] = logit_targets(need, strength, min_pairs, base=base_pairs).select(
             "prompt_id", *[F.col(w).alias(f"{name}_{w}") for w in WEIGHTS], F.col("auc_fit").alias(f"{name}_auc"),
-            F.col("good").alias(f"{name}_good"))
+            F.col("good").alias(f"{name}_good"), F.col("converged").alias(f"{name}_converged"))
     joined = base.join(fits["strong"], "prompt_id", "left").join(fits["weak"], "prompt_id", "left")
     has_mix = F.col(WEIGHTS[0]).isNotNull()
     strong, weak = F.coalesce("strong_good", F.lit(False)), F.coalesce("weak_good", F.lit(False))
@@ -128,4 +129,5 @@ def prompt_targets(pairs: DataFrame, mix: list[str] | None = None, min_pairs: in
           .otherwise(F.lit(0.25)).alias(w) for w in WEIGHTS],
         F.when(has_mix, "mix").when(strong | weak, "logit").otherwise("uniform").alias("source"), "pairs_used",
         F.when(has_mix, F.lit(None).cast("double")).when(strong, F.col("strong_auc"))
-        .otherwise(F.col("weak_auc")).alias("auc_fit"))
+        .otherwise(F.col("weak_auc")).alias("auc_fit"),
+        F.when(~has_mix, F.col("strong_converged") & F.col("weak_converged")).alias("converged"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.functions import text as tx
 from tetrarank.operators.items import best_k_lists, chunk_summary
+from tetrarank.operators.scale import checkpoint_dir
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -50,7 +51,12 @@ def write_results(rows: DataFrame, folder: str, k: int = 10, by: str = "prompt_i
 
 
 def write_report(report: DataFrame, folder: str, name: str) -> None:
-    """A metric table as CSV and JSON; metric tables have one row per model and slice."""
+    """A metric table as CSV and JSON; metric tables have one row per model and slice.
+
+    The table is computed once, by as many tasks as its plan has, and stored; only its few rows go to one file each.
+    """
+    checkpoint_dir(report.sparkSession)
+    report = report.checkpoint()
     for fmt in ("csv", "json"):
         report.coalesce(1).write.mode("overwrite").format(fmt).option("header", fmt == "csv").save(f"{folder}/{name}.{fmt}")
 

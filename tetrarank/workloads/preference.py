@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS, EXPERTS
 from tetrarank.functions import numeric as nx
+from tetrarank.functions import vectors as vx
 from tetrarank.operators import collaborative, evaluation, mining, preferences, scale, scoring, splits, targets
 from tetrarank.plans import training
 from tetrarank.workloads import views as v
@@ -215,6 +216,29 @@ def category_flags(spark, sf):
         "flag", "flagged", "n_chars", "absent", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def sparse_design(spark, sf):
+    """The one-hot design of documents as sparse rows, with a level per length (as text) beside language and source."""
+    d = v.table(spark, sf, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("string").alias("length"), (F.col("n_chars") % 3).alias("rest"))
+    columns = ["lang", "source", "length"]
+    out = splits.sparse_design(d, splits.level_table(d, columns), columns, ["rest"], key="doc_id")
+
+    def text(c):
+        return F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",")
+
+    return out.select("doc_id", "size", text(F.col("indices")).alias("indices"), text(F.col("values")).alias("values"))
+
+
+_SPARSE = """WITH d AS (SELECT doc_id, lang, source, n_chars::VARCHAR AS length, n_chars % 3 AS rest FROM documents),
+e AS (UNPIVOT (SELECT doc_id, coalesce(nullif(lower(trim(lang)), ''), 'unknown') AS lang, coalesce(nullif(lower(trim(source)), ''), 'unknown') AS source, coalesce(length, 'unknown') AS length FROM d)
+  ON lang, source, length INTO NAME col VALUE level),
+l AS (SELECT col, level, row_number() OVER (PARTITION BY col ORDER BY (level <> 'unknown')::INT, level) - 1 AS place
+  FROM (SELECT DISTINCT col, level FROM e UNION SELECT unnest(['lang', 'source', 'length']), 'unknown') a),
+n AS (SELECT (SELECT count(*) FROM l WHERE col = 'lang') AS n1, (SELECT count(*) FROM l WHERE col = 'source') AS n2, (SELECT count(*) FROM l) AS n3),
+x AS (SELECT doc_id, place + CASE col WHEN 'lang' THEN 0 WHEN 'source' THEN n1 ELSE n1 + n2 END AS i, 1 AS x FROM e JOIN l USING (col, level), n
+  UNION ALL SELECT doc_id, n3, rest FROM d, n WHERE rest <> 0)
+SELECT doc_id, any_value(n3) + 1 AS size, string_agg(i::BIGINT, ',' ORDER BY i) AS indices, string_agg(x::BIGINT, ',' ORDER BY i) AS values FROM x, n GROUP BY doc_id"""
+
+
 def entropy_bins(spark, sf):
     """Customers by quantile bin of their weights' entropy."""
     from tetrarank.functions import distributions as dx
@@ -415,6 +439,101 @@ def weight_heads(spark, sf):
     return evaluation.fold_summary(metrics, ["accuracy", "auc", "logloss"])
 
 
+def _folds(spark, design):
+    scale.checkpoint_dir(spark)
+    return splits.fold_by_rank(design, ["prompt_id"], [], 3).checkpoint()
+
+
+def fold_metric_summary(spark, sf):
+    """Mean and deviation over three prompt folds of the metrics of given weights."""
+    p = v.weighted_pairs(spark, sf)
+    folds = _folds(spark, p.select("prompt_id").distinct())
+    metrics = evaluation.fused_pair_metrics(p.join(folds, "prompt_id"), by=["fold"])
+    return rounded(evaluation.fold_summary(metrics, ["accuracy", "logloss", "auc"]), "mean", "std")
+
+
+_PR = "least(greatest(1 / (1 + exp(-margin)), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)"
+_FOLDS = f"SELECT prompt_id, (row_number() OVER (ORDER BY {hashed('prompt_id')}, prompt_id) - 1) % 3 AS fold FROM (SELECT DISTINCT prompt_id FROM {{}}) a"
+_FOLD_SUMMARY = with_ctes("weighted_pairs") + f""", f AS ({_FOLDS.format('weighted_pairs')}), p AS (SELECT *, {_PR} AS pr FROM weighted_pairs JOIN f USING (prompt_id)),
+ranks AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY margin) + (count(*) OVER (PARTITION BY fold, margin) - 1) / 2.0::DOUBLE AS rk FROM p),
+areas AS (SELECT fold, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) AS auc FROM ranks GROUP BY fold),
+m AS (SELECT fold, avg(((margin > 0) = (y > 0.5))::INT) AS accuracy, avg(-CASE WHEN y > 0.5 THEN ln(pr) ELSE ln(1 - pr) END) AS logloss FROM p GROUP BY fold),
+u AS (UNPIVOT (SELECT accuracy::DOUBLE AS accuracy, logloss::DOUBLE AS logloss, auc::DOUBLE AS auc FROM m JOIN areas USING (fold)) ON accuracy, logloss, auc INTO NAME metric VALUE value)
+SELECT metric, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std FROM u GROUP BY metric"""
+
+
+def out_of_fold_weights(spark, sf):
+    """Cross-validated predictions put together: prompts per fold, prompts that occur twice, rows off the simplex, and whether the weights
+    reach an accuracy of 0.6 in the fold."""
+    p, design = _design(spark, sf)
+    metrics, predictions = training.cross_validate(_folds(spark, design), p, FEATURES, [f"w_{e}" for e in EXPERTS], 3, trees=10)
+    names = [f"pred_{e}" for e in EXPERTS]
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    off = (F.abs(total - 1.0) > 1e-9) | (F.least(*names) < 0)
+    found = predictions.groupBy("fold").agg(F.count(F.lit(1)).alias("prompts"), (F.count(F.lit(1)) - F.countDistinct("prompt_id")).alias("twice"),
+                                            F.sum(off.cast("bigint")).alias("off_simplex"))
+    return found.join(metrics.select("fold", (F.col("accuracy") >= 0.6).alias("accurate")), "fold")
+
+
+def saved_heads(spark, sf):
+    """Heads written to files and read again: prompts per category whose predicted weights changed, and that are not the softmax of the heads."""
+    p, design = _design(spark, sf)
+    design = _folds(spark, design)
+    heads = training.fit_weight_heads(design.where("fold > 0"), FEATURES, [f"w_{e}" for e in EXPERTS], trees=5)
+    folder = scale.shared_path(spark, "heads")
+    training.save_heads(heads, folder)
+    names = [f"pred_{e}" for e in EXPERTS]
+    raw = design
+    for head in heads.values():
+        raw = head.transform(raw).drop("features")
+    total = sum((F.exp(f"head_{e}") for e in EXPERTS[1:]), F.exp(f"head_{EXPERTS[0]}"))
+    soft = raw.select("prompt_id", *[(F.exp(f"head_{e}") / total).alias(f"soft_{e}") for e in EXPERTS])
+    before = training.predict_weights(heads, design).select("prompt_id", "category", *[F.col(n).alias(f"was_{n}") for n in names])
+    after = training.predict_weights(training.load_heads(folder), design).select("prompt_id", *names)
+    rows = before.join(after, "prompt_id").join(soft, "prompt_id")
+    changed = F.greatest(*[F.abs(F.col(n) - F.col(f"was_{n}")) for n in names]) > 1e-12
+    wrong = F.greatest(*[F.abs(F.col(f"pred_{e}") - F.col(f"soft_{e}")) for e in EXPERTS]) > 1e-6
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("prompts"), F.sum(changed.cast("bigint")).alias("changed"), F.sum(wrong.cast("bigint")).alias("not_softmax"))
+
+
+_OUT_OF_FOLD = with_ctes("pairs", "prompt_weights") + f""", q AS (SELECT DISTINCT o_custkey AS prompt_id FROM pairs JOIN orders ON o_orderkey = pairs.prompt_id JOIN prompt_weights w ON w.prompt_id = o_custkey),
+f AS ({_FOLDS.format('q')}) SELECT fold, count(*) AS prompts, 0 AS twice, 0 AS off_simplex, true AS accurate FROM f GROUP BY fold"""
+_SAVED = with_ctes("pairs", "prompt_weights") + """, q AS (SELECT o_custkey AS prompt_id, arg_min(category, pair_id) AS category FROM pairs JOIN orders ON o_orderkey = pairs.prompt_id GROUP BY 1)
+SELECT lower(category) AS category, count(*) AS prompts, 0 AS changed, 0 AS not_softmax FROM q JOIN prompt_weights USING (prompt_id) GROUP BY 1"""
+
+
+def _order_ratings(spark, sf):
+    o, li = v.table(spark, sf, "orders"), v.table(spark, sf, "lineitem")
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id")).agg(F.sum("l_quantity").cast("double").alias("rating"))
+
+
+def factor_optimum(spark, sf):
+    """Users with factors, and the largest residual of their normal equations, relative to the largest right side: zero.
+
+    Given the item factors a user's factors x solve (Y'Y + sum r y y' + 0.1 n I) x = sum (1 + r) y over the n liked items.
+    """
+    scale.checkpoint_dir(spark)
+    liked = _order_ratings(spark, sf).where("rating >= 25")
+    users, items = (t.checkpoint() for t in training.fit_factors(liked, threshold=25.0, max_iter=3))
+    y = items.select("item_id", F.posexplode("vector").alias("i", "yi"), "vector")
+    square = y.select("i", F.posexplode("vector").alias("j", "yj"), "yi").groupBy("i", "j").agg(F.sum(F.col("yi").cast("double") * F.col("yj").cast("double")).alias("s"))
+    x = users.select("user_id", F.posexplode("vector").alias("j", "xj"))
+    gram = x.join(F.broadcast(square), "j").groupBy("user_id", "i").agg(F.sum(F.col("s") * F.col("xj").cast("double")).alias("gram"))
+    rated = liked.join(users.withColumnRenamed("vector", "u"), "user_id").join(items, "item_id")
+    r_ = F.col("rating").cast("float").cast("double")
+    one = rated.select("user_id", (1.0 + r_).alias("b"), (r_ * vx.dot(F.col("u"), F.col("vector"))).alias("a"), F.posexplode("vector").alias("i", "yi"))
+    sums = one.groupBy("user_id", "i").agg(F.sum(F.col("a") * F.col("yi").cast("double")).alias("a"), F.sum(F.col("b") * F.col("yi").cast("double")).alias("b"), F.count(F.lit(1)).alias("n"))
+    own = x.withColumnRenamed("j", "i")
+    rows = sums.join(gram, ["user_id", "i"]).join(own, ["user_id", "i"])
+    residual = F.col("gram") + F.col("a") + 0.1 * F.col("n") * F.col("xj").cast("double") - F.col("b")
+    return rows.agg(F.countDistinct("user_id").alias("users"), F.round(F.max(F.abs(residual)) / F.max(F.abs("b")), 3).alias("residual"))
+
+
+_FACTOR_OPTIMUM = """SELECT count(DISTINCT u) AS users, 0.0::DOUBLE AS residual FROM (
+  SELECT o_custkey AS u FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey HAVING sum(l_quantity) >= 25) a"""
+
+
 def weight_head_report(spark, sf):
     p, design = _design(spark, sf)
     names = [f"w_{e}" for e in EXPERTS]
@@ -476,7 +595,8 @@ QUERIES = {
     "logit_targets": logit_targets, "mined_pairs": mined_pairs, "pair_item_features": pair_item_features,
     "nested_pair_batches": nested_pair_batches, "calibrated_margins": calibrated_margins, "linear_ranker": linear_ranker,
     "antisymmetric_ranker": antisymmetric_ranker, "antisymmetric_ranker_optimum": antisymmetric_ranker_optimum, "ranker_thresholds": ranker_thresholds,
-    "nonlinear_ranker": nonlinear_ranker, "weight_heads": weight_heads, "weight_head_report": weight_head_report,
+    "sparse_design": sparse_design, "fold_metric_summary": fold_metric_summary, "out_of_fold_weights": out_of_fold_weights, "saved_heads": saved_heads,
+    "factor_optimum": factor_optimum, "nonlinear_ranker": nonlinear_ranker, "weight_heads": weight_heads, "weight_head_report": weight_head_report,
     "user_item_factors": user_item_factors, "gated_mixture_scores": gated_mixture_scores,
     "mined_pair_rules": mined_pair_rules, "linear_ranker_optimum": linear_ranker_optimum, "logit_target_optimum": logit_target_optimum,
 }
@@ -487,6 +607,7 @@ ORACLES = {
     "mined_pair_rules": with_ctes("ranking") + """, n AS (SELECT prompt_id, count(*) AS n FROM ranking GROUP BY 1) SELECT 'pairs ' || d AS rule, count(*) * 3 AS n FROM n, (SELECT unnest(['easy', 'medium', 'hard']) AS d) x WHERE n >= 7 GROUP BY d
       UNION ALL SELECT unnest(['uses', 'twice', 'sign']) AS rule, 0 AS n""",
     "linear_ranker_optimum": "SELECT unnest([" + ", ".join(f"'{c}'" for c in DZ_COLUMNS) + "]) AS feature, 0.0::DOUBLE AS gradient",
+    "sparse_design": _SPARSE, "fold_metric_summary": _FOLD_SUMMARY, "out_of_fold_weights": _OUT_OF_FOLD, "saved_heads": _SAVED, "factor_optimum": _FACTOR_OPTIMUM,
     "antisymmetric_ranker_optimum": "SELECT unnest([" + ", ".join(f"'{n}'" for n in ["exchanged", *[f"{k}{h}" for h in range(4) for k in "vc"], *[f"w{h}_{c}" for h in range(4) for c in DZ_COLUMNS]])
       + "]) AS parameter, 0.0::DOUBLE AS gradient",
     "ranker_thresholds": "SELECT unnest(['linear', 'sigmoid', 'antisymmetric']) AS model, true AS accurate, true AS ranked",
