@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tetrarank.functions import numeric as nx
@@ -31,7 +31,8 @@ def candidate_pairs(scored: DataFrame, *, by: str = "prompt_id", item_id: str =
     easy: top against low; medium: middle pool with a gap in (0.2, 0.5); hard: top pool with a gap under
     0.2. Pools of short lists overlap. Partners outside the gap follow those inside it, and items outside the pool
     follow those inside it, so a pool that is too small is made up from the whole list. Pools are never paired
-    exhaustively: only a fixed number of anchors meets a list.
+    exhaustively: a fixed number of anchors meets the score bins that its gap can reach, and only those of them that find too
+    few partners there meet the whole list.
     """
     checkpoint_dir(scored.sparkSession)
     n_anchors, n_partners = needed(per_level, max_uses)
@@ -49,14 +50,33 @@ def candidate_pairs(scored: DataFrame, *, by: str = "prompt_id", item_id: str =
     anchors = top_k(anchors, [by, "level"], [F.desc("own"), F.col("h"), F.col("anchor")], n_anchors, rank="anchor_no").drop("h", "own")
     partners = roled.select(by, F.col("role.level").alias("level"), F.col("item").alias("partner"), F.col("s").alias("partner_score"),
                             F.col("role.partners").alias("own"))
+    anchors, partners = anchors.checkpoint(), partners.withColumn("bin", _bin(F.col("partner_score")))
     gap = F.abs(F.col("anchor_score") - F.col("partner_score"))
-    in_band = F.col("own") & (F.when(F.col("level") == "medium", (gap > 0.2) & (gap < 0.5))
-                              .when(F.col("level") == "hard", gap < 0.2).otherwise(F.lit(True)))
-    met = (partners.join(anchors, [by, "level"]).where(F.col("anchor") != F.col("partner"))
-           .withColumn("in_band", in_band)
-           .withColumn("h", nx.hash_text(F.col(by), F.col("anchor"), F.col("partner"), seed=seed)))
-    return top_k(met, [by, "level", "anchor_no"], [F.desc("in_band"), F.desc("own"), F.col("h"), F.col("partner")], n_partners,
-                 rank="partner_no").drop("h", "own")
+    in_band = (F.when(F.col("level") == "medium", (gap > 0.2) & (gap < 0.5)).when(F.col("level") == "hard", gap < 0.2).otherwise(F.lit(True)))
+
+    def best(met: DataFrame) -> DataFrame:
+        hashed_pair = nx.hash_text(F.col(by), F.col("anchor"), F.col("partner"), seed=seed)
+        return top_k(met.withColumn("h", hashed_pair), [by, "level", "anchor_no"], [F.desc("in_band"), F.desc("own"), F.col("h"), F.col("partner")], n_partners,
+                     rank="partner_no").drop("h", "own")
+
+    names = [by, "level", "partner", "partner_score", "own", "anchor", "anchor_score", "anchor_no", "in_band"]
+    reach = F.when(F.col("level") == "hard", F.sequence(F.lit(-2), F.lit(2))).when(
+        F.col("level") == "medium", F.concat(F.sequence(F.lit(-5), F.lit(-2)), F.sequence(F.lit(2), F.lit(5)))).otherwise(F.array(F.lit(0)))
+    aimed = anchors.withColumn("bin", F.explode(F.transform(reach, lambda d: d + F.when(F.col("level") == "easy", 0).otherwise(_bin(F.col("anchor_score"))))))
+    pool = partners.where("own").withColumn("bin", F.when(F.col("level") == "easy", 0).otherwise(F.col("bin")))
+    near = pool.join(aimed, [by, "level", "bin"]).where((F.col("anchor") != F.col("partner")) & in_band).withColumn("in_band", F.lit(True)).select(*names)
+    near = best(near).checkpoint()
+    found = near.groupBy(by, "level", "anchor_no").agg(F.count(F.lit(1)).alias("n"))
+    short = anchors.join(found, [by, "level", "anchor_no"], "left").where(F.coalesce("n", F.lit(0)) < n_partners).drop("n")
+    every = (partners.drop("bin").join(short, [by, "level"]).where(F.col("anchor") != F.col("partner"))
+             .withColumn("in_band", F.col("own") & in_band).select(*names))
+    enough = near.join(short.select(by, "level", "anchor_no"), [by, "level", "anchor_no"], "left_anti")
+    return enough.unionByName(best(every))
+
+
+def _bin(score: Column) -> Column:
+    """Score bins of a tenth: partners with a gap under 0.2 lie at most two away, those with a gap in (0.2, 0.5) two to five."""
+    return F.floor(score * 10.0).cast("int")
 
 
 def _choose(rows: pd.DataFrame, by: str, per_level: int, max_uses: int) -> pd.DataFrame:

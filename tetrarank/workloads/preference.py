@@ -294,6 +294,32 @@ def mined_pairs(spark, sf):
     return mining.mine_pairs(lists, score="combined")
 
 
+_GAP = "abs(a.s - p.s)"
+#: The greedy choice as a walk over the options of all prompts at once, an option a step.
+_MINED = with_ctes("ranking").replace("WITH ", "WITH RECURSIVE ", 1) + f""", ranked AS (SELECT prompt_id AS q, item_id AS item, gt_score AS s, row_number() OVER (PARTITION BY prompt_id ORDER BY gt_score DESC, item_id) AS rk,
+  count(*) OVER (PARTITION BY prompt_id) AS n FROM ranking),
+pools AS (SELECT *, rk <= greatest(50, n // 10) AS top, rk > n - greatest(50, n // 10) AS low, rk > greatest(50, n // 10) AND rk <= n - greatest(50, n // 10) AS mid FROM ranked),
+roles AS (SELECT q, item, s, 1 AS lv, 'easy' AS level, top AS ao, low AS po FROM pools UNION ALL SELECT q, item, s, 2, 'medium', mid, mid FROM pools UNION ALL SELECT q, item, s, 3, 'hard', top, top FROM pools),
+anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, level ORDER BY ao DESC, {hashed('q', 'item', 'level')}, item) AS an FROM roles) x WHERE an <= 9),
+met AS (SELECT a.q, a.lv, a.level, a.an, a.item AS a, p.item AS p, a.s AS sa, p.s AS sp, p.po,
+  p.po AND CASE a.level WHEN 'medium' THEN {_GAP} > 0.2::DOUBLE AND {_GAP} < 0.5::DOUBLE WHEN 'hard' THEN {_GAP} < 0.2::DOUBLE ELSE true END AS band
+  FROM anchors a JOIN roles p ON a.q = p.q AND a.level = p.level AND a.item <> p.item),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, level, an ORDER BY band DESC, po DESC, {hashed('q', 'a', 'p')}, p) AS pn FROM met) x WHERE pn <= 9),
+options AS (SELECT *, lv * 100 + an AS anchor_key, least(a, p) || '-' || greatest(a, p) AS pair, row_number() OVER (PARTITION BY q ORDER BY lv, an, pn) AS t FROM cut),
+walk AS (
+  SELECT q, 0::BIGINT AS t, 0 AS lv, 0 AS made, 0::BIGINT AS done, []::BIGINT[] AS used, []::VARCHAR[] AS taken, false AS ok, ''::VARCHAR AS level, 0::BIGINT AS a, 0::BIGINT AS p, 0.0::DOUBLE AS sa, 0.0::DOUBLE AS sp
+  FROM (SELECT DISTINCT q FROM options) x
+  UNION ALL
+  SELECT q, t, lv, made + ok::INT, CASE WHEN ok THEN anchor_key ELSE done END, CASE WHEN ok THEN list_concat(used, [a, p]) ELSE used END, CASE WHEN ok THEN list_append(taken, pair) ELSE taken END, ok, level, a, p, sa, sp
+  FROM (SELECT o.q, o.t, o.lv, CASE WHEN o.lv <> w.lv THEN 0 ELSE w.made END AS made, w.done, w.used, w.taken, o.level, o.a::BIGINT AS a, o.p::BIGINT AS p, o.sa, o.sp, o.anchor_key, o.pair,
+      (o.lv <> w.lv OR w.made < 3) AND w.done <> o.anchor_key AND len(list_filter(w.used, lambda u: u = o.a)) < 3 AND len(list_filter(w.used, lambda u: u = o.p)) < 3 AND NOT list_contains(w.taken, o.pair) AS ok
+    FROM walk w JOIN options o ON o.q = w.q AND o.t = w.t + 1) x)
+SELECT q AS prompt_id, q || '_' || level || '_' || made AS pair_id, level AS difficulty, a AS "movieA", p AS "movieB", sa AS score_a, sp AS score_b,
+  CASE WHEN sa - sp >= 0 THEN 1 ELSE -1 END AS m1_gt_m2, CASE WHEN sa - sp >= 0 THEN -1 ELSE 1 END AS m2_gt_m1,
+  round(least(CASE level WHEN 'easy' THEN 0.8::DOUBLE + 0.2::DOUBLE * step WHEN 'medium' THEN 0.5::DOUBLE + 0.3::DOUBLE * step ELSE 0.4::DOUBLE + 0.2::DOUBLE * step END, 1.0::DOUBLE), 3) AS confidence
+FROM (SELECT *, least(abs(sa - sp) / 0.5::DOUBLE, 1.0::DOUBLE) AS step FROM walk WHERE ok) x"""
+
+
 def mined_pair_rules(spark, sf):
     """Pairs per difficulty for lists of seven items or more, and broken rules over all lists: an item used over three
     times, a pair mined twice, a label against the scores."""
@@ -636,7 +662,7 @@ ORACLES = {
         FROM walk w JOIN ranked r ON r.rk = w.rk + 1)
       SELECT fold::BIGINT AS fold, sum(n)::BIGINT AS n, count(*) AS sources FROM walk WHERE rk > 0 GROUP BY 1""",
     "ranked_folds": with_ctes("pairs") + f"SELECT prompt_id, category, (row_number() OVER (PARTITION BY category ORDER BY {hashed('prompt_id')}, prompt_id) - 1) % 5 AS fold FROM (SELECT DISTINCT prompt_id, category FROM pairs) a",
-    "mixture_targets": _MIXT, "pair_item_features": _ITEMF,
+    "mined_pairs": _MINED, "mixture_targets": _MIXT, "pair_item_features": _ITEMF,
     "nested_pair_batches": with_ctes("pairs") + """SELECT batch, n_pairs, count(*) AS rows FROM (SELECT prompt_id, (rn - 1) // 4 AS batch, count(*) AS n_pairs FROM (SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id) AS rn FROM pairs) a GROUP BY 1, 2) b GROUP BY 1, 2""",
     "calibrated_margins": with_ctes("margin_pairs") + f"SELECT pair_id, {r('margin * (CASE difficulty WHEN $$easy$$ THEN 0.65::DOUBLE ELSE 1 END) + (CASE difficulty WHEN $$hard$$ THEN 0.1::DOUBLE ELSE 0 END)')} AS margin FROM margin_pairs",
 }
