@@ -9,7 +9,7 @@ from tetrarank.functions import distributions as dx
 from tetrarank.functions import numeric as nx
 from tetrarank.functions import text as tx
 from tetrarank.functions import vectors as vx
-from tetrarank.operators import bm25, cascade, cells, collaborative, dense, embed, emotion, items, postings, scoring
+from tetrarank.operators import bm25, cascade, cells, collaborative, dense, embed, emotion, items, postings, proxy_index, scoring
 from tetrarank.plans import hybrid
 from tetrarank.workloads import views as v
 from tetrarank.workloads.views import r, with_ctes
@@ -549,6 +549,11 @@ def proxy_top_items(spark, sf):
     return embed.proxy_top_items(proxy_prompts(spark, sf), proxy_items(spark, sf), K)
 
 
+def proxy_top_items_indexed(spark, sf):
+    """The same over the inverted index of genres and title words."""
+    return proxy_index.search(proxy_index.build_index(proxy_items(spark, sf)), proxy_prompts(spark, sf), K)
+
+
 def proxy_scores_of_offers(spark, sf):
     """All signals for every (supplier, part) that occurs in an order line."""
     offers = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("prompt_id"), F.col("l_partkey").alias("item_id")).distinct()
@@ -621,6 +626,7 @@ QUERIES = {
     "cascade_log": cascade_log,
     "fusion_weight_rules": fusion_weight_rules,
     "proxy_top_items": proxy_top_items,
+    "proxy_top_items_indexed": proxy_top_items_indexed,
     "proxy_scores_of_offers": proxy_scores_of_offers,
 }
 
@@ -683,5 +689,6 @@ ORACLES = {
     "cascade_log": _CASCADE_LOG,
     "fusion_weight_rules": _WRULES,
     "proxy_top_items": _PROXY_TOP,
+    "proxy_top_items_indexed": _PROXY_TOP,
     "proxy_scores_of_offers": _PROXY_OFFERS,
 }
