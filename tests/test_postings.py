@@ -25,10 +25,10 @@ def tables(spark):
     return docs, spark.createDataFrame(ASKED, "query_id bigint, text string")
 
 
-@pytest.mark.parametrize("negative", ["keep", "floor_avg"])
-@pytest.mark.parametrize("k", [1, 7, 500])
-def test_same_rows_as_the_flat_search(spark, tables, tmp_path, negative, k):
+@pytest.mark.parametrize(("negative", "k", "unsorted"), [("keep", 1, 0), ("keep", 7, 1 << 60), ("floor_avg", 7, 0), ("floor_avg", 500, 0)])
+def test_same_rows_as_the_flat_search(spark, tables, tmp_path, monkeypatch, negative, k, unsorted):
     docs, asked = tables
+    monkeypatch.setattr(postings, "UNSORTED_BYTES", unsorted)  # rows of the index by word, or as they come
     flat = bm25.search(bm25.build_index(docs, "id", tx.tokens(F.col("text"))), asked, k, negative=negative)
     want = sorted((r.query_id, r.doc_id, r.score) for r in flat.collect())
     postings.build_index(docs, "id", tx.or_empty(F.col("text")), f"file://{tmp_path}/index", block_docs=20)

@@ -26,7 +26,7 @@ from tetrarank.constants import BM25_B, BM25_K1
 from tetrarank.operators import bm25
 from tetrarank.operators.blocks import DECIMALS, _best
 from tetrarank.operators.runs import binary, byte_runs, byte_table, counted, firsts, ranges, slices
-from tetrarank.operators.scale import checkpoint_dir, shared_path, top_k
+from tetrarank.operators.scale import checkpoint_dir, estimated_bytes, shared_path, top_k
 
 BLOCK_DOCS, BLOCK_BYTES = 2048, 16 << 20
 #: Blocks of a query that are scored before there is a threshold.
@@ -37,7 +37,8 @@ PRUNE_FROM = 64
 QUERY_TERMS = 200_000
 #: Blocks and queries up to which their numbers are broadcast (some 20 bytes each).
 BROADCAST_ROWS = 1_000_000
-PRODUCTS = 4_000_000
+#: Documents that Spark estimates below this size make an index of few blocks, which is read whole: its rows are not put in order.
+UNSORTED_BYTES = 64 << 20
 
 ROWS = "term string, block bigint, size int, words bigint, tops binary, entries binary"
 ENTRY = np.dtype([("id", "<i8"), ("tf", "<i4"), ("dl", "<i4"), ("at", "<i4")])
@@ -119,6 +120,9 @@ def build_index(docs: DataFrame, doc_id: str, text: Column, path: str | None = N
     spark = docs.sparkSession
     path = path or shared_path(spark, "postings")
     found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.lower(text).cast("binary").alias("text")).mapInArrow(_rows(block_docs), ROWS)
+    if estimated_bytes(docs) < UNSORTED_BYTES:
+        found.write.parquet(path)
+        return PostingIndex.read(spark, path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("block"), F.lit(max(1, parts // 16)))  # the rows of a frequent word go to several files
     found.repartition(parts, "term", salt).sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(path)

@@ -131,12 +131,22 @@ def hash_rank(df: DataFrame, by: list[str], key: list[str], rank: str, seed: str
     """
     hashed = hash_text(*[F.col(c) for c in key], seed=seed)
     order = [F.col("__hash"), *[F.col(c) for c in key]]
-    digits = hash_digits(df.select(*key).count())
+    keys = df.select(*key)
+    digits = hash_digits(keys.count() if estimated_bytes(keys) > UNCOUNTED_BYTES else 0)
     out = running_totals(df.withColumn("__hash", hashed), by, order, hash_bucket(F.col("__hash"), digits), {rank: F.lit(1)},
                          coarse=hash_bucket(F.col("__hash")) if digits > 4 else None)
     return out.drop("__hash")
 
 
+#: Inputs that Spark estimates below this size have far fewer rows than 65,536 buckets can take, and are not counted first.
+UNCOUNTED_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of a result, from its plan and without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def hash_digits(rows: int, each: int = 4096) -> int:
     """Leading hex digits that deal so many rows to buckets of about `each` rows or fewer; at least four, at most eleven."""
     digits = 4
