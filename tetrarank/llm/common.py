@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tetrarank-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    local = tempfile.mkdtemp(prefix="tetrarank-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", "file://" + local)
+    return "file://" + local
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -1,14 +1,15 @@
-"""Long repeated strings, found with a logarithmic family of sparse suffix arrays.
-
-Suffixes begin at content-defined anchors (`anchors`): each window of `length` bytes has one, and equal windows have equal
-ones, so comparing the suffixes at anchors misses no repeat.
-
-1. `IndexFamily`: a batch of documents becomes a suffix array, its anchored suffixes sorted by their first bytes and
-   a hash of the next ones, equal beginnings counted together. It is merge-scanned (a sort-merge join) against each level
-   that exists, which gives the beginnings that also occur elsewhere. Then it is a level itself; two levels of the same
-   rank merge into one of the next rank, so n batches leave about log2(n) levels and each suffix is merged as often.
-2. Suffixes with a shared beginning are compared in full. An anchor stands for a run of window starts; where the whole
-   stretch of its windows occurs twice, all of them are repeated. Where one beginning has several stretches, one anchor
+"""Long repeated strings, found through a logarithmic family of tables of anchored grams.
+
+There is no suffix array here: in its place stands a hash index, since only repeats of `length` bytes and more are asked for, for which equal
+grams are enough, and suffix order would move and sort the bytes of all suffixes. Grams are taken at content-defined anchors
+(`anchors`): each window of `length` bytes has one, and equal windows have equal ones, so no repeat is missed.
+
+1. `IndexFamily`: a batch of documents becomes a table of its anchored grams (first eight bytes and a hash of 250), equal ones
+   counted together. A join on the hash with each level that exists gives the grams that also occur elsewhere. Then the table
+   is a level itself; two levels of the same rank merge into one of the next rank, so n batches leave about log2(n) levels and
+   each gram is merged as often. The levels serve the batches of one call.
+2. Windows at shared grams are compared in full. An anchor stands for a run of window starts; where the whole
+   stretch of its windows occurs twice, all of them are repeated. Where one gram has several stretches, one anchor
    of each compares its windows one by one, by their hashes.
 3. Repeated windows cover the bytes to be removed.
 
