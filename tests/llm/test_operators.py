@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tetrarank.llm import exact_dedup, fingerprints, language_id, minhash, mixing, packing, quality, suffix_dedup, toxicity, warc
+from tetrarank.llm import exact_dedup, fingerprints, language_id, minhash, mixing, packing, passages, quality, suffix_dedup, toxicity, warc
 from tetrarank.llm.anchors import Hashes, anchors
 from tetrarank.llm.components import components
 from tetrarank.llm.workloads import tokenizer_path
@@ -245,6 +245,26 @@ def test_repeated_spans(spark, docs, rows, nothing):
     assert out == sorted(map(str, {(None, len(text), 1), (7, 0, 0), (8, len(text), 1)}))
 
 
+def test_repeated_passages(spark, docs, rows, nothing):
+    names = ["doc_id", "n_passages", "n_passage_words"]
+    want = passages.reference_passages([r[:2] for r in rows])
+    assert got(passages.repeated_passages(docs), *names) == want and len(want) > 5
+    assert passages.repeated_passages(nothing).count() == 0
+    rng = random.Random(8)
+    short, once = " ".join(rng.choice("ab") for _ in range(51)), words(rng, 60)
+    texts = [f"{words(rng, 30)} {short} {words(rng, 40)}", f"{words(rng, 9)}\n{short.upper()} {words(rng, 70)}\t{short}", " ".join(short.split()[:50]), f"{once} {words(rng, 5)} {once}",
+             words(rng, 51), words(rng, 3000), f"{short} {words(rng, 20)}", None, ""]
+    odd = [(i or None, t) for i, t in enumerate(texts)] + [(5, words(rng, 2999))] + [(20, "repeated " * 300)] * 30 + [(21, "repeated " * 80)]
+    odd += [(100 + i, f"{words(rng, rng.randrange(20))} {once} {words(rng, rng.randrange(20))}") for i in range(40)]
+    want = passages.reference_passages(odd)
+    out = passages.repeated_passages(frame(spark, [(i, t, None, None, None) for i, t in odd])).collect()
+    assert {(r.doc_id, r.n_passages, r.n_passage_words) for r in out} == want and len(out) == len(want) == 46
+    assert [r.passages for r in out if r.doc_id == 1] == [[[9, 60], [130, 181]]]
+    full = suffix_dedup.repeated_spans(frame(spark, [(i, t, None, None, None) for i, t in odd])).collect()  # short passages are marked, not removed
+    assert len(full) == len(odd) and {(r.doc_id, r.n_passages, r.n_passage_words) for r in full if r.n_passages} == want
+    assert [(r.n_removed, r.n_passage_words) for r in full if r.doc_id == 1] == [(0, 102)]
+
+
 def test_index_family_merges_levels(spark):
     family = suffix_dedup.IndexFamily(spark)
     found = []

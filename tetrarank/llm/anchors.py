@@ -17,6 +17,10 @@ _rng = np.random.default_rng(77)
 BASE = (int(_rng.integers(1 << 62)) << 1) | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+NONE = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,10 +62,26 @@ class Hashes:
         m = self.n - size + 1
         return mix((self.sums[size:size + m] - self.sums[:m]) * POWERS.down[:m])
 
-    def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
+    def windows(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         return mix((self.sums[starts + size] - self.sums[starts]) * POWERS.down[starts])
 
 
+class WordHashes(Hashes):
+    """The same for the words of a text: A-Z lower-cased, parted by blanks, so that runs of equal words are equal strings."""
+
+    def __init__(self, data: bytes):
+        letters = FOLD[np.frombuffer(data, np.uint8)]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], ~BLANK[letters], [0]]).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        p = POWERS.upto(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(VALUES[letters] * p.up[:len(data)], out=sums[1:])
+        own = mix((sums[ends] - sums[starts]) * p.down[starts])
+        self.n = len(own)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(own * p.up[:self.n], out=self.sums[1:])
+
+
 def _sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours, by doubling."""
     done = 1
@@ -72,13 +92,17 @@ def _sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def anchors(data: bytes, length: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, length: int, hashes: Hashes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a text: position, hash of the string there, first and last window start that it stands for."""
-    if len(data) < length:
-        none = np.empty(0, np.int64)
-        return none, np.empty(0, np.uint64), none, none
-    gram = hashes.fixed(GRAM)
-    w = length - GRAM + 1
+    return anchors_of(hashes, length, GRAM) if len(data) >= length else NONE
+
+
+def anchors_of(hashes: Hashes, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same over any sequence, windows of `length` members and strings of `size`."""
+    if hashes.n < length:
+        return NONE
+    gram = hashes.fixed(size)
+    w = length - size + 1
     low = _sliding_minimum(gram, w)  # by window start
     at = np.flatnonzero(gram == _spread(low, w))
     first, last = _ranges(at, gram[at], len(low), w)

@@ -13,6 +13,8 @@ grams are enough, and suffix order would move and sort the bytes of all suffixes
    of each compares its windows one by one, by their hashes.
 3. Repeated windows cover the bytes to be removed.
 
+Beside them the passages of many words that repeat across documents are marked (`passages`), as those need not have `length` bytes.
+
 What is shared by many texts is counted by partial aggregation before it moves; no list of occurrences is made. Texts
 move once, and only those with a shared beginning are kept for the later steps.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tetrarank.llm import anchors as an
 from tetrarank.llm.common import drop_stored, release, small_batches, stored, text_bytes
+from tetrarank.llm.passages import repeated_passages, runs_of
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string()),
                    *[(name, pa.list_(pa.int64())) for name in ("head", "gram", "stretch", "at", "first", "last")]])
@@ -117,23 +120,12 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_removed", pa.
                     ("spans", pa.list_(pa.list_(pa.int64())))])
 
 
-def covered(firsts: list[int], lasts: list[int], length: int) -> list[list[int]]:
-    """Maximal runs [start, end) of the bytes that windows with the given ranges of starts cover."""
-    runs: list[list[int]] = []
-    for a, z in sorted(zip(firsts, lasts, strict=True)):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], z + length)
-        else:
-            runs.append([a, z + length])
-    return runs
-
-
 def _removed(batches, length: int):
     for batch in small_batches(batches, 200):
         rows = []
         for doc_id, t, data, a, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)),
                                          batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            runs = covered(a, z, length)
+            runs = runs_of(a, z, length)
             edges = [0, *[e for r in runs for e in r], len(data)]
             kept = b"".join(data[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2))
             rows.append((doc_id, t, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), runs))
@@ -141,17 +133,20 @@ def _removed(batches, length: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], schema=RESULT)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs [start, end) of bytes).
+def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, passage_words: int = 51) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs [start, end) of bytes),
+    n_passages, n_passage_words, passages (runs of words, see `passages.repeated_passages`).
 
     A byte is removed if a string of `length` bytes that covers it also begins anywhere else, in the same document or
     another. Texts are UTF-8 bytes, null counts as empty, matches never cross documents, texts under `length` bytes keep
     everything. Rows that repeat an id and a text repeat each other and so are removed; rows that share an id only are told
-    apart by their texts. Extra columns are left out. An empty table gives an empty result.
+    apart by their texts. Passages are marked only: `passage_words` words that occur in another document, too, which may
+    have fewer bytes than `length`. Extra columns are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    passages = repeated_passages(docs, passage_words).withColumnsRenamed({"doc_id": "p_doc", "t": "p_t"})
     found = stored(anchored(rows, length), "anchors")
     about = stored(found.select("doc_id", "t", "n_bytes", "sha256"), "texts-about")
     entries = found.select("doc_id", "t", F.explode(F.arrays_zip("head", "gram", "stretch", "first", "last")).alias("a")).select("doc_id", "t", "a.*")
@@ -193,9 +188,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4) -> Data
         lambda b: _removed(b, length), "doc_id bigint, t bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
     cut = cut.select(F.col("doc_id").alias("k_doc"), F.col("t").alias("k_t"), "n_removed", "n_spans", "kept_sha256", "spans")
     joined = about.join(cut, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("t") == F.col("k_t")), "left")
-    zero = F.lit(0).cast("long")
+    joined = joined.join(passages, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("t") == F.col("p_t")), "left")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<array<bigint>>")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-                         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"))
+                         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), F.coalesce("spans", none).alias("spans"),
+                         F.coalesce("n_passages", zero).alias("n_passages"), F.coalesce("n_passage_words", zero).alias("n_passage_words"), F.coalesce("passages", none).alias("passages"))
 
 
 def reference_removal(rows: list[tuple], length: int = 400) -> set[tuple]:

@@ -28,7 +28,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), 400).drop("spans")
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), 400).drop("spans", "passages")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
