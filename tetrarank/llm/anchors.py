@@ -17,9 +17,9 @@ _rng = np.random.default_rng(77)
 BASE = (int(_rng.integers(1 << 62)) << 1) | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
-BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+FOLDED = VALUES.copy()  # A-Z as a-z
+FOLDED[65:91] = VALUES[97:123]
+FILLED = ~np.isin(np.arange(256), [32, *range(9, 14)])
 NONE = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -70,12 +70,14 @@ class WordHashes(Hashes):
     """The same for the words of a text: A-Z lower-cased, parted by blanks, so that runs of equal words are equal strings."""
 
     def __init__(self, data: bytes):
-        letters = FOLD[np.frombuffer(data, np.uint8)]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], ~BLANK[letters], [0]]).astype(np.int8)))
+        letters = np.frombuffer(data, np.uint8)
+        filled = np.zeros(len(data) + 2, bool)
+        filled[1:-1] = FILLED[letters]
+        edges = np.flatnonzero(filled[1:] != filled[:-1])
         starts, ends = edges[::2], edges[1::2]
         p = POWERS.upto(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(VALUES[letters] * p.up[:len(data)], out=sums[1:])
+        np.cumsum(FOLDED[letters] * p.up[:len(data)], out=sums[1:])
         own = mix((sums[ends] - sums[starts]) * p.down[starts])
         self.n = len(own)
         self.sums = np.zeros(self.n + 1, np.uint64)

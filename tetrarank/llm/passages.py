@@ -1,7 +1,7 @@
 """Passages of many words that repeat across documents, whatever their length in bytes.
 
-A window of `length` words (A-Z lower-cased, parted by blanks) has one anchor, the run of half as many words in it with the
-smallest hash (`anchors`), and equal windows have equal anchors. Runs that occur in one document only are dropped by one
+A window of `length` words (A-Z lower-cased, parted by blanks) has one anchor, the run of a quarter as many words in it with
+the smallest hash (`anchors`), and equal windows have equal anchors. Runs that occur in one document only are dropped by one
 count; of the others, windows are compared in full, by a hash of all their words.
 
 1. A whole stretch of windows at one anchor that two documents have is repeated; nothing of it is compared again.
@@ -42,7 +42,7 @@ def _anchored(rows: DataFrame, length: int) -> DataFrame:
         columns: dict = {name: [] for name in LISTS}
         for data in text_bytes(batch.column(2)):
             hashes = an.WordHashes(data)
-            _, gram, first, last = an.anchors_of(hashes, length, length // 2)
+            _, gram, first, last = an.anchors_of(hashes, length, length // 4)
             size = last - first + length
             stretch = an.mix(hashes.windows(first, size) + size.astype(np.uint64))
             for name, values in zip(LISTS, (gram.view(np.int64), stretch.view(np.int64), first, last), strict=True):
@@ -72,7 +72,7 @@ def _windows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     per_text = wanted.groupBy("doc_id", "t").agg(F.collect_set(F.struct("gram", "first", "last", "low", "high", "look")).alias("places")).select(
         F.col("doc_id").alias("w_doc"), F.col("t").alias("w_t"), "places")
-    joined = texts.join(per_text, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("t") == F.col("w_t"))).dropDuplicates(["doc_id", "t"])
+    joined = texts.join(per_text, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("t") == F.col("w_t")))
     return joined.select("doc_id", "t", "text", "places").mapInArrow(run, ddl(WINDOWS))
 
 
@@ -100,8 +100,9 @@ def repeated_passages(docs: DataFrame, length: int = 51) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = stored(_anchored(rows, length).where(F.size("gram") > 0), "passage-anchors")
-    entries = found.select("doc_id", "t", F.explode(F.arrays_zip(*LISTS)).alias("a")).select("doc_id", "t", "a.*").withColumn("u", F.xxhash64("doc_id", "t"))
-    met = [F.min("u").alias("low"), F.max("u").alias("high")]
+    entries = found.select("doc_id", "t", F.explode(F.arrays_zip(*LISTS)).alias("a")).select("doc_id", "t", "a.*")
+    document = F.xxhash64("doc_id", "t")
+    met = [F.min(document).alias("low"), F.max(document).alias("high")]
 
     shared = stored(entries.groupBy("gram").agg(*met).where("low < high").select(F.col("gram").alias("s_gram")), "passage-grams")
     alike = stored(entries.join(shared, F.col("gram") == F.col("s_gram")).drop("s_gram"), "passage-shared")
@@ -110,7 +111,7 @@ def repeated_passages(docs: DataFrame, length: int = 51) -> DataFrame:
     counted = stored(alike.groupBy("gram", "stretch").agg(*met, F.min(F.struct(*PLACE)).alias("one")), "passage-stretches")
     kinds = counted.select(F.col("gram").alias("k_gram"), F.col("stretch").alias("k_stretch"), "low", "high")
     placed = alike.join(kinds, (F.col("gram") == F.col("k_gram")) & (F.col("stretch") == F.col("k_stretch"))).select(*PLACE, "gram", "low", "high")
-    placed = stored(placed.distinct(), "passage-places")
+    placed = stored(placed, "passage-places")
     several = counted.groupBy("gram").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("a < b").select(F.col("gram").alias("m_gram"))
     others = counted.where("low < high").join(several, F.col("gram") == F.col("m_gram")).select("one.*", "gram", "low", "high")
     wanted = stored(placed.where("low = high").withColumn("look", F.lit(True)).unionByName(others.withColumn("look", F.lit(False))), "passage-compared")
@@ -123,7 +124,7 @@ def repeated_passages(docs: DataFrame, length: int = 51) -> DataFrame:
     single = windows.where("look").join(both, (F.col("key") == F.col("b_key")) & (F.col("key2") == F.col("b_key2"))).select(
         "doc_id", "t", F.col("s").alias("first"), F.col("s").alias("last"))
     per_text = placed.where("low < high").select(*PLACE).unionByName(single).groupBy("doc_id", "t").agg(
-        F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+        F.collect_set(F.struct("first", "last")).alias("a")).select("doc_id", "t", F.col("a.first").alias("firsts"), F.col("a.last").alias("lasts"))
 
     def work(batch):
         runs = [runs_of(a, z, length) for a, z in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
