@@ -5,9 +5,10 @@ right into phrases, each the longest match from where the last one ended. The fe
 estimate of the cross entropy is phrases * log2(n) / length, n being the length of the labelled text, and the smallest
 estimate wins.
 
-The automata are turned into tables: one entry per state and symbol holds the next state, or, where no match goes on,
-the complement of the state that a new phrase begins with. So one lookup per character and language parses
-many texts at once, column by column. Long texts are parsed in segments of 2,000 characters, whose phrases are summed.
+The edges of all automata lie in one open-addressed table with 64-bit keys of state and symbol, so its size follows the
+labelled text and not the alphabet: an automaton of n characters has at most 3n edges, and the table at most eight places
+of 12 bytes for each. A lookup per character and language parses many texts at once, column by column; where no match
+goes on, a new phrase begins with the edge of the root. Long texts are parsed in segments of 2,000 characters, whose phrases are summed.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tetrarank.llm.common import drop_stored, stored
-from tetrarank.llm.toxicity import remainder
+from tetrarank.llm.toxicity import first_by_hash, remainder
 
 SEGMENT = 2000
 WINDOW = 75  # characters that a sampled text gives in one place, at least
 OTHER = 0  # the symbol of characters that no labelled text has
+HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Cleaner(dict):
@@ -42,8 +44,8 @@ def cleaned(text: str, cleaner: _Cleaner) -> str:
     return " " + " ".join(text.lower().translate(cleaner).split()) + " "
 
 
-def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transition table (states, size) of the suffix automaton of a sequence; see the module for its entries."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Edges (symbol to state) of each state of the suffix automaton of a sequence; state 0 is its root."""
     follow, link, length, last = [{}], [-1], [0], 0
     for c in symbols:
         now = len(follow)
@@ -68,12 +70,42 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = clone
         last = now
-    table = np.empty((len(follow), size), np.int32)
-    table[:] = ~np.array([follow[0].get(c, 0) for c in range(size)], np.int32)
-    for state, edges in enumerate(follow):
-        for c, target in edges.items():
-            table[state, c] = target
-    return table
+    return follow
+
+
+class Edges:
+    """Map from 64-bit keys to states (int32): open addressing with at most a quarter of the places taken."""
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray):
+        bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):  # of the keys at a free place the first one takes it, the others go on to the next
+            free = np.flatnonzero(self.keys[at] == -1)
+            taken, first = np.unique(at[free], return_index=True)
+            self.keys[taken], self.targets[taken] = keys[left[free[first]]], targets[left[free[first]]]
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * HASH) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The state of each key, or -1."""
+        at = self._place(keys)
+        seen, out = self.keys[at], self.targets[at]
+        left = np.flatnonzero(seen != keys)
+        out[left] = -1
+        left = left[seen[left] != -1]
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            seen = self.keys[at[left]]
+            own = seen == keys[left]
+            out[left[own]] = self.targets[at[left[own]]]
+            left = left[~own & (seen != -1)]
+        return out
 
 
 class Languages:
@@ -83,12 +115,23 @@ class Languages:
         self.names = sorted(samples)
         self.alphabet = {c: i + 1 for i, c in enumerate(sorted({c for t in samples.values() for c in t}))}
         self.size = len(self.alphabet) + 1
-        tables = [automaton([self.alphabet[c] for c in samples[n]], self.size) for n in self.names]
         self.bits = np.array([np.log2(max(2, len(samples[n]))) for n in self.names])
-        starts = np.cumsum([0, *[len(t) for t in tables]], dtype=np.int64)[:-1]
-        moved = [np.where(t >= 0, t + s, ~(~t + s)) for t, s in zip(tables, starts, strict=True)]
-        self.table = (np.concatenate(moved) if moved else np.empty((0, self.size))).astype(np.int32).ravel()
-        self.roots = starts.astype(np.int64)
+        self.roots = np.zeros(len(self.names), np.int64)
+        self.begin = np.zeros((len(self.names), self.size), np.int32)  # the state of a phrase that begins with a symbol
+        keys, targets, states = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for i, name in enumerate(self.names):
+            follow = automaton([self.alphabet[c] for c in samples[name]])
+            self.roots[i] = states
+            degree = [len(edges) for edges in follow]
+            own = np.repeat(np.arange(states, states + len(follow), dtype=np.int64), degree)
+            keys.append(own * self.size + np.fromiter((c for edges in follow for c in edges), np.int64, sum(degree)))
+            targets.append(np.fromiter((t + states for edges in follow for t in edges.values()), np.int64, sum(degree)))
+            self.begin[i] = states
+            self.begin[i, list(follow[0])] = [t + states for t in follow[0].values()]
+            states += len(follow)
+        if states >= 1 << 31:
+            raise ValueError("too much labelled text: automata of all languages together have 2^31 states or more")
+        self.edges = Edges(np.concatenate(keys), np.concatenate(targets).astype(np.int32))
         codes = np.array([ord(c) for c in self.alphabet], np.int64)
         self.codes, self.symbols = codes, np.array(list(self.alphabet.values()), np.int64)
 
@@ -115,12 +158,12 @@ class Languages:
                 grid[:sizes[lane], lane] = pieces[k]
             alive = np.searchsorted(-sizes, -np.arange(1, len(grid) + 1), side="right")  # lanes that have a character at each step
             counts = np.ones((len(self.names), len(lanes)), np.int32)  # the first phrase
-            state = np.repeat(self.roots.astype(np.int32)[:, None], len(lanes), axis=1)
+            state = np.repeat(self.roots[:, None], len(lanes), axis=1)
             for step, n in enumerate(alive.tolist()):
-                found = self.table[state[:, :n] * np.int32(self.size) + grid[step, :n]]
-                ended = found >> 31
-                counts[:, :n] -= ended
-                state[:, :n] = found ^ ended
+                found = self.edges.find((state[:, :n] * self.size + grid[step, :n]).ravel()).reshape(-1, n)
+                ended = found < 0
+                counts[:, :n] += ended
+                state[:, :n] = np.where(ended, self.begin[:, grid[step, :n]], found)
             np.add.at(out, np.array(owner)[lanes], counts.T)
         return out
 
@@ -177,7 +220,8 @@ def learn(docs: DataFrame, modulus: int = 3, out: int = 1, sample_docs: int = 40
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("lang").cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & (remainder("t_id", modulus) != out)).distinct()
+        F.col("lang").isNotNull() & (remainder("t_id", modulus) != out))
+    rows = first_by_hash(rows, sample_docs, "lang")  # so the window has a bounded number of ids per language
     order = Window.partitionBy("lang").orderBy(F.xxhash64("t_id"), "t_id")
     ids = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("t_id", "lang", "at").collect()
     wanted = spark.createDataFrame([(r.t_id, r.lang, r["at"]) for r in ids], "t_id bigint, t_lang string, at int")
@@ -201,7 +245,7 @@ def learn(docs: DataFrame, modulus: int = 3, out: int = 1, sample_docs: int = 40
 
 
 def _scorer(spark: SparkSession, languages: Languages):
-    shared = spark.sparkContext.broadcast(languages)  # at most sample_chars * 2 states per language
+    shared = spark.sparkContext.broadcast(languages)  # at most 3 * sample_chars edges per language, each with 4 to 8 places of 12 bytes
 
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in parts:

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -122,12 +124,33 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def first_by_hash(rows: DataFrame, most: int, *groups: str) -> DataFrame:
+    """The distinct (t_id, groups) of `rows` among which are, of each group, the `most` ids with the smallest hashes.
+
+    A bound on the hash, from an approximate count of the ids of each group, cuts the rows where they are read, so some
+    4 * most + 200 ids a group are moved, whatever the number of rows; a smaller group keeps all its ids.
+    """
+    wanted, n_ids = 4.0 * most + 200, F.approx_count_distinct("t_id").alias("n_ids")
+    if groups:
+        counted = rows.groupBy(*groups).agg(n_ids).select(*[F.col(g).alias(f"g_{g}") for g in groups], (F.lit(wanted) / F.greatest("n_ids", F.lit(1))).alias("share"))
+        rows = rows.join(F.broadcast(counted), reduce(and_, [F.col(g) == F.col(f"g_{g}") for g in groups]))  # one row per group
+        share = F.col("share")
+    else:
+        share = F.lit(wanted / max(1, rows.agg(n_ids).first()[0]))
+    return rows.where(F.xxhash64("t_id") / F.lit(2.0 ** 64) + 0.5 < share).select("t_id", *groups).distinct()
+
+
 def sampled(rows: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """Texts of at most `most` of the ids in `rows` (t_id), chosen by hash. Only ids, at most that many, reach the driver."""
-    ids = [r[0] for r in rows.select("t_id").distinct().orderBy(F.xxhash64("t_id"), "t_id").limit(most).collect()]
+    """doc_id, text: one text of each of at most `most` of the ids in `rows` (t_id), chosen by hash.
+
+    An id that is repeated gives the text with the smallest hash, so the result has at most `most` rows. Only ids, at most
+    that many, reach the driver.
+    """
+    ids = [r[0] for r in first_by_hash(rows, most).orderBy(F.xxhash64("t_id"), "t_id").limit(most).collect()]
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "t_id bigint")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(wanted), F.col("doc_id") == F.col("t_id"))
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 COUNTED = pa.schema([("feature", pa.int64()), ("toxic", pa.int32()), ("n", pa.int64())])
