@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tetrarank.llm.common import small_batches, texts
+from tetrarank.llm.common import small_batches, tasks_for, texts
 
 WIDE, SKETCH = 16, 256
+BLOCK_ROWS = 200_000  # rows of a block of neighbouring ids
 RUN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -146,13 +147,24 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
                     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _blocks(ids: DataFrame, count: int) -> tuple[np.ndarray, list]:
-    """Upper bounds of `count` blocks of ascending ids, and the smallest id of every block that has one."""
-    found = ids.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10_000)).first()[0] or []
-    bounds = np.unique(np.array([x for x in found if x is not None], np.int64))
-    place = F.pandas_udf(lambda c: pd.Series(np.searchsorted(bounds, c.to_numpy(), side="right")), "int")
-    starts = ids.groupBy(place("doc_id").alias("block")).agg(F.min("doc_id").alias("start")).collect()
-    return bounds, sorted((r.block, r.start) for r in starts)
+def _block(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Number of the block of each id; an id that is a bound more than once has as many blocks, by ranges of the text's hash."""
+    low, high = (np.searchsorted(bounds, ids, side=side) for side in ("left", "right"))
+    part = np.floor((hashes / 2.0 ** 64 + 0.5) * (high - low)).astype(np.int64)
+    return np.where(high > low, low + 1 + np.minimum(part, high - low - 1), high)
+
+
+def _blocks(rows: DataFrame, count: int) -> tuple[np.ndarray, bool, list[tuple]]:
+    """Bounds of `count` blocks of ascending ids, whether one id fills several of them, and (block, id, hash) of the first row of
+    every block that has one. Texts are read and hashed only where an id fills several; else the hash counts as 0."""
+    shares = [i / count for i in range(1, count)]
+    found = rows.agg(F.percentile_approx("order", shares, max(10_000, 4 * count))).first()[0] if shares else []
+    bounds = np.array([x for x in found or [] if x is not None], np.int64)
+    hot = len(np.unique(bounds)) < len(bounds)
+    block = F.pandas_udf(lambda c, h: pd.Series(_block(bounds, c.to_numpy(), h.to_numpy())), "long")
+    keys = rows.select("order", (F.xxhash64("text") if hot else F.lit(0).cast("long")).alias("h"))
+    starts = keys.groupBy(block("order", "h").alias("block")).agg(F.min(F.struct("order", "h")).alias("start")).collect()
+    return bounds, hot, sorted((r.block, *r.start) for r in starts)
 
 
 def edited_likeness(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -160,29 +172,31 @@ def edited_likeness(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document in ascending doc_id; after the last comes the first. A single document follows itself. Rows with equal ids
-    follow each other in the order of their texts; null ids come first, null text counts as empty. An empty table gives an
-    empty result.
+    follow each other in the order of xxhash64 of their texts, then of the texts; null ids come first, null text counts as
+    empty. An empty table gives an empty result.
 
-    Documents are dealt to blocks of neighbouring ids and read in order there, so each text is shuffled and hashed once; a
-    copy of the first document of each block (blocks are few: one for some thousand rows) also goes to the block before it.
+    Documents are dealt to blocks of neighbouring ids, whose number follows the rows, and read in order there, so each text
+    is shuffled and hashed once; a copy of the first document of each block also goes to the block before it. An id that
+    many rows share, or null, is dealt to several blocks by ranges of the hash; only rows that repeat id and text stay
+    together. A block is sorted by Spark and read as a stream.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    null_id = -(1 << 63)
-    ids = rows.select(F.coalesce("doc_id", F.lit(null_id)).alias("doc_id"))
-    count = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds, starts = _blocks(ids, count)
-    before = {start: starts[i - 1][0] for i, (_, start) in enumerate(starts)}  # the block before the one that begins here
-
-    @F.pandas_udf("array<int>")
-    def places(column: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, column.to_numpy(), side="right").tolist()
-        return pd.Series([[b] if i not in before else [b, -1 - before[i]] for i, b in zip(column.tolist(), own, strict=True)])
-
-    dealt = rows.withColumn("order", F.coalesce("doc_id", F.lit(null_id))).withColumn("place", F.explode(places("order"))).select(
-        "doc_id", "text", "order", (F.col("place") < 0).alias("guest"),
+    rows = rows.withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    count = blocks or tasks_for(spark, rows.count(), BLOCK_ROWS)
+    bounds, hot, starts = _blocks(rows, count)
+    before = {(o, h): starts[i - 1][0] for i, (_, o, h) in enumerate(starts)}  # the block before the one that begins here
+
+    @F.pandas_udf("array<long>")
+    def places(column: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = _block(bounds, column.to_numpy(), hashes.to_numpy()).tolist()
+        return pd.Series([[b] if key not in before else [b, -1 - before[key]] for key, b in zip(zip(column.tolist(), hashes.tolist(), strict=True), own, strict=True)])
+
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    dealt = hashed.withColumn("place", F.explode(places("order", F.col("h") if hot else F.lit(0).cast("long")))).select(
+        "doc_id", "text", "order", "h", (F.col("place") < 0).alias("guest"),
         F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("block"))
-    ordered = dealt.repartition(count, "block").sortWithinPartitions("block", "guest", "order", "text")
+    ordered = dealt.repartition(count, "block").sortWithinPartitions("block", "guest", "order", "h", "text")
     return ordered.select("block", "guest", "doc_id", "text").mapInArrow(_in_order, "doc_id bigint, n_chars bigint, edited_sha256 string, "
                                                                          "fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
