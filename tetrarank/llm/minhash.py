@@ -372,7 +372,7 @@ def _across(full: DataFrame, parts: DataFrame, width: int, percent: int) -> Data
         named, (F.col("node") == F.col("s_node")) & (F.col("family") == F.col("s_family"))).join(main, F.col("family") == F.col("f")).select(
         "node", "family", "blocks", "n_shingles", "s_block", "part", (F.col("part") != F.col("main")).alias("outside"))
     sides = stored(sides, "sides")
-    rows = split.join(F.broadcast(main), F.col("family") == F.col("f"), "left_semi").select("node", "k", "text")  # split families are few
+    rows = split.join(main, F.col("family") == F.col("f"), "left_semi").select("node", "k", "text")
     visits = stored(_visits(rows, sides, width, percent), "visits")
     guests = sides.where("outside").join(visits, (F.col("family") == F.col("v_family")) & (F.col("node") == F.col("v_node")))
     cells = stored(guests.groupBy(F.col("v_family").alias("c_family"), F.col("v_block").alias("c_block")).agg(
