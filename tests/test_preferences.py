@@ -198,6 +198,20 @@ def test_mined_pairs_keep_the_rules(spark):
     assert ((got.score_a >= got.score_b) == (got.m1_gt_m2 == 1)).all()
 
 
+def test_short_and_long_lists_are_mined_alike(spark, monkeypatch):
+    """Lists that fit a task meet no table of pairs, and the tables give the same pairs; nulls pair with nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(p, i, float(round(x, 2))) for p, n in ((1, 130), (2, 40), (3, 6), (4, 1)) for i, x in enumerate(rng.uniform(0, 1, n))]
+    rows += [(2, None, 0.5), (2, 77, None), (3, 50, None), (None, 1, 0.1), (None, 2, 0.9), (5, 1, None), (5, 2, None), (5, 3, None), (6, 1, float("nan")), (6, 2, 0.5), (6, 3, 0.6)]
+    scored = spark.createDataFrame(rows, "prompt_id long, item_id long, score double")
+    monkeypatch.setattr(mining, "LIST_ROWS", 0)
+    want = sorted(map(str, mining.mine_pairs(scored).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(mining, "candidate_pairs", None)
+    got = sorted(map(str, mining.mine_pairs(scored).collect()))
+    assert got == want and len(got) > 20
+
+
 def test_nested_batches(pairs):
     _, df = pairs
     nested = preferences.nested_pairs(df.select("prompt_id", "pair_id", "y"), batch=3)

@@ -91,3 +91,17 @@ def test_quasi_newton_steps_and_the_gradient_of_the_ranker(spark):
         step = np.zeros(len(theta))
         step[i] = 1e-6
         assert sums[2 + i] == pytest.approx((loss(theta + step) - loss(theta - step)) / 2e-6, abs=1e-4)
+
+
+def test_short_groups_are_ranked_without_buckets(spark, monkeypatch):
+    """Only groups of more than GROUP_ROWS rows go through buckets; all are ranked alike, null keys and values too."""
+    rows = [(g, i, None if i % 7 == 0 else float(i % 5)) for g, n in ((1, 40), (2, 9), (None, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, i long, x double")
+    want = sorted(map(str, scale.ranked_totals(df, ["g"], "x", ["i"], {"rank": F.lit(1)}).select("g", "i", "rank").collect()))
+    seen = []
+    buckets = scale.ranked_totals
+    monkeypatch.setattr(scale, "ranked_totals", lambda rows, *a, **k: seen.append(rows) or buckets(rows, *a, **k))
+    assert sorted(map(str, scale.value_rank(df, ["g"], "x", ["i"], "rank").select("g", "i", "rank").collect())) == want and not seen
+    monkeypatch.setattr(scale, "GROUP_ROWS", 10)
+    assert sorted(map(str, scale.value_rank(df, ["g"], "x", ["i"], "rank").select("g", "i", "rank").collect())) == want
+    assert {r["g"] for r in seen[0].collect()} == {1, None}

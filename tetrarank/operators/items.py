@@ -208,7 +208,11 @@ def best_k_lists(rows: DataFrame, k: int, by: str = "prompt_id", score: str = "s
     return ranked.withColumn("rank", F.col("rank") - 1)
 
 
-def score_pools(scored: DataFrame, by: str, score: str, item_id: str, floor: int = 50, share: int = 10,
+#: Items of a pool: a share of the list, and no fewer than the floor.
+POOL_FLOOR, POOL_SHARE = 50, 10
+
+
+def score_pools(scored: DataFrame, by: str, score: str, item_id: str, floor: int = POOL_FLOOR, share: int = POOL_SHARE,
                 resolution: float = 256.0) -> DataFrame:
     """Adds rank, n and is_top, is_low, is_mid: the best and the worst max(floor, n / share) items of each
     prompt and those between. In a short list an item can be in the top and in the low pool."""

@@ -44,6 +44,31 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written once as Parquet under the shared checkpoint folder, for several passes over them."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a group that may meet in one task; the rows of larger groups are dealt out.
+GROUP_ROWS = 100_000
+
+
+def by_size(df: DataFrame, by: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most `most` rows, rows of the larger groups or None), after one count per group.
+
+    There are fewer large groups than rows / most, so their keys are broadcast.
+    """
+    checkpoint_dir(df.sparkSession)
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (GROUP_ROWS if most is None else most))
+    large = counted.select(*[F.col(c).alias(f"__l_{c}") for c in by]).checkpoint()
+    if large.isEmpty():
+        return df, None
+    same = _same("__l_", by)
+    return df.join(F.broadcast(large), same, "left_anti"), df.join(F.broadcast(large), same, "left_semi")
+
+
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark limits each group to k rows before the shuffle as well as after."""
     name = rank or "__rank"
@@ -172,8 +197,17 @@ def range_rank(df: DataFrame, by: list[str], order: list[str], rank: str) -> Dat
 
 def value_rank(df: DataFrame, by: list[str], value: str, ties: list[str], rank: str,
                resolution: float = 256.0) -> DataFrame:
-    """1-based position by descending value, ties by the given columns ascending."""
-    return ranked_totals(df, by, value, ties, {rank: F.lit(1)}, resolution=resolution)
+    """1-based position by descending value, ties by the given columns ascending.
+
+    Groups of at most GROUP_ROWS rows are sorted as they are; only larger ones are ranked in buckets.
+    """
+    if not by:
+        return ranked_totals(df, by, value, ties, {rank: F.lit(1)}, resolution=resolution)
+    short, large = by_size(stored(df, "ranked"), by)
+    order = [F.desc("__value"), *[F.col(c) for c in ties]]
+    out = short.withColumn("__value", F.col(value).cast("double")).withColumn(
+        rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")).drop("__value")
+    return out if large is None else out.unionByName(ranked_totals(large, by, value, ties, {rank: F.lit(1)}, resolution=resolution))
 
 
 def _same(left: str, by: list[str]) -> Column:
