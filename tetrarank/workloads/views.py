@@ -106,15 +106,18 @@ def peaked(spark_column: F.Column, seed: str) -> list:
     return [F.pow(nx.hash_uniform(spark_column, F.lit(e), seed=seed), F.lit(6.0)) for e in EXPERTS]
 
 
-def _normalized(raw: list, prefix: str) -> list:
+def _with_normalized(rows: DataFrame, raw: list, prefix: str) -> DataFrame:
+    """Adds the four numbers divided by their sum. They are generated, so each is made once per row and not at every use."""
+    made = rows.select("*", F.explode(F.array(F.struct(*[x.alias(e) for x, e in zip(raw, EXPERTS)]))).alias("__raw"))
+    raw = [F.col("__raw")[e] for e in EXPERTS]
     total = raw[0] + raw[1] + raw[2] + raw[3]
-    return [(x / total).alias(f"{prefix}{e}") for x, e in zip(raw, EXPERTS)]
+    return made.select(*rows.columns, *[(x / total).alias(f"{prefix}{e}") for x, e in zip(raw, EXPERTS)])
 
 
 def weighted_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs with per-pair expert weights w_* and the margin these weights give."""
     rows = pairs(spark, sf)
-    rows = rows.select("*", *_normalized(peaked(F.col("pair_id"), "w"), "w_"))
+    rows = _with_normalized(rows, peaked(F.col("pair_id"), "w"), "w_")
     return rows.withColumn("margin", nx.weighted_margin(
         [F.col(f"w_{e}") for e in EXPERTS], [F.col(f"dz_{e}") for e in EXPERTS]))
 
@@ -155,7 +158,7 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"""
 def ranking_with_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Lists with signals named z_* and per-prompt mixtures mix_*."""
     rows = ranking(spark, sf).withColumnsRenamed({f"score_{e}": f"z_{e}" for e in EXPERTS})
-    return rows.select("*", *_normalized(peaked(F.col("prompt_id"), "mix"), "mix_"))
+    return _with_normalized(rows, peaked(F.col("prompt_id"), "mix"), "mix_")
 
 
 _RAW2, _NORMED2 = _sql_weights("prompt_id", "mix", "mix_")
@@ -167,8 +170,7 @@ SELECT * EXCLUDE (raw_alpha, raw_beta, raw_gamma, raw_delta), {_NORMED2} FROM (
 
 def prompt_weights(spark: SparkSession, sf: str) -> DataFrame:
     """w_* for every customer."""
-    return table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("prompt_id"), *_normalized(peaked(F.col("c_custkey"), "mix"), "w_"))
+    return _with_normalized(table(spark, sf, "customer").select(F.col("c_custkey").alias("prompt_id")), peaked(F.col("prompt_id"), "mix"), "w_")
 
 
 _RAW3, _NORMED3 = _sql_weights("c_custkey", "mix", "w_")
