@@ -532,7 +532,7 @@ def proxy_items(spark, sf):
 def proxy_prompts(spark, sf):
     """One prompt per supplier, worded after the part of the same key."""
     p = v.table(spark, sf, "part")
-    s = v.table(spark, sf, "supplier").join(p, F.col("s_suppkey") == F.col("p_partkey"))
+    s = v.table(spark, sf, "supplier").hint("merge").join(p, F.col("s_suppkey") == F.col("p_partkey"))
     emo = F.array(*[nx.hash_uniform(F.col("s_suppkey"), F.lit(i), seed="prompt") for i in range(8)])
     none = F.array().cast("array<string>")
     return s.select(
@@ -557,7 +557,8 @@ def proxy_top_items_indexed(spark, sf):
 def proxy_scores_of_offers(spark, sf):
     """All signals for every (supplier, part) that occurs in an order line."""
     offers = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("prompt_id"), F.col("l_partkey").alias("item_id")).distinct()
-    rows = offers.join(proxy_prompts(spark, sf), "prompt_id").join(proxy_items(spark, sf), "item_id")
+    # Compressed files make both look small enough to broadcast, which they are not.
+    rows = offers.join(proxy_prompts(spark, sf).hint("merge"), "prompt_id").join(proxy_items(spark, sf).hint("merge"), "item_id")
     out = embed.proxy_scores(rows).select("prompt_id", "item_id", *embed.SIGNALS, "combined")
     return rounded(out, *embed.SIGNALS, "combined")
 
