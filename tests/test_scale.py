@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -129,3 +131,46 @@ def test_running_totals_of_tied_values(spark):
     down = {r["i"]: r["t"] for r in scale.ranked_totals(rows, ["g"], "v", ["i"], {"t": F.col("x")}).collect()}
     up = {r["i"]: r["t"] for r in scale.ranked_totals(rows, ["g"], "v", ["i"], {"t": F.col("x")}, reverse=True).collect()}
     assert down == {1: 10, 2: 11, 3: 16, 4: 23, 5: 3} and up == {1: 23, 2: 13, 3: 12, 4: 7, 5: 3}
+
+
+def test_design_of_short_and_long_prompts(spark, monkeypatch):
+    """Prompts of few pairs are one aggregate without running counts; larger ones give the same numbers."""
+    from tetrarank.operators import evaluation
+    rng = np.random.default_rng(5)
+    rows = [(p, f"{p}_{i}", None if i % 4 == 3 else "ab"[i % 2], ["easy", "hard", "x"][i % 3], int(i % 2), *[None if (i + p) % 6 == 0 else float(round(z, 3)) for z in rng.normal(size=4)])
+            for p, n in ((1, 30), (2, 7), (3, 1)) for i in range(n)]
+    rows += [(None, "n", "a", "easy", 1, 0.1, 0.2, 0.3, 0.4), (4, "none", "a", "easy", 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "prompt_id long, pair_id string, category string, difficulty string, y int, " + ", ".join(f"dz_{e} double" for e in ("alpha", "beta", "gamma", "delta")))
+
+    def design():
+        out = evaluation.prompt_design(df, ["category"], [], ["easy", "hard", "unknown"])
+        return {r["prompt_id"]: r.asDict() for r in out.collect()}
+
+    monkeypatch.setattr(scale, "GROUP_ROWS", 5)
+    want = design()
+    monkeypatch.undo()
+    monkeypatch.setattr(evaluation, "exact_quantiles", None)
+    got = design()
+    assert set(got) == set(want) == {1, 2, 3}
+    for p, row in want.items():
+        assert all(got[p][c] == (pytest.approx(x) if isinstance(x, float) else x) for c, x in row.items())
+
+
+def test_balanced_positions_rank_only_the_last_bucket(spark, monkeypatch):
+    """The first rows in md5 order are flipped, repeated keys too, and no rank over all rows is made."""
+    from tetrarank.operators import splits
+    rows = [(g, i // r, (i * 7) % 10 < k, i, 1000 + i, "easy" if i % 3 else "hard") for g, k, r in (("a", 8, 1), ("b", 2, 3), (None, 9, 1), ("c", 10, 60)) for i in range(60)]
+    df = spark.createDataFrame([(g, k, int(y), a, b, d, float(a), 0.0, 0.0, 0.0) for g, k, y, a, b, d in rows],
+                               "g string, k long, y int, movieA long, movieB long, difficulty string, dz_alpha double, dz_beta double, dz_gamma double, dz_delta double")
+    monkeypatch.setattr(splits, "hash_rank", None)
+    for easy in (False, True):
+        out = splits.balance_positions(df, ["g"], ["k"], 0.5, easy).toPandas()
+        assert out.columns.tolist() == df.columns and len(out) == len(rows)
+        frame = df.toPandas()
+        frame["h"] = [hashlib.md5(f"42|{k}".encode()).hexdigest() for k in frame.k]
+        for g, own in frame.groupby("g", dropna=False):
+            ok = own[own.difficulty == "easy"] if easy else own
+            surplus = int(ok.y.sum() - round(0.5 * len(ok)))
+            first = ok[ok.y == (1 if surplus > 0 else 0)].sort_values("h").h.tolist()[:abs(surplus)]
+            mine = out[out.movieA.between(1000, 1060) & (out.g.isna() if g != g or g is None else out.g == g)]
+            assert sorted(hashlib.md5(f"42|{k}".encode()).hexdigest() for k in mine.k) == first

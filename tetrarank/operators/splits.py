@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tetrarank.constants import DZ_COLUMNS
 from tetrarank.functions import numeric as nx
 from tetrarank.functions.text import normalized_category
-from tetrarank.operators.scale import exact_quantiles, hash_rank, range_rank, value_rank, with_group_stats
+from tetrarank.operators.scale import (
+    UNCOUNTED_BYTES, _same, estimated_bytes, exact_quantiles, hash_digits, hash_rank, range_rank, stored, value_rank, with_group_stats)
 
 
 def assign_groups(groups: DataFrame, key: list[str], strata: list[str], train: float = 0.70, val: float = 0.15,
@@ -61,17 +63,31 @@ def flipped(df: DataFrame, flip, *, a: str = "movieA", b: str = "movieB", label:
 
 def balance_positions(df: DataFrame, by: list[str], key: list[str], target: float = 0.5, only_easy: bool = False,
                       seed: str = "42") -> DataFrame:
-    """Flip the fewest rows per group that bring the share of y = 1 to the target."""
+    """Flip the fewest rows per group that bring the share of y = 1 to the target, the first in md5 order.
+
+    Counts per hash bucket tell in which bucket the last flipped row of a group lies; only the rows of that bucket are put in order.
+    """
     eligible = F.col("difficulty") == "easy" if only_easy else F.lit(True)
-    counted = with_group_stats(df.withColumn("__ok", eligible), by, [
-        F.sum(F.col("__ok").cast("int")).alias("__size"),
-        F.sum((F.col("__ok") & (F.col("y") == 1)).cast("int")).alias("__pos")])
+    sizes = df.withColumn("__ok", eligible).groupBy(*by).agg(
+        F.sum(F.col("__ok").cast("int")).alias("__size"), F.sum((F.col("__ok") & (F.col("y") == 1)).cast("int")).alias("__pos"))
     surplus = (F.col("__pos") - F.bround(F.lit(target) * F.col("__size"), 0)).cast("long")
-    ranked = hash_rank(counted.withColumn("__surplus", surplus), [*by, "__ok", "y"], key, "__rank", seed)
-    flip = F.col("__ok") & (((F.col("y") == 1) & (F.col("__rank") <= F.col("__surplus")))
-                            | ((F.col("y") == 0) & (F.col("__rank") <= -F.col("__surplus"))))
-    marked = ranked.withColumn("__flip", F.coalesce(flip, F.lit(False)))
-    return flipped(marked, F.col("__flip")).drop("__ok", "__size", "__pos", "__surplus", "__rank", "__flip")
+    # Stored, these tables have a size that Spark knows: the rows are not shuffled by a handful of groups to meet them.
+    sizes = stored(sizes.select(*[F.col(c).alias(f"__g_{c}") for c in by], surplus.alias("__surplus")), "groups")
+    side = (eligible & (((F.col("y") == 1) & (F.col("__surplus") > 0)) | ((F.col("y") == 0) & (F.col("__surplus") < 0))))
+    keys = df.select(*key)
+    digits = hash_digits(keys.count() if estimated_bytes(keys) > UNCOUNTED_BYTES else 0)
+    rows = df.join(sizes, _same("__g_", by)).drop(*[f"__g_{c}" for c in by]).withColumn("__side", F.coalesce(side, F.lit(False)))
+    rows = rows.withColumn("__hash", nx.hash_text(*[F.col(c) for c in key], seed=seed)).withColumn("__bucket", nx.hash_bucket(F.col("__hash"), digits))
+    counts = rows.where("__side").groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"), F.max(F.abs("__surplus")).alias("__s"))
+    counts = counts.withColumn("__upto", F.sum("__n").over(W.partitionBy(*by).orderBy("__bucket")))
+    cut = counts.where((F.col("__upto") >= F.col("__s")) & (F.col("__upto") - F.col("__n") < F.col("__s"))).select(
+        *[F.col(c).alias(f"__c_{c}") for c in by], F.col("__bucket").alias("__cut"), (F.col("__s") - F.col("__upto") + F.col("__n")).alias("__left"))
+    rows = rows.join(stored(cut, "cuts"), _same("__c_", by), "left")
+    edge = F.col("__side") & F.coalesce(F.col("__bucket") == F.col("__cut"), F.lit(False))
+    clear = rows.where(~edge).withColumn("__flip", F.col("__side") & F.coalesce(F.col("__bucket") < F.col("__cut"), F.lit(True)))
+    order = W.partitionBy(*by).orderBy("__hash", *key)
+    inside = rows.where(edge).withColumn("__flip", F.row_number().over(order) <= F.col("__left"))
+    return flipped(clear.unionByName(inside), F.col("__flip")).select(*df.columns)
 
 
 def shuffle_positions(df: DataFrame, key: list[str], probability: float = 0.5, scope: str = "all",
