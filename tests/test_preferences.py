@@ -198,6 +198,22 @@ def test_mined_pairs_keep_the_rules(spark):
     assert ((got.score_a >= got.score_b) == (got.m1_gt_m2 == 1)).all()
 
 
+def test_short_and_long_prompts_are_fitted_alike(spark, monkeypatch):
+    """Prompts that fit a task are fitted without a pass per step; nulls count as in the sums of the passes."""
+    rng = np.random.default_rng(9)
+    rows = [(p, None if i == 5 else int(rng.uniform() < 0.6), *[None if i == 7 and j == (p or 0) % 4 else float(z) for j, z in enumerate(rng.normal(size=4))])
+            for p, n in (*[(q, 30) for q in range(40)], (50, 3000), (51, 1), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "prompt_id long, y int, dz_alpha double, dz_beta double, dz_gamma double, dz_delta double")
+    base = targets.stored_pairs(df)
+    want = {r["prompt_id"]: r for r in targets._logits_by_passes(base, 5.0, 1e-9, 60).collect()}
+    monkeypatch.setattr(targets, "_logits_by_passes", None)
+    got = {r["prompt_id"]: r for r in targets.prompt_logits(base, 5.0).collect()}
+    assert set(got) == set(want) and len(want) >= 40
+    for p, r in want.items():
+        assert (got[p]["n"], got[p]["pos"], got[p]["converged"]) == (r["n"], r["pos"], r["converged"])
+        assert [got[p][f"c{i}"] for i in range(4)] == pytest.approx([r[f"c{i}"] for i in range(4)], abs=1e-7)
+
+
 def test_short_and_long_lists_are_mined_alike(spark, monkeypatch):
     """Lists that fit a task meet no table of pairs, and the tables give the same pairs; nulls pair with nothing."""
     rng = np.random.default_rng(8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tetrarank.constants import DZ_COLUMNS, EXPERTS, MIX_COLUMNS
 from tetrarank.functions import numeric as nx
 from tetrarank.operators.evaluation import auc
-from tetrarank.operators.scale import checkpoint_dir
+from tetrarank.operators.scale import by_size, checkpoint_dir
 
 WEIGHTS = [f"w_{e}" for e in EXPERTS]
 
@@ -45,12 +46,11 @@ def stored_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("prompt_id", "y", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(DZ_COLUMNS)]).checkpoint()
 
 
-def prompt_logits(base: DataFrame, strength: float, tolerance: float = 1e-9, most_steps: int = 60) -> DataFrame:
-    """prompt_id, n, pos, c0..c3, converged: a balanced, intercept-free L2 logistic fit per prompt over `stored_pairs`.
+def _logits_by_passes(base: DataFrame, strength: float, tolerance: float, most_steps: int) -> DataFrame:
+    """The fits of prompts of any number of pairs.
 
     Every Newton step is one pass of partial sums over the pairs, so the pairs of one prompt never have to
-    meet in one task; only the small per-prompt systems are solved in Arrow batches. Steps go on until none moves a coefficient
-    by more than `tolerance`; prompts that still move after `most_steps` are marked. The coefficient table is checkpointed
+    meet in one task; only the small per-prompt systems are solved in Arrow batches. The coefficient table is checkpointed
     after each step, which keeps the plan flat.
     """
     n = len(EXPERTS)
@@ -86,6 +86,83 @@ def prompt_logits(base: DataFrame, strength: float, tolerance: float = 1e-9, mos
     return coefficients.withColumn("converged", F.col("moved") <= tolerance).drop("moved")
 
 
+def _fit_prompts(rows: pd.DataFrame, strength: float, tolerance: float, most_steps: int) -> pd.DataFrame:
+    """Newton steps for whole prompts whose rows lie together; prompts with one label only are left out."""
+    k = len(EXPERTS)
+    names = ["prompt_id", "n", "pos", *[f"c{i}" for i in range(k)], "converged"]
+    key = rows["text"].to_numpy()
+    number = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    y, judged = rows["y"].to_numpy(float), rows["judged"].to_numpy(bool)
+    count = np.bincount(number)
+    positive = np.bincount(number, np.where(judged, y, 0.0))
+    usable = (positive > 0) & (positive < count)
+    if not usable.any():
+        return pd.DataFrame([], columns=names)
+    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))[usable]
+    kept = usable[number]
+    number = (np.cumsum(usable) - 1)[number[kept]]
+    n, pos, m = count[usable].astype(float), positive[usable], int(usable.sum())
+    x, y, judged, whole = rows[[f"x{i}" for i in range(k)]].to_numpy(float)[kept], y[kept], judged[kept], rows["whole"].to_numpy(bool)[kept]
+    weight = strength * np.where(judged & (y == 1), n[number] / (2.0 * pos[number]), n[number] / (2.0 * (n - pos)[number]))
+    c, moved = np.zeros((m, k)), np.ones(m)
+    with np.errstate(over="ignore"):  # exp of a large margin is infinite, its share 0
+        for _ in range(most_steps):
+            p = 1.0 / (1.0 + np.exp(-(x * c[number]).sum(axis=1)))
+            pull = np.where(whole & judged, weight * (p - y), 0.0)
+            bend = np.where(whole, weight * p * (1.0 - p), 0.0)
+            gradient = np.column_stack([np.bincount(number, pull * x[:, i], m) for i in range(k)]) + c
+            hessian = np.zeros((m, k, k))
+            for i in range(k):
+                for j in range(i, k):
+                    hessian[:, i, j] = hessian[:, j, i] = np.bincount(number, bend * x[:, i] * x[:, j], m) + (i == j)
+            step = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+            c, moved = c - step, np.abs(step).max(axis=1)
+            if (moved <= tolerance).all():
+                break
+    out = pd.DataFrame(c, columns=[f"c{i}" for i in range(k)])
+    out.insert(0, "prompt_id", rows["prompt_id"].to_numpy()[first])
+    return out.assign(n=n.astype(np.int64), pos=pos.astype(np.int64), converged=moved <= tolerance)[names]
+
+
+def _logits_in_tasks(base: DataFrame, strength: float, tolerance: float, most_steps: int) -> DataFrame:
+    """The fits of prompts whose pairs fit a task: one shuffle by prompt, all steps there, many prompts at once."""
+    k = len(EXPERTS)
+    x = [F.col(f"x{i}") for i in range(k)]
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in x])
+    rows = base.where(F.col("prompt_id").isNotNull()).select(
+        "prompt_id", F.col("prompt_id").cast("string").alias("text"), F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"), F.col("y").isNotNull().alias("judged"),
+        whole.alias("whole"), *[F.coalesce(c, F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(x)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the prompt that may go on in the next batch
+        for batch in batches:
+            joined = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(joined):
+                continue
+            ended = (joined["text"] != joined["text"].iloc[-1]).to_numpy()
+            if ended.any():
+                yield _fit_prompts(joined[ended], strength, tolerance, most_steps)
+            held = joined[~ended]
+        if held is not None and len(held):
+            yield _fit_prompts(held, strength, tolerance, most_steps)
+
+    kind = base.schema["prompt_id"].dataType.simpleString()
+    fits = rows.repartition("prompt_id").sortWithinPartitions("prompt_id").mapInPandas(
+        run, f"prompt_id {kind}, n bigint, pos bigint, " + ", ".join(f"c{i} double" for i in range(k)) + ", converged boolean")
+    return fits.checkpoint()
+
+
+def prompt_logits(base: DataFrame, strength: float, tolerance: float = 1e-9, most_steps: int = 60) -> DataFrame:
+    """prompt_id, n, pos, c0..c3, converged: a balanced, intercept-free L2 logistic fit per prompt over `stored_pairs`.
+
+    Prompts of at most GROUP_ROWS pairs are fitted where their pairs lie, larger ones by passes of partial sums. Steps go on until
+    none moves a coefficient by more than `tolerance`; prompts that still move after `most_steps` are marked.
+    """
+    short, large = by_size(base, ["prompt_id"])
+    fits = _logits_in_tasks(short, strength, tolerance, most_steps)
+    return fits if large is None else fits.unionByName(_logits_by_passes(large, strength, tolerance, most_steps))
+
+
 def logit_targets(pairs: DataFrame, strength: float, min_pairs: int = 6, min_auc: float = 0.55, base: DataFrame | None = None) -> DataFrame:
     """Softplus-normalized coefficients with the fit's AUC, whether it converged, and whether it is good enough."""
     fits = prompt_logits(stored_pairs(pairs) if base is None else base, strength)
