@@ -26,8 +26,12 @@ def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+# The same characters, one by one.
+WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def squeeze(text: Column) -> Column:
@@ -39,6 +43,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(or_empty(text), F.lit(f"{NOT_WHITE}+"))
 
 
+def has_words(text: Column, least: int) -> Column:
+    """Whether there are at least so many words; no character after them is looked at."""
+    return or_empty(text).rlike(rf"\A{WHITE}*+(?:{NOT_WHITE}++{WHITE}*+){{{least}}}")
+
+
 def clean_text(text: Column) -> Column:
     """Remove citation lines, citation errors, [n] marks and {{templates}}."""
     out = or_empty(text)
@@ -52,7 +61,7 @@ def sentences(text: Column) -> Column:
     paragraphs = F.filter(F.transform(F.split(strip(or_empty(text)), r"\n{2,}"), strip), lambda p: p != "")
     split_up = F.transform(
         paragraphs,
-        lambda p: F.when(word_count(p) < SHORT_PARAGRAPH_WORDS, F.array(p))
+        lambda p: F.when(~has_words(p, SHORT_PARAGRAPH_WORDS), F.array(p))
         .otherwise(F.filter(F.transform(F.split(p, SENTENCE_BREAK), strip), lambda s: s != "")))
     return F.flatten(split_up)
 
