@@ -18,6 +18,8 @@ from tetrarank.operators.blocks import top_k_scores
 from tetrarank.operators.scale import checkpoint_dir, top_k
 
 PAIRS = 4_000_000
+#: Tokens of documents that are counted at once.
+TOKENS = 250_000
 
 
 @dataclass(frozen=True)
@@ -54,17 +56,23 @@ class BM25Index:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tokens) to (doc_id, dl, terms, tfs), counted within each row for a whole batch at once."""
-    for batch in batches:
-        tokens = batch.column(1)
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        codes = tokens.flatten().dictionary_encode()
-        width = max(1, len(codes.dictionary))
-        pairs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) * width).astype(np.int32)
-        terms = pa.ListArray.from_arrays(pa.array(offsets), codes.dictionary.take(pa.array(pairs % width)))
-        tfs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), terms, tfs], names=["doc_id", "dl", "terms", "tfs"])
+    """(doc_id, tokens) to (doc_id, dl, terms, tfs), counted within each row for a bounded number of tokens at once."""
+    for whole in batches:
+        lengths = pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        start = 0
+        while start < whole.num_rows:  # at most TOKENS tokens; a longer document alone
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOKENS, side="right")))
+            batch = whole.slice(start, stop - start)
+            tokens, sizes = batch.column(1), lengths[start:stop]
+            codes = tokens.flatten().dictionary_encode()
+            width = max(1, len(codes.dictionary))
+            pairs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) * width).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(offsets), codes.dictionary.take(pa.array(pairs % width)))
+            tfs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), terms, tfs], names=["doc_id", "dl", "terms", "tfs"])
+            start = stop
 
 
 def build_index(docs: DataFrame, doc_id: str, tokens: Column) -> BM25Index:
