@@ -2,7 +2,7 @@
 
 Documents are dealt to blocks. A row of the index is the part of one word's postings that lies in one block, with the pairs (tf, dl)
 that no other entry beats in both: the largest gain in the block follows from them for any k1, b and average length. Rows are
-partitioned and sorted by word, so a search reads only its own words.
+written block by block by the task that reads the documents: building an index shuffles nothing.
 
 A search first reads these bounds alone, no entry. Per query and block they add up to a score that no document of the block passes.
 The blocks with the best bounds are scored first; what the k-th best document has there is the threshold, and only
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from tetrarank.constants import BM25_B, BM25_K1
 from tetrarank.operators import bm25
 from tetrarank.operators.blocks import DECIMALS, _best
 from tetrarank.operators.runs import binary, byte_runs, byte_table, counted, firsts, ranges, slices
-from tetrarank.operators.scale import checkpoint_dir, estimated_bytes, shared_path, top_k
+from tetrarank.operators.scale import checkpoint_dir, shared_path, top_k
 
 BLOCK_DOCS, BLOCK_BYTES = 2048, 16 << 20
 #: Blocks of a query that are scored before there is a threshold.
@@ -37,11 +38,13 @@ PRUNE_FROM = 64
 QUERY_TERMS = 200_000
 #: Blocks and queries up to which their numbers are broadcast (some 20 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Documents that Spark estimates below this size make an index of few blocks, which is read whole: its rows are not put in order.
+#: No index is put in order any more, however large its documents; kept for those who set it.
 UNSORTED_BYTES = 64 << 20
 
 ROWS = "term string, block bigint, size int, words bigint, tops binary, entries binary"
-ENTRY = np.dtype([("id", "<i8"), ("tf", "<i4"), ("dl", "<i4"), ("at", "<i4")])
+#: A word in a document: the document's place in its block, and how often. What is known of the document lies once in the block's row without word.
+ENTRY = np.dtype([("at", "<u2"), ("tf", "<i4")])
+DOC = np.dtype([("id", "<i8"), ("dl", "<i4")])
 TOP = np.dtype([("tf", "<i4"), ("dl", "<i4")])
 #: Runs of a-z and 0-9 in text that is lower case already.
 TOKENS = byte_table((0x30, 0x39), (0x61, 0x7A))
@@ -87,10 +90,11 @@ def _rows(block_docs: int) -> Callable:
             words, row = byte_runs(batch.column(1), TOKENS)
             lengths = np.bincount(row, minlength=batch.num_rows).astype(np.int32)
             ids = batch.column(0).to_numpy()
-            none = pa.nulls(1, pa.binary())
+            known = np.empty(batch.num_rows, DOC)
+            known["id"], known["dl"] = ids, lengths
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.string()), pa.array([block]), pa.array([batch.num_rows], pa.int32()), pa.array([int(np.maximum(lengths, 1).sum())]),
-                 none, none], names=names)
+                 pa.nulls(1, pa.binary()), pa.array([known.tobytes()], pa.binary())], names=names)
             if len(words):
                 coded = words.dictionary_encode()
                 pairs, tf = counted(coded.indices.to_numpy().astype(np.int64) * batch.num_rows + row)
@@ -99,7 +103,7 @@ def _rows(block_docs: int) -> Callable:
                 sizes = np.diff(np.append(first, len(term)))
                 number = np.repeat(np.arange(len(first)), sizes)
                 entries = np.empty(len(pairs), ENTRY)
-                entries["id"], entries["tf"], entries["dl"], entries["at"] = ids[at], tf, lengths[at], at
+                entries["at"], entries["tf"] = at, tf
                 best = best_pairs(number, tf, lengths[at].astype(np.int64))
                 tops = np.empty(len(best), TOP)
                 tops["tf"], tops["dl"] = tf[best], lengths[at[best]]
@@ -117,15 +121,12 @@ def build_index(docs: DataFrame, doc_id: str, text: Column, path: str | None = N
 
     A document without words counts with length one, so it still weighs on the average length.
     """
+    if not 0 < block_docs <= 1 << 16:
+        raise ValueError(f"a block has 1 to {1 << 16} documents")
     spark = docs.sparkSession
     path = path or shared_path(spark, "postings")
     found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.lower(text).cast("binary").alias("text")).mapInArrow(_rows(block_docs), ROWS)
-    if estimated_bytes(docs) < UNSORTED_BYTES:
-        found.write.parquet(path)
-        return PostingIndex.read(spark, path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("block"), F.lit(max(1, parts // 16)))  # the rows of a frequent word go to several files
-    found.repartition(parts, "term", salt).sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(path)
+    found.write.option("compression", "zstd").parquet(path)
     return PostingIndex.read(spark, path)
 
 
@@ -168,22 +169,24 @@ def _bounds(plan: Plan) -> Callable:
 
 
 def _scores(plan: Plan) -> Callable:
-    """Rows (term, entries) of a block and the queries asked of it (q) to the k best documents of each."""
+    """Rows (term, entries) of a block, with the one of its documents, and the queries asked of it (q) to the k best documents of each."""
     schema = pa.schema([("q", pa.int32()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        worded = pc.is_valid(rows.column("term"))
+        docs, rows = rows.filter(pc.invert(worded)), rows.filter(worded)
         if not rows.num_rows or not asked.num_rows:
             return schema.empty_table()
+        docs = np.frombuffer(docs.column("entries")[0].as_py(), DOC)
+        ids, width = docs["id"].astype(np.int64), len(docs)
         lists = rows.column("entries").to_pylist()
         entries = np.frombuffer(b"".join(lists), ENTRY)
         ends = np.append(0, np.cumsum([len(x) // ENTRY.itemsize for x in lists]))
         start, size = np.zeros(len(plan.numbers), np.int64), np.zeros(len(plan.numbers), np.int64)
         number = [plan.numbers[t] for t in rows.column("term").to_pylist()]
         start[number], size[number] = ends[:-1], np.diff(ends)
-        gain, at = plan.gain(entries["tf"].astype(float), entries["dl"].astype(float)), entries["at"].astype(np.int64)
-        width = int(at.max()) + 1
-        ids = np.zeros(width, np.int64)
-        ids[at] = entries["id"]
+        at = entries["at"].astype(np.int64)
+        gain = plan.gain(entries["tf"].astype(float), docs["dl"][at].astype(float))
         head = np.searchsorted(plan.query, np.arange(int(plan.query[-1]) + 2))
         found = []
         for q in np.sort(asked.column("q").to_numpy()):
@@ -252,13 +255,12 @@ def _search_set(index: PostingIndex, asked: pa.Table, source: DataFrame, k: int,
     term = np.array([numbers[t] for t in asked.column("term").to_pylist()])
     plan = Plan(numbers, names.indices.to_numpy().astype(np.int64), term, weight[term] * asked.column("qtf").to_numpy(), k1, b, total / max(n_docs, 1), k)
 
-    rows = known.where(F.col("term").isNotNull())
     number = np.arange(len(names.dictionary))
     if blocks < prune_from:
         score, every = _scores(plan), pa.table({"q": pa.array(number, pa.int32())})
-        found = rows.select("block", "term", "entries").groupBy("block").applyInArrow(lambda table: score(table, every), "q int, doc_id bigint, score double")
+        found = known.select("block", "term", "entries").groupBy("block").applyInArrow(lambda table: score(table, every), "q int, doc_id bigint, score double")
     else:
-        found = _pruned(rows, len(number), plan, report)
+        found = _pruned(known, len(number), plan, report)
     hits = top_k(found, ["q"], [F.desc("score"), F.col("doc_id")], k)
     named = spark.createDataFrame(pa.table({"q": pa.array(number, pa.int32()), "query_id": names.dictionary}), f"q int, query_id {id_type}")
     return hits.join(F.broadcast(named), "q").select("query_id", "doc_id", "score")
@@ -266,7 +268,7 @@ def _search_set(index: PostingIndex, asked: pa.Table, source: DataFrame, k: int,
 
 def _pruned(rows: DataFrame, queries: int, plan: Plan, report: dict | None) -> DataFrame:
     """The best documents of the blocks with the best bounds, and of those whose bound reaches the k-th best of them."""
-    bounds = rows.select("block", "term", "tops").groupBy("block").applyInArrow(_bounds(plan), "q int, block bigint, bound double").checkpoint()
+    bounds = rows.where(F.col("term").isNotNull()).select("block", "term", "tops").groupBy("block").applyInArrow(_bounds(plan), "q int, block bigint, bound double").checkpoint()
     order = W.partitionBy("q").orderBy(F.desc("bound"), "block")
     seeds = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SEEDS).drop("r")
     first = _read(rows, seeds, SEEDS * queries, plan).checkpoint()
