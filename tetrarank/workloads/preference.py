@@ -546,20 +546,25 @@ def factor_optimum(spark, sf):
     Given the item factors a user's factors x solve (Y'Y + sum r y y' + 0.1 n I) x = sum (1 + r) y over the n liked items.
     """
     scale.checkpoint_dir(spark)
-    liked = _order_ratings(spark, sf).where("rating >= 25")
+    liked = scale.stored(_order_ratings(spark, sf).where("rating >= 25"), "liked")
     users, items = (t.checkpoint() for t in training.fit_factors(liked, threshold=25.0, max_iter=3))
+    rank = (items.select(F.size("vector")).first() or [0])[0]
     y = items.select("item_id", F.posexplode("vector").alias("i", "yi"), "vector")
     square = y.select("i", F.posexplode("vector").alias("j", "yj"), "yi").groupBy("i", "j").agg(F.sum(F.col("yi").cast("double") * F.col("yj").cast("double")).alias("s"))
-    x = users.select("user_id", F.posexplode("vector").alias("j", "xj"))
-    gram = x.join(F.broadcast(square), "j").groupBy("user_id", "i").agg(F.sum(F.col("s") * F.col("xj").cast("double")).alias("gram"))
-    rated = liked.join(users.withColumnRenamed("vector", "u"), "user_id").join(items, "item_id")
-    r_ = F.col("rating").cast("float").cast("double")
-    one = rated.select("user_id", (1.0 + r_).alias("b"), (r_ * vx.dot(F.col("u"), F.col("vector"))).alias("a"), F.posexplode("vector").alias("i", "yi"))
-    sums = one.groupBy("user_id", "i").agg(F.sum(F.col("a") * F.col("yi").cast("double")).alias("a"), F.sum(F.col("b") * F.col("yi").cast("double")).alias("b"), F.count(F.lit(1)).alias("n"))
-    own = x.withColumnRenamed("j", "i")
-    rows = sums.join(gram, ["user_id", "i"]).join(own, ["user_id", "i"])
-    residual = F.col("gram") + F.col("a") + 0.1 * F.col("n") * F.col("xj").cast("double") - F.col("b")
-    return rows.agg(F.countDistinct("user_id").alias("users"), F.round(F.max(F.abs(residual)) / F.max(F.abs("b")), 3).alias("residual"))
+    square = {(row.i, row.j): row.s for row in square.collect()}  # rank * rank numbers
+    # One row per rating with the item's factors goes to its user; there all sums of the user are made.
+    rated = liked.select("user_id", "item_id", F.col("rating").cast("float").cast("double").alias("r")).join(items, "item_id")
+    rated = rated.join(users.withColumnRenamed("vector", "u"), "user_id").withColumn("a", F.col("r") * vx.dot(F.col("u"), F.col("vector")) - F.col("r") - 1.0)
+    own = [F.col("vector")[i].cast("double") for i in range(rank)]
+    sums = rated.groupBy("user_id").agg(
+        F.first("u").alias("u"), F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("a") * yi) for yi in own]).alias("a"),
+        F.array(*[F.sum((1.0 + F.col("r")) * yi) for yi in own]).alias("b"))
+    x = [F.col("u")[j].cast("double") for j in range(rank)]
+    gram = F.array(*[sum((F.lit(square[i, j]) * x[j] for j in range(rank)), F.lit(0.0)) for i in range(rank)])
+    sides = sums.select("user_id", "n", "a", "b", "u", gram.alias("g"))
+    rows = sides.select("user_id", "n", F.explode(F.arrays_zip("a", "b", "g", "u")).alias("e"))
+    residual = F.col("e.g") + F.col("e.a") + 0.1 * F.col("n") * F.col("e.u").cast("double")
+    return rows.agg(F.countDistinct("user_id").alias("users"), F.round(F.max(F.abs(residual)) / F.max(F.abs("e.b")), 3).alias("residual"))
 
 
 _FACTOR_OPTIMUM = """SELECT count(DISTINCT u) AS users, 0.0::DOUBLE AS residual FROM (
