@@ -34,7 +34,7 @@ from tetrarank.llm.terms import LETTERS, arrays, counted, slices, terms
 #: Groups up to which their table is broadcast (some 100 bytes each).
 BROADCAST_GROUPS = 200_000
 #: Bytes of text whose counts are made together in a task.
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
