@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tetrarank.constants import EXPERTS
 from tetrarank.functions import text as tx
 from tetrarank.functions import vectors as vx
-from tetrarank.operators.blocks import list_matrix, top_k_scores
+from tetrarank.operators.blocks import Scorer, list_matrix, top_k_scores
 
 
 def windows(tokens: Column, size: int, stride: int) -> Column:
@@ -135,35 +135,55 @@ def _matrix(values: pa.Array, rows: np.ndarray, vocabulary: pa.Array, n: int) ->
     return out
 
 
-def _proxy_matrix(prompts: pa.Table, items: pa.Table) -> np.ndarray:
-    """Combined proxy score of a block of prompts against a block of items, as set-overlap matrix products."""
-    sets = {(t, c): _codes(table, c) for t, table, names in (
-        ("p", prompts, ("target_genres", "negative_genres", "prompt_tokens", "liked_genres", "disliked_genres")),
-        ("i", items, ("genres", "title_tokens"))) for c in names}
-    count = {"p": prompts.num_rows, "i": items.num_rows}
-
-    def size(side: str, column: str) -> np.ndarray:
-        return np.bincount(sets[side, column][1], minlength=count[side]).astype(np.float64)
-
-    def overlap(p_column: str, i_column: str) -> np.ndarray:
-        vocabulary = pc.unique(sets["p", p_column][0])
-        return (_matrix(*sets["p", p_column], vocabulary, count["p"]) @ _matrix(*sets["i", i_column], vocabulary, count["i"]).T).astype(np.float64)
-
-    def similarity(p_column: str, i_column: str) -> np.ndarray:
-        both = overlap(p_column, i_column)
-        sizes = size("p", p_column)[:, None]
-        union = sizes + size("i", i_column)[None, :] - both
-        return np.where((sizes > 0) & (union > 0), both / np.maximum(union, 1.0), 0.0)
-
-    wanted, unwanted = size("p", "target_genres"), size("p", "negative_genres")
-    plot = np.where(wanted[:, None] > 0, overlap("target_genres", "genres") / np.maximum(wanted, 1.0)[:, None], 0.5)
-    plot = plot - np.where(unwanted[:, None] > 0,
-                           0.5 * overlap("negative_genres", "genres") / np.maximum(unwanted, 1.0)[:, None], 0.0)
-    parts = [np.clip(plot, 0.0, 1.0), similarity("prompt_tokens", "title_tokens"),
-             np.maximum(similarity("liked_genres", "genres") - similarity("disliked_genres", "genres"), 0.0),
-             list_matrix(prompts.column("prompt_emo")) @ list_matrix(items.column("item_emo")).T]
-    weights = [prompts.column(f"w_{e}").to_numpy()[:, None] for e in EXPERTS]
-    return sum(w * p for w, p in zip(weights, parts))
+class _Proxy(Scorer):
+    """Combined proxy score of a block of prompts against a block of items, as set-overlap matrix products.
+
+    The genre parts are the same for items with the same genres, so they are computed once per set of genres of the block.
+    """
+
+    def left(self, prompts: pa.Table) -> dict:
+        names = ("target_genres", "negative_genres", "prompt_tokens", "liked_genres", "disliked_genres")
+        codes = {c: _codes(prompts, c) for c in names}
+        return {"n": prompts.num_rows, "codes": codes, "words": {c: pc.unique(codes[c][0]) for c in names},
+                "size": {c: np.bincount(codes[c][1], minlength=prompts.num_rows).astype(np.float64)[:, None] for c in names},
+                "emo": list_matrix(prompts.column("prompt_emo")), "weight": {e: prompts.column(f"w_{e}").to_numpy()[:, None] for e in EXPERTS}}
+
+    def right(self, items: pa.Table) -> dict:
+        place: dict[frozenset, int] = {}
+        kind = np.array([place.setdefault(frozenset(x or ()), len(place)) for x in items.column("genres").to_pylist()], np.int64)
+        sets = pa.table({"genres": pa.array([list(x) for x in place], items.schema.field("genres").type)})
+        codes = {"genres": (*_codes(sets, "genres"), len(place)), "title_tokens": (*_codes(items, "title_tokens"), items.num_rows)}
+        return {"kind": kind, "codes": codes, "emo": list_matrix(items.column("item_emo")),
+                "size": {c: np.bincount(rows, minlength=n).astype(np.float64)[None, :] for c, (_, rows, n) in codes.items()}}
+
+    def scores(self, left: dict, right: dict) -> np.ndarray:
+        size, weight = left["size"], left["weight"]
+
+        def overlap(p_column: str, i_column: str) -> np.ndarray:
+            values, rows, n = right["codes"][i_column]
+            vocabulary = left["words"][p_column]
+            return (_matrix(*left["codes"][p_column], vocabulary, left["n"]) @ _matrix(values, rows, vocabulary, n).T).astype(np.float64)
+
+        def similarity(p_column: str, i_column: str) -> np.ndarray:
+            both = overlap(p_column, i_column)
+            union = size[p_column] + right["size"][i_column]
+            union -= both
+            return np.divide(both, np.maximum(union, 1.0, out=union), out=both)  # 0 where either set is empty
+
+        wanted, unwanted = size["target_genres"], size["negative_genres"]
+        plot = np.where(wanted > 0, overlap("target_genres", "genres") / np.maximum(wanted, 1.0), 0.5)
+        plot = plot - np.where(unwanted > 0, 0.5 * overlap("negative_genres", "genres") / np.maximum(unwanted, 1.0), 0.0)
+        history = np.maximum(similarity("liked_genres", "genres") - similarity("disliked_genres", "genres"), 0.0)
+        out = similarity("prompt_tokens", "title_tokens")
+        out *= weight["beta"]
+        out += np.take(weight["alpha"] * np.clip(plot, 0.0, 1.0) + weight["gamma"] * history, right["kind"], axis=1)
+        emotion = left["emo"] @ right["emo"].T
+        emotion *= weight["delta"]
+        out += emotion
+        return out
+
+
+_proxy_matrix = _Proxy()
 
 
 def proxy_top_items(prompts: DataFrame, items: DataFrame, k: int, prompt_id: str = "prompt_id",
