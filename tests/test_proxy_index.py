@@ -1,7 +1,9 @@
 """Proxy scores over the inverted index: the rows of the flat search, items that are not scored."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tetrarank.operators import embed, proxy_index
 
@@ -44,3 +46,27 @@ def test_nothing(spark, tables):
     items, prompts = tables
     assert proxy_index.search(proxy_index.build_index(items.limit(0)), prompts, 3).count() == 0
     assert proxy_index.search(proxy_index.build_index(items), prompts.limit(0), 3).count() == 0
+
+
+def test_a_prompt_goes_once_to_a_group_of_cells(spark, tables, monkeypatch):
+    for name, value in (("GROUP_ITEMS", 90), ("GROUP_CELLS", 12), ("BLOCK_PROMPTS", 7), ("SENT_ROWS", 40), ("WORDS", 3), ("BOUNDS", 100)):
+        monkeypatch.setattr(proxy_index, name, value)
+    items, prompts = tables
+    index = proxy_index.build_index(items, part_rows=10)
+    cells = index.cells.toArrow()
+    group = proxy_index._groups(cells, 90)
+    sizes = np.bincount(group, weights=cells.column("size").to_numpy())
+    assert len(group) > 60 and np.bincount(group).max() <= 12 and sizes.sum() == 502 and sizes.max() < 110
+    asked = prompts.select("prompt_id", *proxy_index.COLUMNS, F.lit(1).alias("n"), F.lit(None).cast("double").alias("least")).toArrow()
+    fields = pa.schema([*asked.schema, ("g", pa.int32()), ("cells", pa.list_(pa.int32()))])
+    known = proxy_index._Cells(cells, group)
+    rows = pa.Table.from_batches(proxy_index._visits(known, 8, fields, False)(iter(asked.to_batches())))
+    assert rows.num_rows == 25 * len(sizes) and rows.column("cells").null_count == rows.num_rows  # no cell is listed, though all are in reach
+    rows = pa.Table.from_batches(proxy_index._visits(known, 8, fields, True)(iter(asked.to_batches())))
+    assert sum(len(x) for x in rows.column("cells").to_pylist()) <= 25 * 8
+
+    same = prompts.where("prompt_id < 6")
+    prompts = prompts.unionByName(same).unionByName(same.withColumn("prompt_id", F.lit(None).cast("long")))  # ids that repeat or are null
+    got, want = (sorted(((str(r.prompt_id), r.item_id, r.combined) for r in x.collect())) for x in (proxy_index.search(index, prompts, 8), embed.proxy_top_items(prompts, items.na.fill({}), 8)))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+    assert len(got) == 26 * 8

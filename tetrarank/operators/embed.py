@@ -156,6 +156,14 @@ class _Proxy(Scorer):
         return {"kind": kind, "codes": codes, "emo": list_matrix(items.column("item_emo")),
                 "size": {c: np.bincount(rows, minlength=n).astype(np.float64)[None, :] for c, (_, rows, n) in codes.items()}}
 
+    def some(self, left: dict, rows: np.ndarray) -> dict:
+        """A prepared block of prompts with only those at `rows`."""
+        place = np.full(left["n"], -1)
+        place[rows] = np.arange(len(rows))
+        kept = {c: place[at] >= 0 for c, (_, at) in left["codes"].items()}
+        return {"n": len(rows), "codes": {c: (values.filter(pa.array(kept[c])), place[at[kept[c]]]) for c, (values, at) in left["codes"].items()}, "words": left["words"],
+                "size": {c: x[rows] for c, x in left["size"].items()}, "emo": left["emo"][rows], "weight": {e: x[rows] for e, x in left["weight"].items()}}
+
     def scores(self, left: dict, right: dict) -> np.ndarray:
         size, weight = left["size"], left["weight"]
 
