@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tetrarank.operators import embed, proxy_index
+from tetrarank.operators import blocks, embed, proxy_index
 
 GENRES = ["Drama", "Comedy", "War", "Crime", "Horror", "Romance"]
 ITEMS = "item_id long, genres array<string>, title_tokens array<string>, item_emo array<double>"
@@ -70,3 +70,40 @@ def test_a_prompt_goes_once_to_a_group_of_cells(spark, tables, monkeypatch):
     got, want = (sorted(((str(r.prompt_id), r.item_id, r.combined) for r in x.collect())) for x in (proxy_index.search(index, prompts, 8), embed.proxy_top_items(prompts, items.na.fill({}), 8)))
     assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
     assert len(got) == 26 * 8
+
+
+def _block(rng, n_prompts, n_items, words, emotions):
+    lists = pa.list_(pa.string())
+    prompts = {c: pa.array([pick(rng, GENRES, 2) for _ in range(n_prompts)], lists) for c in ("target_genres", "negative_genres", "liked_genres", "disliked_genres")}
+    prompts |= {"prompt_tokens": pa.array([pick(rng, words, 4) * 2 for _ in range(n_prompts)], lists), "prompt_emo": emotions(n_prompts).tolist()}
+    prompts |= {f"w_{e}": np.full(n_prompts, x) for e, x in zip(embed.EXPERTS, (0.4, 0.3, 0.2, 0.1))}
+    items = {"item_id": rng.permutation(n_items), "genres": pa.array([pick(rng, GENRES, 2) if i % 50 else None for i in range(n_items)], lists),
+             "title_tokens": pa.array([pick(rng, words, 3) for _ in range(n_items)], lists), "item_emo": emotions(n_items).tolist()}
+    return pa.table(prompts), pa.table(items)
+
+
+@pytest.mark.parametrize("case", ["bounded", "negative", "nan", "few"])
+def test_flat_search_skips_items_out_of_reach(monkeypatch, case):
+    rng = np.random.default_rng(11)
+    emotions = (lambda n: rng.normal(size=(n, 8))) if case == "negative" else lambda n: rng.dirichlet(np.ones(8), size=n)
+    prompts, items = _block(rng, 90, 5 if case == "few" else 6000, [f"w{i}" for i in range(20)], emotions)
+    if case == "negative":  # weights of either sign
+        for e in embed.EXPERTS:
+            prompts = prompts.set_column(prompts.schema.get_field_index(f"w_{e}"), f"w_{e}", pa.array(rng.normal(size=90)))
+    if case == "nan":
+        items = items.set_column(3, "item_emo", pa.array([[np.nan] * 8, *items.column("item_emo").to_pylist()[1:]]))
+    scores = np.round(embed._proxy_matrix(prompts, items), blocks.DECIMALS) + 0.0
+    q, i = blocks._best(scores, items.column("item_id").to_numpy(), 7)
+    met, full = [], embed._Proxy.scores
+    monkeypatch.setattr(embed._Proxy, "scores", lambda self, left, right: met.append(full(self, left, right)) or met[-1])
+    got = blocks._score_batches(prompts, iter([items]), embed._proxy_matrix, "item_id", 7, None)
+    assert (got[0] == q).all() and (got[2] == items.column("item_id").to_numpy()[i]).all() and np.allclose(got[1], scores[q, i], atol=2e-6)
+    if case == "bounded":
+        assert not met  # no matrix of prompts and items
+
+
+def test_blocks_of_queries_keep_cores_busy():
+    assert blocks._grid(360_000, 7_200_000, 100_000, 300_000, 6) == (4, 24)
+    assert blocks._grid(24_000, 480_000, 100_000, 300_000, 6) == (6, 2)
+    assert blocks._grid(15_000, 20_000, 20_000, 200_000, 8) == (7, 1)
+    assert blocks._grid(0, 0, 20_000, 200_000, 8) == (0, 1)

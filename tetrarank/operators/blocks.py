@@ -67,6 +67,9 @@ def _merge(best: tuple | None, q: np.ndarray, s: np.ndarray, ids: np.ndarray, k:
 class Scorer:
     """A scorer that prepares either side once per block; `fn(queries, items)` gives the matrix of two prepared blocks."""
 
+    #: Items of a block, and whether `hits` has bounds of its own to start from.
+    item_rows, bounded = ITEM_ROWS, False
+
     def __init__(self, fn: Callable | None = None):
         self.fn = fn
 
@@ -85,6 +88,10 @@ class Scorer:
         at = np.flatnonzero(scores >= least[:, None])
         return at // scores.shape[1], at % scores.shape[1], scores.ravel()[at]
 
+    def hits(self, left, right, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What `reaching` gives, in pieces; pairs that cannot be among the k best of the query may be missing."""
+        yield self.reaching(left, right, least)
+
     def __call__(self, queries: pa.Table, items: pa.Table) -> np.ndarray:
         return self.scores(self.left(queries), self.right(items))
 
@@ -100,20 +107,24 @@ class Running:
         """A block of items for all queries, or for those at `rows`; `kept` marks pairs that may be hits."""
         edge = self.edge if rows is None else self.edge[rows]
         started = np.isfinite(edge).all()
-        if started and kept is None:
-            q, i, s = scorer.reaching(left, right, edge - 10.0 ** -DECIMALS)
-            s = np.round(s, DECIMALS) + 0.0
-            good = np.isfinite(s)
-            q, i, s = q[good], i[good], s[good]
+        if kept is None and (started or scorer.bounded):
+            for q, i, s in scorer.hits(left, right, edge - 10.0 ** -DECIMALS, self.k):
+                s = np.round(s, DECIMALS) + 0.0
+                good = np.isfinite(s)
+                self._put(q[good], s[good], ids[i[good]], rows)
         else:
             scores = np.round(scorer.scores(left, right), DECIMALS) + 0.0
             if kept is not None:
                 scores = np.where(kept, scores, -np.inf)
             q, i = _best(scores, ids, self.k)
-            s = scores[q, i]
-        self.pending.append((q if rows is None else rows[q], s, ids[i]))
+            self._put(q, scores[q, i], ids[i], rows)
+        if not started and rows is None:
+            self.merged()
+
+    def _put(self, q: np.ndarray, s: np.ndarray, ids: np.ndarray, rows: np.ndarray | None) -> None:
+        self.pending.append((q if rows is None else rows[q], s, ids))
         self.size += len(q)
-        if not started and rows is None or self.size > 2 * self.n * self.k:
+        if self.size > 2 * self.n * self.k:
             self.merged()
 
     def merged(self) -> tuple | None:
@@ -134,9 +145,9 @@ def _score_batches(queries: pa.Table, batches: Iterator[pa.Table], scorer: Calla
     scorer = scorer if isinstance(scorer, Scorer) else Scorer(scorer)
     parts = [queries.slice(s, QUERY_ROWS) for s in range(0, queries.num_rows, QUERY_ROWS)]
     lefts, running = [scorer.left(p) for p in parts], [Running(p.num_rows, k) for p in parts]
-    for batch in batches:
-        for start in range(0, batch.num_rows, ITEM_ROWS):
-            items = batch.slice(start, ITEM_ROWS)
+    for batch in _gathered(batches, scorer.item_rows) if scorer.bounded else batches:
+        for start in range(0, batch.num_rows, scorer.item_rows):
+            items = batch.slice(start, scorer.item_rows)
             right, ids = scorer.right(items), items.column(item_id).to_numpy()
             for part, left, run in zip(parts, lefts, running, strict=True):
                 run.add(scorer, left, right, ids, kept=None if keep is None else keep(part, items))
@@ -146,9 +157,21 @@ def _score_batches(queries: pa.Table, batches: Iterator[pa.Table], scorer: Calla
     return tuple(np.concatenate(x) for x in zip(*[(q + j * QUERY_ROWS, s, ids) for j, (q, s, ids) in found], strict=True))
 
 
+def _gathered(batches: Iterator[pa.Table], most: int) -> Iterator[pa.Table]:
+    """Small batches put together, up to about so many rows."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield pa.concat_tables(held)
+            held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
 def top_k_scores(queries: DataFrame, items: DataFrame, scorer: Callable, k: int, *, query_id: str, item_id: str,
                  score: str = "score", keep: Callable | None = None, broadcast_rows: int = 5_000,
-                 block_rows: int = 20_000) -> DataFrame:
+                 block_rows: int = 20_000, item_rows: int | None = None) -> DataFrame:
     """k best items per query: columns query_id, item_id, score (rounded to 6 places).
 
     `scorer(queries, items)` is a matrix of scores, -inf for "no hit", or a `Scorer`. `keep(queries, items)` may return a boolean
@@ -180,9 +203,8 @@ def top_k_scores(queries: DataFrame, items: DataFrame, scorer: Callable, k: int,
     row_bytes = max(1, head.nbytes // max(1, head.num_rows))
     block_rows = max(1, min(block_rows, BROADCAST_BYTES // row_bytes))
     # A cell scores its items in slices, so it can hold many more of them than queries, and a query goes to fewer cells.
-    item_rows = max(block_rows, min(ITEMS_PER_QUERY * block_rows, 4 * BROADCAST_BYTES // row_bytes))
-    q_blocks = math.ceil(queries.count() / block_rows)
-    i_blocks = max(1, math.ceil(items.count() / item_rows))
+    item_rows = item_rows or max(block_rows, min(ITEMS_PER_QUERY * block_rows, 4 * BROADCAST_BYTES // row_bytes))
+    q_blocks, i_blocks = _grid(queries.count(), items.count(), block_rows, item_rows, queries.sparkSession.sparkContext.defaultParallelism)
     q_cells = (queries.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)))
                .withColumn("__ib", F.explode(_block_ids(i_blocks))))
     i_cells = (items.withColumn("__ib", F.pmod(F.xxhash64(item_id), F.lit(i_blocks)))
@@ -196,6 +218,13 @@ def top_k_scores(queries: DataFrame, items: DataFrame, scorer: Callable, k: int,
     return top_k(hits, [query_id], order, k)
 
 
+def _grid(queries: int, items: int, block_rows: int, item_rows: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and of items: of bounded size, and about two cells per core, with smaller blocks of queries first."""
+    q_blocks, i_blocks = math.ceil(queries / block_rows), max(1, math.ceil(items / item_rows))
+    q_blocks = max(q_blocks, min(math.ceil(2 * cores / i_blocks), queries // (5 * QUERY_ROWS)))
+    return q_blocks, max(i_blocks, min(math.ceil(2 * cores / max(1, q_blocks)), items // (ITEMS_PER_QUERY * ITEM_ROWS)))
+
+
 def _block_ids(n: int):
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 

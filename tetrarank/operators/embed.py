@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tetrarank.constants import EXPERTS
 from tetrarank.functions import text as tx
 from tetrarank.functions import vectors as vx
-from tetrarank.operators.blocks import Scorer, list_matrix, top_k_scores
+from tetrarank.operators.blocks import DECIMALS, ITEM_ROWS, Scorer, list_matrix, top_k_scores
 
 
 def windows(tokens: Column, size: int, stride: int) -> Column:
@@ -135,12 +135,59 @@ def _matrix(values: pa.Array, rows: np.ndarray, vocabulary: pa.Array, n: int) ->
     return out
 
 
+#: Pairs that a task looks at together, and what a bound may be off by rounding scores.
+PAIRS, SLACK = 500_000, 2.0 * 10.0 ** -DECIMALS
+#: A pair of a prompt and a set of words takes as long as so many pairs in a matrix.
+DENSE = 4
+#: Prompts and items that meet in a cell where prompts are too many to be broadcast.
+CELL_PROMPTS, CELL_ITEMS = 100_000, 300_000
+
+
+def _sets(table: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
+    """Number of each row's set of values, in the order of their first rows, and the sets."""
+    values, rows = _codes(table, column)
+    number = np.zeros(table.num_rows, np.int64)
+    if len(values):
+        code = values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((code, rows))
+        code, rows = code[order], rows[order]
+        size = np.bincount(rows, minlength=table.num_rows)
+        start = np.cumsum(size) - size
+        for j in range(size.max()):  # rows whose first j values are equal have one number so far
+            at = np.flatnonzero(size > j)
+            both = number[at] * (code.max() + 1) + code[start[at] + j]
+            number[at] = number.max() + 1 + np.unique(both, return_inverse=True)[1]
+    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    lists = table.column(column).take(pa.array(first[order])).to_pylist()
+    return place[number], pa.array([list(dict.fromkeys(x or ())) for x in lists], table.schema.field(column).type)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the runs that begin at `start`, each with the number of its run."""
+    run = np.repeat(np.arange(len(size)), size)
+    return run, np.arange(len(run)) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _pieces(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive parts whose sizes add up to about `most`."""
+    part = (np.cumsum(size) - size) // most
+    edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(size)]
+    yield from (slice(a, b) for a, b in zip(edges, edges[1:]))
+
+
 class _Proxy(Scorer):
     """Combined proxy score of a block of prompts against a block of items, as set-overlap matrix products.
 
-    The genre parts are the same for items with the same genres, so they are computed once per set of genres of the block.
+    The genre parts are the same for items with the same genres, so they are computed once per set of genres of the block; and so
+    are the title words. With the range of each emotion over the items of a set of genres this gives bounds: only sets of genres, then
+    sets of words, and at last items that can be among the k best of a prompt are looked at.
     """
 
+    item_rows, bounded = CELL_ITEMS, True
+
     def left(self, prompts: pa.Table) -> dict:
         names = ("target_genres", "negative_genres", "prompt_tokens", "liked_genres", "disliked_genres")
         codes = {c: _codes(prompts, c) for c in names}
@@ -149,12 +196,25 @@ class _Proxy(Scorer):
                 "emo": list_matrix(prompts.column("prompt_emo")), "weight": {e: prompts.column(f"w_{e}").to_numpy()[:, None] for e in EXPERTS}}
 
     def right(self, items: pa.Table) -> dict:
-        place: dict[frozenset, int] = {}
-        kind = np.array([place.setdefault(frozenset(x or ()), len(place)) for x in items.column("genres").to_pylist()], np.int64)
-        sets = pa.table({"genres": pa.array([list(x) for x in place], items.schema.field("genres").type)})
-        codes = {"genres": (*_codes(sets, "genres"), len(place)), "title_tokens": (*_codes(items, "title_tokens"), items.num_rows)}
-        return {"kind": kind, "codes": codes, "emo": list_matrix(items.column("item_emo")),
-                "size": {c: np.bincount(rows, minlength=n).astype(np.float64)[None, :] for c, (_, rows, n) in codes.items()}}
+        kind, genres = _sets(items, "genres")
+        worded, words = _sets(items, "title_tokens")
+        codes = {"genres": (*_codes(pa.table({"genres": genres}), "genres"), len(genres)), "title_tokens": (*_codes(items, "title_tokens"), items.num_rows)}
+        out = {"kind": kind, "codes": codes, "emo": list_matrix(items.column("item_emo")),
+               "size": {c: np.bincount(rows, minlength=n).astype(np.float64)[None, :] for c, (_, rows, n) in codes.items()}}
+        # Items in the order of (set of genres, set of words); equal ones are a group.
+        both = kind * len(words) + worded
+        order = np.argsort(both, kind="stable")
+        group, start, size = np.unique(both[order], return_index=True, return_counts=True)
+        of, first = np.unique(group // max(1, len(words)), return_index=True)
+        values, rows = _codes(pa.table({"words": words}), "words")
+        n_words = np.bincount(rows, minlength=len(words))
+        held, emo = n_words[group % max(1, len(words))], out["emo"][order]
+        at = start[first]
+        return out | {"order": order, "start": start, "items": size, "genres": of, "first": first, "groups": np.diff(first, append=len(group)), "word_set": group % max(1, len(words)),
+                      "words": values, "n_words": n_words, "first_word": np.cumsum(n_words) - n_words, "sorted_emo": emo,
+                      "low": np.minimum.reduceat(emo, at) if len(at) else emo, "high": np.maximum.reduceat(emo, at) if len(at) else emo,
+                      "fewest": np.minimum.reduceat(held, first) if len(at) else held, "most": np.maximum.reduceat(held, first) if len(at) else held,
+                      "kind_items": np.diff(at, append=len(order)), "table": items, "some": {}}
 
     def some(self, left: dict, rows: np.ndarray) -> dict:
         """A prepared block of prompts with only those at `rows`."""
@@ -164,32 +224,120 @@ class _Proxy(Scorer):
         return {"n": len(rows), "codes": {c: (values.filter(pa.array(kept[c])), place[at[kept[c]]]) for c, (values, at) in left["codes"].items()}, "words": left["words"],
                 "size": {c: x[rows] for c, x in left["size"].items()}, "emo": left["emo"][rows], "weight": {e: x[rows] for e, x in left["weight"].items()}}
 
+    @staticmethod
+    def _overlap(left: dict, right: dict, p_column: str, i_column: str) -> np.ndarray:
+        values, rows, n = right["codes"][i_column]
+        vocabulary = left["words"][p_column]
+        return (_matrix(*left["codes"][p_column], vocabulary, left["n"]) @ _matrix(values, rows, vocabulary, n).T).astype(np.float64)
+
+    def _similarity(self, left: dict, right: dict, p_column: str, i_column: str) -> np.ndarray:
+        both = self._overlap(left, right, p_column, i_column)
+        union = left["size"][p_column] + right["size"][i_column]
+        union -= both
+        return np.divide(both, np.maximum(union, 1.0, out=union), out=both)  # 0 where either set is empty
+
+    def _genre_parts(self, left: dict, right: dict) -> np.ndarray:
+        """Weighted plot and history of each prompt and set of genres."""
+        wanted, unwanted = left["size"]["target_genres"], left["size"]["negative_genres"]
+        plot = np.where(wanted > 0, self._overlap(left, right, "target_genres", "genres") / np.maximum(wanted, 1.0), 0.5)
+        plot = plot - np.where(unwanted > 0, 0.5 * self._overlap(left, right, "negative_genres", "genres") / np.maximum(unwanted, 1.0), 0.0)
+        history = np.maximum(self._similarity(left, right, "liked_genres", "genres") - self._similarity(left, right, "disliked_genres", "genres"), 0.0)
+        return left["weight"]["alpha"] * np.clip(plot, 0.0, 1.0) + left["weight"]["gamma"] * history
+
     def scores(self, left: dict, right: dict) -> np.ndarray:
-        size, weight = left["size"], left["weight"]
-
-        def overlap(p_column: str, i_column: str) -> np.ndarray:
-            values, rows, n = right["codes"][i_column]
-            vocabulary = left["words"][p_column]
-            return (_matrix(*left["codes"][p_column], vocabulary, left["n"]) @ _matrix(values, rows, vocabulary, n).T).astype(np.float64)
-
-        def similarity(p_column: str, i_column: str) -> np.ndarray:
-            both = overlap(p_column, i_column)
-            union = size[p_column] + right["size"][i_column]
-            union -= both
-            return np.divide(both, np.maximum(union, 1.0, out=union), out=both)  # 0 where either set is empty
-
-        wanted, unwanted = size["target_genres"], size["negative_genres"]
-        plot = np.where(wanted > 0, overlap("target_genres", "genres") / np.maximum(wanted, 1.0), 0.5)
-        plot = plot - np.where(unwanted > 0, 0.5 * overlap("negative_genres", "genres") / np.maximum(unwanted, 1.0), 0.0)
-        history = np.maximum(similarity("liked_genres", "genres") - similarity("disliked_genres", "genres"), 0.0)
-        out = similarity("prompt_tokens", "title_tokens")
+        weight = left["weight"]
+        out = self._similarity(left, right, "prompt_tokens", "title_tokens")
         out *= weight["beta"]
-        out += np.take(weight["alpha"] * np.clip(plot, 0.0, 1.0) + weight["gamma"] * history, right["kind"], axis=1)
+        out += np.take(self._genre_parts(left, right), right["kind"], axis=1)
         emotion = left["emo"] @ right["emo"].T
         emotion *= weight["delta"]
         out += emotion
         return out
 
+    def hits(self, left: dict, right: dict, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not len(right["order"]):
+            return
+        emo, low, high = left["emo"], right["low"], right["high"]
+        beta, delta = left["weight"]["beta"], left["weight"]["delta"]
+        if not (np.isfinite(low).all() and np.isfinite(high).all()):
+            yield from self._all(left, right, least, k)
+            return
+        size, genre = left["size"]["prompt_tokens"], self._genre_parts(left, right)[:, right["genres"]]
+        plus, minus = np.maximum(emo, 0.0), np.minimum(emo, 0.0)
+        ends = delta * (plus @ high.T + minus @ low.T), delta * (plus @ low.T + minus @ high.T)
+        top, bottom = np.maximum(*ends), np.minimum(*ends)
+        # Of n and m words at most min(n, m) are shared and at least max(n, m) are in the union.
+        shared = np.minimum(1.0, np.minimum(right["most"] / np.maximum(size, 1.0), size / np.maximum(right["fewest"], 1.0)))
+        sure = genre + np.minimum(beta, 0.0) + bottom
+        least = least - SLACK
+        best = np.full(left["n"], -np.inf)
+        if len(of := np.flatnonzero(right["kind_items"] >= k)):
+            best = np.fmax(best, sure[:, of].max(axis=1))
+        if sure.shape[1] >= k:
+            best = np.fmax(best, np.partition(sure, -k, axis=1)[:, -k])
+        vocabulary = left["words"]["prompt_tokens"]
+        asked = np.hstack([_matrix(*left["codes"]["prompt_tokens"], vocabulary, left["n"]), np.zeros((left["n"], 1), np.float32)])
+        code = pc.fill_null(pc.index_in(right["words"], vocabulary), -1).to_numpy(zero_copy_only=False)
+
+        def grouped(p: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(prompt, set of genres, group, score without emotions) of the groups of (prompt, set of genres) pairs."""
+            run, group = _spread(right["first"][kind], right["groups"][kind])
+            q, of = p[run], kind[run]
+            words = right["word_set"][group]
+            held, both = right["n_words"][words], np.zeros(len(q))
+            for j in range(held.max(initial=0)):
+                at = np.flatnonzero(held > j)
+                both[at] += asked[q[at], code[right["first_word"][words[at]] + j]]
+            return q, of, group, genre[q, of] + beta[q, 0] * (both / np.maximum(size[q, 0] + held - both, 1.0))
+
+        fresh = np.flatnonzero(~np.isfinite(least))
+        least = np.fmax(least, best - SLACK)
+        if len(of) and len(fresh):  # the best set of genres gives most prompts a threshold
+            seed = of[np.argmax(np.nan_to_num((genre + np.maximum(beta, 0.0) * shared + top)[np.ix_(fresh, of)], nan=-np.inf), axis=1)]
+            for part in _pieces(right["groups"][seed], PAIRS):
+                q, kind, group, known = grouped(fresh[part], seed[part])
+                least = self._raised(least, q, known + bottom[q, kind], right["items"][group], k)
+        p, kind = np.nonzero(genre + np.maximum(beta, 0.0) * shared + top >= least[:, None])
+        if DENSE * right["groups"][kind].sum() > left["n"] * len(right["order"]):
+            yield from self._all(left, right, least, k)
+            return
+        for part in _pieces(right["groups"][kind], PAIRS):
+            q, of, group, known = grouped(p[part], kind[part])
+            least = self._raised(least, q, known + bottom[q, of], right["items"][group], k) if len(fresh) else least
+            good = np.flatnonzero(known + top[q, of] >= least[q])
+            q, group, known = q[good], group[good], known[good]
+            for some in _pieces(right["items"][group], PAIRS):
+                run, at = _spread(right["start"][group[some]], right["items"][group[some]])
+                found = q[some][run]
+                score = known[some][run] + delta[found, 0] * np.einsum("ij,ij->i", emo[found], right["sorted_emo"][at])
+                good = np.flatnonzero(score >= least[found])
+                yield found[good], right["order"][at[good]], score[good]
+
+    def _all(self, left: dict, right: dict, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hits of matrices over all items, some at a time: bounds leave out too little, or there are none."""
+        items = right["table"]
+        for at in range(0, items.num_rows, ITEM_ROWS):
+            if at not in right["some"]:
+                right["some"][at] = self.right(items.slice(at, ITEM_ROWS))
+            scores = np.nan_to_num(self.scores(left, right["some"][at]), nan=-np.inf, posinf=-np.inf)
+            if scores.shape[1] >= k:
+                least = np.fmax(least, np.partition(scores, -k, axis=1)[:, -k] - SLACK)
+            q, i = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            yield q, i + at, scores[q, i]
+
+    @staticmethod
+    def _raised(least: np.ndarray, q: np.ndarray, sure: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
+        """Thresholds, higher where k items have no less for sure."""
+        order = np.lexsort((-sure, q))
+        q, sure, items = q[order], sure[order], items[order]
+        before = np.cumsum(items) - items
+        first = np.searchsorted(q, q)
+        upto = before - before[first] + items if len(q) else items
+        at = np.flatnonzero((upto >= k) & (upto - items < k))
+        out = least.copy()
+        out[q[at]] = np.fmax(out[q[at]], sure[at] - SLACK)
+        return out
+
 
 _proxy_matrix = _Proxy()
 
@@ -197,6 +345,7 @@ _proxy_matrix = _Proxy()
 def proxy_top_items(prompts: DataFrame, items: DataFrame, k: int, prompt_id: str = "prompt_id",
                     item_id: str = "item_id", **options) -> DataFrame:
     """k best items per prompt by the combined proxy score, over all items, block by block."""
+    options = {"block_rows": CELL_PROMPTS, "item_rows": CELL_ITEMS} | options
     return top_k_scores(prompts, items, _proxy_matrix, k, query_id=prompt_id, item_id=item_id, score="combined", **options)
 
 
