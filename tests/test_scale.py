@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tetrarank.operators import blocks, evaluation, scale
+from tetrarank.operators import blocks, dense, evaluation, scale
+from tetrarank.plans import training
 
 
 @pytest.fixture(scope="module")
@@ -174,3 +175,28 @@ def test_balanced_positions_rank_only_the_last_bucket(spark, monkeypatch):
             first = ok[ok.y == (1 if surplus > 0 else 0)].sort_values("h").h.tolist()[:abs(surplus)]
             mine = out[out.movieA.between(1000, 1060) & (out.g.isna() if g != g or g is None else out.g == g)]
             assert sorted(hashlib.md5(f"42|{k}".encode()).hexdigest() for k in mine.k) == first
+
+
+def test_cells_meet_in_turns(spark, monkeypatch):
+    """Where copies of the rows for a grid of cells are too many, blocks of items take turns; the rows are the same."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))] + [(7, [9.0, 9.0, 9.0, 9.0])], "item_id long, vector array<double>")
+    asked = rows.where("item_id < 60").withColumnRenamed("item_id", "query_id")
+    want = sorted(map(tuple, dense.search(asked, rows, 5).collect()))
+    options = {"query_id": "query_id", "item_id": "item_id", "broadcast_rows": 5, "block_rows": 20, "item_rows": 50}
+    written = []
+    monkeypatch.setattr(blocks, "stored", lambda df, label: written.append(label) or scale.stored(df, label))
+    for bytes_at_once, turns in ((1 << 30, 0), (20_000, 3), (1, 7)):
+        monkeypatch.setattr(blocks, "MOVED_BYTES", bytes_at_once)
+        written.clear()
+        got = sorted(map(tuple, blocks.top_k_scores(asked, rows, dense._Vectors("cosine"), 5, **options).collect()))
+        assert got == want and (written.count("hits") > 1 if turns else not written)
+
+
+def test_a_fit_leaves_no_long_lineage(spark):
+    """Shuffle files of a step can be deleted while later ones run: the factors depend on the last step only."""
+    rng = np.random.default_rng(8)
+    ratings = spark.createDataFrame([(int(u), int(i), 5.0) for u in range(30) for i in set(rng.integers(0, 20, 5).tolist())], "user_id int, item_id int, rating double")
+    users = [training.fit_factors(ratings, rank=3, max_iter=n)[0] for n in (2, 6)]
+    short, long = [u._jdf.queryExecution().toRdd().toDebugString().count("ALS.scala") for u in users]
+    assert long <= short
