@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tetrarank.operators import evaluation, ranking, reports
+from tetrarank.operators import lists as short
 
 
 def sp(x):
@@ -129,3 +130,27 @@ def test_diversity(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (2, 4, 5)], "prompt_id long, movieA long, movieB long")
     rows = {r["prompt_id"]: r for r in reports.pair_diversity(pairs, expected=4).collect()}
     assert rows[1]["unique_items"] == 3 and rows[1]["repeated_items"] == 1 and rows[1]["max_appearances"] == 2 and rows[1]["diversity"] == 75.0
+
+
+def test_short_and_long_lists_have_the_same_losses(spark, monkeypatch):
+    """Short lists are computed together where they lie; keys may be null or repeat, scores and relevance may be missing."""
+    rng = np.random.default_rng(9)
+    rows = [(None if p == 3 else p, f"k{p % 2}", None if rng.random() < 0.02 else f"i{i}", None if p in (4, 5) and rng.random() < 0.2 else float(rng.normal()),
+             None if rng.random() < 0.05 else float(rng.integers(0, 5))) for p in range(40) for i in range(int(rng.integers(1, 30)))]
+    rows += rows[:25] + [(50, "k0", "a", None, None), (51, "k0", "a", 1.0, None), (52, "k0", "a", None, 1.0)]
+    df = spark.createDataFrame(rows, "p long, q string, item_id string, score double, gt_score double")
+    losses = {"listmle": lambda: ranking.listmle(df, ["p", "q"]), "ranknet": lambda: ranking.ranknet(df, ["p", "q"]), "ndcg": lambda: ranking.approx_ndcg(df, ["p", "q"], temperature=0.5)}
+    monkeypatch.setattr(short, "GATHERED", 100)
+
+    def found():
+        return {name: sorted(([round(v, 6) if isinstance(v, float) else v for v in r] for r in f().collect()), key=str) for name, f in losses.items()}
+
+    for f in losses.values():
+        assert "CoGroups" not in f()._jdf.queryExecution().optimizedPlan().toString()  # no task per list
+    got = found()
+    monkeypatch.setattr(ranking, "_by_length", lambda rows, by, most, short_lists, long_lists: long_lists(rows))
+    want = found()
+    assert got == want and len(got["listmle"]) == 43 and len(got["ranknet"]) == 42
+    monkeypatch.undo()
+    monkeypatch.setattr(ranking, "LIST_ROWS", 12)
+    assert found()["listmle"] == want["listmle"]

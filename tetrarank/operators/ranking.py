@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,9 +13,12 @@ from pyspark.sql import functions as F
 from tetrarank.constants import EXPERTS
 from tetrarank.functions import numeric as nx
 from tetrarank.operators.blocks import block_pairs
-from tetrarank.operators.scale import ranked_totals, top_k, with_list_stats
+from tetrarank.operators.lists import best_first, per_list
+from tetrarank.operators.scale import by_size, ranked_totals, top_k, with_list_stats
 
 DECIMALS = 9
+#: Lists of at most so many rows are computed where they lie after one shuffle, many at a time.
+LIST_ROWS = 2_000
 
 
 def unpivot_methods(df: DataFrame, methods: dict[str, Column], keep: list[str]) -> DataFrame:
@@ -86,10 +91,29 @@ def random_baseline(metrics: DataFrame) -> DataFrame:
 def listmle(rows: DataFrame, by: list[str], score: str = "score", relevance: str = "gt_score",
             item: str = "item_id", eps: float = 1e-10) -> DataFrame:
     """Negative log-likelihood of the ground-truth order: minus the sum of s_i - log of the tail sums."""
-    shifted = with_list_stats(rows, by, {"__top": F.max(score)}).withColumn(
-        "__d", F.col(score) - F.col("__top"))
-    tails = ranked_totals(shifted, by, relevance, [item], {"__tail": F.exp("__d")}, reverse=True)
-    return tails.groupBy(*by).agg((-F.sum(F.col("__d") - F.ln(F.col("__tail") + eps))).alias("listmle"))
+    def losses(_, s: np.ndarray, there: np.ndarray, *__) -> tuple[np.ndarray, ...]:
+        d = s - np.where(there, s, -np.inf).max(axis=1, keepdims=True)
+        tails = np.cumsum(np.where(there, np.exp(d), 0.0)[:, ::-1], axis=1)[:, ::-1]
+        return (np.where(there.any(axis=1), -np.where(there, d - np.log(tails + eps), 0.0).sum(axis=1), np.nan),)
+
+    def short_lists(short: DataFrame) -> DataFrame:
+        return per_list(short, by, best_first(relevance, item), item, score, relevance, losses, {"listmle": "double"}, 2)
+
+    def long_lists(large: DataFrame) -> DataFrame:
+        shifted = with_list_stats(large, by, {"__top": F.max(score)}).withColumn(
+            "__d", F.col(score) - F.col("__top"))
+        tails = ranked_totals(shifted, by, relevance, [item], {"__tail": F.exp("__d")}, reverse=True)
+        return tails.groupBy(*by).agg((-F.sum(F.col("__d") - F.ln(F.col("__tail") + eps))).alias("listmle"))
+
+    return _by_length(rows, by, LIST_ROWS, short_lists, long_lists)
+
+
+def _by_length(rows: DataFrame, by: list[str], most: int, short_lists: Callable, long_lists: Callable) -> DataFrame:
+    """Results of lists of at most `most` rows and of longer ones, which are dealt out."""
+    if not by:
+        return long_lists(rows)
+    short, large = by_size(rows, by, most)
+    return short_lists(short) if large is None else short_lists(short).unionByName(long_lists(large))
 
 
 def listnet(rows: DataFrame, by: list[str], score: str = "score", relevance: str = "gt_score",
@@ -110,6 +134,18 @@ def ranknet(rows: DataFrame, by: list[str], score: str = "score", relevance: str
 
     Every unordered pair is visited in both directions and counts twice in sum and count alike.
     """
+    def losses(_, s: np.ndarray, __, g: np.ndarray, ___) -> tuple[np.ndarray, ...]:
+        sign = np.sign(g[:, :, None] - g[:, None, :])
+        margin = sign * (s[:, :, None] - s[:, None, :])
+        loss = np.maximum(-margin, 0.0) + np.log1p(np.exp(-np.abs(margin)))
+        apart = sign != 0
+        n = apart.sum(axis=(1, 2))
+        return np.where(apart, loss, 0.0).sum(axis=(1, 2)) / (n + 1e-10), n // 2
+
+    def short_lists(short: DataFrame) -> DataFrame:
+        out = {"ranknet": "double", "pairs": "long"}
+        return per_list(short.dropna(subset=by), by, best_first(relevance, item), item, score, relevance, losses, out, 3)
+
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sign = np.sign(left[relevance].to_numpy()[:, None] - right[relevance].to_numpy()[None, :])
         margin = sign * (left[score].to_numpy()[:, None] - right[score].to_numpy()[None, :])
@@ -118,9 +154,13 @@ def ranknet(rows: DataFrame, by: list[str], score: str = "score", relevance: str
         return head.assign(loss=float(loss.sum()), pairs=int((sign != 0).sum()))
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by) + ", loss double, pairs long"
-    parts = block_pairs(rows, by, item, cell, schema, block_rows=block_rows, carry=[score, relevance])
-    return parts.groupBy(*by).agg((F.sum("loss") / (F.sum("pairs") + 1e-10)).alias("ranknet"),
-                                  (F.sum("pairs") / 2).cast("long").alias("pairs"))
+
+    def long_lists(large: DataFrame) -> DataFrame:
+        parts = block_pairs(large, by, item, cell, schema, block_rows=block_rows, carry=[score, relevance])
+        return parts.groupBy(*by).agg((F.sum("loss") / (F.sum("pairs") + 1e-10)).alias("ranknet"),
+                                      (F.sum("pairs") / 2).cast("long").alias("pairs"))
+
+    return _by_length(rows, by, block_rows, short_lists, long_lists)
 
 
 def approx_ndcg(rows: DataFrame, by: list[str], score: str = "score", relevance: str = "gt_score",
@@ -131,6 +171,32 @@ def approx_ndcg(rows: DataFrame, by: list[str], score: str = "score", relevance:
     An item's soft rank adds up sigmoid((s_i - s_j) / T) over the whole list including itself, its soft
     position is n + 1 minus that, and with k only the k items of smallest soft rank are credited.
     """
+    def losses(items: np.ndarray, s: np.ndarray, _, g: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        soft = (1.0 / (1.0 + np.exp((s[:, None, :] - s[:, :, None]) / temperature))).sum(axis=2)
+        n = s.shape[1]
+        gains = g / np.log2(n + 2.0 - soft)
+        ordered = np.sort(items, axis=1)
+        for row in np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1)):  # rows of one item are put together
+            own, at = np.unique(items[row], return_inverse=True)
+            ranks, best = np.zeros(len(own)), np.full(len(own), np.nan)
+            np.add.at(ranks, at, soft[row])
+            np.fmax.at(best, at, g[row])
+            gains[row] = np.nan
+            gains[row, :len(own)] = best / np.log2(len(own) + 2.0 - ranks)
+        dcg = np.where(np.isnan(gains).all(axis=1), np.nan, np.nansum(gains, axis=1))
+        ideal = np.where(known, g / np.log2(np.arange(2.0, n + 2.0)), 0.0).sum(axis=1)
+        return (np.where(known.any(axis=1), 1.0 - dcg / (ideal + 1e-10), np.nan),)
+
+    def short_lists(short: DataFrame) -> DataFrame:
+        return per_list(short.dropna(subset=by), by, best_first(relevance, item), item, score, relevance, losses, {"approx_ndcg": "double"}, 3)
+
+    def long_lists(large: DataFrame) -> DataFrame:
+        return _dealt_ndcg(large, by, score, relevance, item, temperature, k, block_rows)
+
+    return long_lists(rows) if k is not None else _by_length(rows, by, block_rows, short_lists, long_lists)
+
+
+def _dealt_ndcg(rows: DataFrame, by: list[str], score: str, relevance: str, item: str, temperature: float, k: int | None, block_rows: int) -> DataFrame:
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         diff = (left[score].to_numpy()[:, None] - right[score].to_numpy()[None, :]) / temperature
         soft = np.exp(-np.logaddexp(0.0, -diff)).sum(axis=1)

@@ -323,11 +323,12 @@ def list_losses(spark, sf):
     """ListMLE, ListNet and RankNet losses and approximate nDCG per list, for the per-prompt mixture."""
     rows = v.ranking_with_weights(spark, sf)
     score = nx.weighted_margin([F.col(f"mix_{e}") for e in EXPERTS], [F.col(f"z_{e}") for e in EXPERTS])
-    scale.checkpoint_dir(spark)
-    rows = rows.select("prompt_id", "item_id", "gt_score", score.alias("score")).checkpoint()
+    rows = scale.stored(rows.select("prompt_id", "item_id", "gt_score", score.alias("score")), "lists")
+    scale.drop_unused(spark)
     by = ["prompt_id"]
     out = ranking.listmle(rows, by).join(ranking.listnet(rows, by), by).join(ranking.ranknet(rows, by), by).join(
         ranking.approx_ndcg(rows, by, temperature=0.5), by)
+    scale.drop_unused(spark)
     return rounded(out, "listmle", "listnet", "ranknet", "approx_ndcg", digits=5)
 
 
