@@ -105,3 +105,28 @@ def test_short_groups_are_ranked_without_buckets(spark, monkeypatch):
     monkeypatch.setattr(scale, "GROUP_ROWS", 10)
     assert sorted(map(str, scale.value_rank(df, ["g"], "x", ["i"], "rank").select("g", "i", "rank").collect())) == want
     assert {r["g"] for r in seen[0].collect()} == {1, None}
+
+
+def test_pairs_are_fitted_from_stored_blocks(spark, monkeypatch):
+    """A step reads blocks of numbers, not rows; blocks of any size give the same network."""
+    rng = np.random.default_rng(12)
+    rows = [(int(rng.integers(0, 2)), *(None if rng.random() < 0.1 else float(v) for v in rng.normal(size=2))) for _ in range(300)]
+    pairs = spark.createDataFrame(rows, "y int, a double, b double").repartition(3)
+    read = []
+    monkeypatch.setattr(training, "stored", lambda df, label: read.append(scale.stored(df, label)) or read[-1])
+    found = []
+    for at in (65_536, 50):
+        monkeypatch.setattr(training, "BLOCK_ROWS", at)
+        found.append(training.fit_antisymmetric_ranker(pairs, ["a", "b"], hidden=2))
+    assert read[0].count() <= 3 and all(r.columns == ["block"] for r in read)
+    assert read[0].agg(F.sum(F.length("block"))).first()[0] == 300 * 3 * 8
+    gradient = training.antisymmetric_gradient(pairs.na.fill(0.0), found[0], 0.01, ["a", "b"])
+    assert gradient.agg(F.max(F.abs("gradient"))).first()[0] < 1e-4
+    assert all(np.allclose(found[0][k], found[1][k], atol=1e-3) for k in "wcv")
+
+
+def test_sums_of_large_margins_stay_finite():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"y": [0.0, 1.0, 1.0], "a": [1e4, -1e4, 0.0]})
+    sums = next(training._loss_sums(1, 1, np.array([2.0, 500.0, 3.0]))(iter([batch]))).column(1).to_numpy()
+    assert np.isfinite(sums).all() and sums[1] == pytest.approx(2 * np.logaddexp(0.0, 6.0) + np.log(2.0))
